@@ -101,3 +101,83 @@ fc AS (SELECT x.well, x.y, st.l + st.s[CAST(((x.pos - st.i - 1) % 12) + 1 AS INT
 SELECT well, 'ETS' AS model, count(*) AS n, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse,
        round(avg(abs(y - yhat)), 6) AS mae, round(avg(abs((y - yhat) / y)) * 100.0, 6) AS mape
 FROM fc GROUP BY well"""
+
+def rnd(cols: list[str], d: int = 6) -> str:
+    return ", ".join(f"round({c}, {d}) AS {c}" for c in cols)
+
+
+R4 = rnd(PARAMS)
+LONG_RAW = " UNION ALL ".join(f"SELECT well, ds, '{p}' AS param, CAST({p} AS DOUBLE) AS value FROM raw" for p in PARAMS)
+
+# Sheets: each parameter laid out over the sheet's dates (union over wells) x wells.
+ORACLE["s1_read_sheets"] = with_(RAW, """
+wl AS (SELECT DISTINCT well FROM raw), dl AS (SELECT DISTINCT ds FROM raw),
+cells AS (SELECT wl.well, dl.ds FROM wl CROSS JOIN dl)""") + " UNION ALL ".join(
+    f"""
+SELECT c.well, c.ds, '{p}' AS param, round(r.{p}, 6) AS value FROM cells c LEFT JOIN raw r USING (well, ds)""" for p in PARAMS)
+
+ORACLE["s2_catalog"] = with_(RAW, f"lr AS ({LONG_RAW})") + """
+SELECT param, well, count(*) AS n_days, count(value) AS n_values, min(ds) AS first_ds, max(ds) AS last_ds
+FROM lr GROUP BY param, well"""
+
+ORACLE["s3_select_series"] = with_(RAW) + """
+SELECT well, ds, round(qty, 6) AS qty, round(disc, 6) AS disc FROM raw WHERE well IN ('NO', 'RF')"""
+
+ORACLE["s4_to_panel"] = with_(RAW) + f"\nSELECT well, ds, {R4} FROM raw"
+
+ORACLE["s8_preview"] = with_(RAW) + f"\nSELECT well, ds, {R4} FROM raw ORDER BY ds, well LIMIT 50"
+
+ORACLE["s9_series_long"] = with_(CLEAN) + "\n" + " UNION ALL ".join(
+    f"SELECT well, ds, '{p}' AS param, round({p}, 6) AS value FROM clean" for p in PARAMS)
+
+ORACLE["c1_null_blanks_zeros"] = with_(RAW, C1) + f"\nSELECT well, ds, {R4} FROM c1"
+ORACLE["c2_interpolate"] = with_(RAW, C1, C2) + f"\nSELECT well, ds, {R4} FROM c2"
+ORACLE["c3_fill_median"] = with_(RAW, C1, C3) + f"\nSELECT well, ds, {R4} FROM c3"
+ORACLE["c4_drop_nulls"] = with_(RAW, C1) + f"\nSELECT well, ds, {R4} FROM c1 WHERE " + " AND ".join(f"{p} IS NOT NULL" for p in PARAMS)
+ORACLE["c5_nonzero_target"] = with_(RAW) + f"\nSELECT well, ds, {R4} FROM raw WHERE disc IS NULL OR disc <> 0"
+ORACLE["c6_ffill"] = with_(RAW, C1) + "\nSELECT well, ds, " + ", ".join(
+    f"round(last_value({p} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS {p}" for p in PARAMS) + " FROM c1"
+ORACLE["c7_missing_profile"] = with_(RAW, f"lr AS ({LONG_RAW})") + """
+SELECT well, param, count(*) AS total, CAST(count_if(value IS NULL) AS BIGINT) AS nulls, CAST(count_if(value = 0) AS BIGINT) AS zeros,
+       round(CAST(count_if(value IS NULL) AS DOUBLE) * 100.0 / count(*), 6) AS pct_null,
+       round(CAST(count_if(value = 0) AS DOUBLE) * 100.0 / count(*), 6) AS pct_zero
+FROM lr GROUP BY well, param"""
+ORACLE["c8_time_index"] = with_(CLEAN) + f"""
+SELECT well, well AS well_id, ds, CAST(row_number() OVER ({W}) - 1 AS INTEGER) AS time_idx FROM clean"""
+ORACLE["c9_to_float"] = with_(CLEAN) + "\nSELECT well, ds, " + ", ".join(f"CAST(round({p}, 6) AS FLOAT) AS {p}" for p in PARAMS) + " FROM clean"
+ORACLE["c10_rename"] = with_(CLEAN) + "\nSELECT well, ds, round(qty, 6) AS y, " + rnd(PARAMS[1:]) + " FROM clean"
+ORACLE["c_clean_median"] = with_(CLEAN_MEDIAN) + f"\nSELECT well, ds, {R4} FROM clean"
+
+ORACLE["s5_to_wide"] = with_(RAW, f"lr AS ({LONG_RAW})") + """
+SELECT * FROM (PIVOT (SELECT ds, param || '__' || well AS col, round(value, 6) AS value FROM lr)
+               ON col USING round(avg(value), 6) GROUP BY ds)"""
+
+REGS = PARAMS[1:]
+_ACF = """
+cen AS (SELECT well, ds, """ + ", ".join(f"{p} - avg({p}) OVER (PARTITION BY well) AS {p}" for p in PARAMS) + """ FROM clean),
+lg AS (SELECT well, """ + ", ".join(
+    f"{p} * {p if k == 0 else f'lag({p}, {k}) OVER ({W})'} AS {p}__{k}" for p in PARAMS for k in range(21)) + """ FROM cen),
+sm AS (SELECT well, """ + ", ".join(f"sum({p}__{k}) AS {p}__{k}" for p in PARAMS for k in range(21)) + """ FROM lg GROUP BY well),
+acf AS (""" + " UNION ALL ".join(
+    f"SELECT well, '{p}' AS param, {k} AS lag, {p}__{k} / {p}__0 AS acf FROM sm" for p in PARAMS for k in range(21)) + ")"
+
+ORACLE["f1_acf"] = with_(CLEAN, _ACF) + "\nSELECT well, param, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acf"
+ORACLE["f2_acf_screen"] = with_(CLEAN, _ACF) + """
+SELECT well, param, round(max(acf), 6) AS acf_max, max(acf) > 0.2 AS keep_acf FROM acf WHERE lag >= 1 GROUP BY well, param"""
+
+_CORR = """
+cr AS (""" + " UNION ALL ".join(
+    f"SELECT well, '{r}' AS regressor, corr({r}, qty) AS r, count(*) AS n FROM clean GROUP BY well" for r in REGS) + ")"
+ORACLE["f3_corr"] = with_(CLEAN, _CORR) + "\nSELECT well, regressor, round(r, 6) AS r, n FROM cr"
+ORACLE["f4_corr_screen"] = with_(CLEAN, _CORR) + "\nSELECT well, regressor, round(r, 6) AS r, n, abs(r) >= 0.1 AS keep_corr FROM cr"
+ORACLE["f5_corr_ranking"] = with_(CLEAN, _CORR) + """
+SELECT well, regressor, round(r, 6) AS r, n,
+       CAST(row_number() OVER (PARTITION BY well ORDER BY r DESC NULLS LAST, regressor) AS INTEGER) AS rank FROM cr"""
+_SPEAR = """
+rk AS (SELECT well, """ + ", ".join(
+    f"CAST(rank() OVER (PARTITION BY well ORDER BY {p}) AS DOUBLE) + CAST(count(*) OVER (PARTITION BY well, {p}) - 1 AS DOUBLE) / 2.0 AS {p}"
+    for p in PARAMS) + """ FROM clean),
+sp AS (""" + " UNION ALL ".join(
+    f"SELECT well, '{r}' AS regressor, count(*) AS n, corr({r}, qty) AS rho FROM rk GROUP BY well" for r in REGS) + ")"
+ORACLE["f6_spearman"] = with_(CLEAN, _SPEAR) + """
+SELECT well, regressor, n, round(rho, 6) AS rho, round(rho * sqrt(CAST(n - 2 AS DOUBLE) / (1.0 - rho * rho)), 6) AS t FROM sp"""

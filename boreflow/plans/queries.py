@@ -58,3 +58,164 @@ def m1_ets_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     fc = fc.withColumn("yhat", ets.ets_point(F.col("level"), F.col("season"), F.col("te") + F.col("i") - F.col("cut") + 1))
     out = E.metrics(fc.withColumn("model", F.lit("ETS")), by=("well", "model"))
     return _r(out.select("well", "model", "n", "rmse", "mae", "mape"))
+
+
+# ---------------------------------------------------------------- sources and reshapes
+from boreflow.sources import sheets as S  # noqa: E402
+
+
+def _wells(df: DataFrame) -> list[str]:
+    """Distinct well names (a column list for a pivot: names only, bounded by the sheet width)."""
+    return sorted(r[0] for r in df.select("well").distinct().collect())
+
+
+@register("s1_read_sheets")
+def s1_read_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lay the raw panel out as one sheet per parameter (dates x wells), then read them back."""
+    rp = raw(spark, sf_dir)
+    wells = _wells(rp)
+    sheets = {p: rp.groupBy("ds").pivot("well", wells).agg(F.first(p)) for p in P}
+    return _r(S.read_sheets(spark, sheets, date_col="ds"))
+
+
+@register("s2_catalog")
+def s2_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.catalog(T.to_long(raw(spark, sf_dir), P))
+
+
+@register("s3_select_series")
+def s3_select_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's pick: wells NO and RF, parameters qty and disc."""
+    return _r(S.select_series(raw(spark, sf_dir), ["NO", "RF"], ["qty", "disc"]))
+
+
+@register("s4_to_panel")
+def s4_to_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(S.to_panel(T.to_long(raw(spark, sf_dir), P), P))
+
+
+@register("s5_to_wide")
+def s5_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rp = raw(spark, sf_dir)
+    cols = [(p, w) for p in P for w in _wells(rp)]
+    return _r(S.to_wide(T.to_long(rp, P), cols))
+
+
+@register("s8_preview")
+def s8_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(S.preview(raw(spark, sf_dir), 50))
+
+
+@register("s9_series_long")
+def s9_series_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(S.series_long(cleaned(spark, sf_dir), P))
+
+
+# ---------------------------------------------------------------- cleaning
+@register("c1_null_blanks_zeros")
+def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(C.null_blanks_zeros(raw(spark, sf_dir), P))
+
+
+@register("c2_interpolate")
+def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(C.interpolate(C.null_blanks_zeros(raw(spark, sf_dir), P), P))
+
+
+@register("c3_fill_median")
+def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(C.fill_median(C.null_blanks_zeros(raw(spark, sf_dir), P), P))
+
+
+@register("c4_drop_nulls")
+def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(C.drop_nulls(C.null_blanks_zeros(raw(spark, sf_dir), P), P))
+
+
+@register("c5_nonzero_target")
+def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target ``disc`` on the raw panel (it has real zero days)."""
+    return _r(C.nonzero_target(raw(spark, sf_dir), "disc"))
+
+
+@register("c6_ffill")
+def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(C.ffill(C.null_blanks_zeros(raw(spark, sf_dir), P), P))
+
+
+@register("c7_missing_profile")
+def c7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(C.missing_profile(raw(spark, sf_dir), P))
+
+
+@register("c8_time_index")
+def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.time_index(cleaned(spark, sf_dir)).select("well", "well_id", "ds", "time_idx")
+
+
+@register("c9_to_float")
+def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.to_float(_r(cleaned(spark, sf_dir)), P)
+
+
+@register("c10_rename")
+def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(C.rename(cleaned(spark, sf_dir), {"qty": "y"}))
+
+
+@register("c_clean_median")
+def c_clean_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain with the median fill instead of interpolation."""
+    return _r(cleaned(spark, sf_dir, method="median"))
+
+
+# ---------------------------------------------------------------- screening
+from boreflow.operators import screen as F_  # noqa: E402
+
+REGS = [p for p in P if p != T.TARGET]
+
+
+@register("f1_acf")
+def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(F_.acf(cleaned(spark, sf_dir), P))
+
+
+@register("f2_acf_screen")
+def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(F_.acf_screen(F_.acf(cleaned(spark, sf_dir), P)))
+
+
+@register("f3_corr")
+def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(F_.corr_with_target(cleaned(spark, sf_dir), T.TARGET, REGS))
+
+
+@register("f4_corr_screen")
+def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(F_.corr_screen(F_.corr_with_target(cleaned(spark, sf_dir), T.TARGET, REGS)))
+
+
+@register("f5_corr_ranking")
+def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(F_.corr_ranking(F_.corr_with_target(cleaned(spark, sf_dir), T.TARGET, REGS)))
+
+
+@register("f6_spearman")
+def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rho and t (SQL-checked); the p-value is checked by ``f6_spearman_p`` and pytest."""
+    return _r(F_.spearman(cleaned(spark, sf_dir), T.TARGET, REGS).drop("p"))
+
+
+@register("f6_spearman_p")
+def f6p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(F_.spearman(cleaned(spark, sf_dir), T.TARGET, REGS))
+
+
+@register("f7_significant")
+def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return F_.significant(F_.screen(cleaned(spark, sf_dir), T.TARGET, REGS))
+
+
+@register("f_screen")
+def f_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(F_.screen(cleaned(spark, sf_dir), T.TARGET, REGS))
