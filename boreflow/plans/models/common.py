@@ -52,9 +52,9 @@ def candidate_array(cands: Sequence[Candidate]) -> Column:
 
 
 def fit(rows: DataFrame, feats: Sequence[Column], ys: Sequence[Column], cands: Sequence[Candidate],
-        by: Sequence[str] = (KEY, "fold")) -> DataFrame:
-    """Solve every candidate on the training rows: ``by..., n, params, tgt, extra, beta, sse``."""
-    g = L.gram(rows.filter(F.col("part") == "train"), list(by), feats, ys)
+        by: Sequence[str] = (KEY, "fold"), weight: Column | None = None) -> DataFrame:
+    """Solve every candidate on the training rows: ``by..., n, cid, params, tgt, extra, beta, sse``."""
+    g = L.gram(rows.filter(F.col("part") == "train"), list(by), feats, ys, weight)
     staged = g.select(*by, "n", "xtx", *[c for c in g.columns if c.startswith(("xty_", "yty_"))],
                       F.explode(candidate_array(cands)).alias("_c"))
     xty = F.col("xty_0")
