@@ -86,3 +86,13 @@ def forecast_columns(df: DataFrame, model: str, params: dict[str, str] | None =
         F.col(ORDER), F.col("step").cast("int"), "y", "yhat",
         *[c for c in ("yhat_lower", "yhat_upper") if c in df.columns],
     )
+
+
+def last_value_forecast(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """Baseline: every test / future step of a fold predicts the last training value.
+
+    ``max_by(y, pos)`` over the fold's training rows (one partial aggregate), joined back on
+    ``(well, fold)``. Used as the yardstick a model must beat and to exercise B4/E/U operators.
+    """
+    last = rows.filter(F.col("part") == "train").groupBy(key, "fold").agg(F.max_by("y", "pos").alias("yhat"))
+    return rows.filter(F.col("part") != "train").join(last, [key, "fold"]).withColumn("model", F.lit("last_value"))

@@ -38,7 +38,7 @@ def encoder_tail(df: DataFrame, length: int | None = None, key: str = KEY, idx:
     """The last ``length`` rows of every series (``time_idx > max - length``; default 24)."""
     length = length or fallback
     mx = F.max(idx).over(Window.partitionBy(key))
-    return df.filter(F.col(idx) > mx - F.lit(length))
+    return df.withColumn("_mx", mx).filter(F.col(idx) > F.col("_mx") - F.lit(length)).drop("_mx")
 
 
 def decoder_rows(df: DataFrame, horizon: int, key: str = KEY, order: str = ORDER, idx: str = "time_idx") -> DataFrame:

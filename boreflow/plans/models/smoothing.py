@@ -64,6 +64,7 @@ def stage1_candidates(kind: str, regressors: Sequence[str], trends: Iterable[str
 
 
 def default_grid(kind: str) -> list[dict[str, float]]:
+    """A small grid per kind. A grid point may carry ``cid``: it then runs only with that stage-1 candidate."""
     if kind == "ets":
         return [{"alpha": a, "gamma": g} for a in (0.1, 0.3, 0.5) for g in (0.05, 0.2)]
     if kind == "dlt":
@@ -73,8 +74,9 @@ def default_grid(kind: str) -> list[dict[str, float]]:
 
 def _grid_array(grid: Sequence[dict[str, float]]) -> Column:
     return F.array(*[
-        F.struct(F.lit(i).alias("gid"),
-                 F.create_map(*[x for k in sorted(g) for x in (F.lit(k), F.lit(repr(float(g[k]))))]).alias("gparams"),
+        F.struct(F.lit(i).alias("gid"), F.lit(int(g.get("cid", -1))).alias("only_cid"),
+                 F.create_map(*[x for k in sorted(g) if k in GRID_KEYS or k == "trial"
+                               for x in (F.lit(k), F.lit(str(g[k]) if k == "trial" else repr(float(g[k]))))]).alias("gparams"),
                  *[F.lit(float(g.get(k, DEFAULTS[k]))).alias(k) for k in GRID_KEYS])
         for i, g in enumerate(grid)
     ])
@@ -103,6 +105,7 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
     series = series.join(steps, [key, "fold"], "left").select(
         key, "fold", "cid", F.transform("_p", lambda p: p["r"]).alias("r"), F.coalesce("h", F.lit(0)).alias("h"))
     g = series.select("*", F.explode(_grid_array(grid)).alias("_g"))
+    g = g.filter((F.col("_g.only_cid") < 0) | (F.col("_g.only_cid") == F.col("cid")))
     res = g.select(key, "fold", "cid", "_g.gid", "_g.gparams", smooth_udf(
         F.lit(kind), F.col("r"), F.col("h"), *[F.col(f"_g.{k}") for k in GRID_KEYS]).alias("_s"))
     res = res.select(key, "fold", "cid", "gid", "gparams", "_s.*")

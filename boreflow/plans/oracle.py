@@ -181,3 +181,103 @@ sp AS (""" + " UNION ALL ".join(
     f"SELECT well, '{r}' AS regressor, count(*) AS n, corr({r}, qty) AS rho FROM rk GROUP BY well" for r in REGS) + ")"
 ORACLE["f6_spearman"] = with_(CLEAN, _SPEAR) + """
 SELECT well, regressor, n, round(rho, 6) AS rho, round(rho * sqrt(CAST(n - 2 AS DOUBLE) / (1.0 - rho * rho)), 6) AS t FROM sp"""
+
+# ---------------------------------------------------------------- splits, folds, baseline
+POS = f"""
+pz AS (SELECT well, ds, qty, CAST(row_number() OVER ({W}) - 1 AS INTEGER) AS pos,
+              count(*) OVER (PARTITION BY well) AS n FROM clean)"""
+FOLDS = """
+fb AS (SELECT DISTINCT well, n FROM pz),
+fl AS (SELECT well, n, CAST(t.f AS INTEGER) AS fold, CAST(n - (5 - t.f) * (n // 6) AS INTEGER) AS train_end,
+              CAST(n - (5 - t.f) * (n // 6) + n // 6 AS INTEGER) AS test_end FROM fb, range(5) t(f))"""
+BASE = """
+tst AS (SELECT p.well, f.fold, p.ds, p.qty AS y, p.pos, f.train_end, CAST(p.pos - f.train_end + 1 AS INTEGER) AS step
+        FROM pz p JOIN fl f ON p.well = f.well AND p.pos >= f.train_end AND p.pos < f.test_end),
+lastv AS (SELECT f.well, f.fold, p.qty AS yhat FROM fl f JOIN pz p ON p.well = f.well AND p.pos = f.train_end - 1),
+base AS (SELECT t.*, l.yhat, 'last_value' AS model FROM tst t JOIN lastv l USING (well, fold)),
+mx AS (SELECT well, max(ds) AS d1, max_by(qty, pos) AS yl FROM pz GROUP BY well),
+fut AS (SELECT well, CAST(r.s AS INTEGER) AS step, CAST(d1 + CAST(r.s AS INTEGER) AS DATE) AS ds, yl AS yhat
+        FROM mx, range(1, 31) r(s))"""
+BT = with_(CLEAN, POS, FOLDS, BASE)
+
+ORACLE["b1_holdout"] = with_(CLEAN, POS) + """
+SELECT well, ds, round(qty, 6) AS qty, CASE WHEN pos < floor(n * 0.7) THEN 'train' ELSE 'test' END AS part, pos
+FROM pz WHERE pos < floor(n * 0.7) OR pos >= floor(n * 0.95)"""
+
+ORACLE["b2_expanding_folds"] = with_(CLEAN, POS, FOLDS) + """
+SELECT p.well, p.ds, round(p.qty, 6) AS qty, f.fold, CASE WHEN p.pos < f.train_end THEN 'train' ELSE 'test' END AS part, p.pos
+FROM pz p JOIN fl f ON p.well = f.well AND p.pos < f.test_end"""
+
+ORACLE["b3_fold_sizes"] = with_(CLEAN, POS, FOLDS) + """
+SELECT p.well, f.fold, CASE WHEN p.pos < f.train_end THEN 'train' ELSE 'test' END AS part, count(*) AS n
+FROM pz p JOIN fl f ON p.well = f.well AND p.pos < f.test_end GROUP BY ALL"""
+
+ORACLE["b4_align"] = BT + """
+SELECT well, fold, step, ds, round(y, 6) AS y, round(yhat, 6) AS yhat FROM base"""
+
+# ---------------------------------------------------------------- windows
+IDX = f"""
+ix AS (SELECT well, ds, CAST(row_number() OVER ({W}) - 1 AS INTEGER) AS time_idx, qty FROM clean)"""
+
+ORACLE["w1_supervised"] = with_(CLEAN, f"""
+sw AS (SELECT well, CAST(row_number() OVER ({W}) - 1 AS INTEGER) AS start_idx,
+              last_value(ds) OVER ({W} ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS ds_end,
+              list(qty) OVER ({W} ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS x,
+              list(qty) OVER ({W} ROWS BETWEEN 14 FOLLOWING AND 20 FOLLOWING) AS y FROM clean)""") + """
+SELECT well, start_idx, ds_end, list_transform(x, lambda v: round(v, 6)) AS x, list_transform(y, lambda v: round(v, 6)) AS y
+FROM sw WHERE len(x) = 14 AND len(y) = 7"""
+
+_TAIL = "SELECT well, ds, time_idx, round(qty, 6) AS qty FROM ix WHERE time_idx > (SELECT max(time_idx) FROM ix i2 WHERE i2.well = ix.well) - 30"
+_DEC = """SELECT l.well, CAST(l.ds + CAST(r.h AS INTEGER) AS DATE) AS ds, CAST(l.time_idx + r.h AS INTEGER) AS time_idx, round(l.qty, 6) AS qty
+FROM (SELECT well, arg_max(ds, time_idx) AS ds, max(time_idx) AS time_idx, arg_max(qty, time_idx) AS qty FROM ix GROUP BY well) l, range(1, 31) r(h)"""
+ORACLE["w2_encoder_tail"] = with_(CLEAN, IDX) + "\n" + _TAIL
+ORACLE["w3_decoder_rows"] = with_(CLEAN, IDX) + "\n" + _DEC
+ORACLE["w4_prediction_frame"] = with_(CLEAN, IDX) + f"""
+SELECT well, time_idx, qty FROM ({_TAIL}) UNION ALL SELECT well, time_idx, qty FROM ({_DEC})"""
+
+# ---------------------------------------------------------------- future frame, scenario
+LASTV = """
+lv AS (SELECT well, max(ds) AS d1, arg_max(price, ds) AS price, arg_max(disc, ds) AS disc, arg_max(tax, ds) AS tax FROM clean GROUP BY well),
+fd AS (SELECT well, CAST(r.s AS INTEGER) AS step, CAST(d1 + CAST(r.s AS INTEGER) AS DATE) AS ds, price, disc, tax FROM lv, range(1, 31) r(s))"""
+ORACLE["h1_future_dates"] = with_(CLEAN) + """
+SELECT well, CAST(r.s AS INTEGER) AS step, CAST(max(ds) + CAST(r.s - 1 AS INTEGER) AS DATE) AS ds
+FROM clean, range(1, 31) r(s) GROUP BY well, r.s"""
+ORACLE["h2_carry_last"] = with_(CLEAN, LASTV) + "\nSELECT well, step, ds, " + rnd(REGS) + " FROM fd"
+ORACLE["h3_ramp"] = with_(CLEAN, LASTV) + """
+SELECT well, step, ds, round(price + 5000.0 * (step - 1) / 29.0, 6) AS price, round(disc, 6) AS disc, round(tax, 6) AS tax FROM fd"""
+ORACLE["h4_ramp_series"] = with_(CLEAN, LASTV) + """
+SELECT well, step, ds, round(disc + (-0.02) * (step - 1) / 29.0, 6) AS value FROM fd"""
+
+# ---------------------------------------------------------------- evaluation, assembly, bands
+_MET = """
+met AS (SELECT well, model, fold, count(*) AS n, sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+               avg(abs(y - yhat)) AS mae, avg(abs((y - yhat) / y)) * 100.0 AS mape FROM base GROUP BY well, model, fold)"""
+ORACLE["e1_e3_metrics"] = with_(CLEAN, POS, FOLDS, BASE, _MET) + "\nSELECT well, model, fold, n, " + rnd(["rmse", "mae", "mape"]) + " FROM met"
+ORACLE["e4_last_fold"] = with_(CLEAN, POS, FOLDS, BASE, _MET) + "\nSELECT well, model, fold, n, " + rnd(["rmse", "mae", "mape"]) + \
+    " FROM met WHERE fold = 4"
+ORACLE["e8_combine"] = BT + """
+SELECT well, ds, step, round(y, 6) AS y, round(yhat, 6) AS yhat, 'test' AS part FROM base WHERE fold = 4
+UNION ALL SELECT well, ds, step, CAST(NULL AS DOUBLE) AS y, round(yhat, 6) AS yhat, 'future' AS part FROM fut"""
+ORACLE["e9_attach_regressors"] = with_(CLEAN, POS, FOLDS, BASE, """
+fr AS (SELECT well, ds, step, yhat FROM base WHERE fold = 4 UNION ALL SELECT well, ds, step, yhat FROM fut),
+jr AS (SELECT fr.*, c.price, c.disc, c.tax FROM fr LEFT JOIN clean c USING (well, ds))""") + "\nSELECT well, ds, step, round(yhat, 6) AS yhat, " + ", ".join(
+    f"round(last_value({r} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS {r}" for r in REGS) + " FROM jr"
+ORACLE["e10_chart_feed"] = with_(CLEAN, POS, FOLDS, BASE, LASTV.replace("lv AS", "lv2 AS").replace("FROM lv,", "FROM lv2,").replace("fd AS", "fd2 AS"), """
+sd AS (SELECT well, stddev_pop(y - yhat) AS sd FROM base WHERE fold = 4 GROUP BY well),
+fb2 AS (SELECT f.well, f.ds, f.yhat, f.yhat - 1.96 * s.sd AS lo, f.yhat + 1.96 * s.sd AS hi FROM fut f LEFT JOIN sd s USING (well))""") + """
+SELECT well, ds, 'actual' AS series, round(qty, 6) AS value FROM clean
+UNION ALL SELECT well, ds, 'yhat', round(yhat, 6) FROM fb2
+UNION ALL SELECT well, ds, 'yhat_lower', round(lo, 6) FROM fb2 WHERE lo IS NOT NULL
+UNION ALL SELECT well, ds, 'yhat_upper', round(hi, 6) FROM fb2 WHERE hi IS NOT NULL
+UNION ALL SELECT well, ds, 'ramp', round(price + 5000.0 * (step - 1) / 29.0, 6) FROM fd2
+UNION ALL SELECT well, ds, 'price', round(price, 6) FROM clean"""
+ORACLE["u1_normal_band"] = BT + """,
+sdf AS (SELECT well, fold, stddev_pop(y - yhat) AS sd FROM base GROUP BY well, fold)
+SELECT b.well, b.fold, b.step, b.ds, round(b.yhat, 6) AS yhat, round(b.yhat - 1.96 * s.sd, 6) AS yhat_lower,
+       round(b.yhat + 1.96 * s.sd, 6) AS yhat_upper FROM base b LEFT JOIN sdf s USING (well, fold)"""
+ORACLE["u2_quantile_band"] = with_(CLEAN) + """
+SELECT well, CAST(dayofweek(ds) + 1 AS INTEGER) AS dow, round(quantile_cont(qty, 0.1), 6) AS yhat_lower,
+       round(quantile_cont(qty, 0.5), 6) AS yhat, round(quantile_cont(qty, 0.9), 6) AS yhat_upper
+FROM clean GROUP BY ALL"""
+ORACLE["u4_optional_band"] = BT + """
+SELECT well, ds, step, round(yhat, 6) AS yhat, CAST(NULL AS DOUBLE) AS yhat_lower, CAST(NULL AS DOUBLE) AS yhat_upper FROM fut"""

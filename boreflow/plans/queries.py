@@ -219,3 +219,151 @@ def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("f_screen")
 def f_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(F_.screen(cleaned(spark, sf_dir), T.TARGET, REGS))
+
+
+# ---------------------------------------------------------------- splits, folds, alignment
+from boreflow.operators import backtest as BT  # noqa: E402
+from boreflow.operators import bands as U  # noqa: E402
+from boreflow.operators import folds as B  # noqa: E402
+from boreflow.operators import scenario as H  # noqa: E402
+from boreflow.operators import windows as W  # noqa: E402
+
+KEEP = ["well", "ds", "qty"]
+
+
+@register("b1_holdout")
+def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(B.holdout(cleaned(spark, sf_dir).select(*KEEP), 0.7, 0.95))
+
+
+@register("b2_expanding_folds")
+def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(B.expanding_folds(cleaned(spark, sf_dir).select(*KEEP), 5))
+
+
+@register("b3_fold_sizes")
+def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.fold_sizes(B.expanding_folds(cleaned(spark, sf_dir).select(*KEEP), 5))
+
+
+def _baseline(spark: SparkSession, sf_dir: str, horizon: int = 0) -> DataFrame:
+    rows = BT.backtest_rows(cleaned(spark, sf_dir), T.TARGET, [], 5, horizon)
+    return BT.last_value_forecast(rows)
+
+
+@register("b4_align")
+def b4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test actuals of the 5 folds paired with the last-value forecast on (well, fold, step)."""
+    fc = _baseline(spark, sf_dir)
+    actual = fc.select("well", "fold", "step", "ds", "y")
+    return _r(B.align(actual, fc.select("well", "fold", "step", "yhat")))
+
+
+# ---------------------------------------------------------------- windows to arrays
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.time_index(cleaned(spark, sf_dir)).select("well", "ds", "time_idx", "qty")
+
+
+@register("w1_supervised")
+def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = W.supervised(cleaned(spark, sf_dir), T.TARGET, 14, 7)
+    rnd = lambda c: F.transform(c, lambda v: F.round(v, 6))
+    return out.withColumns({"x": rnd("x"), "y": rnd("y")})
+
+
+@register("w2_encoder_tail")
+def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(W.encoder_tail(_indexed(spark, sf_dir), 30))
+
+
+@register("w3_decoder_rows")
+def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(W.decoder_rows(_indexed(spark, sf_dir), 30))
+
+
+@register("w4_prediction_frame")
+def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(W.prediction_frame(_indexed(spark, sf_dir), 30, 30))
+
+
+# ---------------------------------------------------------------- future frame and scenario
+@register("h1_future_dates")
+def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.future_dates(cleaned(spark, sf_dir), 30, include_last=True)
+
+
+@register("h2_carry_last")
+def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cl = cleaned(spark, sf_dir)
+    return _r(H.carry_last(H.future_dates(cl, 30), cl, REGS))
+
+
+@register("h3_ramp")
+def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario: ``price`` rises by 5,000 over 30 days; other regressors stay at their last value."""
+    return _r(H.scenario_frame(cleaned(spark, sf_dir), REGS, "price", 5000.0, 30))
+
+
+@register("h4_ramp_series")
+def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(H.ramp_series(cleaned(spark, sf_dir), "disc", -0.02, 30))
+
+
+# ---------------------------------------------------------------- evaluation and assembly
+@register("e1_e3_metrics")
+def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RMSE, MAE, MAPE per well and fold of the last-value baseline."""
+    return _r(E.metrics(_baseline(spark, sf_dir), by=("well", "model", "fold")))
+
+
+@register("e4_last_fold")
+def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(E.last_fold(E.metrics(_baseline(spark, sf_dir), by=("well", "model", "fold"))))
+
+
+@register("e8_combine")
+def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last fold's test forecast and the 30-day future forecast in one table."""
+    fc = _baseline(spark, sf_dir, 30)
+    test = fc.filter("part = 'test' AND fold = 4").select("well", "ds", "step", "y", "yhat", "part")
+    fut = fc.filter("part = 'future'").select("well", "ds", "step", "yhat", "part")
+    return _r(E.combine(test, fut))
+
+
+@register("e9_attach_regressors")
+def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cl = cleaned(spark, sf_dir)
+    fc = _baseline(spark, sf_dir, 30).filter("part = 'future' OR fold = 4").select("well", "ds", "step", "yhat")
+    return _r(E.attach_regressors(fc, cl, REGS))
+
+
+@register("e10_chart_feed")
+def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cl = cleaned(spark, sf_dir)
+    fc = U.normal_band(
+        _baseline(spark, sf_dir, 30).filter("part = 'future'"),
+        _baseline(spark, sf_dir).withColumn("err", F.col("y") - F.col("yhat")).filter("fold = 4"))
+    ramp = H.ramp_series(cl, "price", 5000.0, 30)
+    return _r(E.chart_feed(cl, fc, T.TARGET, ramp, ["price"]))
+
+
+# ---------------------------------------------------------------- bands
+@register("u1_normal_band")
+def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last-value forecast +- 1.96 x population sd of that fold's test errors."""
+    fc = _baseline(spark, sf_dir)
+    resid = fc.withColumn("err", F.col("y") - F.col("yhat"))
+    return _r(U.normal_band(fc, resid, by=("well", "fold")).select("well", "fold", "step", "ds", "yhat", "yhat_lower", "yhat_upper"))
+
+
+@register("u2_quantile_band")
+def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles 0.1 / 0.5 / 0.9 of the target per well and weekday (a seasonal profile band)."""
+    cl = cleaned(spark, sf_dir).select("well", F.dayofweek("ds").alias("dow"), F.col("qty").alias("value"))
+    return _r(U.quantile_band(cl, ["well", "dow"]))
+
+
+@register("u4_optional_band")
+def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fc = _baseline(spark, sf_dir, 30).filter("part = 'future'").select("well", "ds", "step", "yhat")
+    return _r(U.with_optional_band(fc, None, ["well", "step"]))
