@@ -281,3 +281,25 @@ SELECT well, CAST(dayofweek(ds) + 1 AS INTEGER) AS dow, round(quantile_cont(qty,
 FROM clean GROUP BY ALL"""
 ORACLE["u4_optional_band"] = BT + """
 SELECT well, ds, step, round(yhat, 6) AS yhat, CAST(NULL AS DOUBLE) AS yhat_lower, CAST(NULL AS DOUBLE) AS yhat_upper FROM fut"""
+
+# ---------------------------------------------------------------- ETS grid tuning (recursive CTE)
+ETS_GRID = [(a, g) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for g in (0.05, 0.2)]
+_ETS_GRID = with_(
+    CLEAN,
+    """
+ser AS (SELECT well, row_number() OVER (PARTITION BY well ORDER BY ds) AS pos, qty AS y,
+               count(*) OVER (PARTITION BY well) AS n FROM clean),
+lens AS (SELECT DISTINCT well, n, CAST(floor(n * 0.7) AS INTEGER) AS cut, CAST(floor(n * 0.95) AS INTEGER) AS te FROM ser)""",
+    ets_rec("ser", ETS_GRID, "SELECT cut FROM lens WHERE lens.well = r.well"),
+    """
+st AS (SELECT r.* FROM rec r JOIN lens USING (well) WHERE r.i = lens.cut),
+fc AS (SELECT x.well, st.alpha, st.gamma, x.y, st.l + st.s[CAST(((x.pos - st.i - 1) % 12) + 1 AS INTEGER)] AS yhat
+       FROM ser x JOIN lens USING (well) JOIN st USING (well) WHERE x.pos > lens.te),
+sc AS (SELECT well, alpha, gamma, count(*) AS n, sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+              avg(abs(y - yhat)) AS mae, avg(abs((y - yhat) / y)) * 100.0 AS mape FROM fc GROUP BY well, alpha, gamma),
+best AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY rmse, alpha, gamma) AS rk FROM sc)""")
+ORACLE["e5_tune_ets_grid"] = _ETS_GRID + """
+SELECT well, round(alpha, 6) AS alpha, round(gamma, 6) AS gamma, n, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
+       round(mape, 6) AS mape FROM best WHERE rk = 1"""
+ORACLE["e7_best_params"] = _ETS_GRID + """
+SELECT well, CAST(alpha AS VARCHAR) AS alpha, CAST(gamma AS VARCHAR) AS gamma, '500' AS n_bootstrap_draws FROM best WHERE rk = 1"""

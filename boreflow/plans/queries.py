@@ -367,3 +367,107 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
     fc = _baseline(spark, sf_dir, 30).filter("part = 'future'").select("well", "ds", "step", "yhat")
     return _r(U.with_optional_band(fc, None, ["well", "step"]))
+
+
+# ---------------------------------------------------------------- forecasters (rows-only + pytest)
+from boreflow.plans import forecast as FC  # noqa: E402
+from boreflow.plans import tune as TU  # noqa: E402
+from boreflow.sources import history as HI  # noqa: E402
+
+FC_COLS = ["well", "model", "params", "fold", "part", "ds", "step", "y", "yhat", "yhat_lower", "yhat_upper"]
+SCENARIO = ("price", 5000.0)
+
+
+def _fc(spark: SparkSession, sf_dir: str, model: str, params: dict | None = None) -> DataFrame:
+    """Backtest (5 folds) + 30-day future forecast of one model on the cleaned main panel."""
+    fc = FC.forecast(cleaned(spark, sf_dir), T.TARGET, model, REGS, 30, SCENARIO, params)
+    fc = fc.withColumn("fold", F.when(F.col("part") == "future", F.lit(None)).otherwise(F.col("fold")).cast("int"))
+    return _r(fc.select(*FC_COLS))
+
+
+for _name, _model in (("m1_ets", "ETS"), ("m2_dlt", "DLT"), ("m3_lgt", "LGT"), ("m4_ktr", "KTR"),
+                      ("m5_fourier_trend", "Prophet"), ("m6_lag_regression", "LSTM"), ("m8_pooled_direct", "N-BEATS"),
+                      ("m9_sample_paths", "Chronos"), ("m10_forecast_tft", "TFT")):
+    REGISTRY[_name] = (lambda m: lambda spark, sf_dir: _fc(spark, sf_dir, m))(_model)
+
+
+@register("m7_rollout")
+def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fc(spark, sf_dir, "LSTM", {"mode": "recursive"})
+
+
+@register("m10_run_dlt")
+def m10_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run: clean -> screen -> DLT with the relevant regressors -> fold metrics."""
+    _, met, _ = FC.run(raw(spark, sf_dir), T.TARGET, "DLT", P, 30, SCENARIO)
+    return _r(met)
+
+
+@register("u3_bootstrap_band")
+def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ETS with its 5 % / 95 % band from 500 bootstrap draws."""
+    return _fc(spark, sf_dir, "ETS", {"n_bootstrap_draws": 500})
+
+
+# ---------------------------------------------------------------- tuning and history
+@register("e5_tune_ets")
+def e5_ets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "ETS", 50))
+
+
+@register("e5_tune_dlt")
+def e5_dlt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "DLT", 50, regressors=REGS))
+
+
+@register("e5_tune_prophet")
+def e5_prophet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "Prophet", 50))
+
+
+ETS_GRID = [(a, g) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for g in (0.05, 0.2)]
+
+
+def _ets_grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold-out RMSE/MAE/MAPE of every ETS grid point (JVM ``aggregate`` recursion)."""
+    ser = series_arrays(cleaned(spark, sf_dir), [T.TARGET])
+    ser = ser.withColumns({"trn": F.floor(F.col("n") * 0.7).cast("int"), "te": F.floor(F.col("n") * 0.95).cast("int")})
+    st = ets.ets_states(ser, T.TARGET, ETS_GRID, F.array("trn"))
+    fc = st.select("well", "alpha", "gamma", "cut", "level", "season", "te",
+                   F.posexplode(F.slice(T.TARGET, F.col("te") + 1, F.col("n") - F.col("te"))).alias("i", "y"))
+    fc = fc.withColumn("yhat", ets.ets_point(F.col("level"), F.col("season"), F.col("te") + F.col("i") - F.col("cut") + 1))
+    return E.metrics(fc, by=("well", "alpha", "gamma"))
+
+
+@register("e5_tune_ets_grid")
+def e5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best (alpha, gamma) per well by hold-out RMSE over a 5 x 2 grid (ties: smaller alpha, gamma)."""
+    best = E.rank_by(_ets_grid_scores(spark, sf_dir), "rmse", ("well",), tie=("alpha", "gamma"))
+    return _r(best.select("well", "alpha", "gamma", "n", "rmse", "mae", "mape"))
+
+
+@register("e7_best_params")
+def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tuned grid point as a parameter map over the model's defaults."""
+    best = E.rank_by(_ets_grid_scores(spark, sf_dir), "rmse", ("well",), tie=("alpha", "gamma"))
+    tuned = best.select("well", F.create_map(F.lit("alpha"), F.col("alpha").cast("string"),
+                                             F.lit("gamma"), F.col("gamma").cast("string")).alias("params"))
+    out = E.best_params(tuned, {"alpha": "0.3", "gamma": "0.1", **FC.DEFAULTS["ETS"]})
+    return out.select("well", *[F.col("params")[k].alias(k) for k in ("alpha", "gamma", "n_bootstrap_draws")])
+
+
+@register("s6_s7_history")
+def s67(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append two runs (ETS, Prophet) to a fresh history table under the checkpoint folder and read it back."""
+    import uuid
+
+    from boreflow.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    cl = cleaned(spark, sf_dir).persist()
+    for i, model in enumerate(("ETS", "Prophet")):
+        fc = FC.forecast(cl, T.TARGET, model, REGS, 30)
+        met = E.metrics(fc.filter(F.col("part") == "test"), by=("well", "model", "fold"))
+        rows = HI.history_rows(met, T.TARGET, 30, "interpolate", FC.DEFAULTS.get(model), f"2024-01-0{i + 1} 00:00:00")
+        HI.append_history(rows, path)
+    return HI.read_history(spark, path)
