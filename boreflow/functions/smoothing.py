@@ -36,12 +36,19 @@ def _g(level: np.ndarray, lam: np.ndarray) -> np.ndarray:
     return np.sign(level) * np.abs(level) ** lam
 
 
-def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np.ndarray], m: int = SEASON):
-    """Run one kind over a batch: returns (sse, n_fit, list of forecast arrays)."""
-    r = len(ys)
-    lens = np.array([len(y) for y in ys])
-    tmax = int(lens.max()) if r else 0
-    mat = np.zeros((r, max(tmax, 1)))
+def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np.ndarray], m: int = SEASON,
+        src: np.ndarray | None = None):
+    """Run one kind over a batch: returns (sse, n_fit, list of forecast arrays).
+
+    ``src[i]`` names the series of run ``i`` (default: run i uses series i), so many parameter
+    points share one copy of a series; ``horizons`` and ``prm`` are per run.
+    """
+    src = np.arange(len(ys)) if src is None else np.asarray(src)
+    r = len(src)
+    slens = np.array([len(y) for y in ys])
+    lens = slens[src] if r else np.zeros(0, dtype=int)
+    tmax = int(slens.max()) if len(ys) else 0
+    mat = np.zeros((len(ys), max(tmax, 1)))
     for i, y in enumerate(ys):
         mat[i, : len(y)] = y
     a = prm.get("alpha", np.full(r, 0.3))
@@ -51,7 +58,7 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
     xi1 = prm.get("xi1", np.ones(r))
     xi2 = prm.get("xi2", np.zeros(r))
     lam = prm.get("lam", np.full(r, 0.5))
-    level = mat[:, 0].copy()
+    level = mat[src, 0].copy()
     trend = np.zeros(r)
     season = np.zeros((r, m))
     sse = np.zeros(r)
@@ -60,7 +67,7 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
         live = t < lens
         if not live.any():
             break
-        y = mat[:, t]
+        y = mat[src, t]
         si = t % m  # position of the seasonal term due at step t (start at 1 -> slot 1)
         s0 = season[rows, si]
         if kind == "ets":
@@ -112,27 +119,45 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
     return sse, np.maximum(lens - 1, 0), fcs
 
 
-@F.pandas_udf(OUT_T)
-def smooth_udf(kind: pd.Series, y: pd.Series, h: pd.Series, alpha: pd.Series, beta: pd.Series, gamma: pd.Series,
-               phi: pd.Series, xi1: pd.Series, xi2: pd.Series, lam: pd.Series) -> pd.DataFrame:
+GRID_T = T.ArrayType(T.StructType([T.StructField("gid", T.IntegerType())] + OUT_T.fields))
+PARAMS = ("alpha", "beta", "gamma", "phi", "xi1", "xi2", "lam")
+
+
+@F.pandas_udf(GRID_T)
+def smooth_grid_udf(kind: pd.Series, y: pd.Series, h: pd.Series, grid: pd.Series) -> pd.Series:
+    """One row per series; ``grid`` is an array of parameter structs (gid + PARAMS).
+
+    The series crosses Arrow once; the kernel runs every (series, grid point) pair of the
+    batch in one vectorised recursion, in chunks that bound the working set.
+    """
     n = len(y)
-    sse = np.full(n, np.nan)
-    nfit = np.zeros(n, dtype=np.int32)
-    fcs: list = [None] * n
+    out: list = [[] for _ in range(n)]
     kinds = kind.to_numpy()
     for k in pd.unique(kinds):
-        idx = np.flatnonzero(kinds == k)
-        ys = [np.asarray(y.iloc[i], dtype=float) if y.iloc[i] is not None else np.zeros(0) for i in idx]
-        ok = [i for i, v in zip(idx, ys) if len(v) > 0]
-        ys = [v for v in ys if len(v) > 0]
-        if not ok:
-            continue
-        ok = np.array(ok)
-        prm = {name: s.to_numpy(dtype=float)[ok] for name, s in
-               (("alpha", alpha), ("beta", beta), ("gamma", gamma), ("phi", phi), ("xi1", xi1), ("xi2", xi2), ("lam", lam))}
-        s, nf, fc = run(str(k), ys, h.to_numpy()[ok].astype(int), prm)
-        sse[ok] = s
-        nfit[ok] = nf
-        for j, i in enumerate(ok):
-            fcs[i] = fc[j].tolist()
-    return pd.DataFrame({"sse": sse, "n_fit": nfit, "fc": fcs})
+        idx = [i for i in np.flatnonzero(kinds == k) if y.iloc[i] is not None and len(y.iloc[i]) > 0]
+        chunk: list[int] = []
+        budget = 0
+        for pos, i in enumerate(idx):
+            chunk.append(i)
+            budget += len(grid.iloc[i]) if grid.iloc[i] is not None else 0
+            if budget >= 20000 or pos == len(idx) - 1:
+                _run_chunk(str(k), chunk, y, h, grid, out)
+                chunk, budget = [], 0
+    return pd.Series(out)
+
+
+def _run_chunk(kind: str, rows: list[int], y: pd.Series, h: pd.Series, grid: pd.Series, out: list) -> None:
+    ys = [np.asarray(y.iloc[i], dtype=float) for i in rows]
+    src, gids, hs, prm = [], [], [], {p: [] for p in PARAMS}
+    for j, i in enumerate(rows):
+        for g in (grid.iloc[i] if grid.iloc[i] is not None else []):
+            src.append(j)
+            gids.append(int(g["gid"]))
+            hs.append(int(h.iloc[i]))
+            for p in PARAMS:
+                prm[p].append(float(g[p]))
+    if not src:
+        return
+    sse, nfit, fcs = run(kind, ys, np.array(hs), {p: np.array(v) for p, v in prm.items()}, src=np.array(src))
+    for c, j in enumerate(src):
+        out[rows[j]].append({"gid": gids[c], "sse": float(sse[c]), "n_fit": int(nfit[c]), "fc": fcs[c].tolist()})

@@ -41,15 +41,18 @@ def interpolate(df: DataFrame, cols: Iterable[str] | None = None, key: str = KEY
     """
     cols = _cols(df, cols, key, order)
     w = series_window(key, order)
+    # Both anchors are running frames (unbounded preceding -> current row), which Spark
+    # updates incrementally; the "next" anchor runs over the reversed order. A frame ending
+    # at unbounded following would be re-aggregated for every row (quadratic per well).
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos = F.col("_pos")
     staged = df.withColumn("_pos", F.row_number().over(w))
     anchors = {}
     for c in cols:
         point = F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"), F.col(c).alias("v")))
         anchors[f"_prev_{c}"] = F.last(point, ignorenulls=True).over(before)
-        anchors[f"_next_{c}"] = F.first(point, ignorenulls=True).over(after)
+        anchors[f"_next_{c}"] = F.last(point, ignorenulls=True).over(after)
     staged = staged.withColumns(anchors)
     filled = {}
     for c in cols:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boreflow.functions import linalg as L
-from boreflow.functions.smoothing import smooth_udf
+from boreflow.functions.smoothing import smooth_grid_udf
 from boreflow.operators.backtest import backtest_rows
 from boreflow.operators.clean import KEY
 from boreflow.plans.models import common as M
@@ -104,11 +104,10 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
     steps = rows.filter(F.col("part") != "train").groupBy(key, "fold").agg(F.max("step").alias("h"))
     series = series.join(steps, [key, "fold"], "left").select(
         key, "fold", "cid", F.transform("_p", lambda p: p["r"]).alias("r"), F.coalesce("h", F.lit(0)).alias("h"))
-    g = series.select("*", F.explode(_grid_array(grid)).alias("_g"))
-    g = g.filter((F.col("_g.only_cid") < 0) | (F.col("_g.only_cid") == F.col("cid")))
-    res = g.select(key, "fold", "cid", "_g.gid", "_g.gparams", smooth_udf(
-        F.lit(kind), F.col("r"), F.col("h"), *[F.col(f"_g.{k}") for k in GRID_KEYS]).alias("_s"))
-    res = res.select(key, "fold", "cid", "gid", "gparams", "_s.*")
+    garr = _grid_array(grid)
+    mine = F.filter(garr, lambda g: (g["only_cid"] < 0) | (g["only_cid"] == F.col("cid")))
+    res = series.select(key, "fold", "cid", F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), mine)).alias("_s"))
+    res = res.select(key, "fold", "cid", "_s.*").withColumn("gparams", garr[F.col("gid")]["gparams"])
     pred = rows1.filter(F.col("part") != "train").join(res, [key, "fold", "cid"])
     sd = F.sqrt(F.try_divide(F.col("sse"), F.col("n_fit").cast("double")))
     yhat = F.col("reg") + F.element_at("fc", F.col("step"))
