@@ -73,15 +73,16 @@ def predict(rows: DataFrame, sol: DataFrame, feats: Sequence[Column], z: float =
             by: Sequence[str] = (KEY, "fold")) -> DataFrame:
     """Test and future rows x candidates with ``yhat`` and a normal band from the in-sample residual sd.
 
-    A log-target candidate is back-transformed with ``exp`` (band included).
+    The linear predictor is one generated sum per (row, candidate), materialised once and
+    reused by the three outputs. A log-target candidate is back-transformed with ``exp``.
     """
     pred = rows.filter(F.col("part") != "train").join(sol, list(by))
-    lin = L.dot(F.col("beta"), feats)
     sd = F.sqrt(F.col("sse") / F.greatest(F.col("n"), F.lit(1.0)))
+    staged = pred.withColumns({"_lin": L.dot(F.col("beta"), feats), "_sd": sd}).drop("beta")
     is_log = F.col("tgt").isin(list(log_targets)) if log_targets else F.lit(False)
-    lo, hi = lin - F.lit(z) * sd, lin + F.lit(z) * sd
-    return pred.withColumns({
-        "yhat": F.when(is_log, F.exp(lin)).otherwise(lin),
+    lo, hi = F.col("_lin") - F.lit(z) * F.col("_sd"), F.col("_lin") + F.lit(z) * F.col("_sd")
+    return staged.withColumns({
+        "yhat": F.when(is_log, F.exp("_lin")).otherwise(F.col("_lin")),
         "yhat_lower": F.when(is_log, F.exp(lo)).otherwise(lo),
         "yhat_upper": F.when(is_log, F.exp(hi)).otherwise(hi),
-    }).drop("beta", "sse", "n", "tgt", "extra", "cid")
+    }).drop("sse", "n", "tgt", "extra", "cid", "_lin", "_sd")
