@@ -20,6 +20,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boreflow.session import apply_recommended_conf
+
 from boreflow.operators.backtest import backtest_rows
 from boreflow.operators.clean import ORDER
 from boreflow.plans.models import common as M
@@ -65,6 +67,7 @@ def candidates(grid: Iterable[tuple[str, bool, bool]] | None = None, lam: float
 def fourier_trend(panel: DataFrame, target: str, horizon: int = 30, cands: list[M.Candidate] | None = None,
                   n_splits: int = 5, holdout: tuple[float, float] | None = None, include_last: bool = False) -> DataFrame:
     """Backtest + future forecast for every well and candidate: the ``forecast`` rows plus ``y``."""
+    apply_recommended_conf(panel.sparkSession)
     cands = cands or candidates()
     rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout)
     feats, _ = features()

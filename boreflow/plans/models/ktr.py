@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boreflow.session import apply_recommended_conf
+
 from boreflow.operators.backtest import backtest_rows
 from boreflow.operators.clean import KEY
 from boreflow.plans.models import common as M
@@ -53,6 +55,7 @@ def candidates(regressors: Sequence[str], lams: Sequence[float] = (0.1, 1.0)) ->
 def ktr(panel: DataFrame, target: str, regressors: Sequence[str] = (), horizon: int = 30, n_knots: int = N_KNOTS,
         cands: list[M.Candidate] | None = None, n_splits: int = 5, holdout: tuple[float, float] | None = None,
         scenario: tuple[str, float] | None = None, include_last: bool = False, key: str = KEY) -> DataFrame:
+    apply_recommended_conf(panel.sparkSession)
     regs = list(regressors)
     cands = cands or candidates(regs)
     feats = features(regs)
