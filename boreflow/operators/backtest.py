@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from boreflow.operators.clean import KEY, ORDER, series_window
 from boreflow.operators.folds import fold_bounds
-from boreflow.operators.scenario import scenario_frame
+from boreflow.operators.scenario import ramp_value
 
 N_SPLITS = 5
 
@@ -48,9 +48,10 @@ def backtest_rows(df: DataFrame, target: str, regressors: Iterable[str] = (), n_
                   holdout: tuple[float, float] | None = None, key: str = KEY, order: str = ORDER) -> DataFrame:
     """``well, ds, fold, part, pos, train_end, step, y, <regressors>``; the last fold is the final fit."""
     regs = list(regressors)
+    w = series_window(key, order)
     staged = df.select(
         key, order, F.col(target).cast("double").alias("y"), *regs,
-        (F.row_number().over(series_window(key, order)) - 1).cast("int").alias("pos"),
+        (F.row_number().over(w) - 1).cast("int").alias("pos"),
         F.count(F.lit(1)).over(Window.partitionBy(key)).cast("int").alias("_n"),
     )
     bounds, k = split_bounds(F.col("_n"), n_splits, holdout)
@@ -64,13 +65,17 @@ def backtest_rows(df: DataFrame, target: str, regressors: Iterable[str] = (), n_
     )
     if horizon <= 0:
         return hist
+    # Future rows (H1-H3) from each well's last row of the same windowed frame: its date, its
+    # position and its regressor values (carried forward), with the scenario ramp on one of them.
     param, delta = scenario if scenario else (None, 0.0)
-    fut = scenario_frame(df, regs, param, delta, horizon, include_last, key, order)
-    span = df.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_n"), F.max(order).alias("_last"))
-    fut = fut.join(span, key).select(
-        key, order, F.lit(None).cast("double").alias("y"), *regs,
-        (F.col("_n") - 1 + F.datediff(order, "_last")).cast("int").alias("pos"),
-        F.lit(k).alias("fold"), F.col("_n").alias("train_end"), F.lit("future").alias("part"), "step",
+    start = 0 if include_last else 1
+    last = staged.filter(F.col("pos") == F.col("_n") - 1).select(
+        "*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    ramped = {param: ramp_value(F.col(param), delta, F.col("step"), horizon)} if param in regs else {}
+    fut = last.withColumns(ramped).select(
+        key, F.date_add(order, F.col("step") - 1 + start).alias(order), F.lit(None).cast("double").alias("y"), *regs,
+        (F.col("_n") - 2 + F.col("step") + start).cast("int").alias("pos"),
+        F.lit(k).alias("fold"), F.col("_n").alias("train_end"), F.lit("future").alias("part"), F.col("step").cast("int"),
     )
     return hist.unionByName(fut)
 

@@ -20,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreflow.session import apply_recommended_conf
+from boreflow.session import apply_recommended_conf, reuse
 
 from boreflow.operators.backtest import backtest_rows
 from boreflow.operators.clean import ORDER
@@ -68,6 +68,7 @@ def fourier_trend(panel: DataFrame, target: str, horizon: int = 30, cands: list[
                   n_splits: int = 5, holdout: tuple[float, float] | None = None, include_last: bool = False) -> DataFrame:
     """Backtest + future forecast for every well and candidate: the ``forecast`` rows plus ``y``."""
     apply_recommended_conf(panel.sparkSession)
+    panel = reuse(panel)
     cands = cands or candidates()
     rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout)
     feats, _ = features()

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreflow.session import apply_recommended_conf
+from boreflow.session import apply_recommended_conf, reuse
 
 from boreflow.operators.backtest import backtest_rows
 from boreflow.operators.clean import KEY
@@ -56,6 +56,7 @@ def ktr(panel: DataFrame, target: str, regressors: Sequence[str] = (), horizon:
         cands: list[M.Candidate] | None = None, n_splits: int = 5, holdout: tuple[float, float] | None = None,
         scenario: tuple[str, float] | None = None, include_last: bool = False, key: str = KEY) -> DataFrame:
     apply_recommended_conf(panel.sparkSession)
+    panel = reuse(panel)
     regs = list(regressors)
     cands = cands or candidates(regs)
     feats = features(regs)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreflow.session import apply_recommended_conf
+from boreflow.session import apply_recommended_conf, reuse
 
 from boreflow.operators.backtest import backtest_rows, split_bounds
 from boreflow.operators.clean import KEY
@@ -68,6 +68,7 @@ def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int
                  include_last: bool = False, key: str = KEY) -> DataFrame:
     """``mode``: ``direct`` (M6), ``recursive`` (M7) or ``pooled`` (M8)."""
     apply_recommended_conf(panel.sparkSession)
+    panel = reuse(panel)
     if mode not in ("direct", "recursive", "pooled"):
         raise ValueError(mode)
     wins = _fold_windows(panel, target, n_input, n_out, n_splits, holdout, key)

@@ -20,6 +20,7 @@ from boreflow.operators.backtest import backtest_rows
 from boreflow.operators.bands import quantile_band
 from boreflow.operators.clean import KEY
 from boreflow.plans.series import series_arrays
+from boreflow.session import reuse
 
 N_PATHS = 20
 N_DRAWS = 500
@@ -33,6 +34,7 @@ def _changes(arr: Column, upto: Column) -> Column:
 
 def _paths(panel: DataFrame, target: str, n_paths: int, seed: int, horizon: int, n_splits: int,
            holdout: tuple[float, float] | None, include_last: bool, key: str) -> tuple[DataFrame, DataFrame]:
+    panel = reuse(panel)
     rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout, key)
     pred = rows.filter(F.col("part") != "train")
     steps = pred.groupBy(key, "fold", "train_end").agg(F.max("step").alias("h"))

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreflow.session import apply_recommended_conf
+from boreflow.session import apply_recommended_conf, reuse
 
 from boreflow.functions import linalg as L
 from boreflow.functions.smoothing import smooth_grid_udf
@@ -91,6 +91,7 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
                        key: str = KEY) -> DataFrame:
     """Backtest + future rows: ``well, fold, part, ds, step, y, params, yhat, yhat_lower, yhat_upper, model``."""
     apply_recommended_conf(panel.sparkSession)
+    panel = reuse(panel)
     regs = list(regressors) if kind != "ets" else []
     grid = grid or default_grid(kind)
     rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key).persist()

@@ -69,6 +69,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist a frame that several branches of one plan read (memory, spilling to disk).
+
+    Already persisted frames are returned as they are. A lost executor's blocks are recomputed
+    from lineage; use ``cut_lineage`` where that lineage is long.
+    """
+    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else df.persist()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
