@@ -86,8 +86,11 @@ def corr_ranking(corr: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _avg_rank(c: str, key: str) -> F.Column:
-    ties = F.count(F.lit(1)).over(Window.partitionBy(key, c))
-    return F.rank().over(Window.partitionBy(key).orderBy(c)) + (ties - 1) / 2.0
+    """Average rank: ``rank + (ties - 1) / 2``; ties counted by a range frame on the same sort
+    (``partitionBy(well).orderBy(c)``), so no extra shuffle on ``(well, c)``."""
+    w = Window.partitionBy(key).orderBy(c)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(w) + (ties - 1) / 2.0
 
 
 def spearman(df: DataFrame, target: str, regressors: Iterable[str], key: str = KEY) -> DataFrame:

@@ -303,3 +303,24 @@ SELECT well, round(alpha, 6) AS alpha, round(gamma, 6) AS gamma, n, round(rmse,
        round(mape, 6) AS mape FROM best WHERE rk = 1"""
 ORACLE["e7_best_params"] = _ETS_GRID + """
 SELECT well, CAST(alpha AS VARCHAR) AS alpha, CAST(gamma AS VARCHAR) AS gamma, '500' AS n_bootstrap_draws FROM best WHERE rk = 1"""
+
+# ---------------------------------------------------------------- hourly events panel
+EV = f"""
+ev AS (SELECT event_type AS well, date_trunc('hour', ts) AS ds, avg(value) AS value FROM events GROUP BY ALL),
+evs AS (SELECT well, min(ds) AS d0, max(ds) AS d1 FROM ev GROUP BY well),
+evg AS (SELECT well, unnest(generate_series(d0, d1, INTERVAL 1 HOUR)) AS ds FROM evs),
+evr AS (SELECT g.well, g.ds, nullif(e.value, 0) AS value FROM evg g LEFT JOIN ev e USING (well, ds)),
+evp AS (SELECT *, row_number() OVER ({W}) AS _pos FROM evr),
+eva AS (SELECT *,
+  last_value(CASE WHEN value IS NOT NULL THEN {{'p': _pos, 'v': value}} END IGNORE NULLS)
+    OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+  first_value(CASE WHEN value IS NOT NULL THEN {{'p': _pos, 'v': value}} END IGNORE NULLS)
+    OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM evp),
+evi AS (SELECT well, ds, coalesce(value, CASE WHEN pv IS NULL THEN nx.v WHEN nx IS NULL THEN pv.v
+          ELSE pv.v + (nx.v - pv.v) * (_pos - pv.p) / (nx.p - pv.p) END) AS value FROM eva)"""
+ORACLE["c2_interpolate_hourly"] = with_(EV) + "\nSELECT well, ds, round(value, 6) AS value FROM evi"
+ORACLE["f1_acf_hourly"] = with_(EV, """
+evc AS (SELECT well, ds, value - avg(value) OVER (PARTITION BY well) AS v FROM evi WHERE value IS NOT NULL),
+evl AS (SELECT well, """ + ", ".join(f"v * {'v' if k == 0 else f'lag(v, {k}) OVER ({W})'} AS l{k}" for k in range(25)) + """ FROM evc),
+evm AS (SELECT well, """ + ", ".join(f"sum(l{k}) AS l{k}" for k in range(25)) + " FROM evl GROUP BY well)") + "\n" + " UNION ALL ".join(
+    f"SELECT well, 'value' AS param, {k} AS lag, round(l{k} / l0, 6) AS acf FROM evm" for k in range(25))

@@ -471,3 +471,17 @@ def s67(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = HI.history_rows(met, T.TARGET, 30, "interpolate", FC.DEFAULTS.get(model), f"2024-01-0{i + 1} 00:00:00")
         HI.append_history(rows, path)
     return HI.read_history(spark, path)
+
+
+# ---------------------------------------------------------------- short hourly panel (events)
+@register("c2_interpolate_hourly")
+def c2_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 + C2 on the hourly events panel: hours without an event are interpolated by position."""
+    ev = T.events_hourly_panel(spark, sf_dir)
+    return _r(C.interpolate(C.null_blanks_zeros(ev, ["value"]), ["value"]))
+
+
+@register("f1_acf_hourly")
+def f1_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = C.clean(T.events_hourly_panel(spark, sf_dir), ["value"])
+    return _r(F_.acf(ev, ["value"], 24))

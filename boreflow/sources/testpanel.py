@@ -35,14 +35,16 @@ def _daily(li: DataFrame, well: F.Column) -> DataFrame:
     )
 
 
-def daily_grid(panel: DataFrame, key: str = "well", date: str = "ds") -> DataFrame:
-    """One row per day from each well's first to last date; missing days get null cells.
+def daily_grid(panel: DataFrame, key: str = "well", date: str = "ds", step: str | None = None) -> DataFrame:
+    """One row per day (or per ``step``, e.g. ``"1 HOUR"``) from each well's first to last
+    date; missing days get null cells.
 
     The grid is generated per well (``sequence`` over its own span, bounded by the calendar),
     then left-joined on ``(well, ds)``: no cross join of wells with dates.
     """
     span = panel.groupBy(key).agg(F.min(date).alias("_d0"), F.max(date).alias("_d1"))
-    grid = span.select(key, F.explode(F.sequence("_d0", "_d1")).alias(date))
+    seq = F.sequence("_d0", "_d1") if step is None else F.sequence("_d0", "_d1", F.expr(f"INTERVAL {step}"))
+    grid = span.select(key, F.explode(seq).alias(date))
     return grid.join(panel, [key, date], "left")
 
 
@@ -66,6 +68,12 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
+def events_hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short panel on an hourly grid: ``well = event_type``, ``ds`` = hour, ``value`` = mean (null = no event)."""
+    ev = events_panel(spark, sf_dir).select("well", F.col("hour").alias("ds"), "value")
+    return daily_grid(ev, step="1 HOUR")
+
+
 def to_long(panel: DataFrame, params: list[str] | None = None) -> DataFrame:
     """Wide panel -> long ``(well, ds, param, value double)``."""
     params = params or [c for c in panel.columns if c not in ("well", "ds")]
