@@ -64,9 +64,13 @@ def _rollout(ctx: Column, betas: Column, n_input: int, block: int, h: Column) ->
 
 
 def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int = N_INPUT, n_out: int = N_OUT,
-                 mode: str = "direct", lam: float = 0.1, n_splits: int = 5, holdout: tuple[float, float] | None = None,
-                 include_last: bool = False, key: str = KEY) -> DataFrame:
-    """``mode``: ``direct`` (M6), ``recursive`` (M7) or ``pooled`` (M8)."""
+                 mode: str = "direct", lam: float | list[float] = 0.1, n_splits: int = 5,
+                 holdout: tuple[float, float] | None = None, include_last: bool = False, key: str = KEY) -> DataFrame:
+    """``mode``: ``direct`` (M6), ``recursive`` (M7) or ``pooled`` (M8).
+
+    ``lam`` may be a list: every penalty strength is solved from the same Gram pass and
+    forecast side by side (one ``params`` map per strength).
+    """
     apply_recommended_conf(panel.sparkSession)
     panel = reuse(panel)
     if mode not in ("direct", "recursive", "pooled"):
@@ -81,9 +85,11 @@ def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int
         feats = [F.lit(1.0)] + [F.col("x")[i] / sc for i in range(n_input)]
         ys = [F.col("y")[s] / sc for s in range(n_out)]
         by = [key, "fold"]
-    cands = [M.Candidate({}, [True] * (n_input + 1), [0.0] + [1.0] * n_input, lam, "ridge", s) for s in range(n_out)]
-    sol = M.fit(wins, feats, ys, cands, by=by)
-    coef = sol.groupBy(*by).agg(
+    lams = [float(x) for x in (lam if isinstance(lam, (list, tuple)) else [lam])]
+    cands = [M.Candidate({"lam": repr(lm)}, [True] * (n_input + 1), [0.0] + [1.0] * n_input, lm, "ridge", s)
+             for lm in lams for s in range(n_out)]
+    sol = M.fit(wins, feats, ys, cands, by=by).withColumn("lam", F.col("params")["lam"])
+    coef = sol.groupBy(*by, "lam").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tgt", "beta"))), lambda t: t["beta"]).alias("betas"),
         F.max_by(F.sqrt(F.col("sse") / F.col("n")), F.struct(F.lit(0) - F.col("tgt"))).alias("rel_sd"),
     )
@@ -95,14 +101,15 @@ def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int
     ctx = steps.join(arrs, key).select(
         key, "fold", "h", F.slice("_arr", F.greatest(F.col("train_end") - F.lit(n_input) + 1, F.lit(1)), F.lit(n_input)).alias("ctx"))
     ctx = ctx.filter(F.size("ctx") == n_input).join(coef, by)
-    fc = ctx.select(key, "fold", _rollout(F.col("ctx"), F.col("betas"), n_input, block, F.col("h")).alias("fc"),
+    fc = ctx.select(key, "fold", "lam", _rollout(F.col("ctx"), F.col("betas"), n_input, block, F.col("h")).alias("fc"),
                     (F.col("rel_sd") * _scale(F.col("ctx"))).alias("sd"))
     out = pred.join(fc, [key, "fold"])
     yhat = F.element_at("fc", F.col("step"))
     name = {"direct": "LSTM", "recursive": "LSTM-rollout", "pooled": "N-BEATS"}[mode]
-    params = {"n_input": str(n_input), "n_out": str(n_out), "lam": repr(float(lam)), "mode": mode}
+    params = {"n_input": str(n_input), "n_out": str(n_out), "mode": mode}
     band_lo = F.lit(None).cast("double") if mode == "pooled" else yhat - F.lit(1.96) * F.col("sd")
     band_hi = F.lit(None).cast("double") if mode == "pooled" else yhat + F.lit(1.96) * F.col("sd")
     return out.select(
-        key, "fold", "part", "ds", "pos", "train_end", "step", "y", M.param_map(params).alias("params"),
+        key, "fold", "part", "ds", "pos", "train_end", "step", "y",
+        F.map_concat(M.param_map(params), F.create_map(F.lit("lam"), F.col("lam"))).alias("params"),
         yhat.alias("yhat"), band_lo.alias("yhat_lower"), band_hi.alias("yhat_upper"), F.lit(name).alias("model"))

@@ -425,6 +425,21 @@ def e5_prophet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "Prophet", 50))
 
 
+@register("e5_tune_lgt")
+def e5_lgt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "LGT", 50, regressors=REGS))
+
+
+@register("e5_tune_ktr")
+def e5_ktr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "KTR", 50, regressors=REGS))
+
+
+@register("e5_tune_lstm")
+def e5_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "LSTM", 50))
+
+
 ETS_GRID = [(a, g) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for g in (0.05, 0.2)]
 
 

@@ -42,6 +42,8 @@ SPACES: dict[str, dict[str, tuple]] = {
                 "yearly_seasonality": ("cat", [True, False]), "weekly_seasonality": ("cat", [True, False])},
     "LSTM": {"epochs": ("int", 10, 100), "batch_size": ("int", 8, 64), "n_input": ("int", 1, 5),
              "n_output": ("int", 7, 30), "lstm_units": ("int", 50, 200), "lam": ("log", 1e-3, 10.0)},
+    # The reference builds LSTM windows from its global step count x length (7), and always predicts
+    # 7 steps; here the drawn step count sets the window (n_input x 7) and ``lam`` the ridge strength.
 }
 
 
@@ -83,8 +85,6 @@ def trial_forecasts(panel: DataFrame, target: str, model: str, trials: list[dict
             index = {c: i for i, c in enumerate(combos)}
             grid = [dict({k: t[k] for k in smoothing.GRID_KEYS if k in t}, trial=i,
                          cid=index[(t.get("global_trend_option", "none"), t["regression_penalty"])]) for i, t in enumerate(trials)]
-            if not regs:  # without regressors the penalty changes nothing: one stage-1 fit per trend
-                pass
         fc = smoothing.smoothing_forecast(panel, target, kind, regs, st1, grid, horizon=0, holdout=HOLDOUT)
         return fc
     if model == "Prophet":
@@ -94,8 +94,9 @@ def trial_forecasts(panel: DataFrame, target: str, model: str, trials: list[dict
         return ktr.ktr(panel, target, regs, 0, cands=ktr.candidates(regs, sorted({t["lam"] for t in trials})), holdout=HOLDOUT)
     if model == "LSTM":
         outs = None
-        for t in {(t["n_input"], t["n_output"], round(t["lam"], 12)) for t in trials}:
-            fc = lags.lag_forecast(panel, target, 0, n_input=t[0] * 7, n_out=7, lam=t[2], holdout=HOLDOUT)
+        for steps in sorted({t["n_input"] for t in trials}):  # one Gram pass per window length
+            lams = sorted({t["lam"] for t in trials if t["n_input"] == steps})
+            fc = lags.lag_forecast(panel, target, 0, n_input=steps * 7, n_out=7, lam=lams, holdout=HOLDOUT)
             outs = fc if outs is None else outs.unionByName(fc)
         return outs
     raise ValueError(f"no search space for {model!r}")
