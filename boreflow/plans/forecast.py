@@ -29,6 +29,7 @@ from boreflow.operators import evaluate as E
 from boreflow.operators import screen as S
 from boreflow.operators.clean import KEY
 from boreflow.plans.models import fourier, ktr, lags, paths, smoothing
+from boreflow.session import cut_lineage
 
 MODELS = ("ETS", "DLT", "LGT", "KTR", "Prophet", "Chronos", "LSTM", "TFT", "N-BEATS")
 USES_REGRESSORS = {"DLT": "relevant", "LGT": "significant", "KTR": "significant"}
@@ -106,7 +107,10 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
     well keeps one feature layout and the plan stays one job for all wells.
     """
     regs = [c for c in params_ if c != target]
-    cleaned = C.clean(panel_raw, list(params_), method=fill_method, target=target).persist()
+    # The cleaned panel feeds screening and every fold of the forecast: cut its lineage with a
+    # reliable checkpoint into ``spark.checkpoint.dir`` so a lost executor re-reads it instead of
+    # recomputing scan -> aggregate -> windows.
+    cleaned = cut_lineage(C.clean(panel_raw, list(params_), method=fill_method, target=target))
     screened = S.screen(cleaned, target, regs) if regs else None
     panel = cleaned
     kind = USES_REGRESSORS.get(model)

@@ -324,3 +324,22 @@ evc AS (SELECT well, ds, value - avg(value) OVER (PARTITION BY well) AS v FROM e
 evl AS (SELECT well, """ + ", ".join(f"v * {'v' if k == 0 else f'lag(v, {k}) OVER ({W})'} AS l{k}" for k in range(25)) + """ FROM evc),
 evm AS (SELECT well, """ + ", ".join(f"sum(l{k}) AS l{k}" for k in range(25)) + " FROM evl GROUP BY well)") + "\n" + " UNION ALL ".join(
     f"SELECT well, 'value' AS param, {k} AS lag, round(l{k} / l0, 6) AS acf FROM evm" for k in range(25))
+
+ORACLE["m1_ets_folds"] = with_(
+    CLEAN,
+    """
+ser AS (SELECT well, row_number() OVER (PARTITION BY well ORDER BY ds) AS pos, qty AS y,
+               count(*) OVER (PARTITION BY well) AS n FROM clean),
+mx AS (SELECT DISTINCT well, n FROM ser),
+fl AS (SELECT well, CAST(t.f AS INTEGER) AS fold, CAST(n - (5 - t.f) * (n // 6) AS INTEGER) AS cut,
+              CAST(n // 6 AS INTEGER) AS s FROM mx, range(5) t(f))""",
+    ets_rec("ser", [(0.3, 0.1)], "SELECT n FROM mx WHERE mx.well = r.well"),
+    """
+st AS (SELECT fl.fold, fl.s, r.* FROM rec r JOIN fl ON r.well = fl.well AND r.i = fl.cut),
+fc AS (SELECT x.well, st.fold, x.y, st.l + st.s[CAST(((x.pos - st.i - 1) % 12) + 1 AS INTEGER)] AS yhat
+       FROM ser x JOIN st ON x.well = st.well AND x.pos > st.i AND x.pos <= st.i + st.s)""",
+).replace("st AS (SELECT fl.fold, fl.s, r.*", "st AS (SELECT fl.fold, fl.s AS s_len, r.*").replace(
+    "x.pos <= st.i + st.s)", "x.pos <= st.i + st.s_len)") + """
+SELECT well, fold, count(*) AS n, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse,
+       round(avg(abs(y - yhat)), 6) AS mae, round(avg(abs((y - yhat) / y)) * 100.0, 6) AS mape
+FROM fc GROUP BY well, fold"""

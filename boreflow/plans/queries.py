@@ -500,3 +500,10 @@ def c2_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f1_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = C.clean(T.events_hourly_panel(spark, sf_dir), ["value"])
     return _r(F_.acf(ev, ["value"], 24))
+
+
+@register("m1_ets_folds")
+def m1_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ETS(alpha 0.3, gamma 0.1) by the vectorised kernel over the 5 expanding folds: metrics per fold."""
+    fc = FC.forecast(cleaned(spark, sf_dir), T.TARGET, "ETS", horizon=0, params={"alpha": 0.3, "gamma": 0.1})
+    return _r(E.metrics(fc.filter(F.col("part") == "test"), by=("well", "fold")))
