@@ -92,6 +92,7 @@ def main() -> None:
     for name, fn in QUERIES.items():
         if only and name not in only:
             continue
+        spark.catalog.clearCache()  # no query may reuse another's persisted frames
         t0 = time.perf_counter()
         fn(spark, SF_DIR).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)

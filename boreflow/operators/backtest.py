@@ -64,7 +64,7 @@ def backtest_rows(df: DataFrame, target: str, regressors: Iterable[str] = (), n_
         F.when(F.col("pos") >= F.col("_b.train_end"), F.col("pos") - F.col("_b.train_end") + 1).cast("int").alias("step"),
     )
     if horizon <= 0:
-        return hist
+        return hist.filter(F.col("fold") < k)  # no future rows: the final fit is not needed
     # Future rows (H1-H3) from each well's last row of the same windowed frame: its date, its
     # position and its regressor values (carried forward), with the scenario ramp on one of them.
     param, delta = scenario if scenario else (None, 0.0)
@@ -96,8 +96,10 @@ def forecast_columns(df: DataFrame, model: str, params: dict[str, str] | None =
 def last_value_forecast(rows: DataFrame, key: str = KEY) -> DataFrame:
     """Baseline: every test / future step of a fold predicts the last training value.
 
-    ``max_by(y, pos)`` over the fold's training rows (one partial aggregate), joined back on
-    ``(well, fold)``. Used as the yardstick a model must beat and to exercise B4/E/U operators.
+    One window pass: ``max_by(y, pos)`` over the fold's training rows, as a window partitioned
+    by ``(well, fold)`` (the rows are already clustered by ``well``, so no shuffle and no self
+    join). Used as the yardstick a model must beat and to exercise the B4/E/U operators.
     """
-    last = rows.filter(F.col("part") == "train").groupBy(key, "fold").agg(F.max_by("y", "pos").alias("yhat"))
-    return rows.filter(F.col("part") != "train").join(last, [key, "fold"]).withColumn("model", F.lit("last_value"))
+    train = F.col("part") == "train"
+    last = F.max_by(F.when(train, F.col("y")), F.when(train, F.col("pos"))).over(Window.partitionBy(key, "fold"))
+    return rows.withColumn("yhat", last).filter(~train).withColumn("model", F.lit("last_value"))

@@ -40,28 +40,33 @@ def interpolate(df: DataFrame, cols: Iterable[str] | None = None, key: str = KEY
     Leading gaps take the first value, trailing gaps the last one; an all-null column stays null.
     """
     cols = _cols(df, cols, key, order)
+    # Both anchors are running frames (unbounded preceding -> current row), which Spark updates
+    # incrementally; the "next" anchor runs over the reversed order. (A frame ending at unbounded
+    # following would be re-aggregated for every row: quadratic per well.) The reversed pass
+    # runs first, so the rows leave this operator sorted by (well, ds) ascending and any later
+    # window on that order needs no new sort. Reversed positions convert back with
+    # ``n = pos + rpos - 1``.
+    rev = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w = series_window(key, order)
-    # Both anchors are running frames (unbounded preceding -> current row), which Spark
-    # updates incrementally; the "next" anchor runs over the reversed order. A frame ending
-    # at unbounded following would be re-aggregated for every row (quadratic per well).
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = F.col("_pos")
-    staged = df.withColumn("_pos", F.row_number().over(w))
-    anchors = {}
-    for c in cols:
-        at = F.when(F.col(c).isNotNull(), pos)
-        anchors[f"_pp_{c}"] = F.last(at, ignorenulls=True).over(before)
-        anchors[f"_pv_{c}"] = F.last(c, ignorenulls=True).over(before)
-        anchors[f"_np_{c}"] = F.last(at, ignorenulls=True).over(after)
-        anchors[f"_nv_{c}"] = F.last(c, ignorenulls=True).over(after)
-    staged = staged.withColumns(anchors)
+    fwd = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rpos, pos = F.col("_rpos"), F.col("_pos")
+    staged = df.withColumn("_rpos", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())))
+    staged = staged.withColumns({
+        **{f"_nr_{c}": F.last(F.when(F.col(c).isNotNull(), rpos), ignorenulls=True).over(rev) for c in cols},
+        **{f"_nv_{c}": F.last(c, ignorenulls=True).over(rev) for c in cols},
+    })
+    staged = staged.withColumn("_pos", F.row_number().over(w))
+    staged = staged.withColumns({
+        **{f"_pp_{c}": F.last(F.when(F.col(c).isNotNull(), pos), ignorenulls=True).over(fwd) for c in cols},
+        **{f"_pv_{c}": F.last(c, ignorenulls=True).over(fwd) for c in cols},
+    })
     filled = {}
     for c in cols:
-        pp, pv, np_, nv = (F.col(f"_{x}_{c}") for x in ("pp", "pv", "np", "nv"))
+        pp, pv, nr, nv = (F.col(f"_{x}_{c}") for x in ("pp", "pv", "nr", "nv"))
+        np_ = pos + rpos - nr  # ascending position of the next non-null value
         between = pv + (nv - pv) * (pos - pp) / (np_ - pp)
-        filled[c] = F.coalesce(F.col(c), F.when(pp.isNull(), nv).when(np_.isNull(), pv).otherwise(between))
-    drop = ["_pos"] + list(anchors)
+        filled[c] = F.coalesce(F.col(c), F.when(pp.isNull(), nv).when(nr.isNull(), pv).otherwise(between))
+    drop = ["_pos", "_rpos"] + [f"_{x}_{c}" for c in cols for x in ("pp", "pv", "nr", "nv")]
     return staged.withColumns(filled).drop(*drop)
 
 

@@ -57,6 +57,11 @@ def fit(rows: DataFrame, feats: Sequence[Column], ys: Sequence[Column], cands: S
     g = L.gram(rows.filter(F.col("part") == "train"), list(by), feats, ys, weight)
     staged = g.select(*by, "n", "xtx", *[c for c in g.columns if c.startswith(("xty_", "yty_"))],
                       F.explode(candidate_array(cands)).alias("_c"))
+    # The Gram table is small in bytes but each row now carries a solve: spread the solves over
+    # the configured shuffle partitions (adaptive execution would size by bytes and pack them
+    # into a few tasks).
+    nparts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    staged = staged.repartition(nparts, *by, F.col("_c.cid"))
     xty = F.col("xty_0")
     yty = F.col("yty_0")
     for t in range(1, len(ys)):

@@ -14,7 +14,7 @@ after it a well has at most one row per calendar day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Parameters of the lineitem-derived panels; ``qty`` is the default target.
@@ -39,13 +39,25 @@ def daily_grid(panel: DataFrame, key: str = "well", date: str = "ds", step: str
     """One row per day (or per ``step``, e.g. ``"1 HOUR"``) from each well's first to last
     date; missing days get null cells.
 
-    The grid is generated per well (``sequence`` over its own span, bounded by the calendar),
-    then left-joined on ``(well, ds)``: no cross join of wells with dates.
+    Each observed row expands to itself plus the missing steps up to the well's next observed
+    date (``lead`` over a window by well, then ``explode(sequence(...))``): no cross join of wells
+    with dates, no join back. The window's shuffle carries the aggregated panel itself, so
+    adaptive execution sizes the partitions by its real volume (a shuffle of a tiny per-well
+    span table would pack the whole grid into a handful of tasks). The result is
+    hash-partitioned by well.
     """
-    span = panel.groupBy(key).agg(F.min(date).alias("_d0"), F.max(date).alias("_d1"))
-    seq = F.sequence("_d0", "_d1") if step is None else F.sequence("_d0", "_d1", F.expr(f"INTERVAL {step}"))
-    grid = span.select(key, F.explode(seq).alias(date))
-    return grid.join(panel, [key, date], "left")
+    vals = [c for c in panel.columns if c not in (key, date)]
+    nxt = F.lead(date).over(Window.partitionBy(key).orderBy(date))
+    staged = panel.withColumn("_next", nxt)
+    if step is None:
+        upto = F.coalesce(F.date_sub("_next", 1), F.col(date))
+        seq = F.sequence(F.col(date), F.greatest(upto, F.col(date)))
+    else:
+        upto = F.coalesce(F.col("_next") - F.expr(f"INTERVAL {step}"), F.col(date))
+        seq = F.sequence(F.col(date), F.greatest(upto, F.col(date)), F.expr(f"INTERVAL {step}"))
+    out = staged.select(key, F.col(date).alias("_obs"), *vals, F.explode(seq).alias(date))
+    same = F.col(date) == F.col("_obs")
+    return out.select(key, date, *[F.when(same, F.col(c)).alias(c) for c in vals])
 
 
 def main_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
