@@ -71,11 +71,21 @@ def _wells(df: DataFrame) -> list[str]:
 
 @register("s1_read_sheets")
 def s1_read_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lay the raw panel out as one sheet per parameter (dates x wells), then read them back."""
+    """Write the raw panel as one CSV sheet per parameter (dates down, wells across) into the
+    checkpoint folder, then read the sheets back with the CSV source."""
+    import uuid
+
+    from boreflow.session import ensure_checkpoint_dir
+
     rp = raw(spark, sf_dir)
     wells = _wells(rp)
-    sheets = {p: rp.groupBy("ds").pivot("well", wells).agg(F.first(p)) for p in P}
-    return _r(S.read_sheets(spark, sheets, date_col="ds"))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    paths = {}
+    for p in P:
+        sheet = rp.groupBy("ds").pivot("well", wells).agg(F.first(p))
+        sheet.write.option("header", "true").csv(f"{root}/{p}")
+        paths[p] = f"{root}/{p}"
+    return _r(S.read_sheets(spark, paths, fmt="csv", date_col="ds"))
 
 
 @register("s2_catalog")

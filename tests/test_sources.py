@@ -42,3 +42,27 @@ def test_best_params_defaults(spark):
     t = spark.createDataFrame([("w", {"a": "1"}), ("v", None)], "well string, params map<string,string>")
     got = {r.well: r.params for r in E.best_params(t, {"a": "0", "b": "2"}).collect()}
     assert got == {"w": {"b": "2", "a": "1"}, "v": {"a": "0", "b": "2"}}
+
+
+def test_daily_and_hourly_grid(spark):
+    from boreflow.sources.testpanel import daily_grid
+
+    d0 = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([("a", d0, 1.0), ("a", d0 + dt.timedelta(3), 4.0), ("b", d0 + dt.timedelta(1), 2.0)],
+                               "well string, ds date, v double")
+    got = sorted((r.well, r.ds, r.v) for r in daily_grid(df).collect())
+    assert got == [("a", d0, 1.0), ("a", d0 + dt.timedelta(1), None), ("a", d0 + dt.timedelta(2), None),
+                   ("a", d0 + dt.timedelta(3), 4.0), ("b", d0 + dt.timedelta(1), 2.0)]
+    t0 = dt.datetime(2024, 1, 1, 0, 0)
+    hf = spark.createDataFrame([("e", t0, 1.0), ("e", t0 + dt.timedelta(hours=3), 2.0)], "well string, ds timestamp, v double")
+    hours = sorted(r.ds for r in daily_grid(hf, step="1 HOUR").collect())
+    assert hours == [t0 + dt.timedelta(hours=h) for h in range(4)]
+
+
+def test_main_panel_grid_is_complete(spark):
+    from tests.conftest import SF
+    from boreflow.sources import testpanel as T
+
+    p = T.main_panel(spark, SF)
+    spans = p.groupBy("well").agg(F.count("*").alias("n"), F.datediff(F.max("ds"), F.min("ds")).alias("d")).collect()
+    assert all(r.n == r.d + 1 for r in spans)  # one row per calendar day, first to last
