@@ -115,9 +115,11 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
     panel = cleaned
     kind = USES_REGRESSORS.get(model)
     if kind and screened is not None:
-        flags = screened.groupBy(KEY).pivot("regressor", regs).agg(F.first(kind))
+        # one flag per (well, regressor): ``max`` picks it deterministically (``first`` would mark the
+        # plan non-deterministic and keep Spark from reusing persisted frames built on it)
+        flags = screened.groupBy(KEY).pivot("regressor", regs).agg(F.max(F.col(kind).cast("int")))
         panel = cleaned.join(flags.select(KEY, *[F.col(r).alias(f"_k_{r}") for r in regs]), KEY, "left").select(
-            *[F.when(F.coalesce(F.col(f"_k_{c}"), F.lit(False)), F.col(c)).otherwise(F.lit(0.0)).alias(c)
+            *[F.when(F.coalesce(F.col(f"_k_{c}"), F.lit(0)) == 1, F.col(c)).otherwise(F.lit(0.0)).alias(c)
               if c in regs else F.col(c) for c in cleaned.columns])
     fc = forecast(panel, target, model, regs, horizon, scenario, params, n_splits)
     metrics = E.metrics(fc.filter(F.col("part") == "test"), by=(KEY, "model", "fold"))

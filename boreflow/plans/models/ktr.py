@@ -66,7 +66,7 @@ def ktr(panel: DataFrame, target: str, regressors: Sequence[str] = (), horizon:
     w = _weight(F.col("pos"), _centre(F.col("knot"), n_knots), n_knots)
     sol = M.fit(fanned, feats, [F.col("y")], cands, by=(key, "fold", "knot"), weight=w)
     coef = sol.groupBy(key, "fold", "cid").agg(
-        F.first("params").alias("params"),
+        F.max_by("params", "knot").alias("params"),
         F.array_sort(F.collect_list(F.struct("knot", "beta"))).alias("kb"),
         (F.sum("sse") / F.sum("n")).alias("mse"),
     )

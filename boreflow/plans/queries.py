@@ -82,7 +82,7 @@ def s1_read_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
     paths = {}
     for p in P:
-        sheet = rp.groupBy("ds").pivot("well", wells).agg(F.first(p))
+        sheet = rp.groupBy("ds").pivot("well", wells).agg(F.max(p))  # one cell per (ds, well)
         sheet.write.option("header", "true").csv(f"{root}/{p}")
         paths[p] = f"{root}/{p}"
     return _r(S.read_sheets(spark, paths, fmt="csv", date_col="ds"))
