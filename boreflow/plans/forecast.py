@@ -121,6 +121,8 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
         panel = cleaned.join(flags.select(KEY, *[F.col(r).alias(f"_k_{r}") for r in regs]), KEY, "left").select(
             *[F.when(F.coalesce(F.col(f"_k_{c}"), F.lit(0)) == 1, F.col(c)).otherwise(F.lit(0.0)).alias(c)
               if c in regs else F.col(c) for c in cleaned.columns])
+        # the screening plan (windows, ranks, a pandas UDF) stays out of the forecast's lineage
+        panel = cut_lineage(panel)
     fc = forecast(panel, target, model, regs, horizon, scenario, params, n_splits)
     metrics = E.metrics(fc.filter(F.col("part") == "test"), by=(KEY, "model", "fold"))
     return fc, metrics, screened
