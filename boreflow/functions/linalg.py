@@ -23,7 +23,8 @@ SOLVE_T = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), T.St
 METHODS = {"ols": 0, "fixed_ridge": 1, "auto_ridge": 1, "ridge": 1, "lasso": 2}
 
 
-def gram(df: DataFrame, by: Sequence[str], feats: Sequence[Column], ys: Sequence[Column], weight: Column | None = None) -> DataFrame:
+def gram(df: DataFrame, by: Sequence[str], feats: Sequence[Column], ys: Sequence[Column], weight: Column | None = None,
+         builder=None, inputs: Sequence[Column] | None = None) -> DataFrame:
     """Per group: ``n``, ``xtx`` (k*k row-major), ``xty_<t>`` (k) and ``yty_<t>`` for every target t.
 
     Features and targets are JVM column expressions evaluated in one projection. Each task
@@ -32,22 +33,41 @@ def gram(df: DataFrame, by: Sequence[str], feats: Sequence[Column], ys: Sequence
     partials by group after the shuffle. Rows with a null feature or target are skipped.
     A hot group is therefore pre-summed in every task that holds part of it; only partial
     vectors of ``k*k + T*(k+1) + 1`` doubles cross the shuffle.
+
+    ``builder`` (optional): a NumPy function ``builder(*arrays) -> (m, k) matrix`` that makes the
+    same features inside the task from the few ``inputs`` columns, so wide feature sets (e.g. 50
+    Fourier terms) need not cross Arrow; ``feats`` then only gives k (and stays the definition
+    used for prediction; tests check that both agree).
     """
     by = list(by)
     k, nt = len(feats), len(ys)
+    if builder is not None:
+        ins = list(inputs or [])
+        staged = df.select(*by, *[c.cast("double").alias(f"_i{j}") for j, c in enumerate(ins)],
+                           *[y.cast("double").alias(f"_y{t}") for t, y in enumerate(ys)],
+                           (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"))
+        return _gram_staged(staged, by, k, nt, [f"_i{j}" for j in range(len(ins))], builder)
     staged = df.select(*by, *[f.cast("double").alias(f"_f{i}") for i, f in enumerate(feats)],
                        *[y.cast("double").alias(f"_y{t}") for t, y in enumerate(ys)],
                        (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"))
+    return _gram_staged(staged, by, k, nt, [f"_f{i}" for i in range(k)], None)
+
+
+def _gram_staged(staged: DataFrame, by: list[str], k: int, nt: int, fcols: list[str], builder) -> DataFrame:
     key_fields = [staged.schema[b] for b in by]
     out_schema = T.StructType(key_fields + [T.StructField("_v", T.ArrayType(T.DoubleType()))])
-    fcols = [f"_f{i}" for i in range(k)]
     ycols = [f"_y{t}" for t in range(nt)]
 
     def partial(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            vals = pdf[fcols + ycols + ["_w"]].to_numpy(dtype=float)
+            raw = pdf[fcols + ycols + ["_w"]].to_numpy(dtype=float)
+            if builder is not None:
+                x = builder(*[raw[:, j] for j in range(len(fcols))])
+                vals = np.column_stack([x, raw[:, len(fcols):]])
+            else:
+                vals = raw
             ok = ~np.isnan(vals).any(axis=1)
             if not ok.all():
                 pdf, vals = pdf[ok], vals[ok]

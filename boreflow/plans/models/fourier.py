@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,29 @@ def features(n_changepoints: int = N_CHANGEPOINTS, yearly: int = YEARLY_ORDER, w
     return feats, kinds
 
 
+def numpy_features(n_changepoints: int = N_CHANGEPOINTS, yearly: int = YEARLY_ORDER, weekly: int = WEEKLY_ORDER):
+    """The same features as ``features`` built in NumPy from (pos, train_end, days since epoch).
+
+    Used inside the Gram task so only three input columns cross Arrow.
+    """
+    def build(pos, train_end, d):
+        t = pos / np.maximum(train_end, 1.0)
+        cols = [np.ones_like(t), t]
+        cols += [np.maximum(t - 0.8 * j / n_changepoints, 0.0) for j in range(1, n_changepoints + 1)]
+        for period, order in ((365.25, yearly), (7.0, weekly)):
+            for k in range(1, order + 1):
+                ang = (2.0 * math.pi * k / period) * d
+                cols += [np.sin(ang), np.cos(ang)]
+        return np.column_stack(cols)
+
+    return build
+
+
+def feature_inputs() -> list[Column]:
+    """The input columns of ``numpy_features``: position, training end, days since 1970-01-01."""
+    return [F.col("pos"), F.col("train_end"), F.datediff(F.col(ORDER), F.to_date(F.lit("1970-01-01")))]
+
+
 def candidates(grid: Iterable[tuple[str, bool, bool]] | None = None, lam: float = 1.0,
                n_changepoints: int = N_CHANGEPOINTS) -> list[M.Candidate]:
     """(mode, yearly, weekly) combinations; default: the full 2 x 2 x 2 space."""
@@ -73,5 +98,5 @@ def fourier_trend(panel: DataFrame, target: str, horizon: int = 30, cands: list[
     rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout)
     feats, _ = features()
     ys = [F.col("y"), F.log(F.greatest(F.col("y"), F.lit(TINY)))]
-    sol = M.fit(rows, feats, ys, cands)
+    sol = M.fit(rows, feats, ys, cands, builder=numpy_features(), inputs=feature_inputs())
     return M.predict(rows, sol, feats, M.Z80).withColumn("model", F.lit("Prophet"))

@@ -37,3 +37,19 @@ def test_ridge_lasso_and_mask():
     np.testing.assert_allclose((a + np.diag(0.5 * np.diag(a))) @ ridge, b)
     lasso = L._solve_one(a, b, 100.0, np.ones(2), 2)
     assert np.allclose(lasso, 0.0)  # a huge L1 penalty zeroes every coefficient
+
+
+def test_numpy_feature_builder_matches_columns(spark):
+    import datetime as dt
+
+    from boreflow.plans.models import fourier
+
+    rows = [("w", 0, dt.date(2020, 1, 1) + dt.timedelta(i), i, 80, float(10 + (i % 7))) for i in range(80)]
+    df = spark.createDataFrame(rows, "well string, fold int, ds date, pos int, train_end int, y double")
+    feats, _ = fourier.features()
+    a = L.gram(df, ["well", "fold"], feats, [F.col("y")]).collect()[0]
+    b = L.gram(df, ["well", "fold"], feats, [F.col("y")], builder=fourier.numpy_features(),
+               inputs=fourier.feature_inputs()).collect()[0]
+    np.testing.assert_allclose(a.xtx, b.xtx, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(a.xty_0, b.xty_0, rtol=1e-9, atol=1e-9)
+    assert a.n == b.n == 80
