@@ -95,7 +95,7 @@ def fourier_trend(panel: DataFrame, target: str, horizon: int = 30, cands: list[
     apply_recommended_conf(panel.sparkSession)
     panel = reuse(panel)
     cands = cands or candidates()
-    rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout)
+    rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout).persist()  # fit + predict
     feats, _ = features()
     ys = [F.col("y"), F.log(F.greatest(F.col("y"), F.lit(TINY)))]
     sol = M.fit(rows, feats, ys, cands, builder=numpy_features(), inputs=feature_inputs())
