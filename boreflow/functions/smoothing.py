@@ -36,12 +36,35 @@ def _g(level: np.ndarray, lam: np.ndarray) -> np.ndarray:
     return np.sign(level) * np.abs(level) ** lam
 
 
+def _forecast(kind, level, trend, season, used, h, phi, xi1, xi2, lam, m):
+    """h-step forecasts from a state reached after ``used`` observations."""
+    steps = np.arange(1, h + 1)
+    s = season[(used - 1 + steps) % m]
+    if kind == "ets":
+        return level + s
+    if kind == "dlt":
+        damp = np.cumsum(phi ** steps) if h else np.zeros(0)
+        return level + damp * trend + s
+    out = np.empty(h)
+    lv = level
+    for j in range(h):
+        inc = xi1 * trend + xi2 * float(_g(np.array(lv), np.array(lam)))
+        out[j] = lv + inc
+        lv = lv + inc
+    return out + s
+
+
 def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np.ndarray], m: int = SEASON,
-        src: np.ndarray | None = None):
+        src: np.ndarray | None = None, stops: list[list[tuple[int, int, int]]] | None = None):
     """Run one kind over a batch: returns (sse, n_fit, list of forecast arrays).
 
     ``src[i]`` names the series of run ``i`` (default: run i uses series i), so many parameter
     points share one copy of a series; ``horizons`` and ``prm`` are per run.
+
+    ``stops[i]`` (optional) lists ``(tag, used, h)`` snapshots for run ``i``: the state after the
+    first ``used`` observations and its ``h``-step forecast. Expanding folds train on prefixes
+    of one series, so one pass serves every fold. With ``stops`` the return value is, per run, a
+    list of ``(tag, sse, n_fit, forecast)``.
     """
     src = np.arange(len(ys)) if src is None else np.asarray(src)
     r = len(src)
@@ -63,6 +86,21 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
     season = np.zeros((r, m))
     sse = np.zeros(r)
     rows = np.arange(r)
+    snaps: list[list] | None = None
+    at: dict[int, list[tuple[int, int, int]]] = {}
+    if stops is not None:
+        snaps = [[] for _ in range(r)]
+        for i, lst in enumerate(stops):
+            for tag, used, h in lst:
+                at.setdefault(int(used), []).append((i, tag, int(h)))
+
+    def snapshot(used: int) -> None:
+        for i, tag, h in at.get(used, ()):
+            snaps[i].append((tag, float(sse[i]), max(used - 1, 0), _forecast(
+                kind, level[i], trend[i], season[i].copy(), used, h, phi[i], xi1[i], xi2[i], lam[i], m)))
+
+    if snaps is not None:
+        snapshot(1)
     for t in range(1, tmax):
         live = t < lens
         if not live.any():
@@ -96,26 +134,12 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
         level = np.where(live, nl, level)
         trend = np.where(live, nb, trend)
         season[rows, si] = np.where(live, ns, s0)
-    fcs = []
-    for i in range(r):
-        h = int(horizons[i])
-        steps = np.arange(1, h + 1)
-        slot = (lens[i] - 1 + steps) % m
-        s = season[i, slot]
-        if kind == "ets":
-            fc = level[i] + s
-        elif kind == "dlt":
-            damp = np.cumsum(phi[i] ** steps) if h else np.zeros(0)
-            fc = level[i] + damp * trend[i] + s
-        else:
-            out = np.empty(h)
-            lv, b = level[i], trend[i]
-            for j in range(h):
-                inc = xi1[i] * b + xi2[i] * _g(np.array(lv), np.array(lam[i]))
-                out[j] = lv + inc
-                lv = lv + inc
-            fc = out + s
-        fcs.append(fc)
+        if snaps is not None:
+            snapshot(t + 1)
+    fcs = [_forecast(kind, level[i], trend[i], season[i], int(lens[i]), int(horizons[i]),
+                     phi[i], xi1[i], xi2[i], lam[i], m) for i in range(r)]
+    if snaps is not None:
+        return snaps
     return sse, np.maximum(lens - 1, 0), fcs
 
 
@@ -161,3 +185,38 @@ def _run_chunk(kind: str, rows: list[int], y: pd.Series, h: pd.Series, grid: pd.
     sse, nfit, fcs = run(kind, ys, np.array(hs), {p: np.array(v) for p, v in prm.items()}, src=np.array(src))
     for c, j in enumerate(src):
         out[rows[j]].append({"gid": gids[c], "sse": float(sse[c]), "n_fit": int(nfit[c]), "fc": fcs[c].tolist()})
+
+
+STOPS_T = T.ArrayType(T.StructType([
+    T.StructField("gid", T.IntegerType()), T.StructField("fold", T.IntegerType()), T.StructField("sse", T.DoubleType()),
+    T.StructField("n_fit", T.IntegerType()), T.StructField("fc", T.ArrayType(T.DoubleType()))]))
+
+
+@F.pandas_udf(STOPS_T)
+def smooth_folds_udf(kind: pd.Series, y: pd.Series, cuts: pd.Series, grid: pd.Series) -> pd.Series:
+    """One row per whole series; ``cuts`` = array of (fold, train_end, h). Every grid point runs
+    the series once and reports each fold's state at its training end (prefix snapshots)."""
+    out: list = [[] for _ in range(len(y))]
+    kinds = kind.to_numpy()
+    for k in pd.unique(kinds):
+        idx = [i for i in np.flatnonzero(kinds == k) if y.iloc[i] is not None and len(y.iloc[i]) > 0]
+        for start in range(0, len(idx), 200):
+            rows = idx[start:start + 200]
+            ys = [np.asarray(y.iloc[i], dtype=float) for i in rows]
+            src, gids, stops, prm = [], [], [], {p: [] for p in PARAMS}
+            for j, i in enumerate(rows):
+                cl = [(int(c["fold"]), int(c["train_end"]), int(c["h"])) for c in cuts.iloc[i] if int(c["train_end"]) >= 1]
+                for g in (grid.iloc[i] if grid.iloc[i] is not None else []):
+                    src.append(j)
+                    gids.append(int(g["gid"]))
+                    stops.append(cl)
+                    for p in PARAMS:
+                        prm[p].append(float(g[p]))
+            if not src:
+                continue
+            snaps = run(str(k), ys, np.zeros(len(src), dtype=int), {p: np.array(v) for p, v in prm.items()},
+                        src=np.array(src), stops=stops)
+            for c, j in enumerate(src):
+                for fold, sse, nfit, fc in snaps[c]:
+                    out[rows[j]].append({"gid": gids[c], "fold": fold, "sse": sse, "n_fit": nfit, "fc": fc.tolist()})
+    return pd.Series(out)

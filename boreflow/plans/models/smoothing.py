@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from boreflow.session import apply_recommended_conf, reuse
 
 from boreflow.functions import linalg as L
-from boreflow.functions.smoothing import smooth_grid_udf
-from boreflow.operators.backtest import backtest_rows
+from boreflow.functions.smoothing import smooth_folds_udf, smooth_grid_udf
+from boreflow.operators.backtest import backtest_rows, split_bounds
+from boreflow.plans.series import series_arrays
 from boreflow.operators.clean import KEY
 from boreflow.plans.models import common as M
 
@@ -94,24 +95,37 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
     panel = reuse(panel)
     regs = list(regressors) if kind != "ets" else []
     grid = grid or default_grid(kind)
-    rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key).persist()
     if kind == "ets":
-        rows1 = rows.withColumns({"cid": F.lit(0), "params": F.create_map().cast("map<string,string>"), "reg": F.lit(0.0)})
+        # No regression stage: every fold trains on a prefix of the same series, so each series
+        # runs once per grid point and reports its state at every fold's training end.
+        rows1 = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout, key).withColumns(
+            {"cid": F.lit(0), "params": F.create_map().cast("map<string,string>"), "reg": F.lit(0.0)})
+        ser = series_arrays(panel, [target], key)
+        bounds, k = split_bounds(F.col("n"), n_splits, holdout)
+        if horizon <= 0:
+            bounds = F.filter(bounds, lambda b: b["fold"] < k)
+        cuts = F.transform(bounds, lambda b: F.struct(
+            b["fold"].alias("fold"), b["train_end"].alias("train_end"),
+            F.when(b["fold"] == k, F.lit(max(horizon, 0))).otherwise(b["test_end"] - b["train_end"]).alias("h")))
+        garr = _grid_array(grid)
+        res = ser.select(key, F.explode(smooth_folds_udf(F.lit(kind), F.col(target), cuts, garr)).alias("_s"))
+        res = res.select(key, "_s.fold", F.lit(0).alias("cid"), "_s.gid", "_s.sse", "_s.n_fit", "_s.fc").withColumn(
+            "gparams", garr[F.col("gid")]["gparams"])
     else:
+        rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key).persist()
         feats, _ = trend_features(regs)
         stage1 = stage1 or stage1_candidates(kind, regs)
         sol = M.fit(rows, feats, [F.col("y")], stage1).select(key, "fold", "cid", "params", "beta")
-        rows1 = rows.join(sol, [key, "fold"]).withColumn("reg", L.dot(F.col("beta"), feats)).drop("beta")
-    rows1 = rows1.persist()
-    pts = F.array_sort(F.collect_list(F.struct("pos", (F.col("y") - F.col("reg")).alias("r"))))
-    series = rows1.filter(F.col("part") == "train").groupBy(key, "fold", "cid").agg(pts.alias("_p"))
-    steps = rows.filter(F.col("part") != "train").groupBy(key, "fold").agg(F.max("step").alias("h"))
-    series = series.join(steps, [key, "fold"], "left").select(
-        key, "fold", "cid", F.transform("_p", lambda p: p["r"]).alias("r"), F.coalesce("h", F.lit(0)).alias("h"))
-    garr = _grid_array(grid)
-    mine = F.filter(garr, lambda g: (g["only_cid"] < 0) | (g["only_cid"] == F.col("cid")))
-    res = series.select(key, "fold", "cid", F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), mine)).alias("_s"))
-    res = res.select(key, "fold", "cid", "_s.*").withColumn("gparams", garr[F.col("gid")]["gparams"])
+        rows1 = rows.join(sol, [key, "fold"]).withColumn("reg", L.dot(F.col("beta"), feats)).drop("beta").persist()
+        pts = F.array_sort(F.collect_list(F.struct("pos", (F.col("y") - F.col("reg")).alias("r"))))
+        series = rows1.filter(F.col("part") == "train").groupBy(key, "fold", "cid").agg(pts.alias("_p"))
+        steps = rows.filter(F.col("part") != "train").groupBy(key, "fold").agg(F.max("step").alias("h"))
+        series = series.join(steps, [key, "fold"], "left").select(
+            key, "fold", "cid", F.transform("_p", lambda p: p["r"]).alias("r"), F.coalesce("h", F.lit(0)).alias("h"))
+        garr = _grid_array(grid)
+        mine = F.filter(garr, lambda g: (g["only_cid"] < 0) | (g["only_cid"] == F.col("cid")))
+        res = series.select(key, "fold", "cid", F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), mine)).alias("_s"))
+        res = res.select(key, "fold", "cid", "_s.*").withColumn("gparams", garr[F.col("gid")]["gparams"])
     pred = rows1.filter(F.col("part") != "train").join(res, [key, "fold", "cid"])
     sd = F.sqrt(F.try_divide(F.col("sse"), F.col("n_fit").cast("double")))
     yhat = F.col("reg") + F.element_at("fc", F.col("step"))
