@@ -24,7 +24,7 @@ METHODS = {"ols": 0, "fixed_ridge": 1, "auto_ridge": 1, "ridge": 1, "lasso": 2}
 
 
 def gram(df: DataFrame, by: Sequence[str], feats: Sequence[Column], ys: Sequence[Column], weight: Column | None = None,
-         builder=None, inputs: Sequence[Column] | None = None) -> DataFrame:
+         builder=None, inputs: Sequence[Column] | None = None, prefix: tuple[str, str, int] | None = None) -> DataFrame:
     """Per group: ``n``, ``xtx`` (k*k row-major), ``xty_<t>`` (k) and ``yty_<t>`` for every target t.
 
     Features and targets are JVM column expressions evaluated in one projection. Each task
@@ -38,6 +38,11 @@ def gram(df: DataFrame, by: Sequence[str], feats: Sequence[Column], ys: Sequence
     same features inside the task from the few ``inputs`` columns, so wide feature sets (e.g. 50
     Fourier terms) need not cross Arrow; ``feats`` then only gives k (and stays the definition
     used for prediction; tests check that both agree).
+
+    ``prefix=(block_col, fold_col, last)``: nested groups. A row of block ``b`` belongs to every
+    fold ``b..last`` (expanding folds train on prefixes). Partials are summed per block and each
+    small partial vector, not each row, is copied to the folds that contain it; the output is
+    keyed by ``fold_col``. ``by`` must then name ``block_col`` among its keys.
     """
     by = list(by)
     k, nt = len(feats), len(ys)
@@ -46,14 +51,15 @@ def gram(df: DataFrame, by: Sequence[str], feats: Sequence[Column], ys: Sequence
         staged = df.select(*by, *[c.cast("double").alias(f"_i{j}") for j, c in enumerate(ins)],
                            *[y.cast("double").alias(f"_y{t}") for t, y in enumerate(ys)],
                            (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"))
-        return _gram_staged(staged, by, k, nt, [f"_i{j}" for j in range(len(ins))], builder)
+        return _gram_staged(staged, by, k, nt, [f"_i{j}" for j in range(len(ins))], builder, prefix)
     staged = df.select(*by, *[f.cast("double").alias(f"_f{i}") for i, f in enumerate(feats)],
                        *[y.cast("double").alias(f"_y{t}") for t, y in enumerate(ys)],
                        (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"))
-    return _gram_staged(staged, by, k, nt, [f"_f{i}" for i in range(k)], None)
+    return _gram_staged(staged, by, k, nt, [f"_f{i}" for i in range(k)], None, prefix)
 
 
-def _gram_staged(staged: DataFrame, by: list[str], k: int, nt: int, fcols: list[str], builder) -> DataFrame:
+def _gram_staged(staged: DataFrame, by: list[str], k: int, nt: int, fcols: list[str], builder,
+                 prefix: tuple[str, str, int] | None = None) -> DataFrame:
     key_fields = [staged.schema[b] for b in by]
     out_schema = T.StructType(key_fields + [T.StructField("_v", T.ArrayType(T.DoubleType()))])
     ycols = [f"_y{t}" for t in range(nt)]
@@ -94,6 +100,11 @@ def _gram_staged(staged: DataFrame, by: list[str], k: int, nt: int, fcols: list[
     from pyspark.ml.stat import Summarizer
 
     parts = staged.mapInPandas(partial, out_schema)
+    if prefix is not None:
+        block, fold, last = prefix
+        parts = parts.select(*[b for b in by if b != block],
+                             F.explode(F.sequence(F.col(block), F.lit(last))).alias(fold), "_v")
+        by = [fold if b == block else b for b in by]
     agg = parts.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("_v"))).alias("_v"))
     v = F.col("_v")
     kk = k * k

@@ -53,9 +53,15 @@ def candidate_array(cands: Sequence[Candidate]) -> Column:
 
 def fit(rows: DataFrame, feats: Sequence[Column], ys: Sequence[Column], cands: Sequence[Candidate],
         by: Sequence[str] = (KEY, "fold"), weight: Column | None = None, builder=None,
-        inputs: Sequence[Column] | None = None) -> DataFrame:
-    """Solve every candidate on the training rows: ``by..., n, cid, params, tgt, extra, beta, sse``."""
-    g = L.gram(rows.filter(F.col("part") == "train"), list(by), feats, ys, weight, builder, inputs)
+        inputs: Sequence[Column] | None = None, prefix: tuple[str, str, int] | None = None) -> DataFrame:
+    """Solve every candidate on the training rows: ``by..., n, cid, params, tgt, extra, beta, sse``.
+
+    With ``prefix=(block, fold, last)`` the rows carry a block index instead of a fold and ``by``
+    names the block; the Gram of fold k sums blocks 0..k (see ``linalg.gram``).
+    """
+    g = L.gram(rows.filter(F.col("part") == "train"), list(by), feats, ys, weight, builder, inputs, prefix)
+    if prefix is not None:
+        by = [prefix[1] if b == prefix[0] else b for b in by]
     staged = g.select(*by, "n", "xtx", *[c for c in g.columns if c.startswith(("xty_", "yty_"))],
                       F.explode(candidate_array(cands)).alias("_c"))
     # The Gram table is small in bytes but each row now carries a solve: spread the solves over

@@ -31,13 +31,20 @@ N_OUT = 7
 
 
 def _fold_windows(panel: DataFrame, target: str, n_input: int, n_out: int, n_splits: int,
-                  holdout: tuple[float, float] | None, key: str) -> DataFrame:
+                  holdout: tuple[float, float] | None, key: str) -> tuple[DataFrame, int]:
+    """Windows with their block: the first fold whose training part holds the whole window.
+
+    Expanding folds are nested, so a window of block b trains folds b..last; the Gram is summed
+    per block and only the small partial sums are copied to the later folds (no 6x copy of the
+    windows). Returns the windows and the last fold index.
+    """
     win = supervised(panel, target, n_input, n_out, key)
     span = panel.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    bounds, _ = split_bounds(F.col("_n"), n_splits, holdout)
-    staged = win.join(span, key).select("*", F.explode(bounds).alias("_b"))
-    return staged.filter(F.col("start_idx") + F.lit(n_input + n_out) <= F.col("_b.train_end")).select(
-        key, F.col("_b.fold").alias("fold"), F.lit("train").alias("part"), "x", "y")
+    bounds, k = split_bounds(F.col("_n"), n_splits, holdout)
+    end = F.col("start_idx") + F.lit(n_input + n_out)
+    first = F.filter(bounds, lambda b: end <= b["train_end"])[0]["fold"]
+    staged = win.join(span, key).select(key, first.alias("block"), F.lit("train").alias("part"), "x", "y")
+    return staged.filter(F.col("block").isNotNull()), k
 
 
 def _scale(c: Column) -> Column:
@@ -75,20 +82,21 @@ def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int
     panel = reuse(panel)
     if mode not in ("direct", "recursive", "pooled"):
         raise ValueError(mode)
-    wins = _fold_windows(panel, target, n_input, n_out, n_splits, holdout, key)
+    wins, last = _fold_windows(panel, target, n_input, n_out, n_splits, holdout, key)
     sc = _scale(F.col("x"))
     if mode == "pooled":
         feats = [F.lit(1.0)] + [F.col("x")[i] / sc for i in range(n_input)]
         ys = [F.col("y")[s] / sc for s in range(n_out)]
-        by = ["fold"]
+        by = ["block"]
     else:
         feats = [F.lit(1.0)] + [F.col("x")[i] / sc for i in range(n_input)]
         ys = [F.col("y")[s] / sc for s in range(n_out)]
-        by = [key, "fold"]
+        by = [key, "block"]
     lams = [float(x) for x in (lam if isinstance(lam, (list, tuple)) else [lam])]
     cands = [M.Candidate({"lam": repr(lm)}, [True] * (n_input + 1), [0.0] + [1.0] * n_input, lm, "ridge", s)
              for lm in lams for s in range(n_out)]
-    sol = M.fit(wins, feats, ys, cands, by=by).withColumn("lam", F.col("params")["lam"])
+    sol = M.fit(wins, feats, ys, cands, by=by, prefix=("block", "fold", last)).withColumn("lam", F.col("params")["lam"])
+    by = [("fold" if b == "block" else b) for b in by]
     coef = sol.groupBy(*by, "lam").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tgt", "beta"))), lambda t: t["beta"]).alias("betas"),
         F.max_by(F.sqrt(F.col("sse") / F.col("n")), F.struct(F.lit(0) - F.col("tgt"))).alias("rel_sd"),
