@@ -53,3 +53,18 @@ def test_numpy_feature_builder_matches_columns(spark):
     np.testing.assert_allclose(a.xtx, b.xtx, rtol=1e-9, atol=1e-9)
     np.testing.assert_allclose(a.xty_0, b.xty_0, rtol=1e-9, atol=1e-9)
     assert a.n == b.n == 80
+
+
+def test_prefix_gram_equals_per_fold_copies(spark):
+    rng = np.random.default_rng(9)
+    rows = [("w" + str(i % 2), int(rng.integers(0, 3)), float(rng.normal()), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "well string, block int, x double, y double")
+    feats = [F.lit(1.0), F.col("x")]
+    pre = {(r.well, r.fold): r for r in L.gram(df, ["well", "block"], feats, [F.col("y")], prefix=("block", "fold", 2)).collect()}
+    copies = df.select("*", F.explode(F.sequence(F.col("block"), F.lit(2))).alias("fold"))
+    direct = {(r.well, r.fold): r for r in L.gram(copies, ["well", "fold"], feats, [F.col("y")]).collect()}
+    assert set(pre) == set(direct)
+    for key, r in direct.items():
+        np.testing.assert_allclose(pre[key].xtx, r.xtx, rtol=1e-12)
+        np.testing.assert_allclose(pre[key].xty_0, r.xty_0, rtol=1e-12)
+        assert pre[key].n == r.n
