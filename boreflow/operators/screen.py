@@ -65,12 +65,18 @@ def acf_screen(acf_df: DataFrame, threshold: float = ACF_MIN, key: str = KEY) ->
     )
 
 
+def safe_corr(x: str, y: str) -> F.Column:
+    """Pearson r as ``covar_pop / (stddev_pop * stddev_pop)``; a constant column gives null.
+
+    (``corr`` divides by a zero variance and fails under ANSI mode.)
+    """
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def corr_with_target(df: DataFrame, target: str, regressors: Iterable[str], key: str = KEY) -> DataFrame:
     """Pearson r of each regressor with the target, per well: ``(well, regressor, r, n)``."""
     regs = list(regressors)
-    agg = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), *[F.corr(r, target).alias(r) for r in regs]
-    )
+    agg = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[safe_corr(r, target).alias(r) for r in regs])
     return agg.unpivot([key, "n"], regs, "regressor", "r").select(key, "regressor", "r", "n")
 
 
