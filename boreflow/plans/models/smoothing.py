@@ -36,13 +36,22 @@ GRID_KEYS = ("alpha", "beta", "gamma", "phi", "xi1", "xi2", "lam")
 DEFAULTS = {"alpha": 0.3, "beta": 0.0, "gamma": 0.0, "phi": 1.0, "xi1": 1.0, "xi2": 0.0, "lam": 0.5}
 
 
-def trend_features(regressors: Sequence[str]) -> tuple[list[Column], list[str]]:
-    """Stage-1 features: intercept, the four global-trend shapes, then the regressors."""
-    t = F.col("pos").cast("double") / F.greatest(F.col("train_end"), F.lit(1)).cast("double")
-    feats = [F.lit(1.0), t, F.log1p(F.col("pos").cast("double")), F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-10.0) * (t - F.lit(0.5))))]
+def trend_features(regressors: Sequence[str], pos: Column | None = None, train_end: Column | None = None,
+                   reg_values: Sequence[Column] | None = None) -> tuple[list[Column], list[str]]:
+    """Stage-1 features: intercept, the four global-trend shapes, then the regressors.
+
+    By default they read the row's ``pos``, ``train_end`` and regressor columns; the same
+    definitions also take lambda variables (``pos``, ``train_end``, ``reg_values``) so a series
+    array can be evaluated element by element with the identical formulas.
+    """
+    pos = F.col("pos") if pos is None else pos
+    train_end = F.col("train_end") if train_end is None else train_end
+    t = pos.cast("double") / F.greatest(train_end, F.lit(1)).cast("double")
+    feats = [F.lit(1.0), t, F.log1p(pos.cast("double")), F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-10.0) * (t - F.lit(0.5))))]
     kinds = ["const", "linear", "loglinear", "logistic"]
-    for r in regressors:
-        feats.append(F.col(r).cast("double"))
+    values = [F.col(r) for r in regressors] if reg_values is None else list(reg_values)
+    for v in values:
+        feats.append(v.cast("double"))
         kinds.append("reg")
     return feats, kinds
 
@@ -116,12 +125,27 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
         feats, _ = trend_features(regs)
         stage1 = stage1 or stage1_candidates(kind, regs)
         sol = M.fit(rows, feats, [F.col("y")], stage1).select(key, "fold", "cid", "params", "beta")
-        rows1 = rows.join(sol, [key, "fold"]).withColumn("reg", L.dot(F.col("beta"), feats)).drop("beta").persist()
-        pts = F.array_sort(F.collect_list(F.struct("pos", (F.col("y") - F.col("reg")).alias("r"))))
-        series = rows1.filter(F.col("part") == "train").groupBy(key, "fold", "cid").agg(pts.alias("_p"))
-        steps = rows.filter(F.col("part") != "train").groupBy(key, "fold").agg(F.max("step").alias("h"))
-        series = series.join(steps, [key, "fold"], "left").select(
-            key, "fold", "cid", F.transform("_p", lambda p: p["r"]).alias("r"), F.coalesce("h", F.lit(0)).alias("h"))
+        rows1 = rows.filter(F.col("part") != "train").join(sol, [key, "fold"]).withColumn(
+            "reg", L.dot(F.col("beta"), feats)).drop("beta")
+        # Residual series per (well, fold, candidate) from per-well arrays: one row per well
+        # joined with the small coefficient table, residuals evaluated element by element with
+        # the same feature formulas (JVM array functions; no copy of the rows per fold).
+        arrs = series_arrays(panel, [target, *regs], key)
+        bounds, k = split_bounds(F.col("n"), n_splits, holdout)
+        if horizon <= 0:
+            bounds = F.filter(bounds, lambda b: b["fold"] < k)
+        sol2 = sol.select(F.col(key).alias("_k"), F.col("fold").alias("_fold"), "cid", "beta")
+        per = arrs.select(key, target, *regs, F.explode(bounds).alias("_b")).join(
+            sol2, (F.col(key) == F.col("_k")) & (F.col("_b.fold") == F.col("_fold"))).drop("_k", "_fold")
+        te = F.col("_b.train_end")
+
+        def resid(i):
+            fi, _ = trend_features(regs, i, te, [F.col(r)[i] for r in regs])
+            return F.col(target)[i] - L.dot(F.col("beta"), fi)
+
+        hcol = F.when(F.col("_b.fold") == k, F.lit(max(horizon, 0))).otherwise(F.col("_b.test_end") - te)
+        series = per.select(key, F.col("_b.fold").alias("fold"), "cid",
+                            F.transform(F.sequence(F.lit(0), te - 1), resid).alias("r"), hcol.alias("h"))
         garr = _grid_array(grid)
         mine = F.filter(garr, lambda g: (g["only_cid"] < 0) | (g["only_cid"] == F.col("cid")))
         res = series.select(key, "fold", "cid", F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), mine)).alias("_s"))
