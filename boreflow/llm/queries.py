@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boreflow.llm import decontam, exact, langid, licenses, mixing, simhash, tokens, urls
+from boreflow.llm import decontam, exact, langid, licenses, mixing, simhash, substring, tokens, toxicity, urls
 from boreflow.llm.text import documents
 
 
@@ -26,6 +26,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(documents(spark, sf_dir), decontam.benchmark(spark, sf_dir))
 
@@ -42,11 +46,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(documents(spark, sf_dir))
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_simhash_dedup, op2_mixing, op3_license_scan, op5_decontamination, op6_exact_dedup,
-    op7_token_output, op8_url_filter, op10_language_id,
+    op1_simhash_dedup, op2_mixing, op3_license_scan, op4_substring_dedup, op5_decontamination, op6_exact_dedup,
+    op7_token_output, op8_url_filter, op9_toxicity, op10_language_id,
 )}
