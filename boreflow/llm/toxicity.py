@@ -90,8 +90,8 @@ def evidence(m: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, int,
     """(evidence, significant segments) of one text.
 
     A segment's calibrated score is lam * S - ln(K n): minus the log of the number of segments as
-    good that a clean text of n words has by chance. Several segments add up as the sum statistic
-    of the r best, less ln r! for their order; the evidence is the largest over r.
+    good that a clean text of n words has by chance. All segments better than chance add up as the
+    sum statistic of the r best, less ln r! for their order; the evidence is the largest over r.
     """
     if not len(scores):
         return 0.0, []
@@ -99,9 +99,10 @@ def evidence(m: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, int,
     best, running, kept = 0.0, 0.0, []
     for r, (b, e, s) in enumerate(segments(scores), 1):
         calibrated = m.lam * s - chance
-        if calibrated < -math.log(SIGNIFICANT):
+        if calibrated <= 0:
             break
-        kept.append((b, e, calibrated))
+        if calibrated >= -math.log(SIGNIFICANT):
+            kept.append((b, e, calibrated))
         running += calibrated - math.log(r)
         best = max(best, running)
     return best, kept
@@ -231,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def clean_tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         count: Counter = Counter()
         for text in bytes_list(batch.column("text")):
-            count.update(np.round(token_scores(m, text), 1).tolist())
+            count.update(np.round(token_scores(m, text), 3).tolist())
         return pa.record_batch([pa.array(list(count), pa.float64()), pa.array(list(count.values()), pa.int64())], names=["s", "n"])
 
     tokens = map_arrow(rows.filter("toxic = 0").select("text"), clean_tokens, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
