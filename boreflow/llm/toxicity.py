@@ -17,7 +17,7 @@ from boreflow.llm.text import LETTER_WORDS, bytes_list, map_arrow, materialize,
 
 TRAIN_PER_CLASS = 8_000  # labelled documents of each class the scores are learned from
 FEATURES = 20_000  # features with the largest |z| that the model keeps
-LEAST_Z = 3.0
+LEAST_Z = 5.0
 LEAST_DOCS = 3  # distinct training documents a feature occurs in
 PRIOR_SHARE = 0.05  # the Dirichlet prior is so large a share of the corpus' document counts
 STEMS = (4, 5)  # a longer word also counts as its beginnings of so many characters
@@ -82,8 +82,15 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def token_scores(m: Model, text: bytes) -> np.ndarray:
+    """Scores of a text's words in order; the k-th place of a word with a positive score has 1/k of it,
+    so that a line repeated many times is no more evidence than a few different words."""
     words = text.translate(LETTER_WORDS).split()
-    return np.fromiter(map(m.token, words), np.float64, len(words))
+    scores = np.fromiter(map(m.token, words), np.float64, len(words))
+    seen: Counter = Counter()
+    for k in np.flatnonzero(scores > 0).tolist():
+        seen[words[k]] += 1
+        scores[k] /= seen[words[k]]
+    return scores
 
 
 def evidence(m: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
@@ -257,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pairs = map_arrow(rows, scored, "e double, toxic int").groupBy(F.round("e", 2).alias("e"), "toxic").count().collect()
     pairs.sort(key=lambda r: (r.e, r.toxic))
     weight = np.array([r["count"] * share[r.toxic] / n[r.toxic] for r in pairs])
-    m.slope, m.offset = logistic(np.array([r.e for r in pairs]), np.array([float(r.toxic) for r in pairs]), weight / weight.mean())
+    m.slope, m.offset = logistic(np.log1p([r.e for r in pairs]), np.array([float(r.toxic) for r in pairs]), weight / weight.mean())
     return m
 
 
@@ -281,7 +288,7 @@ def toxicity(
         out = []
         for text in bytes_list(batch.column("text")):
             e, kept = evidence(m, token_scores(m, text))
-            score = 1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * e + m.offset))))
+            score = 1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * math.log1p(e) + m.offset))))
             out.append((score, int(score >= THRESHOLD), len(kept), min((b for b, _, _ in kept), default=None), max((x - 1 for _, x, _ in kept), default=None)))
         cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
         return pa.record_batch([batch.column("doc_id"), batch.column("held_out"), *cols], names=["doc_id", "held_out", "score", "predicted", "n_segments", "first_word", "last_word"])
