@@ -93,8 +93,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
 
     Samples too small to train on become a raw-content dictionary; no sample gives an empty one.
     """
-    fit = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= DICT_DOC_BYTES)
-    rows = fit.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(DICT_DOCS).collect()
+    fit = docs.filter("doc_id is not null").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= DICT_DOC_BYTES)
+    chosen = fit.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(DICT_DOCS)
+    ids = [r.doc_id for r in chosen.collect()]  # DICT_DOCS at most; only their texts follow
+    rows = fit.filter(F.col("doc_id").isin(ids)).select("doc_id", "text").dropDuplicates().orderBy("doc_id", "text").limit(DICT_DOCS).collect()
     if not rows:
         return b""
     ids, cuts = Encoder(tokenizer_path).encode([(r.text or "").encode() for r in rows])
