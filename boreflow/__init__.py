@@ -5,4 +5,4 @@ Every operator takes and returns a DataFrame; ``well`` is always the series key
 ``(well, ds, <param> ...)``.
 """
 
-__all__ = ["operators", "sources", "functions", "plans", "streaming"]
+__all__ = ["operators", "sources", "functions", "plans"]

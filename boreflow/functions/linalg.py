@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SOLVE_T = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("sse", T.DoubleType())])
+SOLVE_T = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("sse", T.DoubleType()),
+                        T.StructField("converged", T.BooleanType())])
 METHODS = {"ols": 0, "fixed_ridge": 1, "auto_ridge": 1, "ridge": 1, "lasso": 2}
 
 
@@ -115,55 +116,74 @@ def _gram_staged(staged: DataFrame, by: list[str], k: int, nt: int, fcols: list[
     return agg.select(*out)
 
 
-def _solve_one(a: np.ndarray, b: np.ndarray, lam: float, pen: np.ndarray, method: int) -> np.ndarray:
-    k = b.shape[0]
-    scale = np.where(np.diag(a) > 0, np.diag(a), 1.0)
-    if method == 2:  # lasso by coordinate descent on the Gram matrix (standardised by the diagonal)
-        beta = np.zeros(k)
-        thr = lam * pen * np.sqrt(scale)
-        for _ in range(500):
-            old = beta.copy()
-            for j in range(k):
-                if a[j, j] <= 0:
-                    beta[j] = 0.0
-                    continue
-                rho = b[j] - a[j] @ beta + a[j, j] * beta[j]
-                beta[j] = np.sign(rho) * max(abs(rho) - thr[j], 0.0) / a[j, j]
-            if np.max(np.abs(beta - old)) <= 1e-10 * (1.0 + np.max(np.abs(beta))):
-                break
-        return beta
-    reg = a + np.diag(lam * pen * scale) if method == 1 else a
+LASSO_SWEEPS = 500
+NO_TARGET = 1e300  # value of a target that a row cannot have; its group then gets no solution
+
+
+def _lasso(a: np.ndarray, b: np.ndarray, lam: np.ndarray, pen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinate descent on a stack of Gram matrices (standardised by the diagonal); also which converged."""
+    diag = np.einsum("mii->mi", a)
+    thr = lam[:, None] * pen * np.sqrt(np.where(diag > 0, diag, 1.0))
+    beta, done = np.zeros_like(b), np.zeros(len(b), bool)
+    for _ in range(LASSO_SWEEPS):
+        live = np.flatnonzero(~done)
+        if not len(live):
+            break
+        old, cur = beta[live].copy(), beta[live]
+        for j in range(b.shape[1]):
+            d = diag[live, j]
+            rho = b[live, j] - np.einsum("mk,mk->m", a[live, j], cur) + d * cur[:, j]
+            step = np.sign(rho) * np.maximum(np.abs(rho) - thr[live, j], 0.0)
+            cur[:, j] = np.where(d > 0, step / np.where(d > 0, d, 1.0), 0.0)
+        beta[live] = cur
+        done[live] = np.abs(cur - old).max(axis=1) <= 1e-10 * (1.0 + np.abs(cur).max(axis=1))
+    return beta, done
+
+
+def _solve_stack(a: np.ndarray, b: np.ndarray, lam: np.ndarray, pen: np.ndarray, method: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of a stack of systems of one shape, and whether each converged."""
+    if method == 2:
+        return _lasso(a, b, lam, pen)
+    done = np.ones(len(b), bool)
+    if method == 1:
+        diag = np.einsum("mii->mi", a)
+        a = a + np.einsum("mi,ij->mij", lam[:, None] * pen * np.where(diag > 0, diag, 1.0), np.eye(a.shape[1]))
     try:
-        return np.linalg.solve(reg, b)
-    except np.linalg.LinAlgError:
-        return np.linalg.lstsq(reg, b, rcond=None)[0]
+        return np.linalg.solve(a, b[..., None])[..., 0], done
+    except np.linalg.LinAlgError:  # a singular one among them: least squares for each
+        return np.stack([np.linalg.lstsq(x, y, rcond=None)[0] for x, y in zip(a, b, strict=True)]), done
 
 
 @F.pandas_udf(SOLVE_T)
 def _solve_udf(xtx: pd.Series, xty: pd.Series, yty: pd.Series, keep: pd.Series, pen: pd.Series,
                lam: pd.Series, method: pd.Series) -> pd.DataFrame:
-    betas, sses = [], []
-    for a, b, yy, kp, p, lm, m in zip(xtx, xty, yty, keep, pen, lam, method):
+    betas, sses, done = [None] * len(xtx), [None] * len(xtx), [None] * len(xtx)
+    alike: dict[tuple, list[int]] = {}
+    for i, (a, b, yy, kp, m) in enumerate(zip(xtx, xty, yty, keep, method)):
         if a is None or b is None or yy is None:
-            betas.append(None)
-            sses.append(None)
             continue
-        b = np.asarray(b, dtype=float)
-        k = b.shape[0]
-        a = np.asarray(a, dtype=float).reshape(k, k)
-        kp = np.asarray(kp, dtype=bool)
-        sub = np.ix_(kp, kp)
-        beta = np.zeros(k)
-        if kp.any():
-            beta[kp] = _solve_one(a[sub], b[kp], float(lm), np.asarray(p, dtype=float)[kp], int(m))
-        sse = float(yy - 2.0 * beta @ b + beta @ a @ beta)
-        betas.append(beta.tolist())
-        sses.append(max(sse, 0.0))
-    return pd.DataFrame({"beta": betas, "sse": sses})
+        if not np.abs(b).max() < NO_TARGET / 1e100:  # a target that does not exist for this group
+            continue
+        alike.setdefault((len(b), np.asarray(kp, bool).tobytes(), int(m)), []).append(i)
+    for (k, kp, m), rows in alike.items():
+        kept = np.flatnonzero(np.frombuffer(kp, bool))
+        a = np.stack([np.asarray(xtx[i], float).reshape(k, k) for i in rows])
+        b = np.stack([np.asarray(xty[i], float) for i in rows])
+        beta, ok = np.zeros((len(rows), k)), np.ones(len(rows), bool)
+        if len(kept):
+            weights = np.stack([np.asarray(pen[i], float)[kept] for i in rows])
+            strength = np.array([float(lam[i]) for i in rows])
+            beta[:, kept], ok = _solve_stack(a[:, kept[:, None], kept], b[:, kept], strength, weights, m)
+        sse = yty.iloc[rows].to_numpy(float) - 2.0 * np.einsum("mk,mk->m", beta, b) + np.einsum("mi,mij,mj->m", beta, a, beta)
+        for r, i in enumerate(rows):
+            betas[i], sses[i], done[i] = beta[r].tolist(), max(float(sse[r]), 0.0), bool(ok[r])
+    return pd.DataFrame({"beta": betas, "sse": sses, "converged": done})
 
 
 def solve(xtx: Column, xty: Column, yty: Column, keep: Column, pen: Column, lam: Column, method: Column) -> Column:
-    """Struct ``(beta array<double>, sse double)``; ``sse`` is the in-sample residual sum of squares.
+    """Struct ``(beta array<double>, sse double, converged boolean)``; ``sse`` is the in-sample residual sum
+    of squares, ``converged`` tells whether a lasso settled within its sweeps. A group with a
+    row marked ``NO_TARGET`` gets null.
 
     ``keep`` (array<boolean>) drops features (their coefficient is 0), ``pen`` (array<double>)
     says which features are penalised, ``method`` is 0 ols, 1 ridge, 2 lasso.

@@ -20,6 +20,8 @@ one-step in-sample SSE, the number of scored steps and the forecast for steps ``
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -45,13 +47,11 @@ def _forecast(kind, level, trend, season, used, h, phi, xi1, xi2, lam, m):
     if kind == "dlt":
         damp = np.cumsum(phi ** steps) if h else np.zeros(0)
         return level + damp * trend + s
-    out = np.empty(h)
-    lv = level
-    for j in range(h):
-        inc = xi1 * trend + xi2 * float(_g(np.array(lv), np.array(lam)))
-        out[j] = lv + inc
-        lv = lv + inc
-    return out + s
+    out, lv, drift, power = [], float(level), float(xi1 * trend), float(lam)
+    for _ in range(h):
+        lv += drift + xi2 * math.copysign(abs(lv) ** power, lv)
+        out.append(lv)
+    return np.array(out) + s
 
 
 def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np.ndarray], m: int = SEASON,

@@ -50,7 +50,8 @@ def backtest_rows(df: DataFrame, target: str, regressors: Iterable[str] = (), n_
     regs = list(regressors)
     w = series_window(key, order)
     staged = df.select(
-        key, order, F.col(target).cast("double").alias("y"), *regs,
+        key, order, F.col(target).cast("double").alias("y"),
+        *[F.coalesce(F.col(r), F.lit(0.0)).alias(r) for r in regs],  # a parameter the well does not have
         (F.row_number().over(w) - 1).cast("int").alias("pos"),
         F.count(F.lit(1)).over(Window.partitionBy(key)).cast("int").alias("_n"),
     )
@@ -80,19 +81,6 @@ def backtest_rows(df: DataFrame, target: str, regressors: Iterable[str] = (), n_
     return hist.unionByName(fut)
 
 
-def forecast_columns(df: DataFrame, model: str, params: dict[str, str] | None = None, key: str = KEY) -> DataFrame:
-    """Shape predicted rows into the ``forecast`` schema (future rows get ``fold = null``)."""
-    pm = params or {}
-    pmap = F.create_map(*[x for kv in sorted(pm.items()) for x in (F.lit(kv[0]), F.lit(str(kv[1])))]) if pm else \
-        F.create_map().cast("map<string,string>")
-    return df.select(
-        key, F.lit(model).alias("model"), (F.col("params") if "params" in df.columns else pmap).alias("params"),
-        F.when(F.col("part") == "future", F.lit(None)).otherwise(F.col("fold")).cast("int").alias("fold"),
-        F.col(ORDER), F.col("step").cast("int"), "y", "yhat",
-        *[c for c in ("yhat_lower", "yhat_upper") if c in df.columns],
-    )
-
-
 def last_value_forecast(rows: DataFrame, key: str = KEY) -> DataFrame:
     """Baseline: every test / future step of a fold predicts the last training value.
 

@@ -137,7 +137,11 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def clean(df: DataFrame, cols: Iterable[str] | None = None, method: str = "interpolate", target: str | None = None) -> DataFrame:
-    """The reference's cleaning chain: C1 -> (C2 | C3) -> C4 -> C5 -> C6."""
+    """The reference's cleaning chain: C1 -> (C2 | C3) -> C4 -> C5 -> C6.
+
+    A well that lacks a parameter altogether keeps its rows with that parameter null;
+    ``dropped_wells`` reports the wells without any row left (no target).
+    """
     cols = _cols(df, cols)
     out = null_blanks_zeros(df, cols)
     if method == "interpolate":
@@ -146,7 +150,14 @@ def clean(df: DataFrame, cols: Iterable[str] | None = None, method: str = "inter
         out = fill_median(out, cols)
     elif method != "none":
         raise ValueError(f"unknown fill method {method!r}")
-    out = drop_nulls(out, cols)
+    # A parameter a well does not have at all (no sheet for it) is not required of that well.
+    whole = Window.partitionBy(KEY)
+    absent = {f"_absent_{c}": F.count(c).over(whole) == 0 for c in cols if c != target}
+    out = out.withColumns(absent)
+    complete = F.lit(True)
+    for c in cols:
+        complete = complete & ((F.col(c).isNotNull() | F.col(f"_absent_{c}")) if c != target else F.col(c).isNotNull())
+    out = out.filter(complete).drop(*absent)
     if target is not None:
         out = nonzero_target(out, target)
     # C6 (forward fill) comes last in the reference's chain; after C4 no listed column holds a
@@ -155,10 +166,6 @@ def clean(df: DataFrame, cols: Iterable[str] | None = None, method: str = "inter
     return out
 
 
-def round_cols(df: DataFrame, cols: Iterable[str], digits: int = 6) -> DataFrame:
-    """Round double outputs for reports and engine-independent comparison."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-def col_list(cols: Iterable[str]) -> list[Column]:
-    return [F.col(c) for c in cols]
+def dropped_wells(raw: DataFrame, cleaned: DataFrame, key: str = KEY) -> DataFrame:
+    """Wells of the raw panel that cleaning left without a row: ``(well, n_days)``."""
+    return raw.groupBy(key).agg(F.count(F.lit(1)).alias("n_days")).join(cleaned.select(key).distinct(), key, "left_anti")

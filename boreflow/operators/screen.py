@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boreflow.functions.stats import t_pvalue
 from boreflow.operators.clean import KEY, ORDER, series_window
+from boreflow.session import cut_lineage
 
 ACF_LAGS = 20
 ACF_MIN = 0.2
@@ -122,7 +123,7 @@ def screen(df: DataFrame, target: str, regressors: Iterable[str], key: str = KEY
     ``significant`` = relevant and Spearman p < p_max (handed to LGT and KTR).
     """
     regs = list(regressors)
-    df = df.select(key, ORDER, target, *regs).persist()  # three statistics read the same panel
+    df = cut_lineage(df.select(key, ORDER, target, *regs))  # three statistics read the same panel
     a = acf_screen(acf(df, regs, key=key), acf_min, key).withColumnRenamed("param", "regressor")
     r = corr_screen(corr_with_target(df, target, regs, key), corr_min)
     s = spearman(df, target, regs, key).select(key, "regressor", "rho", "p")

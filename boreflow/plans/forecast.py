@@ -34,30 +34,39 @@ from boreflow.session import cut_lineage
 MODELS = ("ETS", "DLT", "LGT", "KTR", "Prophet", "Chronos", "LSTM", "TFT", "N-BEATS")
 USES_REGRESSORS = {"DLT": "relevant", "LGT": "significant", "KTR": "significant"}
 
-# The parameter defaults of the reference's page.
+# The parameter defaults of the reference's page, as far as a forecaster reads them, and
+# the settings of the slots that stand for its sequence models.
 DEFAULTS: dict[str, dict[str, str]] = {
     "DLT": {"global_trend_option": "linear", "regression_penalty": "fixed_ridge", "n_bootstrap_draws": "500"},
     "LGT": {"regression_penalty": "fixed_ridge", "n_bootstrap_draws": "500"},
     "ETS": {"n_bootstrap_draws": "500"},
-    "KTR": {"n_bootstrap_draws": "500", "num_steps": "200"},
+    "KTR": {"n_bootstrap_draws": "500", "n_knots": str(ktr.N_KNOTS), "lam": "0.1"},
     "Prophet": {"seasonality_mode": "additive", "yearly_seasonality": "true", "weekly_seasonality": "true"},
-    "LSTM": {"epochs": "10", "batch_size": "16", "n_steps": "2", "n_length": "7"},
-    "TFT": {"learning_rate": "0.03", "hidden_size": "16", "attention_head_size": "2", "dropout": "0.1",
-            "hidden_continuous_size": "8", "max_epochs": "10"},
-    "N-BEATS": {"learning_rate": "0.001", "log_interval": "10", "log_val_interval": "1", "weight_decay": "0.01",
-                "widths": "[32, 512]", "backcast_loss_ratio": "1.0", "max_epochs": "10"},
+    "Chronos": {"n_paths": str(paths.N_PATHS)},
+    "LSTM": {"n_steps": "2", "n_length": "7", "n_out": str(lags.N_OUT), "lam": "0.1", "mode": "direct"},
+    "TFT": {"n_input": "24", "n_out": str(lags.N_OUT), "lam": "0.1", "n_draws": "200"},
+    "N-BEATS": {"n_input": "24", "n_out": str(lags.N_OUT), "lam": "0.1"},
 }
 
 
-def _f(params: dict, name: str, default: float) -> float:
-    return float(params.get(name, default))
-
-
 def forecast(panel: DataFrame, target: str, model: str, regressors: Sequence[str] = (), horizon: int = 30,
              scenario: tuple[str, float] | None = None, params: dict | None = None, n_splits: int = 5,
              holdout: tuple[float, float] | None = None, include_last: bool = False) -> DataFrame:
-    """Backtest + future forecast of one model with one parameter set (``params`` by name)."""
-    p = dict(params or {})
+    """Backtest + future forecast of one model with one parameter set (``params`` by name).
+
+    Parameters not given take the model's DEFAULTS; the ``params`` of the result are all values used.
+    """
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; one of {MODELS}")
+    p = {**DEFAULTS[model], **(params or {})}
+    out = _forecast(panel, target, model, p, regressors, horizon, scenario, n_splits, holdout, include_last)
+    used = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in p.items()}
+    return E.best_params(out, used).withColumn("model", F.lit(model))
+
+
+def _forecast(panel: DataFrame, target: str, model: str, p: dict, regressors: Sequence[str], horizon: int,
+              scenario: tuple[str, float] | None, n_splits: int, holdout: tuple[float, float] | None,
+              include_last: bool) -> DataFrame:
     regs = list(regressors) if model in USES_REGRESSORS else []
     common = dict(horizon=horizon, n_splits=n_splits, holdout=holdout, include_last=include_last)
     if model in ("ETS", "DLT", "LGT"):
@@ -66,35 +75,48 @@ def forecast(panel: DataFrame, target: str, model: str, regressors: Sequence[str
             [smoothing.default_grid(kind)[0]]
         st1 = None
         if kind != "ets":
-            st1 = smoothing.stage1_candidates(kind, regs, [p.get("global_trend_option", "linear")],
-                                              [p.get("regression_penalty", "fixed_ridge")])
+            st1 = smoothing.stage1_candidates(kind, regs, [p.get("global_trend_option", "linear")], [p["regression_penalty"]])
         out = smoothing.smoothing_forecast(panel, target, kind, regs, st1, grid, scenario=scenario, **common)
-        band_draws = int(p.get("n_bootstrap_draws", 0) or 0)
-        if band_draws:
-            out = paths.bootstrap_band(out, panel, target, band_draws, horizon=horizon, n_splits=n_splits, holdout=holdout)
-        return out
+        return _with_draws(out, panel, target, p, common)
     if model == "KTR":
-        lam = _f(p, "lam", 0.1)
-        return ktr.ktr(panel, target, regs, n_knots=int(p.get("n_knots", ktr.N_KNOTS)),
-                       cands=ktr.candidates(regs, [lam]), scenario=scenario, **common)
+        out = ktr.ktr(panel, target, regs, n_knots=int(p["n_knots"]), cands=ktr.candidates(regs, [float(p["lam"])]), scenario=scenario, **common)
+        return _with_draws(out, panel, target, p, common)
     if model == "Prophet":
-        grid = [(p.get("seasonality_mode", "additive"), str(p.get("yearly_seasonality", "true")).lower() == "true",
-                 str(p.get("weekly_seasonality", "true")).lower() == "true")]
+        grid = [(p["seasonality_mode"], str(p["yearly_seasonality"]).lower() == "true", str(p["weekly_seasonality"]).lower() == "true")]
         return fourier.fourier_trend(panel, target, cands=fourier.candidates(grid), **common)
     if model == "Chronos":
-        return paths.sample_paths(panel, target, n_paths=int(p.get("n_paths", paths.N_PATHS)), **common)
-    if model in ("LSTM", "TFT", "N-BEATS"):
-        if model == "LSTM":
-            n_input = int(p.get("n_steps", 2)) * int(p.get("n_length", 7))
-            return lags.lag_forecast(panel, target, n_input=n_input, n_out=int(p.get("n_out", lags.N_OUT)),
-                                     mode=p.get("mode", "direct"), lam=_f(p, "lam", 0.1), **common)
-        out = lags.lag_forecast(panel, target, n_input=int(p.get("n_input", 24)), n_out=int(p.get("n_out", lags.N_OUT)),
-                                mode="pooled", lam=_f(p, "lam", 0.1), **common)
-        if model == "TFT":
-            out = paths.bootstrap_band(out, panel, target, int(p.get("n_draws", 200)), qs=(0.1, 0.9), horizon=horizon,
-                                       n_splits=n_splits, holdout=holdout)
-        return out.withColumn("model", F.lit(model))
-    raise ValueError(f"unknown model {model!r}; one of {MODELS}")
+        return paths.sample_paths(panel, target, n_paths=int(p["n_paths"]), **common)
+    n_input = int(p["n_steps"]) * int(p["n_length"]) if model == "LSTM" else int(p["n_input"])
+    out = lags.lag_forecast(panel, target, n_input=n_input, n_out=int(p["n_out"]), mode=p.get("mode", "pooled"), lam=float(p["lam"]), **common)
+    if model == "TFT":
+        out = paths.bootstrap_band(out, panel, target, int(p["n_draws"]), qs=(0.1, 0.9), horizon=horizon, n_splits=n_splits, holdout=holdout)
+    return out
+
+
+def _with_draws(out: DataFrame, panel: DataFrame, target: str, p: dict, common: dict) -> DataFrame:
+    """The bootstrap band of ``n_bootstrap_draws`` draws (0: the model's own normal band)."""
+    draws = int(p["n_bootstrap_draws"] or 0)
+    if not draws:
+        return out
+    return paths.bootstrap_band(out, panel, target, draws, horizon=common["horizon"], n_splits=common["n_splits"], holdout=common["holdout"])
+
+
+def mask_regressors(cleaned: DataFrame, screened: DataFrame, model: str, regs: Sequence[str]) -> DataFrame:
+    """The panel with each well's regressors that its screening did not pass set to 0.
+
+    Every well keeps one feature layout, so all wells stay in one job; models without regressors
+    get the panel as it is.
+    """
+    kind = USES_REGRESSORS.get(model)
+    if not kind or not regs:
+        return cleaned
+    # one flag per (well, regressor): ``max`` picks it deterministically
+    flags = screened.groupBy(KEY).pivot("regressor", list(regs)).agg(F.max(F.col(kind).cast("int")))
+    panel = cleaned.join(flags.select(KEY, *[F.col(r).alias(f"_k_{r}") for r in regs]), KEY, "left").select(
+        *[F.when(F.coalesce(F.col(f"_k_{c}"), F.lit(0)) == 1, F.col(c)).otherwise(F.lit(0.0)).alias(c)
+          if c in regs else F.col(c) for c in cleaned.columns])
+    # the screening plan (windows, ranks, a pandas UDF) stays out of the forecast's lineage
+    return cut_lineage(panel)
 
 
 def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], horizon: int = 30,
@@ -113,16 +135,8 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
     cleaned = cut_lineage(C.clean(panel_raw, list(params_), method=fill_method, target=target))
     screened = S.screen(cleaned, target, regs) if regs else None
     panel = cleaned
-    kind = USES_REGRESSORS.get(model)
-    if kind and screened is not None:
-        # one flag per (well, regressor): ``max`` picks it deterministically (``first`` would mark the
-        # plan non-deterministic and keep Spark from reusing persisted frames built on it)
-        flags = screened.groupBy(KEY).pivot("regressor", regs).agg(F.max(F.col(kind).cast("int")))
-        panel = cleaned.join(flags.select(KEY, *[F.col(r).alias(f"_k_{r}") for r in regs]), KEY, "left").select(
-            *[F.when(F.coalesce(F.col(f"_k_{c}"), F.lit(0)) == 1, F.col(c)).otherwise(F.lit(0.0)).alias(c)
-              if c in regs else F.col(c) for c in cleaned.columns])
-        # the screening plan (windows, ranks, a pandas UDF) stays out of the forecast's lineage
-        panel = cut_lineage(panel)
+    if screened is not None:
+        panel = mask_regressors(cleaned, screened, model, regs)
     fc = forecast(panel, target, model, regs, horizon, scenario, params, n_splits)
     metrics = E.metrics(fc.filter(F.col("part") == "test"), by=(KEY, "model", "fold"))
     return fc, metrics, screened

@@ -4,8 +4,9 @@ Features per row (all JVM column expressions): intercept, scaled time ``t = pos
 changepoint hinges ``max(t - c_j, 0)`` at ``c_j = 0.8 j / K`` (j = 1..K, the first 80 % of the
 training span), and ``sin/cos(2 pi k d / P)`` for the yearly (P = 365.25, order 10) and weekly
 (P = 7, order 3) terms, ``d`` = days since 1970-01-01. Hinges and seasonal terms are ridge
-penalised; intercept and slope are not. Multiplicative mode fits ``log y`` (y clipped at a tiny
-positive value), i.e. ``y = trend * seasonal`` in the original scale. The fit is a penalised least
+penalised; intercept and slope are not. Multiplicative mode fits ``log y``, i.e. ``y = trend *
+seasonal`` in the original scale; it needs positive training values (else its forecast is null and
+``params`` says why). The fit is a penalised least
 squares, not the MAP of a Bayesian curve fitter; the band is a normal 80 % band from the in-sample
 residual standard deviation.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from boreflow.session import apply_recommended_conf, reuse
 
+from boreflow.functions import linalg as L
 from boreflow.operators.backtest import backtest_rows
 from boreflow.operators.clean import ORDER
 from boreflow.plans.models import common as M
@@ -31,7 +33,6 @@ from boreflow.plans.models import common as M
 N_CHANGEPOINTS = 25
 YEARLY_ORDER = 10
 WEEKLY_ORDER = 3
-TINY = 1e-9
 
 
 def features(n_changepoints: int = N_CHANGEPOINTS, yearly: int = YEARLY_ORDER, weekly: int = WEEKLY_ORDER) -> tuple[list[Column], list[str]]:
@@ -95,8 +96,14 @@ def fourier_trend(panel: DataFrame, target: str, horizon: int = 30, cands: list[
     apply_recommended_conf(panel.sparkSession)
     panel = reuse(panel)
     cands = cands or candidates()
-    rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout).persist()  # fit + predict
+    rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout)
     feats, _ = features()
-    ys = [F.col("y"), F.log(F.greatest(F.col("y"), F.lit(TINY)))]
+    # A training part with a value <= 0 has no logarithm: the mark carries through its Gram sums, so the
+    # multiplicative candidates of that well and fold come out as null and never win a tuning.
+    y = F.col("y")
+    ys = [y, F.when(y > 0, F.log(F.when(y > 0, y))).when(y.isNotNull(), F.lit(L.NO_TARGET))]
     sol = M.fit(rows, feats, ys, cands, builder=numpy_features(), inputs=feature_inputs())
-    return M.predict(rows, sol, feats, M.Z80).withColumn("model", F.lit("Prophet"))
+    out = M.predict(rows, sol, feats, M.Z80)
+    bad = F.col("yhat").isNull()
+    out = out.withColumn("params", F.when(bad, F.map_concat("params", F.create_map(F.lit("reason"), F.lit("target not positive")))).otherwise(F.col("params")))
+    return out.withColumn("model", F.lit("Prophet"))

@@ -60,7 +60,7 @@ def ktr(panel: DataFrame, target: str, regressors: Sequence[str] = (), horizon:
     regs = list(regressors)
     cands = cands or candidates(regs)
     feats = features(regs)
-    rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key).persist()
+    rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key)
     fanned = rows.filter(F.col("part") == "train").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_knots - 1))).alias("knot"))
     w = _weight(F.col("pos"), _centre(F.col("knot"), n_knots), n_knots)

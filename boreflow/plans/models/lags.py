@@ -15,7 +15,7 @@ sequence. Band: normal, from the root mean in-sample error of the step-1 model.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boreflow.session import apply_recommended_conf, reuse
@@ -39,11 +39,13 @@ def _fold_windows(panel: DataFrame, target: str, n_input: int, n_out: int, n_spl
     windows). Returns the windows and the last fold index.
     """
     win = supervised(panel, target, n_input, n_out, key)
-    span = panel.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    # A well of n values has n - n_input - n_out + 1 windows, so their number gives n.
+    n = (F.count(F.lit(1)).over(Window.partitionBy(key)) + (n_input + n_out - 1)).cast("int")
+    win = win.withColumn("_n", n)
     bounds, k = split_bounds(F.col("_n"), n_splits, holdout)
     end = F.col("start_idx") + F.lit(n_input + n_out)
-    first = F.filter(bounds, lambda b: end <= b["train_end"])[0]["fold"]
-    staged = win.join(span, key).select(key, first.alias("block"), F.lit("train").alias("part"), "x", "y")
+    first = F.get(F.filter(bounds, lambda b: end <= b["train_end"]), F.lit(0))["fold"]
+    staged = win.select(key, first.alias("block"), F.lit("train").alias("part"), "x", "y")
     return staged.filter(F.col("block").isNotNull()), k
 
 
@@ -108,11 +110,18 @@ def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int
     arrs = series_arrays(panel, [target], key).select(key, F.col(target).alias("_arr"))
     ctx = steps.join(arrs, key).select(
         key, "fold", "h", F.slice("_arr", F.greatest(F.col("train_end") - F.lit(n_input) + 1, F.lit(1)), F.lit(n_input)).alias("ctx"))
-    ctx = ctx.filter(F.size("ctx") == n_input).join(coef, by)
-    fc = ctx.select(key, "fold", "lam", _rollout(F.col("ctx"), F.col("betas"), n_input, block, F.col("h")).alias("fc"),
-                    (F.col("rel_sd") * _scale(F.col("ctx"))).alias("sd"))
+    # Shorter contexts are padded on the left with their first value; where a fold has no training
+    # window at all (no coefficients) the last value is carried forward.
+    first = F.coalesce(F.get("ctx", F.lit(0)), F.lit(0.0))
+    ctx = ctx.withColumn("ctx", F.concat(F.array_repeat(first, F.lit(n_input) - F.size("ctx")), F.col("ctx")))
+    ctx = ctx.withColumn("lam", F.explode(F.array(*[F.lit(repr(x)) for x in lams])))
+    if mode == "pooled":  # one row per fold and strength: bounded by these two parameters
+        coef = F.broadcast(coef)
+    fc = ctx.join(coef, [*by, "lam"], "left").select(
+        key, "fold", "lam", _rollout(F.col("ctx"), F.col("betas"), n_input, block, F.col("h")).alias("fc"),
+        F.element_at("ctx", -1).alias("last"), (F.col("rel_sd") * _scale(F.col("ctx"))).alias("sd"))
     out = pred.join(fc, [key, "fold"])
-    yhat = F.element_at("fc", F.col("step"))
+    yhat = F.coalesce(F.get("fc", F.col("step") - 1), F.col("last"))
     name = {"direct": "LSTM", "recursive": "LSTM-rollout", "pooled": "N-BEATS"}[mode]
     params = {"n_input": str(n_input), "n_out": str(n_out), "mode": mode}
     band_lo = F.lit(None).cast("double") if mode == "pooled" else yhat - F.lit(1.96) * F.col("sd")

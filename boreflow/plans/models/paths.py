@@ -1,77 +1,107 @@
 """M9 sampled paths and U3 bootstrap bands.
 
-M9 (the probabilistic-forecaster slot): ``n_paths`` bootstrap random walks per (well, fold).
-Step ``j`` of path ``p`` adds the training series' day-to-day change at index
-``pmod(xxhash64(seed, well, fold, p, j), n_changes)``: a seeded hash, never ``rand()``, so the
-draw does not depend on partitioning or retries. Quantiles 0.1 / 0.5 / 0.9 of the paths per
-step give ``yhat_lower`` / ``yhat`` / ``yhat_upper`` (U2). Paths are built as arrays per
-(well, fold, path) row (cumulative sum by a JVM ``aggregate``) and exploded for the quantiles.
+M9 (the probabilistic-forecaster slot): ``n_paths`` bootstrap random walks per (well, fold). Step
+``j`` of path ``p`` adds one of the training series' day-to-day changes; which one is drawn by an
+integer recurrence of (seed, fold, path, step), so draws depend neither on partitioning nor on
+retries and any engine can repeat them. Quantiles 0.1 / 0.5 / 0.9 over the paths per step give
+``yhat_lower`` / ``yhat`` / ``yhat_upper`` (U2).
 
 U3: the same draws (default 500) around any point forecast: 5 % / 95 % quantiles of the
-cumulative bootstrapped change at each step, added to ``yhat``.
+cumulative change at each step, added to ``yhat``.
+
+One Arrow row per (well, fold) carries the changes in and the quantiles of every step out; paths
+are added up in blocks of steps, so neither paths nor draws ever become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boreflow.operators.backtest import backtest_rows
-from boreflow.operators.bands import quantile_band
 from boreflow.operators.clean import KEY
 from boreflow.plans.series import series_arrays
 from boreflow.session import reuse
 
 N_PATHS = 20
 N_DRAWS = 500
+STEPS = 256  # steps added up at once
+PRIME = 2_147_483_647
+
+
+def draw(seed: int, fold: int, paths: np.ndarray, steps: np.ndarray, n: int) -> np.ndarray:
+    """Index of the change drawn for each path (rows) and step (columns), both from 1."""
+    p, j = paths[:, None].astype(np.int64), steps[None, :].astype(np.int64)
+    h = (p * 7919 + j * 104_729 + p * j * 31 + fold * 15_485_863 + seed * 32_452_843) % PRIME
+    h = h * 48_271 % PRIME
+    return h * h % PRIME % n
 
 
-def _changes(arr: Column, upto: Column) -> Column:
-    head = F.slice(arr, 1, upto - 1)
-    tail = F.slice(arr, 2, upto - 1)
-    return F.zip_with(tail, head, lambda a, b: a - b)
+def path_quantiles(changes: np.ndarray, h: int, n_paths: int, seed: int, fold: int, qs: tuple[float, ...]) -> np.ndarray:
+    """Quantiles (rows) of the paths' cumulative change at steps 1..h; no change at all gives zeros."""
+    out = np.zeros((len(qs), h))
+    if not len(changes):
+        return out
+    paths, at = np.arange(1, n_paths + 1), np.zeros(n_paths)
+    for a in range(0, h, STEPS):
+        steps = np.arange(a + 1, min(a + STEPS, h) + 1)
+        moved = at[:, None] + np.cumsum(changes[draw(seed, fold, paths, steps, len(changes))], axis=1)
+        out[:, a : a + len(steps)] = np.quantile(moved, qs, axis=0)
+        at = moved[:, -1]
+    return out
 
 
-def _paths(panel: DataFrame, target: str, n_paths: int, seed: int, horizon: int, n_splits: int,
-           holdout: tuple[float, float] | None, include_last: bool, key: str) -> tuple[DataFrame, DataFrame]:
+def _band(panel: DataFrame, target: str, n_paths: int, seed: int, qs: tuple[float, ...], horizon: int, n_splits: int,
+          holdout: tuple[float, float] | None, include_last: bool, key: str) -> tuple[DataFrame, DataFrame]:
+    """Prediction rows, and per (well, fold) the last training value with one quantile array per q."""
     panel = reuse(panel)
     rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout, key)
     pred = rows.filter(F.col("part") != "train")
     steps = pred.groupBy(key, "fold", "train_end").agg(F.max("step").alias("h"))
     arrs = series_arrays(panel, [target], key).select(key, F.col(target).alias("_arr"))
-    base = steps.join(arrs, key).select(
-        key, "fold", "h", F.element_at("_arr", F.col("train_end")).alias("last"),
-        _changes(F.col("_arr"), F.col("train_end")).alias("d")).filter(F.size("d") > 0)
-    per = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_paths))).alias("path"))
-    pick = lambda j: F.col("d")[F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("fold"), F.col("path"), j), F.size("d")).cast("int")]
-    cum = F.aggregate(
-        F.sequence(F.lit(1), F.col("h")), F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")),
-        lambda acc, j: F.struct((acc["s"] + pick(j)).alias("s"), F.concat(acc["out"], F.array(acc["s"] + pick(j))).alias("out")),
-    )["out"]
-    drawn = per.select(key, "fold", "path", "last", F.posexplode(cum).alias("_i", "move")).select(
-        key, "fold", "path", (F.col("_i") + 1).alias("step"), "last", "move")
-    return pred, drawn
+    train = F.slice("_arr", F.lit(1), F.greatest(F.col("train_end"), F.lit(0)))
+    base = steps.join(arrs, key).select(key, "fold", "h", train.alias("train"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, bands = [], [[] for _ in qs]
+            for fold, h, y in zip(*(batch.column(c).to_pylist() for c in ("fold", "h", "train")), strict=True):
+                last.append(y[-1] if y else None)
+                for b, q in zip(bands, path_quantiles(np.diff(np.array(y, float)), h, n_paths, seed, fold, qs), strict=True):
+                    b.append(q)
+            cols = [batch.column(key), batch.column("fold"), pa.array(last, pa.float64()), *(pa.array(b, pa.list_(pa.float64())) for b in bands)]
+            yield pa.record_batch(cols, names=[key, "fold", "last", *(f"q{k}" for k in range(len(qs)))])
+
+    # The paths are the work here, not the bytes: spread the rows instead of packing them by size.
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    schema = f"{key} string, fold int, last double, " + ", ".join(f"q{k} array<double>" for k in range(len(qs)))
+    return pred, base.repartition(n, key, "fold").mapInArrow(run, schema)
+
+
+def _at(name: str) -> Column:
+    return F.get(name, F.col("step") - 1)
 
 
 def sample_paths(panel: DataFrame, target: str, horizon: int = 30, n_paths: int = N_PATHS, seed: int = 42,
                  n_splits: int = 5, holdout: tuple[float, float] | None = None, include_last: bool = False,
                  key: str = KEY) -> DataFrame:
-    """M9: quantile forecast from ``n_paths`` bootstrap random walks."""
-    pred, drawn = _paths(panel, target, n_paths, seed, horizon, n_splits, holdout, include_last, key)
-    band = quantile_band(drawn.select(key, "fold", "step", (F.col("last") + F.col("move")).alias("value")),
-                         [key, "fold", "step"])
-    out = pred.join(band, [key, "fold", "step"])
+    """M9: quantile forecast from ``n_paths`` bootstrap random walks (one value: it is repeated)."""
+    pred, band = _band(panel, target, n_paths, seed, (0.1, 0.5, 0.9), horizon, n_splits, holdout, include_last, key)
+    out = pred.join(band, [key, "fold"])
     params = F.create_map(F.lit("n_paths"), F.lit(str(n_paths)), F.lit("seed"), F.lit(str(seed)))
+    at = [(F.col("last") + _at(f"q{k}")) for k in range(3)]
     return out.select(key, "fold", "part", "ds", "pos", "train_end", "step", "y", params.alias("params"),
-                      "yhat", "yhat_lower", "yhat_upper", F.lit("Chronos").alias("model"))
+                      at[1].alias("yhat"), at[0].alias("yhat_lower"), at[2].alias("yhat_upper"), F.lit("Chronos").alias("model"))
 
 
 def bootstrap_band(fc: DataFrame, panel: DataFrame, target: str, n_draws: int = N_DRAWS, seed: int = 7,
                    qs: tuple[float, float] = (0.05, 0.95), horizon: int = 30, n_splits: int = 5,
                    holdout: tuple[float, float] | None = None, key: str = KEY) -> DataFrame:
     """Replace the band of ``fc`` by 5 % / 95 % bootstrap quantiles around its ``yhat``."""
-    _, drawn = _paths(panel, target, n_draws, seed, horizon, n_splits, holdout, False, key)
-    q = F.percentile("move", F.array(F.lit(qs[0]), F.lit(qs[1])))
-    off = drawn.groupBy(key, "fold", "step").agg(q.alias("_q"))
-    out = fc.drop("yhat_lower", "yhat_upper").join(off, [key, "fold", "step"], "left")
-    return out.withColumns({"yhat_lower": F.col("yhat") + F.col("_q")[0], "yhat_upper": F.col("yhat") + F.col("_q")[1]}).drop("_q")
+    _, band = _band(panel, target, n_draws, seed, qs, horizon, n_splits, holdout, False, key)
+    out = fc.drop("yhat_lower", "yhat_upper").join(band.drop("last"), [key, "fold"], "left")
+    return out.withColumns({"yhat_lower": F.col("yhat") + _at("q0"), "yhat_upper": F.col("yhat") + _at("q1")}).drop("q0", "q1")

@@ -101,8 +101,10 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
                        key: str = KEY) -> DataFrame:
     """Backtest + future rows: ``well, fold, part, ds, step, y, params, yhat, yhat_lower, yhat_upper, model``."""
     apply_recommended_conf(panel.sparkSession)
-    panel = reuse(panel)
     regs = list(regressors) if kind != "ets" else []
+    # A parameter a well does not have enters as the constant 0.
+    known = panel.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in regs}) if regs else panel
+    panel = reuse(known)
     grid = grid or default_grid(kind)
     if kind == "ets":
         # No regression stage: every fold trains on a prefix of the same series, so each series
@@ -121,7 +123,7 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
         res = res.select(key, "_s.fold", F.lit(0).alias("cid"), "_s.gid", "_s.sse", "_s.n_fit", "_s.fc").withColumn(
             "gparams", garr[F.col("gid")]["gparams"])
     else:
-        rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key).persist()
+        rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key)
         feats, _ = trend_features(regs)
         stage1 = stage1 or stage1_candidates(kind, regs)
         sol = M.fit(rows, feats, [F.col("y")], stage1).select(key, "fold", "cid", "params", "beta")

@@ -7,6 +7,7 @@ written from the operator's definition, not from the Spark plan.
 from __future__ import annotations
 
 PARAMS = ["qty", "price", "disc", "tax"]
+WELLS = [f + s for f in "ANR" for s in "FO"]
 W = "PARTITION BY well ORDER BY ds"
 
 RAW = """
@@ -149,8 +150,9 @@ ORACLE["c10_rename"] = with_(CLEAN) + "\nSELECT well, ds, round(qty, 6) AS y, "
 ORACLE["c_clean_median"] = with_(CLEAN_MEDIAN) + f"\nSELECT well, ds, {R4} FROM clean"
 
 ORACLE["s5_to_wide"] = with_(RAW, f"lr AS ({LONG_RAW})") + """
-SELECT * FROM (PIVOT (SELECT ds, param || '__' || well AS col, round(value, 6) AS value FROM lr)
-               ON col USING round(avg(value), 6) GROUP BY ds)"""
+SELECT ds, """ + ", ".join(
+    f"round(avg(CASE WHEN param = '{p}' AND well = '{w}' THEN round(value, 6) END), 6) AS {p}__{w}" for p in PARAMS for w in WELLS) + """
+FROM lr GROUP BY ds"""
 
 REGS = PARAMS[1:]
 _ACF = """

@@ -64,9 +64,8 @@ def m1_ets_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 from boreflow.sources import sheets as S  # noqa: E402
 
 
-def _wells(df: DataFrame) -> list[str]:
-    """Distinct well names (a column list for a pivot: names only, bounded by the sheet width)."""
-    return sorted(r[0] for r in df.select("well").distinct().collect())
+# The user's column list of the wide layouts: return flag by line status.
+WELLS = [f + s for f in "ANR" for s in "FO"]
 
 
 @register("s1_read_sheets")
@@ -75,14 +74,13 @@ def s1_read_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint folder, then read the sheets back with the CSV source."""
     import uuid
 
-    from boreflow.session import ensure_checkpoint_dir
+    from boreflow.session import cut_lineage, ensure_checkpoint_dir
 
-    rp = raw(spark, sf_dir)
-    wells = _wells(rp)
+    rp = cut_lineage(raw(spark, sf_dir))  # aggregated once, laid out once per parameter
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
     paths = {}
     for p in P:
-        sheet = rp.groupBy("ds").pivot("well", wells).agg(F.max(p))  # one cell per (ds, well)
+        sheet = rp.groupBy("ds").pivot("well", WELLS).agg(F.max(p))  # one cell per (ds, well)
         sheet.write.option("header", "true").csv(f"{root}/{p}")
         paths[p] = f"{root}/{p}"
     return _r(S.read_sheets(spark, paths, fmt="csv", date_col="ds"))
@@ -107,7 +105,7 @@ def s4_to_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("s5_to_wide")
 def s5_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     rp = raw(spark, sf_dir)
-    cols = [(p, w) for p in P for w in _wells(rp)]
+    cols = [(p, w) for p in P for w in WELLS]
     return _r(S.to_wide(T.to_long(rp, P), cols))
 
 
@@ -221,14 +219,19 @@ def f6p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(F_.spearman(cleaned(spark, sf_dir), T.TARGET, REGS))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned supplier panel, where a good part of the regressors pass the screening."""
+    return C.clean(T.scale_panel(spark, sf_dir), P, target=T.TARGET)
+
+
 @register("f7_significant")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return F_.significant(F_.screen(cleaned(spark, sf_dir), T.TARGET, REGS))
+    return F_.significant(F_.screen(suppliers(spark, sf_dir), T.TARGET, REGS))
 
 
 @register("f_screen")
 def f_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(F_.screen(cleaned(spark, sf_dir), T.TARGET, REGS))
+    return _r(F_.screen(suppliers(spark, sf_dir), T.TARGET, REGS))
 
 
 # ---------------------------------------------------------------- splits, folds, alignment
@@ -408,11 +411,23 @@ def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("m10_run_dlt")
 def m10_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run: clean -> screen -> DLT with the relevant regressors -> fold metrics."""
-    _, met, _ = FC.run(raw(spark, sf_dir), T.TARGET, "DLT", P, 30, SCENARIO)
+    """The whole run on the supplier panel: clean -> screen -> DLT with the relevant regressors -> fold metrics."""
+    _, met, _ = FC.run(T.scale_panel(spark, sf_dir), T.TARGET, "DLT", P, 30, SCENARIO)
     return _r(met)
 
 
+@register("m10_run_scenario")
+def m10_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scenario changes: future rows of the run with the price ramp, less those without it."""
+    from boreflow.session import cut_lineage
+
+    cl = cut_lineage(suppliers(spark, sf_dir))
+    panel = FC.mask_regressors(cl, F_.screen(cl, T.TARGET, REGS), "LGT", REGS)
+    with_, without = (FC.forecast(panel, T.TARGET, "LGT", REGS, 30, s, {"n_bootstrap_draws": 0}).filter("part = 'future'").select(
+        "well", "ds", "step", F.col("yhat").alias(n)) for s, n in ((SCENARIO, "yhat_ramp"), (None, "yhat_flat")))
+    return _r(with_.join(without, ["well", "ds", "step"]).withColumn("lift", F.col("yhat_ramp") - F.col("yhat_flat")))
+
+
 @register("u3_bootstrap_band")
 def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ETS with its 5 % / 95 % band from 500 bootstrap draws."""
@@ -422,7 +437,8 @@ def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- tuning and history
 @register("e5_tune_ets")
 def e5_ets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "ETS", 50))
+    t = TU.tune(cleaned(spark, sf_dir), T.TARGET, "ETS", 50)
+    return _r(t.select("well", "trial", *[F.col("params")[k].cast("double").alias(k) for k in ("alpha", "gamma")], "n", "rmse", "mae", "mape"))
 
 
 @register("e5_tune_dlt")
@@ -450,6 +466,33 @@ def e5_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "LSTM", 50))
 
 
+@register("e5_tune_tft")
+def e5_tft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "TFT", 50))
+
+
+@register("e5_tune_nbeats")
+def e5_nbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "N-BEATS", 50))
+
+
+@register("e5_tune_chronos")
+def e5_chronos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(TU.tune(cleaned(spark, sf_dir), T.TARGET, "Chronos", 50))
+
+
+@register("e7_tune_then_run")
+def e7_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tune ETS per well, then backtest every well with its own tuned parameters: fold metrics."""
+    from boreflow.session import cut_lineage
+
+    cl = cut_lineage(cleaned(spark, sf_dir))
+    tuned = TU.tune(cl, T.TARGET, "ETS", 50)
+    fc = TU.forecast_tuned(cl, T.TARGET, "ETS", tuned, 50, horizon=0).filter(F.col("part") == "test")
+    met = E.metrics(fc.withColumns({k: F.col("params")[k].cast("double") for k in ("alpha", "gamma")}), by=("well", "trial", "alpha", "gamma", "fold"))
+    return _r(met)
+
+
 ETS_GRID = [(a, g) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for g in (0.05, 0.2)]
 
 
@@ -481,21 +524,33 @@ def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("well", *[F.col("params")[k].alias(k) for k in ("alpha", "gamma", "n_bootstrap_draws")])
 
 
-@register("s6_s7_history")
-def s67(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append two runs (ETS, Prophet) to a fresh history table under the checkpoint folder and read it back."""
+def _history(spark: SparkSession, sf_dir: str) -> str:
+    """Two runs on the cleaned main panel appended to a fresh history: two smoothing weights of ETS."""
     import uuid
 
-    from boreflow.session import ensure_checkpoint_dir
+    from boreflow.session import cut_lineage, ensure_checkpoint_dir
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
-    cl = cleaned(spark, sf_dir).persist()
-    for i, model in enumerate(("ETS", "Prophet")):
-        fc = FC.forecast(cl, T.TARGET, model, REGS, 30)
-        met = E.metrics(fc.filter(F.col("part") == "test"), by=("well", "model", "fold"))
-        rows = HI.history_rows(met, T.TARGET, 30, "interpolate", FC.DEFAULTS.get(model), f"2024-01-0{i + 1} 00:00:00")
-        HI.append_history(rows, path)
-    return HI.read_history(spark, path)
+    cl = cut_lineage(cleaned(spark, sf_dir))
+    for i, alpha in enumerate((0.3, 0.1)):
+        fc = FC.forecast(cl, T.TARGET, "ETS", REGS, 30, params={"alpha": alpha, "gamma": 0.1, "n_bootstrap_draws": 20})
+        HI.append_history(fc, path, T.TARGET, 30, "interpolate", f"2024-01-0{i + 1} 00:00:00")
+    return path
+
+
+@register("s6_s7_history")
+def s67(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs read back: metrics of the last fold, parameters as named columns."""
+    h = HI.read_history(spark, _history(spark, sf_dir))
+    names = ("alpha", "gamma", "n_bootstrap_draws")
+    return h.select("run_ts", "well", "target", "model", "horizon", "fill_method", *[F.col("params")[k].alias(k) for k in names], "rmse", "mae", "mape")
+
+
+@register("s6_s7_forecasts")
+def s67f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast rows stored with the runs."""
+    f = HI.read_forecasts(spark, _history(spark, sf_dir))
+    return _r(f.select("run_ts", "well", "model", F.col("params")["alpha"].alias("alpha"), "fold", "part", "ds", "step", "yhat"))
 
 
 # ---------------------------------------------------------------- short hourly panel (events)

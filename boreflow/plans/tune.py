@@ -11,15 +11,17 @@ on their training part only.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boreflow.operators import evaluate as E
 from boreflow.operators.clean import KEY
-from boreflow.plans.forecast import USES_REGRESSORS
-from boreflow.plans.models import fourier, ktr, lags, smoothing
+from boreflow.plans.forecast import DEFAULTS, USES_REGRESSORS
+from boreflow.plans.models import fourier, ktr, lags, paths, smoothing
+from boreflow.session import cut_lineage
 
 HOLDOUT = (0.7, 0.95)
 N_TRIALS = 50
@@ -28,22 +30,20 @@ N_TRIALS = 50
 # smoothing weights and penalty strengths our deterministic fits expose instead of sampler settings.
 SPACES: dict[str, dict[str, tuple]] = {
     "DLT": {"global_trend_option": ("cat", ["flat", "linear", "loglinear", "logistic"]),
-            "n_bootstrap_draws": ("int", 100, 1000),
             "regression_penalty": ("cat", ["fixed_ridge", "lasso", "auto_ridge"]),
             "alpha": ("float", 0.01, 0.9), "beta": ("float", 0.0, 0.3), "gamma": ("float", 0.0, 0.5),
             "phi": ("float", 0.8, 1.0)},
-    "LGT": {"n_bootstrap_draws": ("int", 100, 1000),
-            "regression_penalty": ("cat", ["fixed_ridge", "lasso", "auto_ridge"]),
+    "LGT": {"regression_penalty": ("cat", ["fixed_ridge", "lasso", "auto_ridge"]),
             "alpha": ("float", 0.01, 0.9), "beta": ("float", 0.0, 0.3), "gamma": ("float", 0.0, 0.5),
             "xi1": ("float", 0.0, 1.0), "xi2": ("float", 0.0, 0.05), "lam": ("float", 0.1, 0.9)},
-    "ETS": {"n_bootstrap_draws": ("int", 100, 1000), "alpha": ("float", 0.01, 0.99), "gamma": ("float", 0.0, 0.5)},
-    "KTR": {"n_bootstrap_draws": ("int", 100, 1000), "num_steps": ("int", 100, 500), "lam": ("log", 1e-3, 10.0)},
+    "ETS": {"alpha": ("float", 0.01, 0.99), "gamma": ("float", 0.0, 0.5)},
+    "KTR": {"lam": ("log", 1e-3, 10.0)},
     "Prophet": {"seasonality_mode": ("cat", ["additive", "multiplicative"]),
                 "yearly_seasonality": ("cat", [True, False]), "weekly_seasonality": ("cat", [True, False])},
-    "LSTM": {"epochs": ("int", 10, 100), "batch_size": ("int", 8, 64), "n_input": ("int", 1, 5),
-             "n_output": ("int", 7, 30), "lstm_units": ("int", 50, 200), "lam": ("log", 1e-3, 10.0)},
-    # The reference builds LSTM windows from its global step count x length (7), and always predicts
-    # 7 steps; here the drawn step count sets the window (n_input x 7) and ``lam`` the ridge strength.
+    "Chronos": {"n_paths": ("cat", [20, 50, 100, 200])},
+    "LSTM": {"n_steps": ("int", 1, 5), "n_out": ("cat", [7, 14, 30]), "lam": ("log", 1e-3, 10.0)},
+    "TFT": {"n_input": ("cat", [14, 24, 48]), "n_out": ("cat", [7, 14]), "lam": ("log", 1e-3, 10.0)},
+    "N-BEATS": {"n_input": ("cat", [14, 24, 48]), "n_out": ("cat", [7, 14]), "lam": ("log", 1e-3, 10.0)},
 }
 
 
@@ -70,9 +70,24 @@ def draw(space: dict[str, tuple], n_trials: int = N_TRIALS, seed: int = 42) -> l
     return out
 
 
-def trial_forecasts(panel: DataFrame, target: str, model: str, trials: list[dict], regressors=()) -> DataFrame:
-    """Hold-out forecasts of every trial for every well (``params`` carries ``trial``)."""
+def _shared(trials: list[dict], names: Sequence[str]) -> dict[tuple, int]:
+    """The first trial of every distinct combination of ``names``: trials alike share one fit."""
+    out: dict[tuple, int] = {}
+    for i, t in enumerate(trials):
+        out.setdefault(tuple(t[n] for n in names), i)
+    return out
+
+
+def _trial_of(column: Column, first: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in sorted(first.items()) for x in kv])[column]
+
+
+def trial_forecasts(panel: DataFrame, target: str, model: str, trials: list[dict], regressors: Sequence[str] = (),
+                    horizon: int = 0, n_splits: int = 5, holdout: tuple[float, float] | None = HOLDOUT,
+                    scenario: tuple[str, float] | None = None) -> DataFrame:
+    """Forecasts of every distinct trial for every well, with an integer ``trial`` column."""
     regs = list(regressors) if model in USES_REGRESSORS else []
+    common = {"horizon": horizon, "n_splits": n_splits, "holdout": holdout}
     if model in ("ETS", "DLT", "LGT"):
         kind = model.lower()
         if kind == "ets":
@@ -85,32 +100,73 @@ def trial_forecasts(panel: DataFrame, target: str, model: str, trials: list[dict
             index = {c: i for i, c in enumerate(combos)}
             grid = [dict({k: t[k] for k in smoothing.GRID_KEYS if k in t}, trial=i,
                          cid=index[(t.get("global_trend_option", "none"), t["regression_penalty"])]) for i, t in enumerate(trials)]
-        fc = smoothing.smoothing_forecast(panel, target, kind, regs, st1, grid, horizon=0, holdout=HOLDOUT)
-        return fc
+        fc = smoothing.smoothing_forecast(panel, target, kind, regs, st1, grid, scenario=scenario, **common)
+        return fc.withColumn("trial", F.col("params")["trial"].cast("int"))
     if model == "Prophet":
-        combos = [(t["seasonality_mode"], bool(t["yearly_seasonality"]), bool(t["weekly_seasonality"])) for t in trials]
-        return fourier.fourier_trend(panel, target, 0, fourier.candidates(sorted(set(combos))), holdout=HOLDOUT)
+        names = ("seasonality_mode", "yearly_seasonality", "weekly_seasonality")
+        first = _shared(trials, names)
+        fc = fourier.fourier_trend(panel, target, cands=fourier.candidates(sorted(first)), **common)
+        key = F.concat_ws("|", *[F.col("params")[n] for n in names])
+        return fc.withColumn("trial", _trial_of(key, {"|".join(str(x).lower() if isinstance(x, bool) else x for x in c): i for c, i in first.items()}))
     if model == "KTR":
-        return ktr.ktr(panel, target, regs, 0, cands=ktr.candidates(regs, sorted({t["lam"] for t in trials})), holdout=HOLDOUT)
-    if model == "LSTM":
-        outs = None
-        for steps in sorted({t["n_input"] for t in trials}):  # one Gram pass per window length
-            lams = sorted({t["lam"] for t in trials if t["n_input"] == steps})
-            fc = lags.lag_forecast(panel, target, 0, n_input=steps * 7, n_out=7, lam=lams, holdout=HOLDOUT)
+        first = _shared(trials, ("lam",))
+        fc = ktr.ktr(panel, target, regs, cands=ktr.candidates(regs, [c[0] for c in sorted(first)]), scenario=scenario, **common)
+        return fc.withColumn("trial", _trial_of(F.col("params")["lam"], {repr(float(c[0])): i for c, i in first.items()}))
+    outs = None
+    if model == "Chronos":
+        for (n,), i in sorted(_shared(trials, ("n_paths",)).items()):
+            fc = paths.sample_paths(panel, target, n_paths=n, **common).withColumn("trial", F.lit(i))
             outs = fc if outs is None else outs.unionByName(fc)
         return outs
-    raise ValueError(f"no search space for {model!r}")
+    # Window learners: one Gram pass per window shape solves all its strengths.
+    width = (lambda t: t["n_steps"] * 7) if model == "LSTM" else (lambda t: t["n_input"])
+    shapes = sorted({(width(t), t["n_out"]) for t in trials})
+    for n_input, n_out in shapes:
+        lams: dict[str, int] = {}
+        for i, t in enumerate(trials):
+            if (width(t), t["n_out"]) == (n_input, n_out):
+                lams.setdefault(repr(float(t["lam"])), i)
+        fc = lags.lag_forecast(panel, target, n_input=n_input, n_out=n_out, mode="direct" if model == "LSTM" else "pooled",
+                               lam=[float(x) for x in sorted(lams)], **common)
+        fc = fc.withColumn("trial", _trial_of(F.col("params")["lam"], lams)).withColumn("model", F.lit(model))
+        outs = fc if outs is None else outs.unionByName(fc)
+    return outs
 
 
-def tune(panel: DataFrame, target: str, model: str, n_trials: int = N_TRIALS, seed: int = 42, regressors=(),
+def tune(panel: DataFrame, target: str, model: str, n_trials: int = N_TRIALS, seed: int = 42, regressors: Sequence[str] = (),
          key: str = KEY) -> DataFrame:
-    """E5: best parameter map per well by hold-out RMSE: ``well, model, params, n, rmse, mae, mape``.
+    """E5: best trial per well by hold-out RMSE: ``well, model, trial, params, n, rmse, mae, mape``.
+
+    Pass the panel with the regressors masked per well (``forecast.mask_regressors``) to tune the
+    model that ``run`` fits. Trials alike share one fit; ties go to the lower trial number and a
+    forecast without values (not applicable to the well) never wins. ``params`` holds the trial's
+    drawn values over the model's defaults, all as strings.
+    """
+    trials = draw(SPACES[model], n_trials, seed)
+    fc = trial_forecasts(panel, target, model, trials, regressors).filter(F.col("part") == "test")
+    m = E.metrics(fc, by=(key, "model", "trial"))
+    best = m.groupBy(key, "model").agg(F.min_by(F.struct("trial", "n", "rmse", "mae", "mape"), F.struct(F.coalesce("rmse", F.lit(float("inf"))), "trial")).alias("b"))
+    maps = F.array(*[params_map({**DEFAULTS[model], **t}) for t in trials])
+    return best.select(key, "model", "b.trial", maps[F.col("b.trial")].alias("params"), "b.n", "b.rmse", "b.mae", "b.mape")
+
+
+def params_map(params: dict) -> Column:
+    text = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in params.items()}
+    return F.create_map(*[F.lit(x) for kv in sorted(text.items()) for x in kv])
+
+
+def forecast_tuned(panel: DataFrame, target: str, model: str, tuned: DataFrame, n_trials: int = N_TRIALS, seed: int = 42,
+                   regressors: Sequence[str] = (), horizon: int = 30, n_splits: int = 5,
+                   scenario: tuple[str, float] | None = None, key: str = KEY) -> DataFrame:
+    """Backtest + future forecast of every well with its own tuned parameters (``well, trial, params``).
 
-    Trials that map to the same fitted configuration share one fit; the map reports the fitted
-    configuration.
+    Only the trials that some well chose are fitted (at most ``n_trials`` numbers reach the driver);
+    each well keeps the rows of its trial, and ``params`` are the tuned ones.
     """
+    tuned = cut_lineage(tuned.select(key, "trial", F.col("params").alias("_tuned")))
     trials = draw(SPACES[model], n_trials, seed)
-    fc = trial_forecasts(panel, target, model, trials, regressors)
-    m = E.metrics(fc.filter(F.col("part") == "test"), by=(key, "model", "params"))
-    w = Window.partitionBy(key).orderBy(F.col("rmse").asc_nulls_last(), F.to_json("params"))
-    return m.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
+    used = sorted(r.trial for r in tuned.select("trial").distinct().collect())
+    fc = trial_forecasts(panel, target, model, [trials[i] for i in used], regressors, horizon, n_splits, None, scenario)
+    number = F.array(*[F.lit(i) for i in used])
+    mine = fc.withColumn("trial", number[F.col("trial")]).join(tuned, [key, "trial"])
+    return mine.withColumn("params", F.col("_tuned")).drop("_tuned")

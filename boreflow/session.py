@@ -69,16 +69,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Persist a frame that several branches of one plan read (memory, spilling to disk).
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint).
 
-    Already persisted frames are returned as they are. A lost executor's blocks are recomputed
-    from lineage; use ``cut_lineage`` where that lineage is long.
+    A frame this function returned is given back as it is. The rows keep their partitioning and
+    order, a lost executor re-reads them, and nothing stays in the executors' storage; Spark
+    removes the files with the frame if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else df.persist()
+    if getattr(df, "_boreflow_cut", False):
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    out._boreflow_cut = True
+    return out
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+reuse = cut_lineage  # a frame that several branches of one plan read

@@ -1,9 +1,10 @@
-"""The run history as a Parquet table partitioned by model.
+"""The run history as Parquet tables partitioned by model.
 
-Each run appends one row per well: run time, well, target, model, horizon, fill method, the
-parameter map and the logged metrics (the last fold, as the reference logs). Appends are
-plain ``mode("append")`` writes, so concurrent runs add files and never rewrite old ones; a
-reader filtering on ``model`` prunes partitions.
+Each run appends one row per well to ``runs`` (run time, well, target, model, horizon, fill method,
+the parameters its forecast rows carry and the logged metrics of the last fold, as the reference
+logs) and its forecast rows to ``forecasts``. Appends are plain ``mode("append")`` writes, so
+concurrent runs add files and never rewrite old ones; a reader filtering on ``model`` prunes
+partitions.
 """
 
 from __future__ import annotations
@@ -11,32 +12,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreflow.operators.evaluate import last_fold
+from boreflow.operators import evaluate as E
 
 HISTORY_COLS = ["run_ts", "well", "target", "model", "horizon", "fill_method", "params", "rmse", "mae", "mape"]
+FORECAST_COLS = ["run_ts", "well", "target", "model", "params", "fold", "part", "ds", "step", "y", "yhat", "yhat_lower", "yhat_upper"]
 
 
-def history_rows(fold_metrics: DataFrame, target: str, horizon: int, fill_method: str, params: dict[str, str] | None,
-                 run_ts: str | None = None) -> DataFrame:
-    """Shape the last-fold metrics of a run into history rows."""
-    last = last_fold(fold_metrics, by=("well", "model"))
-    pm = params or {}
-    pmap = F.create_map(*[x for kv in sorted(pm.items()) for x in (F.lit(kv[0]), F.lit(str(kv[1])))]) if pm else \
-        F.create_map().cast("map<string,string>")
-    ts = F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
+def _stamp(run_ts: str | None) -> F.Column:
+    return F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
+
+
+def history_rows(forecast: DataFrame, target: str, horizon: int, fill_method: str, run_ts: str | None = None) -> DataFrame:
+    """One row per well: metrics of its last fold and the parameters used, both from the forecast rows."""
+    met = E.metrics(forecast.filter(F.col("part") == "test"), by=("well", "model", "params", "fold"))
+    last = E.last_fold(met, by=("well", "model"))
     return last.select(
-        ts.alias("run_ts"), "well", F.lit(target).alias("target"), "model", F.lit(int(horizon)).alias("horizon"),
-        F.lit(fill_method).alias("fill_method"), pmap.alias("params"), "rmse", "mae", "mape")
+        _stamp(run_ts).alias("run_ts"), "well", F.lit(target).alias("target"), "model", F.lit(int(horizon)).alias("horizon"),
+        F.lit(fill_method).alias("fill_method"), "params", "rmse", "mae", "mape")
+
+
+def append_history(forecast: DataFrame, path: str, target: str, horizon: int, fill_method: str, run_ts: str | None = None) -> None:
+    """Append a run's history rows and forecast rows."""
+    rows = history_rows(forecast, target, horizon, fill_method, run_ts)
+    rows.select(*HISTORY_COLS).write.mode("append").partitionBy("model").parquet(f"{path}/runs")
+    full = forecast.withColumns({"run_ts": _stamp(run_ts), "target": F.lit(target)})
+    full.select(*FORECAST_COLS).write.mode("append").partitionBy("model").parquet(f"{path}/forecasts")
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Append a run to the history table."""
-    rows.select(*HISTORY_COLS).write.mode("append").partitionBy("model").parquet(path)
+def _read(spark: SparkSession, path: str, model: str | None) -> DataFrame:
+    h = spark.read.parquet(path)
+    return h if model is None else h.filter(F.col("model") == model)
 
 
 def read_history(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """The history ordered by run time, metrics rounded to 2 decimals."""
-    h = spark.read.parquet(path)
-    if model is not None:
-        h = h.filter(F.col("model") == model)
-    return h.select(*HISTORY_COLS).withColumns({m: F.round(m, 2) for m in ("rmse", "mae", "mape")}).orderBy("run_ts", "well")
+    h = _read(spark, f"{path}/runs", model).select(*HISTORY_COLS)
+    return h.withColumns({m: F.round(m, 2) for m in ("rmse", "mae", "mape")}).orderBy("run_ts", "well")
+
+
+def read_forecasts(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """The stored forecast rows of all runs."""
+    return _read(spark, f"{path}/forecasts", model).select(*FORECAST_COLS)

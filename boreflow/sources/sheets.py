@@ -12,19 +12,29 @@ def _q(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
-def sheet_to_long(sheet: DataFrame, param: str, date_col: str | None = None) -> DataFrame:
-    """One sheet -> ``(well, ds, param, value)``. Cells are parsed with ``try_cast`` (blank -> null)."""
+def sheet_to_long(sheet: DataFrame, param: str, date_col: str | None = None, date_format: str | None = None) -> DataFrame:
+    """One sheet -> ``(well, ds, param, value)``. Cells are parsed with ``try_cast`` (blank -> null).
+
+    Dates are read by ``date_format`` (default: ISO); a date cell that does not fit fails the read
+    and is named in the error, rather than becoming a row without a date.
+    """
     dcol = date_col or sheet.columns[0]
     wells = [c for c in sheet.columns if c != dcol]
     ds = F.col(_q(dcol))
-    ds = F.to_date(ds) if dict(sheet.dtypes)[dcol] in ("date", "timestamp", "timestamp_ntz") else F.try_to_date(ds.cast("string"))
+    ds = F.to_date(ds) if dict(sheet.dtypes)[dcol] in ("date", "timestamp", "timestamp_ntz") else _parsed(ds.cast("string"), date_format)
     wide = sheet.select(ds.alias("ds"), *[F.col(_q(w)).cast("string").alias(w) for w in wells])
     long = wide.unpivot(["ds"], [_q(w) for w in wells], "well", "value")
     return long.select("well", "ds", F.lit(param).alias("param"), F.trim("value").try_cast("double").alias("value"))
 
 
+def _parsed(text: F.Column, date_format: str | None) -> F.Column:
+    date = F.try_to_date(text, date_format) if date_format else F.try_to_date(text)
+    bad = F.concat(F.lit("sheet date "), text, F.lit(f" does not fit the format {date_format or 'yyyy-MM-dd'}"))
+    return F.when(text.isNull() | date.isNotNull(), date).otherwise(F.raise_error(bad).cast("date"))
+
+
 def read_sheets(spark: SparkSession, sheets: Mapping[str, str | DataFrame], fmt: str = "csv",
-                date_col: str | None = None) -> DataFrame:
+                date_col: str | None = None, date_format: str | None = None) -> DataFrame:
     """Read every parameter sheet and stack them into the long panel.
 
     A sheet is a path (CSV with a header row of well names, or Parquet) or a DataFrame. Wells
@@ -35,7 +45,7 @@ def read_sheets(spark: SparkSession, sheets: Mapping[str, str | DataFrame], fmt:
         if isinstance(src, str):
             reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
             src = reader.format(fmt).load(src)
-        part = sheet_to_long(src, param, date_col)
+        part = sheet_to_long(src, param, date_col, date_format)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no sheets")

@@ -43,7 +43,7 @@ def test_tune_picks_the_lowest_rmse(panel):
     allm = E.metrics(fc.filter(F.col("part") == "test"), by=("well", "model", "params")).collect()
     for w in ("a", "b", "c"):
         assert abs(best[w].rmse - min(r.rmse for r in allm if r.well == w)) < 1e-12
-        assert int(best[w].params["trial"]) in range(8)
+        assert best[w].trial in range(8) and float(best[w].params["alpha"]) == trials[best[w].trial]["alpha"]
 
 
 def test_run_screens_then_forecasts(spark, panel):

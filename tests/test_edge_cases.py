@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from boreflow.operators import clean as C
@@ -39,13 +41,50 @@ def test_duplicate_dates_in_a_sheet_are_averaged(spark):
     assert panel == {"2024-01-01": 2.0, "2024-01-02": 5.0}
 
 
-def test_all_null_parameter_drops_every_row(spark):
-    df = spark.createDataFrame([("w", D0 + dt.timedelta(i), float(i + 1), None) for i in range(10)],
-                               "well string, ds date, y double, z double")
-    assert C.clean(df, ["y", "z"], target="y").count() == 0
-    assert C.clean(df, ["y"], target="y").count() == 10
-    prof = {r.param: r for r in C.missing_profile(df, ["y", "z"]).collect()}
-    assert prof["z"].pct_null == 100.0 and prof["y"].nulls == 0
+def test_well_without_a_parameter_keeps_its_rows(spark):
+    """FIXTURES 1: a well missing from one sheet; only a well without any target is dropped, and reported."""
+    rows = [("w", D0 + dt.timedelta(i), float(i + 1), None) for i in range(10)]
+    rows += [("v", D0 + dt.timedelta(i), None, 1.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "well string, ds date, y double, z double")
+    out = C.clean(df, ["y", "z"], target="y")
+    assert {r.well for r in out.collect()} == {"w"} and out.count() == 10
+    assert [(r.well, r.n_days) for r in C.dropped_wells(df, out).collect()] == [("v", 10)]
+    prof = {(r.well, r.param): r for r in C.missing_profile(df, ["y", "z"]).collect()}
+    assert prof["w", "z"].pct_null == 100.0 and prof["w", "y"].nulls == 0
+
+
+def _awkward_panel(spark):
+    """Wells of 1, 10 and 80 days, a negative one and one that lacks the regressor."""
+    day = lambda i: D0 + dt.timedelta(i)
+    rows = [("one", day(0), 5.0, 1.0)]
+    rows += [("ten", day(i), 5.0 + i, 1.0 + i % 3) for i in range(10)]
+    rows += [("long", day(i), 20.0 + i % 7, 2.0 + i % 5) for i in range(80)]
+    rows += [("negative", day(i), -50.0 + i % 7, 2.0 + i % 5) for i in range(80)]
+    rows += [("lacks", day(i), 9.0 + i % 7, None) for i in range(80)]
+    return C.clean(spark.createDataFrame(rows, "well string, ds date, y double, z double"), ["y", "z"], target="y")
+
+
+@pytest.mark.parametrize("model", FC.MODELS)
+def test_every_well_gets_its_whole_horizon(spark, model):
+    fc = FC.forecast(_awkward_panel(spark), "y", model, ["z"], horizon=6).filter("part = 'future'").collect()
+    assert sorted((r.well, r.step) for r in fc) == sorted((w, s) for w in ("one", "ten", "long", "negative", "lacks") for s in range(1, 7))
+    assert all(r.yhat is not None and math.isfinite(r.yhat) for r in fc)
+    level = {"negative": (-80, -20)}
+    assert all(level[r.well][0] < r.yhat < level[r.well][1] for r in fc if r.well in level)
+
+
+def test_multiplicative_needs_a_positive_target(spark):
+    fc = FC.forecast(_awkward_panel(spark), "y", "Prophet", horizon=3, params={"seasonality_mode": "multiplicative"}).filter("part = 'future'").collect()
+    assert len(fc) == 15
+    for r in fc:
+        assert (r.yhat is None) == (r.well == "negative") == (r.params.get("reason") == "target not positive")
+
+
+def test_sheet_dates_in_another_format_fail_or_are_named(spark):
+    sheet = spark.createDataFrame([("31/01/2024", "1")], "date string, W string")
+    with pytest.raises(Exception, match="31/01/2024"):
+        SH.read_sheets(spark, {"rate": sheet}).collect()
+    assert str(SH.read_sheets(spark, {"rate": sheet}, date_format="dd/MM/yyyy").collect()[0].ds) == "2024-01-31"
 
 
 def test_gap_days_become_nulls_then_interpolate(spark):

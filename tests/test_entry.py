@@ -19,4 +19,4 @@ def test_tuning_draws_are_deterministic():
     a = tune.draw(tune.SPACES["DLT"], 50, 42)
     assert a == tune.draw(tune.SPACES["DLT"], 50, 42) and len(a) == 50
     assert all(t["global_trend_option"] in ("flat", "linear", "loglinear", "logistic") for t in a)
-    assert all(100 <= t["n_bootstrap_draws"] <= 1000 for t in a)
+    assert all(0.8 <= t["phi"] <= 1.0 for t in a)

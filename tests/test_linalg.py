@@ -31,11 +31,12 @@ def test_gram_and_solve_match_numpy(spark):
 def test_ridge_lasso_and_mask():
     a = np.array([[4.0, 1.0], [1.0, 3.0]])
     b = np.array([1.0, 2.0])
-    ols = L._solve_one(a, b, 0.0, np.zeros(2), 0)
+    one = lambda lam, pen, method: L._solve_stack(a[None], b[None], np.array([lam]), pen[None], method)[0][0]
+    ols = one(0.0, np.zeros(2), 0)
     np.testing.assert_allclose(a @ ols, b)
-    ridge = L._solve_one(a, b, 0.5, np.ones(2), 1)
+    ridge = one(0.5, np.ones(2), 1)
     np.testing.assert_allclose((a + np.diag(0.5 * np.diag(a))) @ ridge, b)
-    lasso = L._solve_one(a, b, 100.0, np.ones(2), 2)
+    lasso = one(100.0, np.ones(2), 2)
     assert np.allclose(lasso, 0.0)  # a huge L1 penalty zeroes every coefficient
 
 

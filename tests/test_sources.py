@@ -28,14 +28,29 @@ def test_read_sheets_csv(spark):
 
 def test_history_roundtrip(spark):
     path = tempfile.mkdtemp(prefix="hist-", dir="/tmp") + "/h"
-    met = spark.createDataFrame([("w", "ETS", f, 5, 1.0 + f, 0.5, 3.14159) for f in range(5)],
-                                "well string, model string, fold int, n long, rmse double, mae double, mape double")
-    HI.append_history(HI.history_rows(met, "qty", 30, "interpolate", {"alpha": "0.3"}, "2024-01-01 00:00:00"), path)
-    HI.append_history(HI.history_rows(met, "qty", 7, "median", None, "2024-01-02 00:00:00"), path)
+    d0 = dt.date(2024, 1, 1)
+    rows = [("w", "ETS", {"alpha": a}, f, "test", d0, 1, 10.0, 10.0 - f, None, None) for f in range(5) for a in ("0.3",)]
+    fc = spark.createDataFrame(rows, "well string, model string, params map<string,string>, fold int, part string, ds date, step int, "
+                                     "y double, yhat double, yhat_lower double, yhat_upper double")
+    HI.append_history(fc, path, "qty", 30, "interpolate", "2024-01-01 00:00:00")
+    HI.append_history(fc, path, "qty", 7, "median", "2024-01-02 00:00:00")
     h = HI.read_history(spark, path).collect()
     assert [r.horizon for r in h] == [30, 7]
-    assert h[0].rmse == 5.0 and h[0].mape == 3.14 and h[0].params == {"alpha": "0.3"}
+    assert h[0].rmse == 4.0 and h[0].mape == 40.0 and h[0].params == {"alpha": "0.3"}
     assert HI.read_history(spark, path, "ETS").count() == 2
+    assert HI.read_forecasts(spark, path).count() == 10
+
+
+def test_history_names_the_parameters_used(spark):
+    from boreflow.plans import forecast as FC
+
+    df = spark.createDataFrame([("w", dt.date(2024, 1, 1) + dt.timedelta(i), 5.0 + i % 4) for i in range(60)], "well string, ds date, y double")
+    fc = FC.forecast(df, "y", "ETS", horizon=3, params={"n_bootstrap_draws": 10})
+    path = tempfile.mkdtemp(prefix="hist-", dir="/tmp") + "/h"
+    HI.append_history(fc, path, "y", 3, "none")
+    used = {tuple(sorted(r.params.items())) for r in fc.collect()}
+    assert {tuple(sorted(r.params.items())) for r in HI.read_history(spark, path).collect()} == used and len(used) == 1
+    assert dict(next(iter(used)))["n_bootstrap_draws"] == "10"
 
 
 def test_best_params_defaults(spark):
