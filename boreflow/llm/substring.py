@@ -31,66 +31,81 @@ _NONE = np.iinfo(np.int64).max
 # ---- segments of documents -------------------------------------------------------------------
 
 
-def segments(texts: list[bytes], window: int = WINDOW) -> dict[str, np.ndarray | list[bytes]]:
-    """Runs of consecutive windows of a text with the same minimizer.
+class Segments:
+    """Runs of consecutive windows of a text with the same minimizer, in text order.
 
-    ``doc`` (index of the text), ``word`` (its word where the first window starts), ``n`` (windows),
-    ``route`` (the minimizer) and ``text`` (the words of all its windows, joined by one space).
+    ``doc`` (index of the text), ``word`` (its word where the first window starts), ``n`` (windows) and
+    ``route`` (the minimizer); ``texts`` cuts out their words, joined by one space.
     """
-    out: dict[str, list] = {"doc": [], "word": [], "n": [], "route": [], "text": []}
-    for base in range(0, len(texts), PART_DOCS):
-        part = texts[base : base + PART_DOCS]
+
+    def __init__(self, texts: list[bytes], window: int = WINDOW):
+        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+        self.data: list[bytes] = []
+        self.part_sizes: list[int] = []
+        for base in range(0, len(texts), PART_DOCS):
+            found = self._part(texts[base : base + PART_DOCS], window)
+            if found is not None:
+                doc, word, n, route, begin, end = found
+                for c, v in zip(cols, (doc + base, word, n, route.view(np.int64), begin, end), strict=True):
+                    c.append(v)
+                self.part_sizes.append(len(doc))
+        self.doc, self.word, self.n, route, self.begin, self.end = map(np.concatenate, cols)
+        self.route = route.view(np.uint64)
+        self.part = np.repeat(np.arange(len(self.data)), self.part_sizes)
+
+    def _part(self, part: list[bytes], window: int) -> tuple[np.ndarray, ...] | None:
         sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
         data = b" ".join(part)
         starts, ends, words = word_hashes(data, SPACE)
+        if len(words) < window:
+            return None
         owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
         n_gram = min(GRAM, window)
-        if len(words) < window:
-            continue
         gram = np.zeros(len(words) - n_gram + 1, np.uint64)
         for k in range(n_gram):
             gram += words[k : k + len(gram)] * _STEP[k]
         gram = mix64(gram)
-        span = window - n_gram + 1
         least = gram[: len(words) - window + 1].copy()
-        for k in range(1, span):
+        for k in range(1, window - n_gram + 1):
             np.minimum(least, gram[k : k + len(least)], out=least)
         whole = np.flatnonzero(owner[: len(least)] == owner[window - 1 :])
         if not len(whole):
-            continue
+            return None
         least, own = least[whole], owner[whole]
-        new = np.concatenate([[True], (np.diff(least) != 0) | (np.diff(own) != 0) | (np.diff(whole) != 1)])
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(own) != 0) | (np.diff(whole) != 1)]))
         n = np.diff(np.append(first, len(whole)))
         at = whole[first]
         n_words = np.bincount(owner, minlength=len(part))
-        out["doc"].append(own[first] + base)
-        out["word"].append(at - (np.cumsum(n_words) - n_words)[own[first]])
-        out["n"].append(n)
-        out["route"].append(least[first])
-        a, b = starts[at].tolist(), ends[at + n + window - 2].tolist()
-        out["text"].extend(b" ".join(data[x:y].split()) for x, y in zip(a, b, strict=True))
-    return {k: v if k == "text" else (np.concatenate(v) if v else np.zeros(0, np.int64)) for k, v in out.items()}
-
-
-def distinct_segments(seg: dict, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(entry of each segment, then for each distinct text: one segment, its smallest and largest doc_id)."""
-    entry_of: dict[bytes, int] = {}
-    entry = np.fromiter((entry_of.setdefault(t, len(entry_of)) for t in seg["text"]), np.int64, len(seg["text"]))
-    _, one = np.unique(entry, return_index=True)
-    low = np.full(len(one), _NONE)
-    high = np.full(len(one), -_NONE - 1)
-    np.minimum.at(low, entry, doc_ids[seg["doc"]])
-    np.maximum.at(high, entry, doc_ids[seg["doc"]])
-    return entry, one, low, high
+        self.data.append(data)
+        return own[first], at - (np.cumsum(n_words) - n_words)[own[first]], n, least[first], starts[at], ends[at + n + window - 2]
+
+    def texts(self, rows: np.ndarray) -> list[bytes]:
+        places = zip(self.part[rows].tolist(), self.begin[rows].tolist(), self.end[rows].tolist(), strict=True)
+        return [b" ".join(self.data[p][a:b].split()) for p, a, b in places]
+
+    def copies(self, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The first of ``rows`` with the same text as each of them, and the texts of those firsts."""
+        first: dict[bytes, int] = {}
+        canon = np.fromiter((first.setdefault(t, r) for t, r in zip(self.texts(rows), rows.tolist(), strict=True)), np.int64, len(rows))
+        return canon, list(first)
+
+
+def bounds(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order with their smallest and largest id."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    low, high = np.full(len(distinct), _NONE), np.full(len(distinct), -_NONE - 1)
+    np.minimum.at(low, back, ids)
+    np.maximum.at(high, back, ids)
+    return distinct, low, high
 
 
 def pack(arrays: list[np.ndarray], texts: list[bytes]) -> bytes:
-    """Length-prefixed integer arrays and texts, compressed."""
+    """Integer arrays (byte planes apart, so that leading zeros cost nothing) and texts, compressed."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     parts = [a.astype(np.int64) for a in (*arrays, sizes)]
     head = np.array([len(parts), *map(len, parts)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(p.tobytes() for p in parts), *texts]))
+    planes = (p.view(np.uint8).reshape(-1, 8).T.tobytes() for p in parts)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *planes, *texts]))
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], list[bytes]]:
@@ -99,7 +114,8 @@ def unpack(blob: bytes) -> tuple[list[np.ndarray], list[bytes]]:
     lengths = np.frombuffer(raw, np.int64, k, 8)
     at, arrays = 8 * (k + 1), []
     for n in lengths.tolist():
-        arrays.append(np.frombuffer(raw, np.int64, n, at))
+        planes = np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n)
+        arrays.append(np.ascontiguousarray(planes.T).view(np.int64).reshape(-1))
         at += 8 * n
     ends = at + np.cumsum(arrays[-1])
     return arrays[:-1], [raw[e - n : e] for e, n in zip(ends.tolist(), arrays[-1].tolist(), strict=True)]
@@ -205,29 +221,43 @@ def statistics(index: FMIndex, text: np.ndarray, at: np.ndarray, window: int) ->
     return length, found
 
 
-def answer(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]], window: int = WINDOW) -> Iterator[tuple[int, bytes]]:
-    """One shard: (batch, its packed answers) from its entries (batch, number, route, low, high, texts).
+def _spans(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    edges = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return list(zip(edges, edges[1:], strict=False)) if len(values) else []
 
-    Only routes with two documents can hold a match. Their distinct texts are indexed, each with its
-    smallest document, and streamed through the index; a window's answer is the smallest document
-    that holds it. Answers are runs of windows (entry number, first window, windows, document),
-    left out where no document of the batch can be larger.
-    """
-    if not entries:
-        return
+
+def by_batch(batch: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """The columns' rows of each batch, packed."""
+    order = np.argsort(batch, kind="stable")
+    owner = batch[order]
+    for a, b in _spans(owner):
+        yield int(owner[a]), pack([c[order[a:b]] for c in columns], [])
+
+
+def shared_routes(entries: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
+    """One shard's (batch, number, route, low, high): the numbers of routes that two documents have."""
     batch, number, route, low, high = (np.concatenate([e[k] for e in entries]) for k in range(5))
-    texts = [t for e in entries for t in e[5]]
     _, group = np.unique(route, return_inverse=True)
     least, most = np.full(group.max() + 1, _NONE), np.full(group.max() + 1, -_NONE - 1)
     np.minimum.at(least, group, low)
     np.maximum.at(most, group, high)
-    keep = np.flatnonzero((least < most)[group])
-    if not len(keep):
-        return
+    keep = (least < most)[group]
+    yield from by_batch(batch[keep], [number[keep]])
+
+
+def answer(entries: list[tuple], window: int = WINDOW) -> Iterator[tuple[int, bytes]]:
+    """One shard: (batch, its packed answers) from its entries (batch, number, low, high, texts).
+
+    The distinct texts are indexed, each with its smallest document, and streamed through the index;
+    a window's answer is the smallest document that holds it. Answers are runs of windows (entry
+    number, first window, windows, document), left out where no document of the batch is larger.
+    """
+    batch, number, low, high = (np.concatenate([e[k] for e in entries]) for k in range(4))
     unit_of: dict[bytes, int] = {}
-    unit = np.fromiter((unit_of.setdefault(texts[k], len(unit_of)) for k in keep), np.int64, len(keep))
+    unit = np.fromiter((unit_of.setdefault(t, len(unit_of)) for e in entries for t in e[4]), np.int64, len(number))
     first = np.full(len(unit_of), _NONE)
-    np.minimum.at(first, unit, low[keep])
+    np.minimum.at(first, unit, low)
     units = list(unit_of)
     words = pa.array(b" ".join(units).split(b" "), pa.binary()).dictionary_encode()
     sizes = np.fromiter((u.count(b" ") + 1 for u in units), np.int64, len(units))
@@ -248,38 +278,34 @@ def answer(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     offset = np.cumsum(per_unit) - per_unit
     # Each entry gets the runs of its text, as far as they can matter to its largest document.
     count = per_unit[unit]
-    who = np.repeat(np.arange(len(keep)), count)
+    who = np.repeat(np.arange(len(unit)), count)
     which = np.repeat(offset[unit] - (np.cumsum(count) - count), count) + np.arange(len(who))
-    useful = found[run[which]] < high[keep][who]
+    useful = found[run[which]] < high[who]
     who, which = who[useful], which[useful]
-    order = np.argsort(batch[keep][who], kind="stable")
-    who, which = who[order], which[order]
-    owner = batch[keep][who]
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0])) if len(owner) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
-        r = run[which[a:b]]
-        yield int(owner[a]), pack([number[keep][who[a:b]], inner[r], run_n[which[a:b]], found[r]], [])
+    yield from by_batch(batch[who], [number[who], inner[run[which]], run_n[which], found[run[which]]])
 
 
 # ---- the job ---------------------------------------------------------------------------------
 
 
-def covered(seg: dict, entry: np.ndarray, doc_ids: np.ndarray, blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered(seg: Segments, ids: np.ndarray, blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc index, first word, last word + 1) of word runs covered by windows of smaller documents."""
     parts = [unpack(b)[0] for b in blobs]
-    if not parts or not len(entry):
+    if not parts:
         return (np.zeros(0, np.int64),) * 3
     number, at, n, found = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    by_entry = np.argsort(entry, kind="stable")
-    size = np.bincount(entry)
-    place = np.cumsum(size) - size
-    count = size[number]
-    row = np.repeat(np.arange(len(number)), count)
-    s = by_entry[np.repeat(place[number] - (np.cumsum(count) - count), count) + np.arange(len(row))]
-    hit = found[row] < doc_ids[seg["doc"][s]]
-    row, s = row[hit], s[hit]
-    begin = seg["word"][s] + at[row]
-    return seg["doc"][s], begin, begin + n[row] + window - 1
+    rows = np.flatnonzero(np.isin(seg.route, seg.route[number]))
+    canon, _ = seg.copies(rows)
+    order = np.argsort(canon, kind="stable")
+    rows, canon = rows[order], canon[order]
+    low, high = np.searchsorted(canon, number, side="left"), np.searchsorted(canon, number, side="right")
+    count = high - low
+    k = np.repeat(np.arange(len(number)), count)
+    s = rows[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(k))]
+    hit = found[k] < ids[seg.doc[s]]
+    k, s = k[hit], s[hit]
+    begin = seg.word[s] + at[k]
+    return seg.doc[s], begin, begin + n[k] + window - 1
 
 
 def batched(docs: DataFrame, batch_bytes: int, total: int) -> DataFrame:
@@ -293,6 +319,15 @@ def _ids(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     return table.column("doc_id").cast(pa.int64()).fill_null(-_NONE - 1).to_numpy().astype(np.int64)
 
 
+def _above(ids: np.ndarray) -> np.ndarray:
+    """Null ids as above every other, so that their rows count for nobody."""
+    return np.where(ids == -_NONE - 1, _NONE, ids)
+
+
+def _record(names: tuple[str, ...], row: tuple) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], names=list(names))
+
+
 def _canonical(table: pa.Table) -> pa.Table:
     """A batch in an order that depends on its rows only, whatever order they arrive in."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -305,10 +340,11 @@ def substring_dedup(
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, n_passages.
 
     Removes each word covered by a window of ``window`` words whose sequence also starts in a
-    document with a smaller doc_id, judged on the input. Documents are dealt to batches; a batch
-    sends each distinct segment once to its minimizer's shard, and gets back, per distinct segment,
-    the smallest document of each window. A passage common to many documents so reaches a shard
-    once per batch. kept_sha256 is over the kept words joined by one space. Defined cases: a null
+    document with a smaller doc_id, judged on the input. Documents are dealt to batches. A batch first
+    sends the minimizers of its segments to their shards and learns which of them other documents
+    have too; a segment without such company cannot match. It then sends each distinct remaining
+    segment once, and gets back the smallest document of each of its windows. A passage common to
+    many documents so reaches a shard once per batch. kept_sha256 is over the kept words joined by one space. Defined cases: a null
     text has no words (the digest of the empty string); texts shorter than the window stay whole;
     a null id is above every other document's reach: such rows are left whole and count for nobody;
     repeated rows of one id never remove each other's words; an empty table gives no rows.
@@ -319,22 +355,47 @@ def substring_dedup(
     n_shards = max(1, -(-total // shard_bytes))
     dealt = batched(d, batch_bytes, total)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(number: int, keys: np.ndarray, columns: list[np.ndarray], texts: list[bytes] | None) -> Iterator[tuple[int, int, bytes]]:
+        """(shard, batch, blob) of one batch's rows, by the shard of their route."""
+        shard = (mix64(keys) % np.uint64(n_shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        for a, b in _spans(shard[order]):
+            rows = order[a:b]
+            yield int(shard[rows[0]]), number, pack([c[rows] for c in columns], [texts[k] for k in rows] if texts else [])
+
+    def opened(table: pa.Table) -> tuple[pa.Table, np.ndarray, Segments]:
+        table = _canonical(table)
+        return table, _ids(table), Segments(bytes_list(table.column("text").combine_chunks()), window)
+
+    def send_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in _grouped(batches, "batch"):
-            table = _canonical(table)
-            ids = _ids(table)
-            seg = segments(bytes_list(table.column("text").combine_chunks()), window)
-            _, one, low, high = distinct_segments(seg, np.where(ids == -_NONE - 1, _NONE, ids))
-            if not len(one):
-                continue
-            shard = (mix64(seg["route"][one].astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                rows = order[a:b]
-                route = seg["route"][one[rows]].astype(np.uint64).view(np.int64)
-                blob = pack([rows, route, low[rows], high[rows]], [seg["text"][k] for k in one[rows]])
-                yield pa.record_batch([pa.array([int(shard[rows[0]])]), pa.array([number]), pa.array([blob], pa.binary())], names=["shard", "batch", "blob"])
+            _, ids, seg = opened(table)
+            route, low, high = bounds(seg.route, _above(ids)[seg.doc])
+            # 32 bits tell the routes of a shard apart well enough: a clash only lets more text through.
+            columns = [np.arange(len(route)), (route >> np.uint64(32)).astype(np.int64), low, high]
+            for row in deal(number, route, columns, None):
+                yield _record(("shard", "batch", "blob"), row)
+
+    def share_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _grouped(batches, "shard"):
+            entries = []
+            for number, blob in zip(table.column("batch").to_pylist(), table.column("blob").to_pylist(), strict=True):
+                arrays, _ = unpack(blob)
+                entries.append((np.full(len(arrays[0]), number), *arrays))
+            for row in shared_routes(entries):
+                yield _record(("batch", "answers"), row)
+
+    def send_texts(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, bytes]] = []
+        if right.num_rows:
+            _, ids, seg = opened(left)
+            wanted = np.unique(seg.route)[np.concatenate([unpack(b)[0][0] for b in right.column("answers").to_pylist()])]
+            chosen = np.flatnonzero(np.isin(seg.route, wanted))
+            canon, texts = seg.copies(chosen)
+            first, low, high = bounds(canon, _above(ids)[seg.doc[chosen]])
+            rows = list(deal(left.column("batch")[0].as_py(), seg.route[first], [first, low, high], texts))
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["shard", "batch", "blob"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in _grouped(batches, "shard"):
@@ -342,15 +403,13 @@ def substring_dedup(
             for number, blob in zip(table.column("batch").to_pylist(), table.column("blob").to_pylist(), strict=True):
                 arrays, texts = unpack(blob)
                 entries.append((np.full(len(texts), number), *arrays, texts))
-            for number, blob in answer(entries, window):
-                yield pa.record_batch([pa.array([number]), pa.array([blob], pa.binary())], names=["batch", "answers"])
+            for row in answer(entries, window):
+                yield _record(("batch", "answers"), row)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = _canonical(left)
-        ids, texts = _ids(left), bytes_list(left.column("text").combine_chunks())
-        seg = segments(texts, window)
-        entry, *_ = distinct_segments(seg, ids)
-        doc, begin, end = covered(seg, entry, ids, right.column("answers").to_pylist(), window)
+        left, ids, seg = opened(left)
+        texts = bytes_list(left.column("text").combine_chunks())
+        doc, begin, end = covered(seg, ids, right.column("answers").to_pylist(), window)
         order = np.argsort(doc, kind="stable")
         cuts = np.searchsorted(doc[order], np.arange(len(texts) + 1))
         out = []
@@ -370,8 +429,12 @@ def substring_dedup(
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table([left.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_passages"])
 
-    sent = dealt.sortWithinPartitions("batch").mapInArrow(send, "shard long, batch long, blob binary")
-    found = sent.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(search, "batch long, answers binary")
+    def by_shard(df: DataFrame, fn) -> DataFrame:
+        return df.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(fn, "batch long, answers binary")
+
+    routes = by_shard(dealt.sortWithinPartitions("batch").mapInArrow(send_routes, "shard long, batch long, blob binary"), share_routes)
+    sent = dealt.groupBy("batch").cogroup(routes.groupBy("batch")).applyInArrow(send_texts, "shard long, batch long, blob binary")
+    found = by_shard(sent, search)
     return dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(
         apply, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, n_passages long"
     )
@@ -383,10 +446,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
     current: int | None = None
     for batch in batches:
         values = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
+        for a, b in _spans(values):
             if current is not None and values[a] != current:
                 yield current, pa.Table.from_batches(held)
                 held = []
