@@ -1,5 +1,118 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express, written from their definitions.
+
+The others are tested against brute force, round trips or held-out accuracy (tests/llm).
+"""
 
 from __future__ import annotations
 
+from boreflow.llm import mixing, urls
+from boreflow.llm.text import UPPER
+
 ORACLE: dict[str, str] = {}
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LETTER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _fold(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}')"
+
+
+ORACLE["op2_mixing"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS n_tokens FROM documents),
+src AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n_docs FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+tot AS (SELECT sum(tokens) AS t, count(*) AS k, list(tokens) AS each FROM src),
+p AS (SELECT t, k, [x / t FOR x IN each] AS p, {mixing.ENTROPY_SHARE} * ln(k) AS target FROM tot),
+h(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN ent >= target THEN mid ELSE lo END, CASE WHEN ent >= target THEN hi ELSE mid END
+  FROM (SELECT h.i, h.lo, h.hi, (lo + hi) / 2 AS mid, p.target,
+          ln(list_sum([pow(x, (lo + hi) / 2) FOR x IN p.p]))
+          - (lo + hi) / 2 * list_sum([pow(x, (lo + hi) / 2) * ln(x) FOR x IN p.p])
+            / list_sum([pow(x, (lo + hi) / 2) FOR x IN p.p]) AS ent
+        FROM h, p) WHERE i < 45),
+r(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN rep <= {mixing.MAX_PASSES} THEN lo ELSE mid END, CASE WHEN rep <= {mixing.MAX_PASSES} THEN mid ELSE hi END
+  FROM (SELECT r.i, r.lo, r.hi, (lo + hi) / 2 AS mid,
+          list_max([pow(x, (lo + hi) / 2 - 1) FOR x IN p.p])
+            / list_sum([pow(x, (lo + hi) / 2) FOR x IN p.p]) AS rep
+        FROM r, p) WHERE i < 45),
+r0 AS (SELECT list_max([pow(x, -1) FOR x IN p]) / len(p) AS rep FROM p),
+a AS (SELECT round(greatest((SELECT lo FROM h WHERE i = 45),
+                            (SELECT CASE WHEN r0.rep <= {mixing.MAX_PASSES} THEN 0 ELSE (SELECT hi FROM r WHERE i = 45) END FROM r0)), {mixing.DIGITS}) AS a),
+w AS (SELECT source, tokens, n_docs, pow(tokens / t, a) / (SELECT sum(pow(tokens / t, a)) FROM src, tot, a) AS weight, t, a
+      FROM src, tot, a),
+plan AS (SELECT *, CAST(round(weight * t) AS BIGINT) AS quota, CAST(ceil(sqrt(n_docs)) AS BIGINT) AS n_blocks FROM w),
+cut AS (SELECT *, CAST(floor(quota / tokens) AS BIGINT) AS whole, CAST(quota - floor(quota / tokens) * tokens AS BIGINT) AS rest FROM plan),
+passes AS (
+  SELECT d.doc_id, d.source, unnest(range(whole + 1)) AS pass, d.n_tokens, weight, a, whole, rest, n_blocks
+  FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source),
+keyed AS (SELECT *, md5('{mixing.SEED}:' || pass || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS order_key FROM passes),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY CAST('0x' || substr(order_key, 1, 8) AS BIGINT) % n_blocks, order_key, doc_id
+                                      ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
+SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, n_tokens, order_key, round(weight, 9) AS weight, a AS exponent
+FROM run WHERE pass < whole OR (rest > 0 AND upto <= rest)"""
+
+ORACLE["op4_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+hit AS (SELECT DISTINCT doc_id, i + k AS pos FROM (
+  SELECT win.doc_id, win.i, unnest(range(13)) AS k FROM win JOIN first USING (s) WHERE first.f < win.doc_id)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM d),
+marked AS (SELECT word.doc_id, word.x, word.pos, hit.pos IS NOT NULL AS gone
+           FROM word LEFT JOIN hit ON word.doc_id = hit.doc_id AND word.pos = hit.pos),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM marked),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_passages,
+                string_agg(x, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM edge GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+       coalesce(n_passages, 0) AS n_passages
+FROM d LEFT JOIN sums USING (doc_id)"""
+
+
+def _shingles(table: str, key: str) -> str:
+    return rf"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM (SELECT {key}, regexp_extract_all({_fold('text')}, '{_LETTER_WORD}') AS w FROM {table})"""
+
+
+ORACLE["op5_decontamination"] = f"""
+WITH item AS ({_shingles('benchmark', 'item_id')}),
+doc AS ({_shingles('documents', 'doc_id')}),
+size AS (SELECT item_id, count(*) AS n_shingles FROM item GROUP BY item_id),
+found AS (SELECT doc_id, item_id, count(*) AS n_found FROM doc JOIN item USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+FROM found JOIN size USING (item_id) WHERE n_found / n_shingles >= 0.8"""
+
+ORACLE["op6_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, sha256({_fold('text')}) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
+
+
+def _terms(terms: tuple[str, ...], distinct: bool) -> str:
+    count = [f"len(regexp_extract_all(wide, '(^|[^a-z]){t}([^a-z]|$)'))" for t in terms]
+    return " + ".join(f"least({c}, 1)" if distinct else c for c in count)
+
+
+_FITS = [(h + p, a, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for a, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
+
+ORACLE["op8_url_filter"] = rf"""
+WITH u AS (SELECT page_id, {_fold('url')} AS low, url, contains(coalesce(url, ''), '://') AS has,
+                  substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+hp AS (SELECT page_id, regexp_replace(low, '([^a-z])', '\1\1', 'g') AS wide,
+              CASE WHEN has THEN {_fold("regexp_extract(rest, '^([^/?#]*)', 1)")} ELSE '' END AS host,
+              CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+hit AS (SELECT *, {_terms(urls.STRICT, False)} AS n_strict, {_terms(urls.SOFT, False)} AS n_soft, {_terms(urls.SOFT, True)} AS n_soft_distinct FROM hp),
+ruled AS (SELECT *, CASE {' '.join(f"WHEN {f} THEN '{r}'" for r, _, f in _FITS)} END AS rule,
+                 CASE {' '.join(f"WHEN {f} THEN '{a}'" for _, a, f in _FITS)} END AS act FROM hit)
+SELECT page_id, host, path, rule,
+       coalesce(act, CASE WHEN n_strict >= 1 OR n_soft_distinct >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       n_strict, n_soft, n_soft_distinct FROM ruled"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boreflow.llm import decontam, exact, langid, licenses, mixing, simhash, substring, tokens, toxicity, urls
 from boreflow.llm.text import documents
@@ -19,7 +20,7 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
