@@ -6,6 +6,8 @@ written from the operator's definition, not from the Spark plan.
 
 from __future__ import annotations
 
+from boreflow.plans.tune import SPACES, draw
+
 PARAMS = ["qty", "price", "disc", "tax"]
 WELLS = [f + s for f in "ANR" for s in "FO"]
 W = "PARTITION BY well ORDER BY ds"
@@ -345,3 +347,107 @@ fc AS (SELECT x.well, st.fold, x.y, st.l + st.s[CAST(((x.pos - st.i - 1) % 12) +
 SELECT well, fold, count(*) AS n, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse,
        round(avg(abs(y - yhat)), 6) AS mae, round(avg(abs((y - yhat) / y)) * 100.0, 6) AS mape
 FROM fc GROUP BY well, fold"""
+
+# ---------------------------------------------------------------- p-values and the whole screening
+# Averages differ in their last bits by the order of addition; rounded, equal readings tie in any engine.
+SUPPLIERS = CLEAN.replace("l_returnflag || l_linestatus", "CAST(l_suppkey AS VARCHAR)").replace(
+    f"clean AS (SELECT well, ds, {', '.join(PARAMS)} FROM", f"clean AS (SELECT well, ds, {rnd(PARAMS, 9)} FROM")
+assert "CAST(l_suppkey" in SUPPLIERS and "round(qty, 9)" in SUPPLIERS
+# Two-sided p of a t statistic: 1 - 2 * integral of the t density over 0..|t|, by Simpson's rule.
+_PVAL = """
+tv AS (SELECT well, regressor, n, rho, CAST(n - 2 AS DOUBLE) AS df, rho * sqrt(CAST(n - 2 AS DOUBLE) / (1.0 - rho * rho)) AS t FROM sp),
+td AS (SELECT *, least(abs(t), 60.0) / 2000 AS w, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c FROM tv),
+pv AS (SELECT well, regressor, n, rho, t, greatest(0.0, 1.0 - 2.0 * w / 3.0 * list_sum(
+         [(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * c * pow(1.0 + (i * w) * (i * w) / df, -(df + 1) / 2)
+          FOR i IN range(2001)])) AS p FROM td)"""
+ORACLE["f6_spearman_p"] = with_(CLEAN, _SPEAR, _PVAL) + """
+SELECT well, regressor, n, round(rho, 6) AS rho, round(t, 6) AS t, round(p, 6) AS p FROM pv"""
+_SCREEN = with_(SUPPLIERS, _ACF, _CORR, _SPEAR, _PVAL, """
+am AS (SELECT well, param AS regressor, max(acf) AS acf_max FROM acf WHERE lag >= 1 AND param <> 'qty' GROUP BY well, param),
+scr AS (SELECT well, regressor, acf_max, acf_max > 0.2 AS keep_acf, r, cr.n, abs(r) >= 0.1 AS keep_corr, rho, p,
+               acf_max > 0.2 AND abs(r) >= 0.1 AS relevant, acf_max > 0.2 AND abs(r) >= 0.1 AND p < 0.05 AS significant
+        FROM am JOIN cr USING (well, regressor) JOIN pv USING (well, regressor))""")
+ORACLE["f_screen"] = _SCREEN + "\nSELECT well, regressor, keep_acf, n, keep_corr, relevant, significant, " + rnd(["acf_max", "r", "rho", "p"]) + " FROM scr"
+ORACLE["f7_significant"] = _SCREEN + "\nSELECT well, regressor FROM scr WHERE significant"
+
+# ---------------------------------------------------------------- backtests with a future, sampled paths
+# Folds 0..4 and the final fit (fold 5, 30 future days): train_end, number of steps h.
+FITS = """
+fits AS (SELECT well, fold, train_end, CAST(test_end - train_end AS INTEGER) AS h FROM fl
+         UNION ALL SELECT well, 5, CAST(n AS INTEGER), 30 FROM fb),
+rowsp AS (SELECT f.well, f.fold, f.train_end, CAST(s.k AS INTEGER) AS step, p.ds, p.qty AS y, 'test' AS part
+          FROM fits f, range(1, 2000) s(k), pz p WHERE f.fold < 5 AND s.k <= f.h AND p.well = f.well AND p.pos = f.train_end + s.k - 1
+          UNION ALL
+          SELECT f.well, f.fold, f.train_end, CAST(s.k AS INTEGER), CAST(m.d1 + CAST(s.k AS INTEGER) AS DATE), NULL, 'future'
+          FROM fits f JOIN (SELECT well, max(ds) AS d1 FROM pz GROUP BY well) m USING (well), range(1, 31) s(k) WHERE f.fold = 5)"""
+
+
+def ets_fits(cands: list[tuple[float, float]]) -> str:
+    """ETS forecasts of every fit: ``efc(well, alpha, gamma, fold, part, ds, step, y, yhat)``."""
+    rec = ets_rec("ser", cands, "SELECT n FROM fb WHERE fb.well = r.well")
+    return "ser AS (SELECT well, pos + 1 AS pos, qty AS y FROM pz)," + rec + """,
+efc AS (SELECT x.well, r.alpha, r.gamma, x.fold, x.part, x.ds, x.step, x.y,
+               r.l + r.s[CAST(((x.step - 1) % 12) + 1 AS INTEGER)] AS yhat
+               , sqrt(r.sse / (x.train_end - 1)) AS sd
+        FROM rowsp x JOIN rec r ON r.well = x.well AND r.i = x.train_end)"""
+
+
+def path_band(n_paths: int, seed: int, qs: tuple[float, ...]) -> str:
+    """Quantiles of cumulative sampled changes: ``band(well, fold, step, q0, q1, ...)``."""
+    quant = ", ".join(f"quantile_cont(moved, {q}) AS q{k}" for k, q in enumerate(qs))
+    return f"""
+chg AS (SELECT well, list(d ORDER BY pos) AS d FROM (
+          SELECT well, pos, lead(qty) OVER (PARTITION BY well ORDER BY pos) - qty AS d FROM pz) GROUP BY well),
+dr1 AS (SELECT f.well, f.fold, f.train_end, p.k AS p, j.k AS j,
+               (p.k * 7919 + j.k * 104729 + p.k * j.k * 31 + f.fold * 15485863 + {seed} * 32452843) % 2147483647 AS a
+        FROM fits f, range(1, {n_paths + 1}) p(k), range(1, 2000) j(k) WHERE j.k <= f.h),
+dr2 AS (SELECT *, (a * 48271) % 2147483647 AS b FROM dr1),
+dr3 AS (SELECT well, fold, p, j, (b * b) % 2147483647 % (train_end - 1) AS k FROM dr2),
+mv AS (SELECT dr3.well, dr3.fold, dr3.j AS step,
+              sum(chg.d[k + 1]) OVER (PARTITION BY dr3.well, fold, p ORDER BY j ROWS UNBOUNDED PRECEDING) AS moved
+       FROM dr3 JOIN chg USING (well)),
+band AS (SELECT well, fold, step, {quant} FROM mv GROUP BY well, fold, step)"""
+
+
+_FC_OUT = "\nSELECT well, '{model}' AS model, fold, part, ds, step, " + "round(y, 6) AS y, round({yhat}, 6) AS yhat, round({lo}, 6) AS yhat_lower, round({hi}, 6) AS yhat_upper"
+ORACLE["u3_bootstrap_band_20"] = with_(CLEAN, POS, FOLDS, FITS, ets_fits([(0.1, 0.05)]), path_band(20, 7, (0.05, 0.95))) + _FC_OUT.format(
+    model="ETS", yhat="yhat", lo="yhat + q0", hi="yhat + q1") + " FROM efc LEFT JOIN band USING (well, fold, step)"
+ORACLE["m1_ets"] = with_(CLEAN, POS, FOLDS, FITS, ets_fits([(0.1, 0.05)])) + _FC_OUT.format(
+    model="ETS", yhat="yhat", lo="yhat - 1.6449 * sd", hi="yhat + 1.6449 * sd") + " FROM efc"
+ORACLE["m9_sample_paths"] = with_(CLEAN, POS, FOLDS, FITS, path_band(20, 42, (0.1, 0.5, 0.9)), """
+lastp AS (SELECT f.well, f.fold, p.qty AS last FROM fits f JOIN pz p ON p.well = f.well AND p.pos = f.train_end - 1)""") + _FC_OUT.format(
+    model="Chronos", yhat="last + q1", lo="last + q0", hi="last + q2") + " FROM rowsp JOIN lastp USING (well, fold) JOIN band USING (well, fold, step)"
+
+# ---------------------------------------------------------------- history
+_TWO = [(0.3, 0.1), (0.1, 0.1)]
+_RUNS = with_(CLEAN, POS, FOLDS, FITS, ets_fits(_TWO))
+_STAMP = "CAST(CASE WHEN alpha > 0.2 THEN '2024-01-01 00:00:00' ELSE '2024-01-02 00:00:00' END AS TIMESTAMP) AS run_ts"
+ORACLE["s6_s7_history"] = _RUNS + f"""
+SELECT {_STAMP}, well, 'qty' AS target, 'ETS' AS model, 30 AS horizon, 'interpolate' AS fill_method,
+       CAST(alpha AS VARCHAR) AS alpha, CAST(gamma AS VARCHAR) AS gamma, '20' AS n_bootstrap_draws,
+       round(sqrt(avg((y - yhat) * (y - yhat))), 2) AS rmse, round(avg(abs(y - yhat)), 2) AS mae,
+       round(avg(abs((y - yhat) / y)) * 100.0, 2) AS mape
+FROM efc WHERE fold = 4 GROUP BY well, alpha, gamma"""
+ORACLE["s6_s7_forecasts"] = _RUNS + f"""
+SELECT {_STAMP}, well, 'ETS' AS model, CAST(alpha AS VARCHAR) AS alpha, fold, part, ds, step, round(yhat, 6) AS yhat FROM efc"""
+
+# ---------------------------------------------------------------- tuning with the seeded trials
+_TRIALS = [(t["alpha"], t["gamma"]) for t in draw(SPACES["ETS"], 50, 42)]
+_TUNED = with_(CLEAN, POS, FOLDS, FITS, ets_fits(_TRIALS), "trials(trial, alpha, gamma) AS (VALUES " + ", ".join(
+    f"({i}, {dbl(a)}, {dbl(g)})" for i, (a, g) in enumerate(_TRIALS)) + ")", """
+cutp AS (SELECT well, CAST(floor(n * 0.7) AS INTEGER) AS cut, CAST(floor(n * 0.95) AS INTEGER) AS te FROM fb),
+hold AS (SELECT x.well, t.trial, t.alpha, t.gamma, x.y, r.l + r.s[CAST(((x.pos - r.i - 1) % 12) + 1 AS INTEGER)] AS yhat
+         FROM cutp c JOIN ser x ON x.well = c.well AND x.pos > c.te JOIN rec r ON r.well = c.well AND r.i = c.cut
+         JOIN trials t ON t.alpha = r.alpha AND t.gamma = r.gamma),
+sc AS (SELECT well, trial, alpha, gamma, count(*) AS n, sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+              avg(abs(y - yhat)) AS mae, avg(abs((y - yhat) / y)) * 100.0 AS mape FROM hold GROUP BY well, trial, alpha, gamma),
+best AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY rmse, trial) AS rk FROM sc)""")
+ORACLE["e5_tune_ets"] = _TUNED + """
+SELECT well, trial, round(alpha, 6) AS alpha, round(gamma, 6) AS gamma, n, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
+       round(mape, 6) AS mape FROM best WHERE rk = 1"""
+ORACLE["e7_tune_then_run"] = _TUNED + """
+SELECT e.well, b.trial, round(e.alpha, 6) AS alpha, round(e.gamma, 6) AS gamma, e.fold, count(*) AS n,
+       round(sqrt(avg((e.y - e.yhat) * (e.y - e.yhat))), 6) AS rmse, round(avg(abs(e.y - e.yhat)), 6) AS mae,
+       round(avg(abs((e.y - e.yhat) / e.y)) * 100.0, 6) AS mape
+FROM efc e JOIN best b ON b.well = e.well AND b.alpha = e.alpha AND b.gamma = e.gamma AND b.rk = 1
+WHERE e.part = 'test' GROUP BY e.well, b.trial, e.alpha, e.gamma, e.fold"""

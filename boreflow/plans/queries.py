@@ -220,8 +220,11 @@ def f6p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned supplier panel, where a good part of the regressors pass the screening."""
-    return C.clean(T.scale_panel(spark, sf_dir), P, target=T.TARGET)
+    """The cleaned supplier panel, where a good part of the regressors pass the screening.
+
+    Values are rounded, so that equal readings tie whatever the order their averages were added in.
+    """
+    return _r(C.clean(T.scale_panel(spark, sf_dir), P, target=T.TARGET), 9)
 
 
 @register("f7_significant")
@@ -387,18 +390,23 @@ from boreflow.plans import forecast as FC  # noqa: E402
 from boreflow.plans import tune as TU  # noqa: E402
 from boreflow.sources import history as HI  # noqa: E402
 
-FC_COLS = ["well", "model", "params", "fold", "part", "ds", "step", "y", "yhat", "yhat_lower", "yhat_upper"]
+FC_COLS = ["well", "model", "fold", "part", "ds", "step", "y", "yhat", "yhat_lower", "yhat_upper"]
 SCENARIO = ("price", 5000.0)
 
 
 def _fc(spark: SparkSession, sf_dir: str, model: str, params: dict | None = None) -> DataFrame:
     """Backtest (5 folds) + 30-day future forecast of one model on the cleaned main panel."""
     fc = FC.forecast(cleaned(spark, sf_dir), T.TARGET, model, REGS, 30, SCENARIO, params)
-    fc = fc.withColumn("fold", F.when(F.col("part") == "future", F.lit(None)).otherwise(F.col("fold")).cast("int"))
-    return _r(fc.select(*FC_COLS))
+    return _r(fc.select(*FC_COLS))  # fold 5 is the final fit with the future rows
+
+
+@register("m1_ets")
+def m1_ets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ETS with its normal band."""
+    return _fc(spark, sf_dir, "ETS", {"n_bootstrap_draws": 0})
 
 
-for _name, _model in (("m1_ets", "ETS"), ("m2_dlt", "DLT"), ("m3_lgt", "LGT"), ("m4_ktr", "KTR"),
+for _name, _model in (("m2_dlt", "DLT"), ("m3_lgt", "LGT"), ("m4_ktr", "KTR"),
                       ("m5_fourier_trend", "Prophet"), ("m6_lag_regression", "LSTM"), ("m8_pooled_direct", "N-BEATS"),
                       ("m9_sample_paths", "Chronos"), ("m10_forecast_tft", "TFT")):
     REGISTRY[_name] = (lambda m: lambda spark, sf_dir: _fc(spark, sf_dir, m))(_model)
@@ -434,6 +442,12 @@ def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fc(spark, sf_dir, "ETS", {"n_bootstrap_draws": 500})
 
 
+@register("u3_bootstrap_band_20")
+def u3_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same band from 20 draws, few enough for SQL to repeat every path."""
+    return _fc(spark, sf_dir, "ETS", {"n_bootstrap_draws": 20})
+
+
 # ---------------------------------------------------------------- tuning and history
 @register("e5_tune_ets")
 def e5_ets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,7 +534,7 @@ def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = E.rank_by(_ets_grid_scores(spark, sf_dir), "rmse", ("well",), tie=("alpha", "gamma"))
     tuned = best.select("well", F.create_map(F.lit("alpha"), F.col("alpha").cast("string"),
                                              F.lit("gamma"), F.col("gamma").cast("string")).alias("params"))
-    out = E.best_params(tuned, {"alpha": "0.3", "gamma": "0.1", **FC.DEFAULTS["ETS"]})
+    out = E.best_params(tuned, FC.DEFAULTS["ETS"])
     return out.select("well", *[F.col("params")[k].alias(k) for k in ("alpha", "gamma", "n_bootstrap_draws")])
 
 
