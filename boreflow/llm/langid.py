@@ -207,7 +207,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("rn", rank).filter(F.col("rn") <= TRAIN_DOCS)
     share = F.greatest(F.lit(0), F.length("text") - SPAN) / max(1, TRAIN_SPANS - 1)
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SPANS - 1)), lambda k: F.floor(k * share).cast("int") + 1))
-    spans = usable.join(chosen.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").select(
+    # TRAIN_DOCS ids per language: small enough to broadcast however many documents there are.
+    spans = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select(
         "lang", F.xxhash64("doc_id").alias("h"), F.explode(F.transform(places, lambda p: F.substring(F.col("text"), p, F.lit(SPAN)))).alias("span")
     )
     rows = sorted((r.lang, r.h, r.span) for r in spans.collect())

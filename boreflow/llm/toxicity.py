@@ -11,11 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boreflow.llm.text import LETTER_WORDS, bytes_list, map_arrow, materialize, narrow
 
-TRAIN_PER_CLASS = 8_000  # labelled documents of each class the scores are learned from
+TRAIN_PER_CLASS = 8_000  # about so many labelled documents of each class the scores are learned from
 FEATURES = 20_000  # features with the largest |z| that the model keeps
 LEAST_Z = 5.0
 LEAST_DOCS = 3  # distinct training documents a feature occurs in
@@ -158,18 +157,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of up to TRAIN_PER_CLASS distinct labelled texts per class, none held out.
+def training_rows(docs: DataFrame, usable: DataFrame, n: dict[int, int]) -> DataFrame:
+    """(text, toxic) of about TRAIN_PER_CLASS distinct labelled texts per class.
 
-    The rows are those of the smallest id hashes; their ids, bounded by that parameter, are
-    broadcast to the scan of the documents.
+    A class of n labelled documents gives those whose id hash lies in the lowest TRAIN_PER_CLASS / n
+    of its range, all of them if there are fewer; no sort or window gathers a class in one task. The
+    chosen ids, bounded by that parameter, are broadcast to the scan of the documents.
     """
-    usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
-    per_part = F.row_number().over(Window.partitionBy("toxic", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))
-    hashed = usable.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).distinct()
-    first = hashed.withColumn("rn", per_part).filter(F.col("rn") <= TRAIN_PER_CLASS).drop("rn")
-    chosen = first.withColumn("rn", rank).filter(F.col("rn") <= TRAIN_PER_CLASS).select("doc_id", "toxic")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    part = F.when(F.col("toxic") == 1, TRAIN_PER_CLASS / max(1, n.get(1, 0))).otherwise(TRAIN_PER_CLASS / max(1, n.get(0, 0)))
+    chosen = usable.filter(place < part).distinct()
     rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     return materialize(rows.dropDuplicates(["text", "toxic"]))
 
@@ -227,9 +224,10 @@ def log_odds(train: DataFrame, docs: DataFrame) -> dict[str, tuple[float, float]
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The whole model; only bounded sums, features and training scores reach the driver."""
-    rows = training_rows(docs, labels)
+    usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
+    share = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    rows = training_rows(docs, usable, share)
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    share = {r.toxic: r["count"] for r in labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()}
     m = Model()
     if not n.get(0) or not n.get(1):
         m.offset = math.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
