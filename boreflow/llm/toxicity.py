@@ -16,7 +16,6 @@ from boreflow.llm.text import LETTER_WORDS, bytes_list, map_arrow, materialize,
 
 TRAIN_PER_CLASS = 8_000  # about so many labelled documents of each class the scores are learned from
 FEATURES = 20_000  # features with the largest |z| that the model keeps
-LEAST_Z = 5.0
 LEAST_DOCS = 3  # distinct training documents a feature occurs in
 PRIOR_SHARE = 0.05  # the Dirichlet prior is so large a share of the corpus' document counts
 STEMS = (4, 5)  # a longer word also counts as its beginnings of so many characters
@@ -207,18 +206,19 @@ def log_odds(train: DataFrame, docs: DataFrame) -> dict[str, tuple[float, float]
     """Features with significant log-odds between toxic and clean texts under a Dirichlet prior.
 
     The prior of a feature is proportional to its document count over the whole corpus, labelled or
-    not. The FEATURES most significant features reach the driver.
+    not. Of V features tested, those with |z| above sqrt(2 ln V) count, a bound that chance alone hardly
+    passes however many there are; the FEATURES most significant of them reach the driver.
     """
     own = materialize(feature_counts(train).filter(F.col("docs") >= LEAST_DOCS))
     corpus = feature_counts(docs.select("text")).select("feature", (F.col("docs") * PRIOR_SHARE).alias("a"))
     c = materialize(own.join(corpus, "feature"))
-    s = c.agg(*(F.sum(x).alias(x) for x in ("toxic_docs", "clean_docs", "a"))).first()
+    s = c.agg(*(F.sum(x).alias(x) for x in ("toxic_docs", "clean_docs", "a")), F.count(F.lit(1)).alias("v")).first()
     if not s.toxic_docs or not s.clean_docs:
         return {}
     y, x, a = F.col("toxic_docs") + F.col("a"), F.col("clean_docs") + F.col("a"), s.a
     delta = F.log(y / (s.toxic_docs + a - y)) - F.log(x / (s.clean_docs + a - x))
     z = delta / F.sqrt(1 / y + 1 / x)
-    top = c.select("feature", delta.alias("d"), F.abs(z).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    top = c.select("feature", delta.alias("d"), F.abs(z).alias("z")).filter(F.col("z") >= math.sqrt(2 * math.log(s.v))).orderBy(F.desc("z"), "feature").limit(FEATURES)
     return {r.feature: (r.z, r.d) for r in top.collect()}
 
 
