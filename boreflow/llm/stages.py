@@ -9,11 +9,14 @@ from boreflow.llm import decontam, langid, mixing, simhash, tokens
 from boreflow.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.5  # documents whose best language has a smaller mean probability are rejected
+LEAST_SCORE = 0.35  # documents whose best language has a smaller mean probability are rejected
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letters, or no language with half the probability."""
+    """Rejects documents without a language: no letters, or no language above LEAST_SCORE.
+
+    The bound is low on purpose: short clean documents score less than long ones.
+    """
     model = langid.train(docs)
     judged = docs.select(*COLUMNS, langid.predictor(model)("text").alias("p"))
     return judged.filter((F.col("p.lang_pred") != langid.UNDETERMINED) & (F.col("p.score") >= LEAST_SCORE)).select(*COLUMNS)
