@@ -54,7 +54,7 @@ def q_baseline_folds(spark, sf_dir) -> DataFrame:
 
 def q_ets_backtest(spark, sf_dir) -> DataFrame:
     """M1: ETS, 5 folds + 30-day future, fold metrics."""
-    fc = FC.forecast(_cleaned(spark, sf_dir), T.TARGET, "ETS", horizon=30)
+    fc = FC.forecast(_cleaned(spark, sf_dir), T.TARGET, "ETS", horizon=30, params={"n_bootstrap_draws": 0})
     return E.metrics(fc.filter(F.col("part") == "test"), by=("well", "model", "fold"))
 
 
@@ -77,9 +77,22 @@ def q_dlt_run(spark, sf_dir) -> DataFrame:
     return met
 
 
+def q_u3_band(spark, sf_dir) -> DataFrame:
+    """The 5 % / 95 % band of 500 bootstrap draws for every supplier, fold and step."""
+    fc = FC.forecast(_cleaned(spark, sf_dir), T.TARGET, "ETS", horizon=30, params={"n_bootstrap_draws": 500})
+    return fc.select("well", "fold", "ds", "yhat", "yhat_lower", "yhat_upper")
+
+
+def q_pooled(spark, sf_dir) -> DataFrame:
+    """M8: lag windows pooled over all suppliers, 5 folds + 30-day future, fold metrics."""
+    fc = FC.forecast(_cleaned(spark, sf_dir), T.TARGET, "N-BEATS", horizon=30)
+    return E.metrics(fc.filter(F.col("part") == "test"), by=("well", "model", "fold"))
+
+
 QUERIES = {
     "clean": q_clean, "screen": q_screen, "baseline_folds": q_baseline_folds, "ets_backtest": q_ets_backtest,
     "tune_ets_50": q_tune_ets_50, "fourier_8": q_fourier_8, "dlt_run": q_dlt_run,
+    "u3_band": q_u3_band, "pooled": q_pooled,
 }
 
 

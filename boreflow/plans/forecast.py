@@ -138,5 +138,8 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
     if screened is not None:
         panel = mask_regressors(cleaned, screened, model, regs)
     fc = forecast(panel, target, model, regs, horizon, scenario, params, n_splits)
-    metrics = E.metrics(fc.filter(F.col("part") == "test"), by=(KEY, "model", "fold"))
+    # Metrics read point forecasts only, so their plan leaves the bootstrap out.
+    point = forecast(panel, target, model, regs, horizon, scenario, {**(params or {}), "n_bootstrap_draws": 0}, n_splits) \
+        if "n_bootstrap_draws" in DEFAULTS[model] else fc
+    metrics = E.metrics(point.filter(F.col("part") == "test"), by=(KEY, "model", "fold"))
     return fc, metrics, screened

@@ -15,6 +15,7 @@ are added up in blocks of steps, so neither paths nor draws ever become rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,13 @@ STEPS = 256  # steps added up at once
 PRIME = 2_147_483_647
 
 
-def draw(seed: int, fold: int, paths: np.ndarray, steps: np.ndarray, n: int) -> np.ndarray:
-    """Index of the change drawn for each path (rows) and step (columns), both from 1."""
-    p, j = paths[:, None].astype(np.int64), steps[None, :].astype(np.int64)
+@functools.lru_cache(maxsize=64)
+def draws(seed: int, fold: int, n_paths: int, begin: int, end: int) -> np.ndarray:
+    """The drawn numbers of all paths (rows) and of the steps begin..end - 1; the same for every well."""
+    p, j = np.arange(1, n_paths + 1)[:, None], np.arange(begin, end)[None, :]
     h = (p * 7919 + j * 104_729 + p * j * 31 + fold * 15_485_863 + seed * 32_452_843) % PRIME
     h = h * 48_271 % PRIME
-    return h * h % PRIME % n
+    return h * h % PRIME
 
 
 def path_quantiles(changes: np.ndarray, h: int, n_paths: int, seed: int, fold: int, qs: tuple[float, ...]) -> np.ndarray:
@@ -46,11 +48,12 @@ def path_quantiles(changes: np.ndarray, h: int, n_paths: int, seed: int, fold: i
     out = np.zeros((len(qs), h))
     if not len(changes):
         return out
-    paths, at = np.arange(1, n_paths + 1), np.zeros(n_paths)
+    at = np.zeros(n_paths)
     for a in range(0, h, STEPS):
-        steps = np.arange(a + 1, min(a + STEPS, h) + 1)
-        moved = at[:, None] + np.cumsum(changes[draw(seed, fold, paths, steps, len(changes))], axis=1)
-        out[:, a : a + len(steps)] = np.quantile(moved, qs, axis=0)
+        n = min(STEPS, h - a)
+        picked = draws(seed, fold, n_paths, a + 1, a + STEPS + 1)[:, :n] % len(changes)
+        moved = at[:, None] + np.cumsum(changes[picked], axis=1)
+        out[:, a : a + n] = np.quantile(moved, qs, axis=0)
         at = moved[:, -1]
     return out
 
