@@ -35,7 +35,12 @@ LEVEL = 3
 DICT_BYTES = 65_536
 DICT_DOCS = 1_000  # documents the dictionary is trained on
 DICT_DOC_BYTES = 65_536  # they are taken among texts of up to this size
-CACHE_CHUNKS = 300_000  # distinct words with known ids that a worker keeps
+CACHE_PIECES = 300_000  # distinct pieces with known ids that a worker keeps
+BLOCK = 500  # pieces joined for one call of the library
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+# Letters that are composed already, digits and ASCII marks but "'" and "<" (contractions, special tokens).
+PLAIN = f"^[{_LETTERS}!-&(-;=-~]+$"
+PIECE = f"([{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+)"
 
 
 @functools.cache
@@ -46,48 +51,99 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _ranges(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[begin[c] : begin[c] + size[c]]`` for every c of ``code`` put together, and their ends."""
+    n = size[code]
+    ends = np.cumsum(n)
+    return flat[np.repeat(begin[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
 class Encoder:
-    """Encodes texts by their distinct white-space chunks; equal to encoding each text whole.
+    """Encodes texts by their distinct pieces; equal to encoding each text whole.
 
-    This holds for tokenizers whose pre-tokens never reach over white space and split letters and
-    digits from punctuation (word_bpe_49k does both); each distinct chunk of a batch goes through the
-    library once and the results are put together by index.
+    This holds for tokenizers whose pre-tokens never reach over white space, are runs of letters, single
+    digits or runs of marks, are folded to lower case and close with a word end (word_bpe_49k does all
+    four). Texts are cut at white space; distinct plain chunks are cut further into such pre-tokens,
+    which go through the model in joined blocks and are told apart by their word ends. Any other chunk
+    goes through the whole tokenizer. The ids are put together by index.
     """
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
         self.width = np.dtype("<u2" if self.tok.get_vocab_size() < 65_536 else "<u4")
-
-    def _chunk_ids(self, chunks: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, self.width)
-        return [self.known[c] for c in chunks]
+        self.words = self._words_only(self.tok)
+        self.closes = np.zeros(self.tok.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    @staticmethod
+    def _words_only(tok):
+        """The same model over words parted by spaces, without normalizing them."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        words = Tokenizer(tok.model)
+        words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return words
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat = np.zeros(0, self.width)
+        self.size = np.zeros(0, np.int64)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Add the ids of distinct pieces, plain ones first."""
+        plain = pc.match_substring_regex(new, PLAIN)
+        words, rest = new.filter(plain), new.filter(pc.invert(plain))
+        listed = words.to_pylist()
+        blocks = [" ".join(listed[k : k + BLOCK]) for k in range(0, len(listed), BLOCK)]
+        parts = [np.array(e.ids, self.width) for e in self.words.encode_batch_fast(blocks, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, self.width), *parts])
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer's words do not close with a word end")
+        parts = [np.array(e.ids, self.width) for e in self.tok.encode_batch_fast(rest.to_pylist(), add_special_tokens=False)]
+        self.known = pa.concat_arrays([self.known, words, rest])
+        self.flat = np.concatenate([self.flat, flat, *parts])
+        self.size = np.concatenate([self.size, np.diff(ends, prepend=0), np.fromiter(map(len, parts), np.int64, len(parts))])
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all distinct chunks, their number for each)."""
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        mixed = pc.and_(plain, pc.invert(pc.match_substring_regex(chunks, f"^[{_LETTERS}]+$")))
+        low = pc.if_else(plain, pc.utf8_lower(chunks), chunks)
+        cut = pc.ascii_rtrim_whitespace(pc.replace_substring_regex(low.filter(mixed), PIECE, r"\1 "))
+        split = pc.ascii_split_whitespace(pc.replace_with_mask(low, mixed, cut))
+        coded = split.flatten().dictionary_encode()
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        new = coded.dictionary.filter(pc.is_null(pc.index_in(coded.dictionary, self.known)))
+        if len(new):
+            self._learn(new)
+        code = pc.index_in(coded.dictionary, self.known).to_numpy()[coded.indices.to_numpy()]
+        ids, ends = _ranges(self.flat, np.cumsum(self.size) - self.size, self.size, code)
+        return ids, np.diff(np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, documents' bounds in them); every document is closed by END_ID."""
         column = pa.array(texts, pa.binary()).cast(pa.large_string())
-        column = pc.replace_substring_regex(column, r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,]+[ \n])", r"\1 \2")
+        column = pc.replace_substring_regex(column, f"([0-9{_LETTERS}])([.,]+[ \n])", r"\1 \2")
         split = pc.ascii_split_whitespace(column)
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        parts = self._chunk_ids(chunks)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, self.width)
-        begin = np.cumsum(sizes) - sizes
-        code = coded.indices.to_numpy()
-        n = sizes[code]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        flat, sizes = self._chunk_ids(coded.dictionary)
+        ids, ends = _ranges(flat, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy())
         cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
         at = np.concatenate([[0], ends])[cuts]  # document bounds before the end ids
         out = np.insert(ids, at[1:], END_ID)
         return out, at + np.arange(len(at))
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary over the serialized ids of up to DICT_DOCS whole documents (smallest id hashes).
 
@@ -99,7 +155,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     rows = fit.filter(F.col("doc_id").isin(ids)).select("doc_id", "text").dropDuplicates().orderBy("doc_id", "text").limit(DICT_DOCS).collect()
     if not rows:
         return b""
-    ids, cuts = Encoder(tokenizer_path).encode([(r.text or "").encode() for r in rows])
+    ids, cuts = encoder(tokenizer_path).encode([(r.text or "").encode() for r in rows])
     samples = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -181,7 +237,7 @@ def write_tokens(
 
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        enc, writer, tokens = Encoder(tokenizer_path), None, 0
+        enc, writer, tokens = encoder(tokenizer_path), None, 0
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tok"
         for batch in batches:

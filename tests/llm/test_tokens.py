@@ -36,7 +36,7 @@ def test_null_ids_and_empty_table(spark):
     assert K.token_output(frame(spark, []), tokenizer_path()).count() == 0
 
 
-PIECES = st.sampled_from(["don't", "a.b", "x,", "...", "<|endoftext|>", "é", "e\u0301.", "ß", "Σ", "ΑΣ.", "12.5,", "日本", " ", "\n", "\u00a0", "\u2003", "\x1c", "\x00", "'s", "!!", "İ"])
+PIECES = st.sampled_from(["don't", "a.b", "x,", "...", "<|endoftext|>", "é", "e\u0301.", "ß", "Σ", "ΑΣ.", "12.5,", "日本", " ", "\n", "\u00a0", "\u2003", "\x1c", "\x00", "'s", "!!", "İ", "a1b22", "X_y-z", "$5.00,", "ÀÉß", "heshon$$$", "µª", "~^`", "</s>", "ĳÿ×÷"])
 
 
 @settings(max_examples=200, deadline=None)
