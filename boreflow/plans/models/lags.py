@@ -9,12 +9,14 @@ partial sums in every task keep that safe however many windows a fold has.
 
 Forecasting starts from the last ``n_input`` training values of a fold (the whole series for the
 final fit) and rolls forward in blocks of ``n_out`` steps (M7: blocks of one step with the
-step-1 model), each block fed by the previous predictions: a JVM ``aggregate`` over the block
-sequence. Band: normal, from the root mean in-sample error of the step-1 model.
+step-1 model), each block fed by the previous predictions: one NumPy loop over the blocks for all
+rows of an Arrow batch. Band: normal, from the root mean in-sample error of the step-1 model.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +57,37 @@ def _scale(c: Column) -> Column:
     return F.when(m > 0, m).otherwise(F.lit(1.0))
 
 
-def _rollout(ctx: Column, betas: Column, n_input: int, block: int, h: Column) -> Column:
-    """Predictions for steps 1..h: blocks of ``block`` outputs, each fed with the last ``n_input`` values."""
-    nblocks = F.greatest(F.ceil(h / F.lit(float(block))).cast("int"), F.lit(1))
+def roll(ctx: np.ndarray, betas: np.ndarray, block: int, steps: int) -> np.ndarray:
+    """Predictions of ``steps`` steps for N rows at once: blocks of ``block`` outputs, each fed back.
 
-    def one(acc, _i):
-        c = acc["ctx"]
-        sc = _scale(c)
-        cs = F.transform(c, lambda v: v / sc)
-        outs = F.transform(F.slice(betas, 1, block), lambda b: sc * (b[0] + F.aggregate(
-            F.zip_with(F.slice(b, 2, n_input), cs, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)))
-        allv = F.concat(c, outs)
-        return F.struct(F.slice(allv, F.size(allv) - n_input + 1, n_input).alias("ctx"), F.concat(acc["out"], outs).alias("out"))
+    ``ctx`` is N x n_input, ``betas`` N x outputs x (1 + n_input); every block is scaled by the mean
+    absolute value of the ``n_input`` values before it, as the training windows are.
+    """
+    n_input, done = ctx.shape[1], []
+    for _ in range(0, max(steps, 1), block):
+        scale = np.abs(ctx).mean(axis=1, keepdims=True)
+        scale = np.where(scale > 0, scale, 1.0)
+        outs = scale * (betas[:, :block, 0] + np.einsum("nob,nb->no", betas[:, :block, 1:], ctx / scale))
+        done.append(outs)
+        ctx = np.concatenate([ctx, outs], axis=1)[:, -n_input:]
+    return np.concatenate(done, axis=1)
+
+
+def _rollout(ctx: Column, betas: Column, block: int, h: Column) -> Column:
+    """``roll`` over Arrow batches; a row without coefficients gets null, one with them ``h`` steps at least."""
+
+    @F.pandas_udf("array<double>")
+    def rolled(ctx: pd.Series, betas: pd.Series, h: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(ctx), dtype=object)
+        have = [i for i, b in enumerate(betas) if b is not None and all(v is not None for v in b)]
+        if have:
+            x = np.stack([np.asarray(ctx.iloc[i], float) for i in have])
+            b = np.stack([np.stack([np.asarray(v, float) for v in betas.iloc[i]]) for i in have])
+            for i, path in zip(have, roll(x, b, block, int(h.iloc[have].max())), strict=True):
+                out[i] = path[: max(int(h.iloc[i]), 1)]
+        return out
 
-    init = F.struct(ctx.alias("ctx"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), nblocks), init, one)["out"]
+    return rolled(ctx, betas, h)
 
 
 def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int = N_INPUT, n_out: int = N_OUT,
@@ -118,7 +136,7 @@ def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int
     if mode == "pooled":  # one row per fold and strength: bounded by these two parameters
         coef = F.broadcast(coef)
     fc = ctx.join(coef, [*by, "lam"], "left").select(
-        key, "fold", "lam", _rollout(F.col("ctx"), F.col("betas"), n_input, block, F.col("h")).alias("fc"),
+        key, "fold", "lam", _rollout(F.col("ctx"), F.col("betas"), block, F.col("h")).alias("fc"),
         F.element_at("ctx", -1).alias("last"), (F.col("rel_sd") * _scale(F.col("ctx"))).alias("sd"))
     out = pred.join(fc, [key, "fold"])
     yhat = F.coalesce(F.get("fc", F.col("step") - 1), F.col("last"))
