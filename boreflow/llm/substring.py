@@ -2,16 +2,20 @@
 
 A shard holds all text around one set of minimizers: every window of 13 words belongs to the shard
 of the smallest hash among its word 6-grams, so equal windows meet in one shard whichever
-documents they stand in, and the work grows with the text, not with pairs of shards.
+documents they stand in, and the work grows with the text, not with pairs of shards. Where the
+segments of one minimizer exceed a shard, each of their windows goes to the shard of its own hash.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ PART_DOCS = 100  # documents hashed at once
 SEARCH = 65_536  # windows searched at once
 _STEP = mix64(np.arange(301, 301 + GRAM, dtype=np.uint64)) | np.uint64(1)
 _NONE = np.iinfo(np.int64).max
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 # ---- segments of documents -------------------------------------------------------------------
@@ -34,24 +39,27 @@ _NONE = np.iinfo(np.int64).max
 class Segments:
     """Runs of consecutive windows of a text with the same minimizer, in text order.
 
-    ``doc`` (index of the text), ``word`` (its word where the first window starts), ``n`` (windows) and
-    ``route`` (the minimizer); ``texts`` cuts out their words, joined by one space.
+    ``doc`` (index of the text), ``word`` (its word where the first window starts), ``n`` (windows),
+    ``route`` (the minimizer) and ``cut`` (a single window of a split route, see ``split``); ``texts``
+    cuts out their words, joined by one space.
     """
 
     def __init__(self, texts: list[bytes], window: int = WINDOW):
-        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(7)]
+        self.window = window
         self.data: list[bytes] = []
         self.part_sizes: list[int] = []
         for base in range(0, len(texts), PART_DOCS):
             found = self._part(texts[base : base + PART_DOCS], window)
             if found is not None:
-                doc, word, n, route, begin, end = found
-                for c, v in zip(cols, (doc + base, word, n, route.view(np.int64), begin, end), strict=True):
+                doc, word, n, route, begin, end, sums = found
+                for c, v in zip(cols, (doc + base, word, n, route.view(np.int64), begin, end, sums.view(np.int64)), strict=True):
                     c.append(v)
                 self.part_sizes.append(len(doc))
-        self.doc, self.word, self.n, route, self.begin, self.end = map(np.concatenate, cols)
-        self.route = route.view(np.uint64)
+        self.doc, self.word, self.n, route, self.begin, self.end, sums = map(np.concatenate, cols)
+        self.route, self.sums = route.view(np.uint64), sums.view(np.uint64)
         self.part = np.repeat(np.arange(len(self.data)), self.part_sizes)
+        self.cut = np.zeros(len(self.n), bool)
 
     def _part(self, part: list[bytes], window: int) -> tuple[np.ndarray, ...] | None:
         sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
@@ -76,13 +84,46 @@ class Segments:
         n = np.diff(np.append(first, len(whole)))
         at = whole[first]
         n_words = np.bincount(owner, minlength=len(part))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram, dtype=np.uint64)])
+        sums = total[at + n + window - n_gram] - total[at]
         self.data.append(data)
-        return own[first], at - (np.cumsum(n_words) - n_words)[own[first]], n, least[first], starts[at], ends[at + n + window - 2]
+        return own[first], at - (np.cumsum(n_words) - n_words)[own[first]], n, least[first], starts[at], ends[at + n + window - 2], sums
 
     def texts(self, rows: np.ndarray) -> list[bytes]:
         places = zip(self.part[rows].tolist(), self.begin[rows].tolist(), self.end[rows].tolist(), strict=True)
         return [b" ".join(self.data[p][a:b].split()) for p, a, b in places]
 
+    def places(self) -> np.ndarray:
+        """The number of each segment's first window among all windows; ``split`` does not change them."""
+        return np.cumsum(self.n) - self.n
+
+    def sizes(self, routes: np.ndarray) -> np.ndarray:
+        """Bytes of the distinct segments of each of the sorted ``routes``, told apart by sums of gram hashes."""
+        _, one = np.unique(self.route ^ mix64(self.sums), return_index=True)
+        size = np.bincount(np.searchsorted(routes, self.route[one]), self.end[one] - self.begin[one], len(routes))
+        return size.astype(np.int64)
+
+    def split(self, routes: np.ndarray) -> Segments:
+        """Segments of ``routes`` cut into their single windows, whose route is a hash of their text."""
+        split = np.isin(self.route, routes)
+        if not split.any():
+            return self
+        count = np.where(split, self.n, 1)
+        back = np.repeat(np.arange(len(count)), count)
+        out = copy.copy(self)
+        out.doc, out.part, out.route, out.begin, out.end, out.cut = (c[back] for c in (self.doc, self.part, self.route, self.begin, self.end, split))
+        out.word = self.word[back] + np.arange(len(back)) - np.repeat(np.cumsum(count) - count, count)
+        out.n = np.where(out.cut, 1, self.n[back])
+        begin, end = [], []
+        for r in np.flatnonzero(split).tolist():
+            words = [m.span() for m in _WORD.finditer(self.data[self.part[r]], self.begin[r], self.end[r])]
+            begin += [a for a, _ in words[: len(words) - self.window + 1]]
+            end += [b for _, b in words[self.window - 1 :]]
+        rows = np.flatnonzero(out.cut)
+        out.begin[rows], out.end[rows] = begin, end
+        out.route[rows] = np.array([xxhash.xxh64_intdigest(t) for t in out.texts(rows)], np.uint64)
+        return out
+
     def copies(self, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """The first of ``rows`` with the same text as each of them, and the texts of those firsts."""
         first: dict[bytes, int] = {}
@@ -235,15 +276,19 @@ def by_batch(batch: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int
         yield int(owner[a]), pack([c[order[a:b]] for c in columns], [])
 
 
-def shared_routes(entries: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
-    """One shard's (batch, number, route, low, high): the numbers of routes that two documents have."""
-    batch, number, route, low, high = (np.concatenate([e[k] for e in entries]) for k in range(5))
+def shared_routes(entries: list[tuple[np.ndarray, ...]], most_bytes: int) -> Iterator[tuple[int, bytes]]:
+    """One shard's (batch, number, route, low, high, size): (number, split) of routes that two documents have.
+
+    A route is split (1) if its segments of all batches have more than ``most_bytes``.
+    """
+    batch, number, route, low, high, size = (np.concatenate([e[k] for e in entries]) for k in range(6))
     _, group = np.unique(route, return_inverse=True)
     least, most = np.full(group.max() + 1, _NONE), np.full(group.max() + 1, -_NONE - 1)
     np.minimum.at(least, group, low)
     np.maximum.at(most, group, high)
     keep = (least < most)[group]
-    yield from by_batch(batch[keep], [number[keep]])
+    split = (np.bincount(group, size) > most_bytes)[group]
+    yield from by_batch(batch[keep], [number[keep], split[keep]])
 
 
 def answer(entries: list[tuple], window: int = WINDOW) -> Iterator[tuple[int, bytes]]:
@@ -294,6 +339,9 @@ def covered(seg: Segments, ids: np.ndarray, blobs: list[bytes], window: int) ->
     if not parts:
         return (np.zeros(0, np.int64),) * 3
     number, at, n, found = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    place, cut = number >> 1, (number & 1).astype(bool)
+    seg = seg.split(seg.route[np.searchsorted(seg.places(), place[cut], side="right") - 1])
+    number = np.searchsorted(seg.places(), place)
     rows = np.flatnonzero(np.isin(seg.route, seg.route[number]))
     canon, _ = seg.copies(rows)
     order = np.argsort(canon, kind="stable")
@@ -344,7 +392,9 @@ def substring_dedup(
     sends the minimizers of its segments to their shards and learns which of them other documents
     have too; a segment without such company cannot match. It then sends each distinct remaining
     segment once, and gets back the smallest document of each of its windows. A passage common to
-    many documents so reaches a shard once per batch. kept_sha256 is over the kept words joined by one space. Defined cases: a null
+    many documents so reaches a shard once per batch. A minimizer whose segments have more than
+    ``shard_bytes`` (a frequent phrase in ever different contexts) is split: its distinct windows are
+    sent one by one to the shards of their own hashes, so no shard gets all text around it. kept_sha256 is over the kept words joined by one space. Defined cases: a null
     text has no words (the digest of the empty string); texts shorter than the window stay whole;
     a null id is above every other document's reach: such rows are left whole and count for nobody;
     repeated rows of one id never remove each other's words; an empty table gives no rows.
@@ -372,7 +422,7 @@ def substring_dedup(
             _, ids, seg = opened(table)
             route, low, high = bounds(seg.route, _above(ids)[seg.doc])
             # 32 bits tell the routes of a shard apart well enough: a clash only lets more text through.
-            columns = [np.arange(len(route)), (route >> np.uint64(32)).astype(np.int64), low, high]
+            columns = [np.arange(len(route)), (route >> np.uint64(32)).astype(np.int64), low, high, seg.sizes(route)]
             for row in deal(number, route, columns, None):
                 yield _record(("shard", "batch", "blob"), row)
 
@@ -382,18 +432,23 @@ def substring_dedup(
             for number, blob in zip(table.column("batch").to_pylist(), table.column("blob").to_pylist(), strict=True):
                 arrays, _ = unpack(blob)
                 entries.append((np.full(len(arrays[0]), number), *arrays))
-            for row in shared_routes(entries):
+            for row in shared_routes(entries, shard_bytes):
                 yield _record(("batch", "answers"), row)
 
     def send_texts(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, bytes]] = []
         if right.num_rows:
             _, ids, seg = opened(left)
-            wanted = np.unique(seg.route)[np.concatenate([unpack(b)[0][0] for b in right.column("answers").to_pylist()])]
-            chosen = np.flatnonzero(np.isin(seg.route, wanted))
+            answers = [unpack(b)[0] for b in right.column("answers").to_pylist()]
+            number, split = (np.concatenate([a[k] for a in answers]) for k in range(2))
+            wanted = np.unique(seg.route)[number]
+            seg = seg.split(wanted[split == 1])
+            chosen = np.flatnonzero(seg.cut | np.isin(seg.route, wanted))
             canon, texts = seg.copies(chosen)
             first, low, high = bounds(canon, _above(ids)[seg.doc[chosen]])
-            rows = list(deal(left.column("batch")[0].as_py(), seg.route[first], [first, low, high], texts))
+            # The first window's number names an entry, with one more bit for windows of split routes.
+            name = seg.places()[first] * 2 + seg.cut[first]
+            rows = list(deal(left.column("batch")[0].as_py(), seg.route[first], [name, low, high], texts))
         columns = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["shard", "batch", "blob"])
 

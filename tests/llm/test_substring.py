@@ -43,6 +43,37 @@ def test_by_brute_force(spark):
     assert B.substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_frequent_phrase_is_spread_over_shards(spark, monkeypatch, tmp_path):
+    # A phrase whose 6-gram is the smallest hash of nearly all windows around it, in ever new contexts.
+    phrase = min((prose(s, 6, [f"w{k}" for k in range(50)]) for s in range(3_000)), key=lambda p: int(B.Segments([p.encode()], 6).route[0]))
+    names = [f"n{k}" for k in range(400)]
+    rows = [(k, f"{prose(k, 12, names)} {phrase} {prose(k + 5_000, 12, names)}") for k in range(300)]
+    rows += [(1_000 + k, rows[k][1]) for k in range(20)]
+    kind = type(frame(spark, []))
+    whole = kind.mapInArrow
+
+    def spied(self, fn, schema):
+        if self.columns != ["shard", "batch", "blob"]:
+            return whole(self, fn, schema)
+
+        def counted(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    size = sum(map(len, B.unpack(r["blob"])[1]))
+                    (tmp_path / f"{r['shard']}-{r['batch']}-{size}").touch()
+                yield batch
+
+        return whole(whole(self, counted, self.schema), fn, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in B.substring_dedup(frame(spark, rows), batch_bytes=10_000, shard_bytes=4_000).collect()]
+    assert sorted(got, key=str) == brute(rows)
+    held = {}
+    for shard, _, size in (f.name.split("-") for f in tmp_path.iterdir()):
+        held[shard] = held.get(shard, 0) + int(size)
+    assert sum(held.values()) > 50_000 and max(held.values()) < sum(held.values()) / 4
+
+
 def test_index_against_scan():
     rng = np.random.default_rng(4)
     text = np.append(rng.integers(0, 6, 900), 0)
