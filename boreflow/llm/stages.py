@@ -12,6 +12,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.35  # documents whose best language has a smaller mean probability are rejected
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key ``row`` that only rows alike in every column share, whatever their id.
+
+    Keys are in the order of ids (null ids last), then of text digests. No key is null.
+    """
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", digest, "lang", "source", "n_chars")
+    return docs.select(*COLUMNS, key.alias("row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: no letters, or no language above LEAST_SCORE.
 
@@ -23,14 +33,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash component, once.
+    """Keeps one row of each SimHash component: of the smallest id, then of the smallest text digest.
 
-    Rows repeated with the same id are one document; without an id a document stays only if its
-    whole component has none.
+    Rows with the same id in different components are different documents; a row without an id stays
+    only if its whole component has none.
     """
-    first = simhash.simhash_dedup(docs).select(F.col("component_id").alias("keep_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.select(*COLUMNS).dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    first = simhash.simhash_dedup(keyed, id_col="row").select(F.col("component_id").alias("row")).distinct()
+    return keyed.join(first, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +50,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document and pass of the mix."""
-    passes = mixing.mix(docs).select(F.col("doc_id").alias("mixed_id"))
-    return docs.join(passes, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).select(*COLUMNS)
+    """One row per document and pass of the mix; rows alike in every column are one document."""
+    keyed = _keyed(docs).dropDuplicates(["row"])
+    passes = mixing.mix(keyed, id_col="row").select(F.col("doc_id").alias("row"))
+    return keyed.join(passes, "row").select(*COLUMNS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import hashlib
+
 import corpus_pipeline
 from boreflow.llm import decontam, langid, simhash, stages
 from boreflow.llm.text import documents
-from tests.llm.helpers import awkward, frame
+from tests.llm.helpers import awkward, frame, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +38,26 @@ def test_awkward_rows(spark):
     empty = frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    a, b, c, d, e = (prose(700 + k, 400, [f"{k}x{j}" for j in range(300)]) for k in range(5))
+    rows = [(None, a), (None, a + " end"), (None, b), (None, c), (1, c + " end"), (7, d), (7, e), (7, d), (9, d + " end"), (9, e + " end"), (3, e)]
+    component = {r.fingerprint: r for r in simhash.simhash_dedup(frame(spark, rows)).collect()}
+    print_of = {t: f"{simhash.fingerprint(t.encode()):016x}" for _, t in rows}
+    root: dict[str, str] = {}
+    for t, p in print_of.items():
+        near = [u for u, q in print_of.items() if (int(p, 16) ^ int(q, 16)).bit_count() <= simhash.RADIUS]
+        root[t] = min(near)
+        assert {component[print_of[u]].component_id for u in near} == {component[p].component_id}
+    best: dict[str, tuple] = {}
+    for i, t in rows:
+        rank = (i is None, i or 0, hashlib.sha256(t.encode()).digest(), i, t)
+        best[root[t]] = min(best.get(root[t], rank), rank)
+    want = sorted((r[3:] for r in best.values()), key=str)
+    docs = frame(spark, rows)
+    got = sorted(((r.doc_id, r.text) for r in stages.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == want and len(want) == 5
+    # Of one source, the mix reads every document it is given once.
+    mixed = stages.mix(spark, frame(spark, want), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == want
