@@ -41,10 +41,9 @@ SPACES: dict[str, dict[str, tuple]] = {
     "Prophet": {"seasonality_mode": ("cat", ["additive", "multiplicative"]),
                 "yearly_seasonality": ("cat", [True, False]), "weekly_seasonality": ("cat", [True, False])},
     "Chronos": {"n_paths": ("cat", [20, 50, 100, 200])},
-    # Every window length is a pass over the panel of its own, so the spaces hold few of them.
-    "LSTM": {"n_steps": ("int", 1, 5), "lam": ("log", 1e-3, 10.0)},
-    "TFT": {"n_input": ("cat", [14, 28]), "lam": ("log", 1e-3, 10.0)},
-    "N-BEATS": {"n_input": ("cat", [14, 28]), "lam": ("log", 1e-3, 10.0)},
+    "LSTM": {"n_steps": ("int", 1, 5), "n_out": ("cat", [7, 14, 30]), "lam": ("log", 1e-3, 10.0)},
+    "TFT": {"n_input": ("cat", [14, 24, 28, 48]), "n_out": ("cat", [7, 14]), "lam": ("log", 1e-3, 10.0)},
+    "N-BEATS": {"n_input": ("cat", [14, 24, 28, 48]), "n_out": ("cat", [7, 14]), "lam": ("log", 1e-3, 10.0)},
 }
 
 
@@ -119,14 +118,14 @@ def trial_forecasts(panel: DataFrame, target: str, model: str, trials: list[dict
             fc = paths.sample_paths(panel, target, n_paths=n, **common).withColumn("trial", F.lit(i))
             outs = fc if outs is None else outs.unionByName(fc)
         return outs
-    # Window learners: one Gram pass per window length solves all its strengths.
+    # Window learners: one Gram pass per window shape solves all its strengths.
     width = (lambda t: t["n_steps"] * 7) if model == "LSTM" else (lambda t: t["n_input"])
-    for n_input in sorted({width(t) for t in trials}):
+    for n_input, n_out in sorted({(width(t), t["n_out"]) for t in trials}):
         lams: dict[str, int] = {}
         for i, t in enumerate(trials):
-            if width(t) == n_input:
+            if (width(t), t["n_out"]) == (n_input, n_out):
                 lams.setdefault(repr(float(t["lam"])), i)
-        fc = lags.lag_forecast(panel, target, n_input=n_input, mode="direct" if model == "LSTM" else "pooled",
+        fc = lags.lag_forecast(panel, target, n_input=n_input, n_out=n_out, mode="direct" if model == "LSTM" else "pooled",
                                lam=[float(x) for x in sorted(lams)], **common)
         fc = fc.withColumn("trial", _trial_of(F.col("params")["lam"], lams)).withColumn("model", F.lit(model))
         outs = fc if outs is None else outs.unionByName(fc)

@@ -52,3 +52,14 @@ def test_run_screens_then_forecasts(spark, panel):
     assert {r.well for r in scr.collect()} == {"a", "b", "c"}
     m = met.collect()
     assert len(m) == 15 and all(math.isfinite(r.rmse) for r in m)
+
+
+def test_window_learners_tune_their_whole_shape(panel):
+    for model in ("LSTM", "TFT", "N-BEATS"):
+        trials = TU.draw(TU.SPACES[model])
+        assert {t["n_out"] for t in trials} >= {7, 14}
+        widths = {t["n_steps"] * 7 if model == "LSTM" else t["n_input"] for t in trials}
+        assert widths >= ({14} if model == "LSTM" else {14, 24, 48})
+    trials = [{"n_steps": 2, "n_out": 7, "lam": 0.1}, {"n_steps": 2, "n_out": 14, "lam": 0.1}]
+    fc = TU.trial_forecasts(panel, "y", "LSTM", trials).select("trial", F.col("params")["n_out"].alias("n_out"), F.col("params")["n_input"].alias("n_input")).distinct()
+    assert {tuple(r) for r in fc.collect()} == {(0, "7", "14"), (1, "14", "14")}
