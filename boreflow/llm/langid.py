@@ -198,17 +198,19 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from up to TRAIN_DOCS documents per language, none held out, TRAIN_SPANS windows of each.
 
-    The documents are those of the smallest id hashes. Only their windows reach the driver, so
-    what it holds is bounded by the number of languages, whatever the documents' number and length.
+    The documents are those of the smallest id hashes; rows repeated with one id and language are one
+    document, read from its smallest text. Only the documents' windows reach the driver, so what it
+    holds is bounded by the number of languages, whatever the documents' number and length.
     """
     d = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
     usable = d.filter("doc_id is not null and lang is not null and length(text) > 0").filter(~held_out(F.col("doc_id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("rn", rank).filter(F.col("rn") <= TRAIN_DOCS)
+    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("rn", rank).filter(F.col("rn") <= TRAIN_DOCS)
     share = F.greatest(F.lit(0), F.length("text") - SPAN) / max(1, TRAIN_SPANS - 1)
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SPANS - 1)), lambda k: F.floor(k * share).cast("int") + 1))
     # TRAIN_DOCS ids per language: small enough to broadcast however many documents there are.
-    spans = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select(
+    single = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    spans = single.select(
         "lang", F.xxhash64("doc_id").alias("h"), F.explode(F.transform(places, lambda p: F.substring(F.col("text"), p, F.lit(SPAN)))).alias("span")
     )
     rows = sorted((r.lang, r.h, r.span) for r in spans.collect())

@@ -54,3 +54,14 @@ def test_held_out_accuracy(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     got = G.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.9
+
+
+def test_repeated_ids_are_one_document(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(G, "fit", lambda spans, labels: seen.update(spans=spans, labels=labels))
+    ids = [k for k in range(1, 200) if zlib.crc32(str(k).encode()) % 4 != 2][:90]
+    for hot in ids[:12]:
+        rows = [(k, f"{k} " + EN * 60, "en") for k in ids] + [(hot, f"copy {k} " + EN * 60, "en") for k in range(150)]
+        G.train(frame(spark, rows))
+        assert len(seen["spans"]) == G.TRAIN_DOCS * G.TRAIN_SPANS
+        assert sum(s.startswith(b"copy") for s in seen["spans"]) == 0 and len({s for s in seen["spans"] if s[:1].isdigit()}) == G.TRAIN_DOCS
