@@ -44,9 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that contain a benchmark item."""
-    found = decontam.contamination(docs, decontam.benchmark(spark, sf_dir)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Removes the rows whose text contains a benchmark item, with any id or none."""
+    keyed = _keyed(docs)
+    found = decontam.contamination(keyed, decontam.benchmark(spark, sf_dir), id_col="row").select(F.col("doc_id").alias("row")).distinct()
+    return keyed.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

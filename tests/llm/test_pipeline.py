@@ -61,3 +61,11 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
     # Of one source, the mix reads every document it is given once.
     mixed = stages.mix(spark, frame(spark, want), SF).collect()
     assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == want
+
+
+def test_decontaminate_judges_rows_by_text(spark):
+    item = max((r.text for r in decontam.benchmark(spark, SF).collect() if r.text), key=len)
+    clean = [(None, prose(800, 60)), (7, prose(801, 60)), (None, None), (8, "")]
+    leaks = [(None, f"{prose(802, 20)} {item}"), (7, f"{item} {prose(803, 20)}")]
+    got = stages.decontaminate(spark, frame(spark, clean + leaks), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(clean, key=str)
