@@ -34,7 +34,7 @@ END_ID = 2
 LEVEL = 3
 DICT_BYTES = 65_536
 DICT_DOCS = 1_000  # documents the dictionary is trained on
-DICT_DOC_BYTES = 65_536  # they are taken among texts of up to this size
+DICT_DOC_BYTES = 65_536  # of a longer text a slice within this size is taken
 CACHE_PIECES = 300_000  # distinct pieces with known ids that a worker keeps
 BLOCK = 500  # pieces joined for one call of the library
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -145,11 +145,15 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
-    """A dictionary over the serialized ids of up to DICT_DOCS whole documents (smallest id hashes).
+    """A dictionary over the serialized ids of up to DICT_DOCS documents (smallest id hashes).
 
-    Samples too small to train on become a raw-content dictionary; no sample gives an empty one.
+    A text of more than DICT_DOC_BYTES gives a slice of a quarter as many characters, from a place
+    drawn by the id's hash, so what the driver holds is bounded whatever the texts' length. Samples too small to train on become a raw-content dictionary; no sample gives an empty one.
     """
-    fit = docs.filter("doc_id is not null").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= DICT_DOC_BYTES)
+    n = DICT_DOC_BYTES // 4  # a character has 4 bytes at most
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - n + 1)).cast("int") + 1
+    whole = F.octet_length(F.coalesce("text", F.lit(""))) <= DICT_DOC_BYTES
+    fit = docs.filter("doc_id is not null").select("doc_id", F.when(whole, F.col("text")).otherwise(F.substring(F.col("text"), place, F.lit(n))).alias("text"))
     chosen = fit.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(DICT_DOCS)
     ids = [r.doc_id for r in chosen.collect()]  # DICT_DOCS at most; only their texts follow
     rows = fit.filter(F.col("doc_id").isin(ids)).select("doc_id", "text").dropDuplicates().orderBy("doc_id", "text").limit(DICT_DOCS).collect()

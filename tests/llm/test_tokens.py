@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from boreflow.llm import tokens as K
 from boreflow.llm.queries import tokenizer_path
-from tests.llm.helpers import awkward, frame
+from tests.llm.helpers import awkward, frame, prose
 
 TOK = Tokenizer.from_file(tokenizer_path())
 
@@ -61,3 +61,10 @@ def test_random_access_and_guards():
     assert [r.doc_id(k) for k in range(3)] == [None, 1, 2]
     with pytest.raises(ValueError, match="another dictionary"):
         K.ShardReader(sink, size, b"other")
+
+
+def test_dictionary_of_long_texts(spark):
+    long = [(k, f"{k} " + prose(k, 15_000)) for k in range(8)]
+    assert min(len(t) for _, t in long) > K.DICT_DOC_BYTES
+    only = K.train_dictionary(frame(spark, long).select("doc_id", "text"), tokenizer_path())
+    assert 0 < len(only) <= K.DICT_BYTES
