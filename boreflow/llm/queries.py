@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreflow.llm import decontam, exact, langid, licenses, mixing, simhash, substring, tokens, toxicity, urls
+from boreflow.llm import decontam, exact, interaction, langid, licenses, minmax, mixing, runs, simhash, substring, tokens, toxicity, urls
 from boreflow.llm.text import documents
 
 
@@ -55,7 +55,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.periodic_runs(runs.repeat_tails(documents(spark, sf_dir))))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.minhash_dedup(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.interaction_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_simhash_dedup, op2_mixing, op3_license_scan, op4_substring_dedup, op5_decontamination, op6_exact_dedup,
     op7_token_output, op8_url_filter, op9_toxicity, op10_language_id,
+    op11_periodic_runs, op12_minhash_dedup, op13_filter_audit,
 )}
