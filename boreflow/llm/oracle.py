@@ -116,3 +116,69 @@ ruled AS (SELECT *, CASE {' '.join(f"WHEN {f} THEN '{r}'" for r, _, f in _FITS)}
 SELECT page_id, host, path, rule,
        coalesce(act, CASE WHEN n_strict >= 1 OR n_soft_distinct >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        n_strict, n_soft, n_soft_distinct FROM ruled"""
+
+# CRC-32 of a decimal id, byte by byte and bit by bit.
+_CRC = """crc(doc_id, s, i, c) AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR), 1, CAST(4294967295 AS BIGINT) FROM documents
+  UNION ALL
+  SELECT doc_id, s, i + 1, list_reduce(list_prepend(xor(c, CAST(ascii(substr(s, i, 1)) AS BIGINT)), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END)
+  FROM crc WHERE i <= length(s))"""
+
+ORACLE["op11_periodic_runs"] = rf"""
+WITH RECURSIVE {_CRC},
+h AS (SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE i = length(s) + 1),
+src AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents JOIN h USING (doc_id)),
+cut AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS tail, CASE WHEN len(w) > 0 THEN g % len(w) ELSE 0 END AS a, g FROM src),
+d AS (SELECT doc_id, n, CASE WHEN tail THEN [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END FOR i IN range(n)] ELSE w END AS w FROM cut),
+pos AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+eq AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND b.i - a.i <= a.n // 4),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq),
+rep AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM isl GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT * FROM rep r WHERE NOT EXISTS (
+  SELECT 1 FROM rep o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.start <= r.start AND o.start + o.length >= r.start + r.length)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / q DESC, start, q) AS k FROM run) WHERE k = 1),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLE["op12_minhash_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_fold('text')}, '{_WORD}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+least_id AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_id ON x = doc_id"""
+
+ORACLE["op13_filter_audit"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+f AS (SELECT doc_id, part,
+  CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS m FROM d),
+lab AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, m, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN lab USING (doc_id) GROUP BY part, m),
+l(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM l a, l b, l c, l d, l e
+      WHERE a.b + b.b + c.b + d.b + e.b = 31),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0) AS before FROM o, range(1, 6) r(k)),
+x AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN m & CAST(before AS INTEGER) = 0 AND m & bit = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN m & CAST(before AS INTEGER) = 0 AND m & bit > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN m & CAST(before AS INTEGER) > 0 AND m & bit > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN m & CAST(before AS INTEGER) = 0 AND m & bit > 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN m & CAST(before AS INTEGER) = 0 AND m & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM x"""
