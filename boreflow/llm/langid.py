@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,6 @@ EPOCHS = 14
 BATCH = 128
 RATE = 0.02
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -224,7 +222,7 @@ def predictor(model: Model | None):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             out = pd.DataFrame({"lang_pred": [UNDETERMINED] * len(s), "score": 0.0, "position_share": 0.0})
-            rows = [k for k, t in enumerate(s) if t and _LETTER.search(t)] if model else []
+            rows = [k for k, t in enumerate(s) if t and any(map(str.isalpha, t))] if model else []
             for a in range(0, len(rows), 500):
                 part = rows[a : a + 500]
                 p, v = pooled(model, [s.iloc[k].encode().translate(FOLD) for k in part])
@@ -242,9 +240,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, held_out, lang_pred, score, position_share.
 
     score is the mean probability of lang_pred over all bytes of the whole text, position_share
-    the share of bytes labelled with it. Defined cases: null texts and texts without a letter are
-    ``und`` with score 0 (so is everything if no labelled text exists); a null id is not held out
-    and not learned from; repeated rows are judged one by one; an empty table gives no rows.
+    the share of bytes labelled with it. Defined cases: null texts and texts without a letter (of the
+    Unicode categories L*; numerals and marks are none) are ``und`` with score 0 (so is everything if no
+    labelled text exists); a very long text is read whole; a tie goes to the first language by name; a
+    null id is not held out and not learned from; repeated rows are judged one by one; an empty
+    table gives no rows; extra columns are not read.
     """
     model = train(docs, id_col, text_col, lang_col)
     d = narrow(docs, doc_id=id_col, text=text_col)

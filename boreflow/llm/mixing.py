@@ -65,32 +65,44 @@ def mix(
     passes come first; the last one takes documents in order as long as the budget holds them, so
     every source ends within one document of its budget and never above it. Block totals tell where
     the budget ends, so running sums are needed in that one block of about sqrt(n) documents only.
-    order_key sorts the mixed stream. Defined cases: null sources form a source of their own; null and
-    empty texts have no tokens and cost nothing; a source without tokens gets no rows; repeated rows
-    are separate documents of the mix; an empty table gives no rows; extra columns are not read.
+    order_key sorts the mixed stream: a hash of the pass and of the row's key, which is its id, the digest
+    of its text and the number of the row among rows alike, so it also tells rows with one id or
+    none apart, whatever the partitioning. Defined cases: null sources form a source of their own; null
+    and empty texts have no tokens and cost nothing; a very long text counts whole; a source without
+    tokens gets no rows; repeated rows are separate documents of the mix; ties of the hash fall to the
+    id; an empty table gives no rows; extra columns are not read. A budget that ``max_passes`` passes over
+    all sources cannot fill raises ``ValueError``; no source is read more often than that.
     """
     spark = docs.sparkSession
     d = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = materialize(d.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("src"), n_words(F.col("text")).alias("n_tokens")))
+    src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    alike = d.select("doc_id", "source", src.alias("src"), n_words(F.col("text")).alias("n_tokens"), digest.alias("digest")).groupBy(
+        "doc_id", "source", "src", "n_tokens", "digest").agg(F.count(F.lit(1)).alias("n"))
+    sized = materialize(alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(
+        "doc_id", "source", "src", "n_tokens",
+        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest", F.col("copy").cast("string")).alias("key")))
     sources = materialize(sized.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).filter("tokens > 0"))
     row = sources.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k")).first()
     total, k = row.t or 0, row.k
     budget = total if budget is None else budget
+    if budget > max_passes * total:
+        raise ValueError(f"{max_passes:g} passes over {total} tokens cannot fill a budget of {budget}")
     exponent = find_exponent(sources.withColumn("share", F.col("tokens") / total), budget / total, k, entropy_share, max_passes) if k else 1.0
     raw = F.pow(F.col("tokens") / float(max(total, 1)), F.lit(exponent))
     z = sources.agg(F.sum(raw).alias("z")).first().z or 1.0
     plan = sources.select(
-        "src", "tokens", (raw / z).alias("weight"), F.round(raw / z * budget).cast("long").alias("quota"),
+        "src", "tokens", (raw / z).alias("weight"), F.least(F.round(raw / z * budget), F.floor(F.col("tokens") * max_passes)).cast("long").alias("quota"),
         F.ceil(F.sqrt("n_docs")).cast("long").alias("n_blocks"),
     )
     plan = plan.withColumn("whole", F.floor(F.col("quota") / F.col("tokens")).cast("int")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens"))
     # The plan has a row per source and salt, so no task gets all documents of a large source.
     salts = shuffle_partitions(spark)
     spread = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["src", "salt"])
+    rows = sized.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(spread, ["src", "salt"])
 
     def key(p: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(SEED), p.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+        return F.md5(F.concat_ws(":", F.lit(SEED), p.cast("string"), "key").cast("binary"))
 
     full = rows.filter("whole > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).withColumn("order_key", key(F.col("pass")))
     last = rows.filter("rest > 0").withColumn("pass", F.col("whole")).withColumn("order_key", key(F.col("pass")))

@@ -20,7 +20,9 @@ def _fold(text: str) -> str:
 
 ORACLE["op2_mixing"] = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS n_tokens FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS n_tokens,
+    coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS key
+  FROM documents),
 src AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n_docs FROM d GROUP BY source HAVING sum(n_tokens) > 0),
 tot AS (SELECT sum(tokens) AS t, count(*) AS k, list(tokens) AS each FROM src),
 p AS (SELECT t, k, [x / t FOR x IN each] AS p, {mixing.ENTROPY_SHARE} * ln(k) AS target FROM tot),
@@ -48,12 +50,12 @@ a AS (SELECT round(greatest((SELECT lo FROM h WHERE i = 45),
                             (SELECT CASE WHEN r0.rep <= {mixing.MAX_PASSES} THEN 0 ELSE (SELECT hi FROM r WHERE i = 45) END FROM r0)), {mixing.DIGITS}) AS a),
 w AS (SELECT source, tokens, n_docs, pow(tokens / t, a) / (SELECT sum(pow(tokens / t, a)) FROM src, tot, a) AS weight, t, a
       FROM src, tot, a),
-plan AS (SELECT *, CAST(round(weight * t) AS BIGINT) AS quota, CAST(ceil(sqrt(n_docs)) AS BIGINT) AS n_blocks FROM w),
+plan AS (SELECT *, CAST(least(round(weight * t), floor(tokens * {mixing.MAX_PASSES})) AS BIGINT) AS quota, CAST(ceil(sqrt(n_docs)) AS BIGINT) AS n_blocks FROM w),
 cut AS (SELECT *, CAST(floor(quota / tokens) AS BIGINT) AS whole, CAST(quota - floor(quota / tokens) * tokens AS BIGINT) AS rest FROM plan),
 passes AS (
-  SELECT d.doc_id, d.source, unnest(range(whole + 1)) AS pass, d.n_tokens, weight, a, whole, rest, n_blocks
+  SELECT d.doc_id, d.source, unnest(range(whole + 1)) AS pass, d.n_tokens, d.key, weight, a, whole, rest, n_blocks
   FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source),
-keyed AS (SELECT *, md5('{mixing.SEED}:' || pass || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS order_key FROM passes),
+keyed AS (SELECT *, md5('{mixing.SEED}:' || pass || ':' || key) AS order_key FROM passes),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY CAST('0x' || substr(order_key, 1, 8) AS BIGINT) % n_blocks, order_key, doc_id
                                       ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
 SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, n_tokens, order_key, round(weight, 9) AS weight, a AS exponent

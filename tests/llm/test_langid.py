@@ -65,3 +65,16 @@ def test_repeated_ids_are_one_document(spark, monkeypatch):
         G.train(frame(spark, rows))
         assert len(seen["spans"]) == G.TRAIN_DOCS * G.TRAIN_SPANS
         assert sum(s.startswith(b"copy") for s in seen["spans"]) == 0 and len({s for s in seen["spans"] if s[:1].isdigit()}) == G.TRAIN_DOCS
+
+
+def test_numerals_and_marks_are_no_letters(spark):
+    texts = ["\u00bd \u00b2 100", "\u2167", "\u0301\u0302", "\u2460 \u3289", "\u00bd a", "\u00aa", "\u4e2d", "_ 12"]
+    rows = [(k, EN * 4, "en") for k in range(100, 110)] + [(k, t, "en") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.lang_pred for r in G.language_id(frame(spark, rows)).collect()}
+    assert [got[k] for k in range(len(texts))] == ["und"] * 4 + ["en"] * 3 + ["und"]
+
+
+def test_very_long_text(spark):
+    rows = [(k, EN * 4, "en") for k in range(100, 110)] + [(k, FR * 4, "fr") for k in range(200, 210)] + [(1, EN * 400 + FR * 1200, "fr")]
+    got = {r.doc_id: r for r in G.language_id(frame(spark, rows)).collect()}
+    assert got[1].lang_pred == "fr" and got[1].position_share > 0.5

@@ -46,6 +46,7 @@ def test_repetition_limit_binds(spark):
 
 def test_budget_and_awkward_rows(spark):
     check(spark, rows_of((40, 10)), budget=150)
+    check(spark, rows_of((40, 10)) + [(5000, prose(1, 30_000), "en", "s1")])
     check(spark, awkward())
     assert M.mix(frame(spark, [])).count() == 0
     assert M.mix(frame(spark, [(1, None, None, "a")])).count() == 0
@@ -54,3 +55,23 @@ def test_budget_and_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = M.mix(frame(spark, awkward()).withColumn("x", F.lit(1)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_budget_beyond_the_passes_is_refused(spark):
+    rows = rows_of((40, 10))
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    with pytest.raises(ValueError, match="3 passes"):
+        M.mix(frame(spark, rows), budget=5 * total, max_passes=3)
+    full = M.mix(frame(spark, rows), budget=3 * total, max_passes=3).collect()
+    assert Counter(r.doc_id for r in full) == {r[0]: 3 for r in rows}
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "rows alike"])
+def test_repeated_and_null_ids_do_not_depend_on_the_partitioning(spark, ids):
+    rows = [({"none": None, "one": 7}.get(ids, k % 40), prose(k % 40 if ids == "rows alike" else k, 3 + k % 30), "en", f"s{k % 7 // 4}") for k in range(700)]
+    runs = []
+    for parts in (1, 13):
+        out = M.mix(frame(spark, rows).repartition(parts), budget=4000).collect()
+        runs.append(sorted((str(r.doc_id), r.source, r["pass"], r.n_tokens, r.order_key) for r in out))
+        assert len({(r.source, r.order_key) for r in out}) == len(out)
+    assert runs[0] == runs[1]
