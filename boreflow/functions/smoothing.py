@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEASON = 12
+NEUTRAL = {"alpha": 0.3, "beta": 0.0, "gamma": 0.0, "phi": 1.0, "xi1": 1.0, "xi2": 0.0, "lam": 0.5}  # weights not given
+PARAMS = tuple(NEUTRAL)
 OUT_T = T.StructType([
     T.StructField("sse", T.DoubleType()), T.StructField("n_fit", T.IntegerType()),
     T.StructField("fc", T.ArrayType(T.DoubleType())),
@@ -54,6 +56,38 @@ def _forecast(kind, level, trend, season, used, h, phi, xi1, xi2, lam, m):
     return np.array(out) + s
 
 
+class State:
+    """Level, trend and seasonal terms of many runs, started at their first values."""
+
+    def __init__(self, first: np.ndarray, m: int = SEASON):
+        self.level, self.trend, self.m = first.copy(), np.zeros(len(first)), m
+        self.season, self.rows = np.zeros((len(first), m)), np.arange(len(first))
+
+    def step(self, kind: str, t: int, y: np.ndarray, prm: dict[str, np.ndarray], live: np.ndarray) -> np.ndarray:
+        """Take the values of time ``t`` into every live run; returns the one-step errors of all runs."""
+        level, trend, a, gam = self.level, self.trend, prm["alpha"], prm["gamma"]
+        si = t % self.m  # position of the seasonal term due at step t (start at 1 -> slot 1)
+        s0 = self.season[self.rows, si]
+        if kind == "ets":
+            e = y - (level + s0)
+            nl, nb = level + a * e, trend
+        elif kind == "dlt":
+            base = level + prm["phi"] * trend
+            e = y - (base + s0)
+            nl, nb = base + a * e, prm["phi"] * trend + prm["beta"] * e
+        elif kind == "lgt":
+            base = level + (prm["xi1"] * trend + prm["xi2"] * _g(level, prm["lam"]))
+            e = y - (base + s0)
+            nl = a * (y - s0) + (1.0 - a) * base
+            nb = prm["beta"] * (nl - level) + (1.0 - prm["beta"]) * trend
+        else:
+            raise ValueError(kind)
+        self.level = np.where(live, nl, level)
+        self.trend = np.where(live, nb, trend)
+        self.season[self.rows, si] = np.where(live, s0 + gam * (1.0 - a) * e, s0)
+        return e
+
+
 def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np.ndarray], m: int = SEASON,
         src: np.ndarray | None = None, stops: list[list[tuple[int, int, int]]] | None = None):
     """Run one kind over a batch: returns (sse, n_fit, list of forecast arrays).
@@ -74,18 +108,10 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
     mat = np.zeros((len(ys), max(tmax, 1)))
     for i, y in enumerate(ys):
         mat[i, : len(y)] = y
-    a = prm.get("alpha", np.full(r, 0.3))
-    beta = prm.get("beta", np.zeros(r))
-    gam = prm.get("gamma", np.zeros(r))
-    phi = prm.get("phi", np.ones(r))
-    xi1 = prm.get("xi1", np.ones(r))
-    xi2 = prm.get("xi2", np.zeros(r))
-    lam = prm.get("lam", np.full(r, 0.5))
-    level = mat[src, 0].copy()
-    trend = np.zeros(r)
-    season = np.zeros((r, m))
+    prm = {p: prm.get(p, np.full(r, v)) for p, v in NEUTRAL.items()}
+    phi, xi1, xi2, lam = prm["phi"], prm["xi1"], prm["xi2"], prm["lam"]
+    st = State(mat[src, 0], m)
     sse = np.zeros(r)
-    rows = np.arange(r)
     snaps: list[list] | None = None
     at: dict[int, list[tuple[int, int, int]]] = {}
     if stops is not None:
@@ -97,7 +123,7 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
     def snapshot(used: int) -> None:
         for i, tag, h in at.get(used, ()):
             snaps[i].append((tag, float(sse[i]), max(used - 1, 0), _forecast(
-                kind, level[i], trend[i], season[i].copy(), used, h, phi[i], xi1[i], xi2[i], lam[i], m)))
+                kind, st.level[i], st.trend[i], st.season[i].copy(), used, h, phi[i], xi1[i], xi2[i], lam[i], m)))
 
     if snaps is not None:
         snapshot(1)
@@ -105,38 +131,12 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
         live = t < lens
         if not live.any():
             break
-        y = mat[src, t]
-        si = t % m  # position of the seasonal term due at step t (start at 1 -> slot 1)
-        s0 = season[rows, si]
-        if kind == "ets":
-            f = level + s0
-            e = y - f
-            nl = level + a * e
-            ns = s0 + gam * (1.0 - a) * e
-            nb = trend
-        elif kind == "dlt":
-            f = level + phi * trend + s0
-            e = y - f
-            nl = level + phi * trend + a * e
-            nb = phi * trend + beta * e
-            ns = s0 + gam * (1.0 - a) * e
-        elif kind == "lgt":
-            inc = xi1 * trend + xi2 * _g(level, lam)
-            f = level + inc + s0
-            e = y - f
-            nl = a * (y - s0) + (1.0 - a) * (level + inc)
-            nb = beta * (nl - level) + (1.0 - beta) * trend
-            ns = s0 + gam * (1.0 - a) * e
-        else:
-            raise ValueError(kind)
+        e = st.step(kind, t, mat[src, t], prm, live)
         e = np.where(np.isfinite(e), e, 0.0)
         sse = np.where(live, sse + e * e, sse)
-        level = np.where(live, nl, level)
-        trend = np.where(live, nb, trend)
-        season[rows, si] = np.where(live, ns, s0)
         if snaps is not None:
             snapshot(t + 1)
-    fcs = [_forecast(kind, level[i], trend[i], season[i], int(lens[i]), int(horizons[i]),
+    fcs = [_forecast(kind, st.level[i], st.trend[i], st.season[i], int(lens[i]), int(horizons[i]),
                      phi[i], xi1[i], xi2[i], lam[i], m) for i in range(r)]
     if snaps is not None:
         return snaps
@@ -144,7 +144,6 @@ def run(kind: str, ys: list[np.ndarray], horizons: np.ndarray, prm: dict[str, np
 
 
 GRID_T = T.ArrayType(T.StructType([T.StructField("gid", T.IntegerType())] + OUT_T.fields))
-PARAMS = ("alpha", "beta", "gamma", "phi", "xi1", "xi2", "lam")
 
 
 @F.pandas_udf(GRID_T)

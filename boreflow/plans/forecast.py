@@ -12,7 +12,7 @@ KTR        kernel time-varying coefficients             significant
 Prophet    piecewise trend + Fourier seasonality        no
 Chronos    bootstrap sample paths, quantile band        no
 LSTM       lag windows, direct multi-output             no
-TFT        lag windows pooled over wells, normal band   no
+TFT        pooled quantile regression on windows        no
 N-BEATS    lag windows pooled over wells, no band       no
 =========  ===========================================  ==========
 """
@@ -24,11 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boreflow.functions.fitting import BOX
 from boreflow.operators import clean as C
 from boreflow.operators import evaluate as E
 from boreflow.operators import screen as S
 from boreflow.operators.clean import KEY
-from boreflow.plans.models import fourier, ktr, lags, paths, smoothing
+from boreflow.plans.models import fourier, ktr, lags, paths, quantile, smoothing
 from boreflow.session import cut_lineage
 
 MODELS = ("ETS", "DLT", "LGT", "KTR", "Prophet", "Chronos", "LSTM", "TFT", "N-BEATS")
@@ -37,6 +38,7 @@ USES_REGRESSORS = {"DLT": "relevant", "LGT": "significant", "KTR": "significant"
 # The parameter defaults of the reference's page, as far as a forecaster reads them, and
 # the settings of the slots that stand for its sequence models.
 DEFAULTS: dict[str, dict[str, str]] = {
+    # smoothing weights are absent here: what is not given is fitted
     "DLT": {"global_trend_option": "linear", "regression_penalty": "fixed_ridge", "n_bootstrap_draws": "500"},
     "LGT": {"regression_penalty": "fixed_ridge", "n_bootstrap_draws": "500"},
     "ETS": {"n_bootstrap_draws": "500"},
@@ -44,7 +46,7 @@ DEFAULTS: dict[str, dict[str, str]] = {
     "Prophet": {"seasonality_mode": "additive", "yearly_seasonality": "true", "weekly_seasonality": "true"},
     "Chronos": {"n_paths": str(paths.N_PATHS)},
     "LSTM": {"n_steps": "2", "n_length": "7", "n_out": str(lags.N_OUT), "lam": "0.1", "mode": "direct"},
-    "TFT": {"n_input": "24", "n_out": str(lags.N_OUT), "lam": "0.1", "n_draws": "200"},
+    "TFT": {"n_input": str(quantile.N_INPUT), "n_out": str(quantile.N_OUT), "lam": repr(quantile.LAM)},
     "N-BEATS": {"n_input": "24", "n_out": str(lags.N_OUT), "lam": "0.1"},
 }
 
@@ -54,51 +56,55 @@ def forecast(panel: DataFrame, target: str, model: str, regressors: Sequence[str
              holdout: tuple[float, float] | None = None, include_last: bool = False) -> DataFrame:
     """Backtest + future forecast of one model with one parameter set (``params`` by name).
 
-    Parameters not given take the model's DEFAULTS; the ``params`` of the result are all values used.
+    Parameters not given take the model's DEFAULTS; the smoothing weights of ETS, DLT and LGT that are
+    not given are fitted to each well and training part. The ``params`` of the result are all values
+    used.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; one of {MODELS}")
     p = {**DEFAULTS[model], **(params or {})}
-    out = _forecast(panel, target, model, p, regressors, horizon, scenario, n_splits, holdout, include_last)
+    out = _points(panel, target, model, p, regressors, horizon, scenario, n_splits, holdout, include_last)
+    return _named(_with_draws(out, panel, target, p, horizon, n_splits, holdout), model, p)
+
+
+def _named(out: DataFrame, model: str, p: dict) -> DataFrame:
     used = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in p.items()}
     return E.best_params(out, used).withColumn("model", F.lit(model))
 
 
-def _forecast(panel: DataFrame, target: str, model: str, p: dict, regressors: Sequence[str], horizon: int,
+def _points(panel: DataFrame, target: str, model: str, p: dict, regressors: Sequence[str], horizon: int,
               scenario: tuple[str, float] | None, n_splits: int, holdout: tuple[float, float] | None,
               include_last: bool) -> DataFrame:
     regs = list(regressors) if model in USES_REGRESSORS else []
     common = dict(horizon=horizon, n_splits=n_splits, holdout=holdout, include_last=include_last)
     if model in ("ETS", "DLT", "LGT"):
         kind = model.lower()
-        grid = [{k: float(p[k]) for k in smoothing.GRID_KEYS if k in p}] if any(k in p for k in smoothing.GRID_KEYS) else \
-            [smoothing.default_grid(kind)[0]]
+        given = {k: float(p[k]) for k in smoothing.GRID_KEYS if k in p}
+        weights = {"grid": [given]} if set(BOX[kind]) <= set(given) else {"fixed": given}
         st1 = None
         if kind != "ets":
             st1 = smoothing.stage1_candidates(kind, regs, [p.get("global_trend_option", "linear")], [p["regression_penalty"]])
-        out = smoothing.smoothing_forecast(panel, target, kind, regs, st1, grid, scenario=scenario, **common)
-        return _with_draws(out, panel, target, p, common)
+        return smoothing.smoothing_forecast(panel, target, kind, regs, st1, scenario=scenario, **weights, **common)
     if model == "KTR":
-        out = ktr.ktr(panel, target, regs, n_knots=int(p["n_knots"]), cands=ktr.candidates(regs, [float(p["lam"])]), scenario=scenario, **common)
-        return _with_draws(out, panel, target, p, common)
+        return ktr.ktr(panel, target, regs, n_knots=int(p["n_knots"]), cands=ktr.candidates(regs, [float(p["lam"])]), scenario=scenario, **common)
     if model == "Prophet":
         grid = [(p["seasonality_mode"], str(p["yearly_seasonality"]).lower() == "true", str(p["weekly_seasonality"]).lower() == "true")]
         return fourier.fourier_trend(panel, target, cands=fourier.candidates(grid), **common)
     if model == "Chronos":
         return paths.sample_paths(panel, target, n_paths=int(p["n_paths"]), **common)
-    n_input = int(p["n_steps"]) * int(p["n_length"]) if model == "LSTM" else int(p["n_input"])
-    out = lags.lag_forecast(panel, target, n_input=n_input, n_out=int(p["n_out"]), mode=p.get("mode", "pooled"), lam=float(p["lam"]), **common)
     if model == "TFT":
-        out = paths.bootstrap_band(out, panel, target, int(p["n_draws"]), qs=(0.1, 0.9), horizon=horizon, n_splits=n_splits, holdout=holdout)
-    return out
+        return quantile.quantile_forecast(panel, target, n_input=int(p["n_input"]), n_out=int(p["n_out"]), lam=float(p["lam"]), **common)
+    n_input = int(p["n_steps"]) * int(p["n_length"]) if model == "LSTM" else int(p["n_input"])
+    return lags.lag_forecast(panel, target, n_input=n_input, n_out=int(p["n_out"]), mode=p.get("mode", "pooled"), lam=float(p["lam"]), **common)
 
 
-def _with_draws(out: DataFrame, panel: DataFrame, target: str, p: dict, common: dict) -> DataFrame:
-    """The bootstrap band of ``n_bootstrap_draws`` draws (0: the model's own normal band)."""
-    draws = int(p["n_bootstrap_draws"] or 0)
+def _with_draws(out: DataFrame, panel: DataFrame, target: str, p: dict, horizon: int, n_splits: int,
+                holdout: tuple[float, float] | None) -> DataFrame:
+    """The bootstrap band of ``n_bootstrap_draws`` draws (0 or not a parameter: the model's own band)."""
+    draws = int(p.get("n_bootstrap_draws") or 0)
     if not draws:
         return out
-    return paths.bootstrap_band(out, panel, target, draws, horizon=common["horizon"], n_splits=common["n_splits"], holdout=common["holdout"])
+    return paths.bootstrap_band(out, panel, target, draws, horizon=horizon, n_splits=n_splits, holdout=holdout)
 
 
 def mask_regressors(cleaned: DataFrame, screened: DataFrame, model: str, regs: Sequence[str]) -> DataFrame:
@@ -137,9 +143,11 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
     panel = cleaned
     if screened is not None:
         panel = mask_regressors(cleaned, screened, model, regs)
-    fc = forecast(panel, target, model, regs, horizon, scenario, params, n_splits)
-    # Metrics read point forecasts only, so their plan leaves the bootstrap out.
-    point = forecast(panel, target, model, regs, horizon, scenario, {**(params or {}), "n_bootstrap_draws": 0}, n_splits) \
-        if "n_bootstrap_draws" in DEFAULTS[model] else fc
-    metrics = E.metrics(point.filter(F.col("part") == "test"), by=(KEY, "model", "fold"))
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; one of {MODELS}")
+    p = {**DEFAULTS[model], **(params or {})}
+    # The model is fitted once: metrics read its points, and the band is added to the same points.
+    points = cut_lineage(_points(panel, target, model, p, regs, horizon, scenario, n_splits, None, False))
+    fc = _named(_with_draws(points, panel, target, p, horizon, n_splits, None), model, p)
+    metrics = E.metrics(points.filter(F.col("part") == "test").withColumn("model", F.lit(model)), by=(KEY, "model", "fold"))
     return fc, metrics, screened

@@ -7,7 +7,8 @@ the Bayesian models these slots stand for; numbers are not meant to equal theirs
    (``flat | linear | loglinear | logistic``) plus the regressors with the chosen penalty
    (``fixed_ridge | auto_ridge | lasso``); LGT fits the regressors alone; ETS has none.
 2. Smoothing stage on the residual series of each (well, fold, stage-1 candidate): the
-   vectorised recursion of ``boreflow.functions.smoothing`` for every smoothing-grid point.
+   vectorised recursion of ``boreflow.functions.smoothing`` for every smoothing-grid point, or, with
+   ``fixed``, once with the weights that fit the series best (``boreflow.functions.fitting``).
 
 Forecast = regression part on the test / future rows (the scenario ramp enters here through the
 regressors) + the smoother's h-step forecast. Band: ``yhat +- z * sd`` with ``sd`` the root mean
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from boreflow.session import apply_recommended_conf, reuse
 
 from boreflow.functions import linalg as L
-from boreflow.functions.smoothing import smooth_folds_udf, smooth_grid_udf
+from boreflow.functions.fitting import BOX, fit_folds_udf
+from boreflow.functions.smoothing import NEUTRAL, PARAMS, smooth_folds_udf, smooth_grid_udf
 from boreflow.operators.backtest import backtest_rows, split_bounds
 from boreflow.plans.series import series_arrays
 from boreflow.operators.clean import KEY
@@ -32,8 +34,7 @@ from boreflow.plans.models import common as M
 
 TRENDS = ("flat", "linear", "loglinear", "logistic")
 PENALTIES = ("fixed_ridge", "auto_ridge", "lasso")
-GRID_KEYS = ("alpha", "beta", "gamma", "phi", "xi1", "xi2", "lam")
-DEFAULTS = {"alpha": 0.3, "beta": 0.0, "gamma": 0.0, "phi": 1.0, "xi1": 1.0, "xi2": 0.0, "lam": 0.5}
+GRID_KEYS = PARAMS
 
 
 def trend_features(regressors: Sequence[str], pos: Column | None = None, train_end: Column | None = None,
@@ -84,28 +85,82 @@ def default_grid(kind: str) -> list[dict[str, float]]:
     return [{"alpha": a, "beta": b, "gamma": 0.1, "xi1": 0.5, "xi2": x, "lam": 0.5} for a in (0.1, 0.3) for b in (0.05, 0.2) for x in (0.0, 0.01)]
 
 
+def grid_point(gid: Column, cid: Column, weights: dict[str, Column]) -> Column:
+    """One element of a well's own grid; weights not given are neutral."""
+    told = F.create_map(*[x for k in sorted(weights) for x in (F.lit(k), weights[k].cast("string"))], F.lit("trial"), gid.cast("string"))
+    return F.struct(gid.cast("int").alias("gid"), cid.cast("int").alias("only_cid"), told.alias("gparams"),
+                    *[(weights[k] if k in weights else F.lit(NEUTRAL[k])).cast("double").alias(k) for k in GRID_KEYS])
+
+
 def _grid_array(grid: Sequence[dict[str, float]]) -> Column:
     return F.array(*[
         F.struct(F.lit(i).alias("gid"), F.lit(int(g.get("cid", -1))).alias("only_cid"),
                  F.create_map(*[x for k in sorted(g) if k in GRID_KEYS or k == "trial"
                                for x in (F.lit(k), F.lit(str(g[k]) if k == "trial" else repr(float(g[k]))))]).alias("gparams"),
-                 *[F.lit(float(g.get(k, DEFAULTS[k]))).alias(k) for k in GRID_KEYS])
+                 *[F.lit(float(g.get(k, NEUTRAL[k]))).alias(k) for k in GRID_KEYS])
         for i, g in enumerate(grid)
     ])
 
 
+def _gparams(grid: Column, gid: Column) -> Column:
+    return F.get(F.filter(grid, lambda g: g["gid"] == gid), F.lit(0))["gparams"]
+
+
+def _gridded(series: DataFrame, kind: str, grid: Sequence[dict[str, float]] | None, grids: DataFrame | None, key: str) -> DataFrame:
+    """Every grid point's run of every residual series; a point with a ``cid`` only with that candidate."""
+    own = series.join(grids, key) if grids is not None else series.withColumn("grid", _grid_array(grid))
+    own = own.withColumn("grid", F.filter("grid", lambda g: (g["only_cid"] < 0) | (g["only_cid"] == F.col("cid")))).filter(F.size("grid") > 0)
+    res = own.select(key, "fold", "cid", "grid", F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), F.col("grid"))).alias("_s"))
+    return res.select(key, "fold", "cid", "_s.*", _gparams(F.col("grid"), F.col("_s.gid")).alias("gparams"))
+
+
+def _fitted(fits: DataFrame, kind: str, keys: Sequence) -> DataFrame:
+    """Fits ``_s`` as rows with the fitted weights and ``converged`` as parameters."""
+    told = F.create_map(*[x for p in sorted(BOX[kind]) for x in (F.lit(p), F.col(f"_s.{p}").cast("string"))],
+                        F.lit("converged"), F.col("_s.converged").cast("string"))
+    return fits.select(*keys, "_s.sse", "_s.n_fit", "_s.fc", told.alias("gparams"))
+
+
+def training_error(panel: DataFrame, target: str, kind: str = "ets", grid: Sequence[dict[str, float]] | None = None,
+                   fixed: dict[str, float] | None = None, n_splits: int = 5, key: str = KEY) -> DataFrame:
+    """In-sample one-step RMSE per (well, fold) and grid point, or of the fitted weights (``fixed``).
+
+    ``well, fold, gparams, n_fit, rmse``; the target's own series is smoothed, without a regression stage.
+    """
+    ser = series_arrays(panel, [target], key)
+    bounds, _ = split_bounds(F.col("n"), n_splits)
+    cuts = F.transform(bounds, lambda b: F.struct(b["fold"].alias("fold"), b["train_end"].alias("train_end"), F.lit(0).alias("h")))
+    if fixed is not None:
+        res = _fitted(ser.select(key, F.explode(fit_folds_udf(kind, fixed)(F.col(target), cuts)).alias("_s")), kind, [key, "_s.fold"])
+    else:
+        garr = _grid_array(grid)
+        res = ser.select(key, F.explode(smooth_folds_udf(F.lit(kind), F.col(target), cuts, garr)).alias("_s")).select(
+            key, "_s.*", garr[F.col("_s.gid")]["gparams"].alias("gparams"))
+    return res.select(key, "fold", "gparams", "n_fit", F.sqrt(F.try_divide("sse", F.col("n_fit").cast("double"))).alias("rmse"))
+
+
 def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regressors: Sequence[str] = (),
                        stage1: list[M.Candidate] | None = None, grid: list[dict[str, float]] | None = None,
                        horizon: int = 30, n_splits: int = 5, holdout: tuple[float, float] | None = None,
                        scenario: tuple[str, float] | None = None, include_last: bool = False, z: float = M.Z90,
-                       key: str = KEY) -> DataFrame:
-    """Backtest + future rows: ``well, fold, part, ds, step, y, params, yhat, yhat_lower, yhat_upper, model``."""
+                       key: str = KEY, fixed: dict[str, float] | None = None, grids: DataFrame | None = None) -> DataFrame:
+    """Backtest + future rows: ``well, fold, part, ds, step, y, params, yhat, yhat_lower, yhat_upper, model``.
+
+    ``grid`` gives smoothing weights to run side by side, ``grids`` (``well, grid``, elements from
+    ``grid_point``) the same for each well on its own; wells without a row there get none. With ``fixed`` instead, each (well, fold,
+    stage-1 candidate) gets the weights of the least one-step squared error of its training part; those
+    in ``fixed`` are held. ``params`` then tells the weights, and under ``converged`` whether the
+    search settled.
+    """
     apply_recommended_conf(panel.sparkSession)
     regs = list(regressors) if kind != "ets" else []
     # A parameter a well does not have enters as the constant 0.
     known = panel.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in regs}) if regs else panel
     panel = reuse(known)
+    if sum(x is not None for x in (grid, grids, fixed)) > 1:
+        raise ValueError("one of grid, grids and fixed")
     grid = grid or default_grid(kind)
+    fit = None if fixed is None else fit_folds_udf(kind, fixed)
     if kind == "ets":
         # No regression stage: every fold trains on a prefix of the same series, so each series
         # runs once per grid point and reports its state at every fold's training end.
@@ -118,10 +173,17 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
         cuts = F.transform(bounds, lambda b: F.struct(
             b["fold"].alias("fold"), b["train_end"].alias("train_end"),
             F.when(b["fold"] == k, F.lit(max(horizon, 0))).otherwise(b["test_end"] - b["train_end"]).alias("h")))
-        garr = _grid_array(grid)
-        res = ser.select(key, F.explode(smooth_folds_udf(F.lit(kind), F.col(target), cuts, garr)).alias("_s"))
-        res = res.select(key, "_s.fold", F.lit(0).alias("cid"), "_s.gid", "_s.sse", "_s.n_fit", "_s.fc").withColumn(
-            "gparams", garr[F.col("gid")]["gparams"])
+        if fit is not None:
+            res = _fitted(ser.select(key, F.explode(fit(F.col(target), cuts)).alias("_s")), kind, [key, "_s.fold", F.lit(0).alias("cid")])
+        elif grids is not None:
+            own = ser.join(grids, key)
+            res = own.select(key, "grid", F.explode(smooth_folds_udf(F.lit(kind), F.col(target), cuts, F.col("grid"))).alias("_s"))
+            res = res.select(key, "_s.fold", F.lit(0).alias("cid"), "_s.gid", "_s.sse", "_s.n_fit", "_s.fc", _gparams(F.col("grid"), F.col("_s.gid")).alias("gparams"))
+        else:
+            garr = _grid_array(grid)
+            res = ser.select(key, F.explode(smooth_folds_udf(F.lit(kind), F.col(target), cuts, garr)).alias("_s"))
+            res = res.select(key, "_s.fold", F.lit(0).alias("cid"), "_s.gid", "_s.sse", "_s.n_fit", "_s.fc").withColumn(
+                "gparams", garr[F.col("gid")]["gparams"])
     else:
         rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key)
         feats, _ = trend_features(regs)
@@ -148,10 +210,11 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
         hcol = F.when(F.col("_b.fold") == k, F.lit(max(horizon, 0))).otherwise(F.col("_b.test_end") - te)
         series = per.select(key, F.col("_b.fold").alias("fold"), "cid",
                             F.transform(F.sequence(F.lit(0), te - 1), resid).alias("r"), hcol.alias("h"))
-        garr = _grid_array(grid)
-        mine = F.filter(garr, lambda g: (g["only_cid"] < 0) | (g["only_cid"] == F.col("cid")))
-        res = series.select(key, "fold", "cid", F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), mine)).alias("_s"))
-        res = res.select(key, "fold", "cid", "_s.*").withColumn("gparams", garr[F.col("gid")]["gparams"])
+        if fit is not None:
+            whole = F.array(F.struct(F.col("fold").cast("int").alias("fold"), F.size("r").alias("train_end"), F.col("h").cast("int").alias("h")))
+            res = _fitted(series.select(key, "cid", F.explode(fit(F.col("r"), whole)).alias("_s")), kind, [key, "_s.fold", "cid"])
+        else:
+            res = _gridded(series, kind, grid, grids, key)
     pred = rows1.filter(F.col("part") != "train").join(res, [key, "fold", "cid"])
     sd = F.sqrt(F.try_divide(F.col("sse"), F.col("n_fit").cast("double")))
     yhat = F.col("reg") + F.element_at("fc", F.col("step"))
