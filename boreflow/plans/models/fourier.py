@@ -1,16 +1,15 @@
 """M5: piecewise-linear trend + Fourier yearly/weekly seasonality, additive or multiplicative.
 
-Features per row (all JVM column expressions): intercept, scaled time ``t = pos / train_end``,
-changepoint hinges ``max(t - c_j, 0)`` at ``c_j = 0.8 j / K`` (j = 1..K, the first 80 % of the
-training span), and ``sin/cos(2 pi k d / P)`` for the yearly (P = 365.25, order 10) and weekly
-(P = 7, order 3) terms, ``d`` = days since 1970-01-01. Hinges and seasonal terms are ridge
-penalised; intercept and slope are not. Multiplicative mode fits ``log y``, i.e. ``y = trend *
-seasonal`` in the original scale; it needs positive training values (else its forecast is null and
-``params`` says why). The fit is a penalised least
-squares, not the MAP of a Bayesian curve fitter; the band is a normal 80 % band from the in-sample
-residual standard deviation.
-
-Candidates differ only in the keep mask and target, so all of them come from one Gram pass.
+The model and its fit are in ``boreflow.functions.trend``: sparse rate changes at 25 changepoints,
+Fourier terms (yearly of order 10, weekly of order 3), the posterior mode under the published priors with
+the noise variance from the residuals; not draws from the posterior. The band is an 80 % normal band
+of the noise and of future rate changes.
+
+Plan: one row per well carries its dates and values (bounded by the calendar) into one kernel that
+fits all training parts and candidates; no row is copied per fold, and nothing is joined back: the
+test values and dates are slices of the same arrays.
+
+``features`` are the same columns as JVM expressions, ``numpy_features`` the same in NumPy.
 """
 
 from __future__ import annotations
@@ -19,20 +18,16 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreflow.session import apply_recommended_conf, reuse
-
-from boreflow.functions import linalg as L
-from boreflow.operators.backtest import backtest_rows
-from boreflow.operators.clean import ORDER
+from boreflow.functions import trend as TR
+from boreflow.functions.trend import N_CHANGEPOINTS, WEEKLY_ORDER, YEARLY_ORDER
+from boreflow.operators.clean import KEY, ORDER
 from boreflow.plans.models import common as M
-
-N_CHANGEPOINTS = 25
-YEARLY_ORDER = 10
-WEEKLY_ORDER = 3
+from boreflow.plans.series import cut_series, fit_rows
+from boreflow.session import apply_recommended_conf
 
 
 def features(n_changepoints: int = N_CHANGEPOINTS, yearly: int = YEARLY_ORDER, weekly: int = WEEKLY_ORDER) -> tuple[list[Column], list[str]]:
@@ -90,20 +85,29 @@ def candidates(grid: Iterable[tuple[str, bool, bool]] | None = None, lam: float
     return out
 
 
+FIT_T = "array<struct<fold:int,cid:int,fc:array<double>,lo:array<double>,hi:array<double>,delta:array<double>>>"
+
+
+def trend_udf(cands: list[tuple[bool, bool, bool]], z: float):
+    """Pandas UDF ``(values, day numbers, cuts) -> fits``: one row is one series."""
+
+    @F.pandas_udf(FIT_T)
+    def run(y: pd.Series, days: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([
+            TR.fit_series(np.asarray(v, float), np.asarray(d, float), [tuple(int(c[f]) for f in ("fold", "train_end", "begin", "h")) for c in cl if int(c["train_end"]) >= 1], cands, z)
+            for v, d, cl in zip(y, days, cuts, strict=True)])
+
+    return run
+
+
 def fourier_trend(panel: DataFrame, target: str, horizon: int = 30, cands: list[M.Candidate] | None = None,
-                  n_splits: int = 5, holdout: tuple[float, float] | None = None, include_last: bool = False) -> DataFrame:
-    """Backtest + future forecast for every well and candidate: the ``forecast`` rows plus ``y``."""
+                  n_splits: int = 5, holdout: tuple[float, float] | None = None, include_last: bool = False, key: str = KEY) -> DataFrame:
+    """Backtest + future forecast for every well and candidate: the ``forecast`` rows plus ``y``.
+
+    A value that is null is left out of the fit; a training part without any value has no rows.
+    """
     apply_recommended_conf(panel.sparkSession)
-    panel = reuse(panel)
     cands = cands or candidates()
-    rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout)
-    feats, _ = features()
-    # A training part with a value <= 0 has no logarithm: the mark carries through its Gram sums, so the
-    # multiplicative candidates of that well and fold come out as null and never win a tuning.
-    y = F.col("y")
-    ys = [y, F.when(y > 0, F.log(F.when(y > 0, y))).when(y.isNotNull(), F.lit(L.NO_TARGET))]
-    sol = M.fit(rows, feats, ys, cands, builder=numpy_features(), inputs=feature_inputs())
-    out = M.predict(rows, sol, feats, M.Z80)
-    bad = F.col("yhat").isNull()
-    out = out.withColumn("params", F.when(bad, F.map_concat("params", F.create_map(F.lit("reason"), F.lit("target not positive")))).otherwise(F.col("params")))
-    return out.withColumn("model", F.lit("Prophet"))
+    staged, last = cut_series(panel, target, horizon, n_splits, holdout, include_last, key)
+    kinds = [(c.target == 1, c.params["yearly_seasonality"] == "true", c.params["weekly_seasonality"] == "true") for c in cands]
+    return fit_rows(staged, trend_udf(kinds, M.Z80)("_y", "_days", "_cuts"), last, [M.param_map(c.params) for c in cands], "Prophet", key)
