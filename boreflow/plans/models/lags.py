@@ -9,12 +9,14 @@ partial sums in every task keep that safe however many windows a fold has.
 
 Forecasting starts from the last ``n_input`` training values of a fold (the whole series for the
 final fit) and rolls forward in blocks of ``n_out`` steps (M7: blocks of one step with the
-step-1 model), each block fed by the previous predictions: a JVM ``aggregate`` over the block
-sequence. Band: normal, from the root mean in-sample error of the step-1 model.
+step-1 model), each block fed by the previous predictions: one NumPy kernel rolls all rows of an
+Arrow batch, a block at a time. Band: normal, from the root mean in-sample error of the step-1 model.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from boreflow.operators.windows import supervised
 from boreflow.plans.models import common as M
 from boreflow.plans.series import series_arrays
 
+ROLL_ROWS = 2000  # rows rolled together; bounds the copies of coefficients in memory
 N_INPUT = 14  # 2 sub-sequences x 7 days
 N_OUT = 7
 
@@ -55,21 +58,40 @@ def _scale(c: Column) -> Column:
     return F.when(m > 0, m).otherwise(F.lit(1.0))
 
 
-def _rollout(ctx: Column, betas: Column, n_input: int, block: int, h: Column) -> Column:
-    """Predictions for steps 1..h: blocks of ``block`` outputs, each fed with the last ``n_input`` values."""
-    nblocks = F.greatest(F.ceil(h / F.lit(float(block))).cast("int"), F.lit(1))
+def roll(ctx: np.ndarray, betas: np.ndarray, blocks: int) -> np.ndarray:
+    """Predictions of all rows (rows, blocks * outputs), one block at a time, each fed with the last inputs.
 
-    def one(acc, _i):
-        c = acc["ctx"]
-        sc = _scale(c)
-        cs = F.transform(c, lambda v: v / sc)
-        outs = F.transform(F.slice(betas, 1, block), lambda b: sc * (b[0] + F.aggregate(
-            F.zip_with(F.slice(b, 2, n_input), cs, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)))
-        allv = F.concat(c, outs)
-        return F.struct(F.slice(allv, F.size(allv) - n_input + 1, n_input).alias("ctx"), F.concat(acc["out"], outs).alias("out"))
-
-    init = F.struct(ctx.alias("ctx"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), nblocks), init, one)["out"]
+    ``ctx`` is (rows, n_input), ``betas`` (rows, outputs, 1 + n_input); a block is predicted on the
+    context divided by its mean absolute value.
+    """
+    ctx, out = ctx.copy(), []
+    for _ in range(blocks):
+        sc = np.abs(ctx).mean(axis=1, keepdims=True)
+        sc[~(sc > 0)] = 1.0
+        now = sc * (betas[:, :, 0] + np.einsum("rok,rk->ro", betas[:, :, 1:], ctx / sc))
+        out.append(now)
+        ctx = np.concatenate([ctx, now], axis=1)[:, -ctx.shape[1]:]
+    return np.concatenate(out, axis=1)
+
+
+def rollout_udf(block: int):
+    """Pandas UDF ``(context, coefficients, steps) -> predictions``: null where a row has no coefficients."""
+
+    @F.pandas_udf("array<double>")
+    def run(ctx: pd.Series, betas: pd.Series, h: pd.Series) -> pd.Series:
+        out: list = [None] * len(ctx)
+        rows = [i for i, b in enumerate(betas) if b is not None]
+        for k in range(0, len(rows), ROLL_ROWS):
+            mine = rows[k : k + ROLL_ROWS]
+            x = np.stack([np.asarray(ctx.iloc[i], float) for i in mine])
+            b = np.stack([[np.asarray(o, float) for o in betas.iloc[i][:block]] for i in mine])
+            blocks = [max(-(-int(h.iloc[i]) // block), 1) for i in mine]
+            fc = roll(x, b, max(blocks))
+            for r, i in enumerate(mine):
+                out[i] = fc[r, : blocks[r] * block].tolist()
+        return pd.Series(out)
+
+    return run
 
 
 def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int = N_INPUT, n_out: int = N_OUT,
@@ -118,7 +140,7 @@ def lag_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input: int
     if mode == "pooled":  # one row per fold and strength: bounded by these two parameters
         coef = F.broadcast(coef)
     fc = ctx.join(coef, [*by, "lam"], "left").select(
-        key, "fold", "lam", _rollout(F.col("ctx"), F.col("betas"), n_input, block, F.col("h")).alias("fc"),
+        key, "fold", "lam", rollout_udf(block)(F.col("ctx"), F.col("betas"), F.col("h")).alias("fc"),
         F.element_at("ctx", -1).alias("last"), (F.col("rel_sd") * _scale(F.col("ctx"))).alias("sd"))
     out = pred.join(fc, [key, "fold"])
     yhat = F.coalesce(F.get("fc", F.col("step") - 1), F.col("last"))
