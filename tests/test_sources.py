@@ -2,6 +2,8 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from boreflow.operators import evaluate as E
@@ -45,12 +47,63 @@ def test_history_names_the_parameters_used(spark):
     from boreflow.plans import forecast as FC
 
     df = spark.createDataFrame([("w", dt.date(2024, 1, 1) + dt.timedelta(i), 5.0 + i % 4) for i in range(60)], "well string, ds date, y double")
-    fc = FC.forecast(df, "y", "ETS", horizon=3, params={"n_bootstrap_draws": 10})
+    fc = FC.forecast(df, "y", "ETS", horizon=3, params={"alpha": 0.3, "gamma": 0.1, "n_bootstrap_draws": 10})
     path = tempfile.mkdtemp(prefix="hist-", dir="/tmp") + "/h"
     HI.append_history(fc, path, "y", 3, "none")
     used = {tuple(sorted(r.params.items())) for r in fc.collect()}
     assert {tuple(sorted(r.params.items())) for r in HI.read_history(spark, path).collect()} == used and len(used) == 1
     assert dict(next(iter(used)))["n_bootstrap_draws"] == "10"
+    # fitted weights differ by training part: the history names those of the last fold, which it logs
+    fitted = FC.forecast(df, "y", "ETS", horizon=3, params={"n_bootstrap_draws": 0})
+    path = tempfile.mkdtemp(prefix="hist-", dir="/tmp") + "/h"
+    HI.append_history(fitted, path, "y", 3, "none")
+    assert [r.params for r in HI.read_history(spark, path).collect()] == [fitted.filter("fold = 4").first().params]
+
+
+def _small_forecast(spark, yhat):
+    rows = [(w, m, {"a": "1"}, f, "test", dt.date(2024, 1, 1 + f), 1, 10.0, yhat, None, None) for w in "uv" for m in ("ETS", "DLT") for f in range(3)]
+    return spark.createDataFrame(rows, "well string, model string, params map<string,string>, fold int, part string, ds date, step int, "
+                                       "y double, yhat double, yhat_lower double, yhat_upper double")
+
+
+@pytest.mark.parametrize("broken", [0, 1, 2])
+def test_a_run_that_breaks_off_is_not_seen_and_a_retry_is_whole(spark, monkeypatch, broken):
+    path = tempfile.mkdtemp(prefix="hist-", dir="/tmp") + "/h"
+    HI.append_history(_small_forecast(spark, 9.0), path, "y", 3, "none", "2024-01-01 00:00:00", "first")
+    write, calls = HI._replace, []
+
+    def fails(df, where, by):
+        calls.append(where)
+        if len(calls) == broken + 1:
+            raise OSError("the executor is gone")
+        write(df, where, by)
+
+    monkeypatch.setattr(HI, "_replace", fails)
+    with pytest.raises(OSError, match="gone"):
+        HI.append_history(_small_forecast(spark, 8.0), path, "y", 3, "none", "2024-01-02 00:00:00", "1e5")
+    monkeypatch.undo()
+    assert HI.read_history(spark, path).count() == 4 and HI.read_forecasts(spark, path).count() == 12
+    assert [r.run_id for r in HI.read_commits(spark, path).collect()] == ["first"]
+    for _ in range(2):  # the retry, and once more: neither doubles anything
+        HI.append_history(_small_forecast(spark, 7.0), path, "y", 3, "none", "2024-01-02 00:00:00", "1e5")
+        h = HI.read_history(spark, path).collect()
+        assert sorted(r.rmse for r in h) == [1.0] * 4 + [3.0] * 4
+        assert sorted(r.yhat for r in HI.read_forecasts(spark, path, "ETS").collect()) == [7.0] * 6 + [9.0] * 6
+    assert {r.run_id for r in HI.read_commits(spark, path).collect()} == {"first", "1e5"}
+
+
+def test_the_forecast_is_computed_once(spark):
+    path = tempfile.mkdtemp(prefix="hist-", dir="/tmp") + "/h"
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    fc = _small_forecast(spark, 9.0).repartition(2).withColumn("yhat", counted("yhat"))
+    run = HI.append_history(fc, path, "y", 3, "none")
+    assert seen.value == 12 and [r.run_id for r in HI.read_commits(spark, path).collect()] == [run]
 
 
 def test_best_params_defaults(spark):
