@@ -451,3 +451,10 @@ SELECT e.well, b.trial, round(e.alpha, 6) AS alpha, round(e.gamma, 6) AS gamma,
        round(avg(abs((e.y - e.yhat) / e.y)) * 100.0, 6) AS mape
 FROM efc e JOIN best b ON b.well = e.well AND b.alpha = e.alpha AND b.gamma = e.gamma AND b.rk = 1
 WHERE e.part = 'test' GROUP BY e.well, b.trial, e.alpha, e.gamma, e.fold"""
+
+# ---------------------------------------------------------------- fitted weights against the draws
+ORACLE["m1_fit_against_draws"] = with_(CLEAN, POS, FOLDS, FITS, "ser AS (SELECT well, pos + 1 AS pos, qty AS y FROM pz)," + ets_rec(
+    "ser", _TRIALS, "SELECT n FROM fb WHERE fb.well = r.well")) + """
+SELECT r.well, CAST(f.fold AS INTEGER) AS fold, CAST(f.train_end - 1 AS INTEGER) AS n_fit,
+       round(min(sqrt(r.sse / (f.train_end - 1))), 6) AS best_of_50, true AS no_worse
+FROM rec r JOIN fits f ON f.well = r.well AND f.train_end = r.i GROUP BY r.well, f.fold, f.train_end"""

@@ -388,8 +388,11 @@ def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- forecasters (rows-only + pytest)
 from boreflow.plans import forecast as FC  # noqa: E402
 from boreflow.plans import tune as TU  # noqa: E402
+from boreflow.plans.models import smoothing as SM  # noqa: E402
+from boreflow.session import cut_lineage  # noqa: E402
 from boreflow.sources import history as HI  # noqa: E402
 
+ETS_WEIGHTS = {"alpha": 0.1, "gamma": 0.05}
 FC_COLS = ["well", "model", "fold", "part", "ds", "step", "y", "yhat", "yhat_lower", "yhat_upper"]
 SCENARIO = ("price", 5000.0)
 
@@ -402,8 +405,31 @@ def _fc(spark: SparkSession, sf_dir: str, model: str, params: dict | None = None
 
 @register("m1_ets")
 def m1_ets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ETS with its normal band."""
-    return _fc(spark, sf_dir, "ETS", {"n_bootstrap_draws": 0})
+    """ETS with given weights and its normal band."""
+    return _fc(spark, sf_dir, "ETS", {**ETS_WEIGHTS, "n_bootstrap_draws": 0})
+
+
+@register("m1_ets_fitted")
+def m1_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ETS with the weights fitted to each well and training part, which the rows name."""
+    fc = FC.forecast(cleaned(spark, sf_dir), T.TARGET, "ETS", REGS, 30, params={"n_bootstrap_draws": 0})
+    p = F.col("params")
+    return _r(fc.select(*FC_COLS, *[p[k].cast("double").alias(k) for k in ("alpha", "gamma")], (p["converged"] == "true").alias("converged")))
+
+
+@register("m1_fit_against_draws")
+def m1_against(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-step training RMSE of the fitted weights next to the best of 50 draws, per well and training part.
+
+    Both come from the one pass of each series that the fits share; the fitted one may never be larger.
+    """
+    cl = cut_lineage(cleaned(spark, sf_dir))
+    draws = [{k: v for k, v in t.items()} for t in TU.draw(TU.SPACES["ETS"], 50, 42)]
+    by = ("well", "fold")
+    best = SM.training_error(cl, T.TARGET, "ets", grid=draws).groupBy(*by).agg(F.min("rmse").alias("best_of_50"))
+    mine = SM.training_error(cl, T.TARGET, "ets", fixed={}).select(*by, "n_fit", F.col("rmse").alias("fitted"))
+    both = mine.join(best, [*by])
+    return _r(both.select(*by, "n_fit", "best_of_50", (F.col("fitted") <= F.col("best_of_50") * (1 + 1e-9)).alias("no_worse")))
 
 
 for _name, _model in (("m2_dlt", "DLT"), ("m3_lgt", "LGT"), ("m4_ktr", "KTR"),
@@ -445,7 +471,7 @@ def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("u3_bootstrap_band_20")
 def u3_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same band from 20 draws, few enough for SQL to repeat every path."""
-    return _fc(spark, sf_dir, "ETS", {"n_bootstrap_draws": 20})
+    return _fc(spark, sf_dir, "ETS", {**ETS_WEIGHTS, "n_bootstrap_draws": 20})
 
 
 # ---------------------------------------------------------------- tuning and history
@@ -507,6 +533,27 @@ def e7_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(met)
 
 
+def _adaptive(model: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _r(TU.tune_adaptive(cut_lineage(cleaned(spark, sf_dir)), T.TARGET, model, regressors=REGS))
+
+    return query
+
+
+# the search that learns from its earlier trials: 25 fits a well (Prophet: its 8 settings, Chronos: its 4)
+for _name, _model in (("ets", "ETS"), ("dlt", "DLT"), ("lgt", "LGT"), ("ktr", "KTR"), ("prophet", "Prophet"), ("chronos", "Chronos")):
+    REGISTRY[f"e5_adaptive_{_name}"] = _adaptive(_model)
+
+
+@register("e5_adaptive_then_run")
+def e5_adaptive_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive DLT tuning per well, then the 5-fold backtest of every well with its own weights: fold metrics."""
+    cl = cut_lineage(cleaned(spark, sf_dir))
+    tuned = TU.tune_adaptive(cl, T.TARGET, "DLT", regressors=REGS)
+    fc = TU.forecast_tuned(cl, T.TARGET, "DLT", tuned, regressors=REGS, horizon=0).filter(F.col("part") == "test")
+    return _r(E.metrics(fc, by=("well", "model", "trial", "fold")))
+
+
 ETS_GRID = [(a, g) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for g in (0.05, 0.2)]
 
 
