@@ -13,7 +13,7 @@ Prophet    piecewise trend + Fourier seasonality        no
 Chronos    bootstrap sample paths, quantile band        no
 LSTM       lag windows, direct multi-output             no
 TFT        pooled quantile regression on windows        no
-N-BEATS    lag windows pooled over wells, no band       no
+N-BEATS    pooled residual stacks on windows, no band   no
 =========  ===========================================  ==========
 """
 
@@ -29,7 +29,7 @@ from boreflow.operators import clean as C
 from boreflow.operators import evaluate as E
 from boreflow.operators import screen as S
 from boreflow.operators.clean import KEY
-from boreflow.plans.models import fourier, ktr, lags, paths, quantile, smoothing
+from boreflow.plans.models import fourier, ktr, lags, paths, quantile, smoothing, stacks
 from boreflow.session import cut_lineage
 
 MODELS = ("ETS", "DLT", "LGT", "KTR", "Prophet", "Chronos", "LSTM", "TFT", "N-BEATS")
@@ -47,7 +47,7 @@ DEFAULTS: dict[str, dict[str, str]] = {
     "Chronos": {"n_paths": str(paths.N_PATHS)},
     "LSTM": {"n_steps": "2", "n_length": "7", "n_out": str(lags.N_OUT), "lam": "0.1", "mode": "direct"},
     "TFT": {"n_input": str(quantile.N_INPUT), "n_out": str(quantile.N_OUT), "lam": repr(quantile.LAM)},
-    "N-BEATS": {"n_input": "24", "n_out": str(lags.N_OUT), "lam": "0.1"},
+    "N-BEATS": {"n_input": str(stacks.N_INPUT), "n_out": str(stacks.N_OUT), "lam": repr(stacks.LAM)},
 }
 
 
@@ -94,8 +94,9 @@ def _points(panel: DataFrame, target: str, model: str, p: dict, regressors: Sequ
         return paths.sample_paths(panel, target, n_paths=int(p["n_paths"]), **common)
     if model == "TFT":
         return quantile.quantile_forecast(panel, target, n_input=int(p["n_input"]), n_out=int(p["n_out"]), lam=float(p["lam"]), **common)
-    n_input = int(p["n_steps"]) * int(p["n_length"]) if model == "LSTM" else int(p["n_input"])
-    return lags.lag_forecast(panel, target, n_input=n_input, n_out=int(p["n_out"]), mode=p.get("mode", "pooled"), lam=float(p["lam"]), **common)
+    if model == "N-BEATS":
+        return stacks.stack_forecast(panel, target, n_input=int(p["n_input"]), n_out=int(p["n_out"]), lam=float(p["lam"]), **common)
+    return lags.lag_forecast(panel, target, n_input=int(p["n_steps"]) * int(p["n_length"]), n_out=int(p["n_out"]), mode=p["mode"], lam=float(p["lam"]), **common)
 
 
 def _with_draws(out: DataFrame, panel: DataFrame, target: str, p: dict, horizon: int, n_splits: int,

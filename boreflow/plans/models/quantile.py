@@ -40,30 +40,49 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def fit_round(data: DataFrame, n_input: int, ahead: list[tuple[int, int]], lam: float, betas: Coefficients | None, floor: float) -> Coefficients:
-    """Coefficients of one reweighted pass over the wells (a plain ridge pass without earlier ones)."""
+def pooled_pass(data: DataFrame, sums_of, solve_of) -> Coefficients:
+    """One pass over the wells: ``sums_of(wells) -> {(fold, class, part): flat sums}`` is added up and solved per key.
+
+    A task adds up its own wells and sends one row per key; ``solve_of`` turns the total of a key into
+    its coefficients, which alone reach the driver.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Coefficients = {}
         for batch in batches:
-            cuts = batch.column("_cuts").to_pylist()
-            folds = [{int(c["fold"]): int(c["train_end"]) for c in cl} for cl in cuts]
+            folds = [{int(c["fold"]): int(c["train_end"]) for c in cl} for cl in batch.column("_cuts").to_pylist()]
             wells = zip(_arrays(batch.column("_y")), _arrays(batch.column("_days")), folds, strict=True)
-            for key, v in PB.partial_sums(wells, n_input, ahead, betas, floor).items():
+            for key, v in sums_of(wells).items():
                 total[key] = v if key not in total else total[key] + v
         if total:
             keys = sorted(total)
             cols = [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([total[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["fold", "ahead", "q", "v"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([total[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["fold", "ahead", "part", "v"])
 
     @F.pandas_udf("array<double>")
     def solved(v: pd.Series) -> pd.Series:
-        return pd.Series([PB.solve(np.asarray(x, float), n_input, lam).tolist() for x in v])
+        return pd.Series([solve_of(np.asarray(x, float)).tolist() for x in v])
+
+    sums = data.mapInArrow(partial, "fold int, ahead int, part int, v array<double>")
+    met = sums.groupBy("fold", "ahead", "part").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    rows = met.select("fold", "ahead", "part", solved("v").alias("beta")).collect()
+    return {(r.fold, r.ahead, r.part): np.array(r.beta) for r in rows}
+
+
+def fit_round(data: DataFrame, n_input: int, ahead: list[tuple[int, int]], lam: float, betas: Coefficients | None, floor: float) -> Coefficients:
+    """Coefficients of one reweighted pass over the wells (a plain ridge pass without earlier ones)."""
+    return pooled_pass(data, lambda wells: PB.partial_sums(wells, n_input, ahead, betas, floor), lambda v: PB.solve(v, n_input, lam))
+
 
-    sums = data.mapInArrow(partial, "fold int, ahead int, q int, v array<double>")
-    met = sums.groupBy("fold", "ahead", "q").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-    rows = met.select("fold", "ahead", "q", solved("v").alias("beta")).collect()
-    return {(r.fold, r.ahead, r.q): np.array(r.beta) for r in rows}
+def spread_wells(panel: DataFrame, target: str, n_out: int, horizon: int, n_splits: int, holdout: tuple[float, float] | None,
+                 include_last: bool, key: str) -> tuple[DataFrame, int, list[tuple[int, int]]]:
+    """(the wells' arrays in the checkpoint folder, number of the final fit, classes of steps ahead)."""
+    staged, last = cut_series(panel, target, horizon, n_splits, holdout, include_last, key)
+    # the windows are the work here, not the bytes of the arrays: spread the wells
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    staged = cut_lineage(staged.repartition(n, key))
+    reach = F.array_max(F.transform("_cuts", lambda c: c["begin"] + c["h"] - c["train_end"]))
+    return staged, last, PB.classes(n_out, staged.agg(F.max(reach)).first()[0] or 1)
 
 
 def fit_quantiles(data: DataFrame, n_input: int, ahead: list[tuple[int, int]], lam: float = LAM) -> Coefficients:
@@ -85,12 +104,7 @@ def quantile_forecast(panel: DataFrame, target: str, horizon: int = 30, n_input:
     carries the last value on, without a band.
     """
     apply_recommended_conf(panel.sparkSession)
-    staged, last = cut_series(panel, target, horizon, n_splits, holdout, include_last, key)
-    # the windows are the work here, not the bytes of the arrays: spread the wells
-    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    staged = cut_lineage(staged.repartition(n, key))
-    reach = F.array_max(F.transform("_cuts", lambda c: c["begin"] + c["h"] - c["train_end"]))
-    ahead = PB.classes(n_out, staged.agg(F.max(reach)).first()[0] or 1)
+    staged, last, ahead = spread_wells(panel, target, n_out, horizon, n_splits, holdout, include_last, key)
     betas = fit_quantiles(staged, n_input, ahead, lam)
 
     @F.pandas_udf("array<struct<fold:int,cid:int,fc:array<double>,lo:array<double>,hi:array<double>>>")

@@ -458,3 +458,26 @@ ORACLE["m1_fit_against_draws"] = with_(CLEAN, POS, FOLDS, FITS, "ser AS (SELECT
 SELECT r.well, CAST(f.fold AS INTEGER) AS fold, CAST(f.train_end - 1 AS INTEGER) AS n_fit,
        round(min(sqrt(r.sse / (f.train_end - 1))), 6) AS best_of_50, true AS no_worse
 FROM rec r JOIN fits f ON f.well = r.well AND f.train_end = r.i GROUP BY r.well, f.fold, f.train_end"""
+
+# ---------------------------------------------------------------- wells in segments: the same results
+for _name in ("c2_interpolate", "c6_ffill", "c8_time_index", "w1_supervised"):
+    ORACLE[f"{_name}_segments"] = ORACLE[_name]
+
+# ---------------------------------------------------------------- bands calibrated on earlier folds
+_CLASS = "CAST(step > 7 AS INTEGER) + CAST(step > 14 AS INTEGER) + CAST(step > 30 AS INTEGER)"
+_CONFORMAL = BT + f""",
+rows_ AS (SELECT well, fold, 'test' AS part, step, ds, y, yhat, {_CLASS} AS c FROM base
+          UNION ALL SELECT well, 5, 'future', step, ds, NULL, yhat, {_CLASS} FROM fut),
+cal AS (SELECT b.well, t.k AS fold, b.c, abs(b.y - b.yhat) AS s FROM rows_ b, range(1, 6) t(k) WHERE b.part = 'test' AND b.fold < t.k),
+own AS (SELECT well, fold, c, list(s ORDER BY s) AS l FROM cal GROUP BY well, fold, c),
+alls AS (SELECT well, fold, list(s ORDER BY s) AS l FROM cal GROUP BY well, fold),
+banded AS (SELECT r.*, coalesce(CASE WHEN ceil((len(o.l) + 1) * 0.8) <= len(o.l) THEN o.l[CAST(ceil((len(o.l) + 1) * 0.8) AS INTEGER)] END,
+                                CASE WHEN ceil((len(a.l) + 1) * 0.8) <= len(a.l) THEN a.l[CAST(ceil((len(a.l) + 1) * 0.8) AS INTEGER)] END) AS h
+           FROM rows_ r LEFT JOIN own o ON o.well = r.well AND o.fold = r.fold AND o.c = r.c
+           LEFT JOIN alls a ON a.well = r.well AND a.fold = r.fold)"""
+ORACLE["u1_conformal_band"] = _CONFORMAL + """
+SELECT well, CAST(fold AS INTEGER) AS fold, part, step, ds, round(yhat, 6) AS yhat, round(yhat - h, 6) AS yhat_lower, round(yhat + h, 6) AS yhat_upper FROM banded"""
+ORACLE["u1_conformal_coverage"] = _CONFORMAL + """
+SELECT 'last_value' AS model, CAST(fold AS INTEGER) AS fold, c AS steps, count(*) AS n, round(avg(CASE WHEN y >= yhat - h AND y <= yhat + h THEN 1.0 ELSE 0.0 END), 6) AS inside,
+       round(avg(2 * h), 6) AS mean_width
+FROM banded WHERE part = 'test' AND h IS NOT NULL GROUP BY fold, c"""

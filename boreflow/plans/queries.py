@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boreflow.operators import clean as C
 from boreflow.operators import evaluate as E
+from boreflow.operators import segments as SG
 from boreflow.plans.models import ets
 from boreflow.plans.series import series_arrays
 from boreflow.sources import testpanel as T
@@ -151,6 +152,22 @@ def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(C.ffill(C.null_blanks_zeros(raw(spark, sf_dir), P), P))
 
 
+@register("c2_interpolate_segments")
+def c2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 with every well cut into yearly segments: no task holds a whole well."""
+    return _r(SG.interpolate(C.null_blanks_zeros(raw(spark, sf_dir), P), P))
+
+
+@register("c6_ffill_segments")
+def c6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(SG.ffill(C.null_blanks_zeros(raw(spark, sf_dir), P), P))
+
+
+@register("c8_time_index_segments")
+def c8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SG.time_index(cleaned(spark, sf_dir)).select("well", "well_id", "ds", "time_idx")
+
+
 @register("c7_missing_profile")
 def c7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(C.missing_profile(raw(spark, sf_dir), P))
@@ -287,6 +304,14 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"x": rnd("x"), "y": rnd("y")})
 
 
+@register("w1_supervised_segments")
+def w1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 by segments and blocks of positions."""
+    out = SG.supervised(cleaned(spark, sf_dir), T.TARGET, 14, 7)
+    rnd = lambda c: F.transform(c, lambda v: F.round(v, 6))
+    return out.withColumns({"x": rnd("x"), "y": rnd("y")})
+
+
 @register("w2_encoder_tail")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(W.encoder_tail(_indexed(spark, sf_dir), 30))
@@ -372,6 +397,33 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(U.normal_band(fc, resid, by=("well", "fold")).select("well", "fold", "step", "ds", "yhat", "yhat_lower", "yhat_upper"))
 
 
+@register("u1_conformal_band")
+def u1_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last-value forecast with the band that held 80 % of the errors of earlier folds, per class of steps."""
+    fc = U.conformal_band(_baseline(spark, sf_dir, 30), 0.8)
+    return _r(fc.select("well", "fold", "part", "step", "ds", "yhat", "yhat_lower", "yhat_upper"))
+
+
+@register("u1_conformal_coverage")
+def u1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often that band held, per fold and class of steps."""
+    fc = U.conformal_band(_baseline(spark, sf_dir), 0.8).withColumn("steps", U.step_class(F.col("step")))
+    return _r(U.coverage(fc, by=("model", "fold", "steps")))
+
+
+@register("u1_coverage_by_model")
+def u1_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each model's own band and of the calibrated one at 0.8, per fold."""
+    cl = cut_lineage(cleaned(spark, sf_dir))
+    out = None
+    for model in ("ETS", "Prophet", "Chronos", "LSTM", "TFT"):
+        fc = cut_lineage(FC.forecast(cl, T.TARGET, model, horizon=0, params={"n_bootstrap_draws": 0} if model == "ETS" else None))
+        own = U.coverage(fc).withColumn("band", F.lit("own"))
+        both = own.unionByName(U.coverage(U.conformal_band(fc, 0.8)).withColumn("band", F.lit("calibrated")))
+        out = both if out is None else out.unionByName(both)
+    return _r(out)
+
+
 @register("u2_quantile_band")
 def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles 0.1 / 0.5 / 0.9 of the target per well and weekday (a seasonal profile band)."""
