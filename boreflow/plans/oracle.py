@@ -481,3 +481,48 @@ ORACLE["u1_conformal_coverage"] = _CONFORMAL + """
 SELECT 'last_value' AS model, CAST(fold AS INTEGER) AS fold, c AS steps, count(*) AS n, round(avg(CASE WHEN y >= yhat - h AND y <= yhat + h THEN 1.0 ELSE 0.0 END), 6) AS inside,
        round(avg(2 * h), 6) AS mean_width
 FROM banded WHERE part = 'test' AND h IS NOT NULL GROUP BY fold, c"""
+
+# ---------------------------------------------------------------- lag regression: Gram sums, Gauss-Jordan, rollout
+def lag_rollout(n_in: int, n_out: int, lam: float, block: int) -> str:
+    """Ridge on scaled windows per (well, fold) and its forecast in blocks: ``fc(well, fold, out, sd)``."""
+    k, width = n_in + 1, n_in + 1 + n_out
+    return f"""
+vals AS (SELECT well, list(qty ORDER BY pos) AS v FROM pz GROUP BY well),
+win AS (SELECT well, CAST(r.i AS INTEGER) AS i, v[r.i + 1:r.i + {n_in}] AS x, v[r.i + {n_in + 1}:r.i + {n_in + n_out}] AS y
+        FROM vals, range(0, 100000) r(i) WHERE r.i + {n_in + n_out} <= len(v)),
+scl AS (SELECT *, list_avg([abs(a) FOR a IN x]) AS m FROM win),
+ft AS (SELECT well, i, list_concat([1.0], list_concat([a / CASE WHEN m > 0 THEN m ELSE 1 END FOR a IN x], [b / CASE WHEN m > 0 THEN m ELSE 1 END FOR b IN y])) AS z FROM scl),
+blk AS (SELECT ft.well, ft.z, min(f.fold) AS b FROM ft JOIN fits f ON f.well = ft.well AND f.train_end >= ft.i + {n_in + n_out} GROUP BY ft.well, ft.i, ft.z),
+g0 AS (SELECT well, b, CAST(p.k AS INTEGER) AS p, CAST(q.k AS INTEGER) AS q, sum(z[p.k] * z[q.k]) AS g
+       FROM blk, range(1, {k + 2}) p(k), range(1, {width + 1}) q(k) WHERE p.k <= {k} OR q.k = {k + 1} GROUP BY well, b, p.k, q.k),
+g AS (SELECT f.well, f.fold, p, q, sum(g) AS g FROM fits f JOIN g0 ON g0.well = f.well AND g0.b <= f.fold GROUP BY f.well, f.fold, p, q),
+mrow AS (SELECT well, fold, p, list(CASE WHEN p = q AND p > 1 THEN g * {1.0 + lam} ELSE g END ORDER BY q) AS r FROM g WHERE p <= {k} GROUP BY well, fold, p),
+mat AS (SELECT well, fold, list(r ORDER BY p) AS m FROM mrow GROUP BY well, fold),
+gj(well, fold, k, m) AS (
+  SELECT well, fold, 0, m FROM mat
+  UNION ALL
+  SELECT well, fold, k + 1, [CASE WHEN i = k + 1 THEN [a / m[k + 1][k + 1] FOR a IN m[i]]
+                                  ELSE [m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] FOR j IN range(1, {width + 1})] END FOR i IN range(1, {k + 1})]
+  FROM gj WHERE k < {k}),
+beta AS (SELECT well, fold, m FROM gj WHERE k = {k}),
+err AS (SELECT well, fold, max(CASE WHEN p = 1 AND q = 1 THEN g END) AS n,
+               sum(CASE WHEN p <= {k} AND q <= {k} THEN m[p][{k + 1}] * m[q][{k + 1}] * g WHEN p <= {k} AND q = {k + 1} THEN -2 * m[p][{k + 1}] * g
+                        WHEN p = {k + 1} AND q = {k + 1} THEN g ELSE 0 END) AS sse
+        FROM g JOIN beta USING (well, fold) GROUP BY well, fold),
+start AS (SELECT f.well, f.fold, f.h, v[f.train_end - {n_in - 1}:f.train_end] AS c FROM fits f JOIN vals USING (well)),
+roll(well, fold, h, c, out) AS (
+  SELECT well, fold, h, c, CAST([] AS DOUBLE[]) FROM start
+  UNION ALL
+  SELECT well, fold, h, list_concat(c, o)[{block + 1}:{block + n_in}], list_concat(out, o)
+  FROM (SELECT r.*, [s * (m[1][{k} + t] + list_sum([m[i + 1][{k} + t] * c[i] / s FOR i IN range(1, {n_in + 1})])) FOR t IN range(1, {block + 1})] AS o
+        FROM (SELECT *, CASE WHEN list_avg([abs(a) FOR a IN c]) > 0 THEN list_avg([abs(a) FOR a IN c]) ELSE 1 END AS s FROM roll WHERE len(out) < h) r
+        JOIN beta USING (well, fold))),
+fc AS (SELECT r.well, r.fold, r.out, sqrt(e.sse / e.n) * list_avg([abs(a) FOR a IN st.c]) AS sd
+       FROM roll r JOIN err e USING (well, fold) JOIN start st USING (well, fold) WHERE len(r.out) >= r.h)"""
+
+
+for _name, _model, _block in (("m6_lag_regression", "LSTM", 7), ("m7_rollout", "LSTM", 1)):
+    ORACLE[_name] = with_(CLEAN, POS, FOLDS, FITS, lag_rollout(14, 7, 0.1, _block)) + f"""
+SELECT well, '{_model}' AS model, fold, part, ds, step, round(y, 2) AS y, round(out[step], 2) AS yhat,
+       round(out[step] - 1.96 * sd, 2) AS yhat_lower, round(out[step] + 1.96 * sd, 2) AS yhat_upper
+FROM rowsp JOIN fc USING (well, fold)"""
