@@ -6,6 +6,8 @@ written from the operator's definition, not from the Spark plan.
 
 from __future__ import annotations
 
+import math
+
 from boreflow.plans.tune import SPACES, draw
 
 PARAMS = ["qty", "price", "disc", "tax"]
@@ -491,7 +493,7 @@ vals AS (SELECT well, list(qty ORDER BY pos) AS v FROM pz GROUP BY well),
 win AS (SELECT well, CAST(r.i AS INTEGER) AS i, v[r.i + 1:r.i + {n_in}] AS x, v[r.i + {n_in + 1}:r.i + {n_in + n_out}] AS y
         FROM vals, range(0, 100000) r(i) WHERE r.i + {n_in + n_out} <= len(v)),
 scl AS (SELECT *, list_avg([abs(a) FOR a IN x]) AS m FROM win),
-ft AS (SELECT well, i, list_concat([1.0], list_concat([a / CASE WHEN m > 0 THEN m ELSE 1 END FOR a IN x], [b / CASE WHEN m > 0 THEN m ELSE 1 END FOR b IN y])) AS z FROM scl),
+ft AS (SELECT well, i, list_concat([CAST(1.0 AS DOUBLE)], list_concat([a / CASE WHEN m > 0 THEN m ELSE 1 END FOR a IN x], [b / CASE WHEN m > 0 THEN m ELSE 1 END FOR b IN y])) AS z FROM scl),
 blk AS (SELECT ft.well, ft.z, min(f.fold) AS b FROM ft JOIN fits f ON f.well = ft.well AND f.train_end >= ft.i + {n_in + n_out} GROUP BY ft.well, ft.i, ft.z),
 g0 AS (SELECT well, b, CAST(p.k AS INTEGER) AS p, CAST(q.k AS INTEGER) AS q, sum(z[p.k] * z[q.k]) AS g
        FROM blk, range(1, {k + 2}) p(k), range(1, {width + 1}) q(k) WHERE p.k <= {k} OR q.k = {k + 1} GROUP BY well, b, p.k, q.k),
@@ -526,3 +528,52 @@ for _name, _model, _block in (("m6_lag_regression", "LSTM", 7), ("m7_rollout", "
 SELECT well, '{_model}' AS model, fold, part, ds, step, round(y, 2) AS y, round(out[step], 2) AS yhat,
        round(out[step] - 1.96 * sd, 2) AS yhat_lower, round(out[step] + 1.96 * sd, 2) AS yhat_upper
 FROM rowsp JOIN fc USING (well, fold)"""
+
+# ---------------------------------------------------------------- regressions with regressors and the price ramp
+_REGS = [p for p in PARAMS if p != "qty"]
+# rows of every fit with their regressors: training rows, test rows and the 30 future rows, where the price
+# rises by 5,000 and the others stay
+REGROWS = f"""
+px AS (SELECT well, ds, qty AS y, {', '.join(_REGS)}, CAST(row_number() OVER (PARTITION BY well ORDER BY ds) - 1 AS INTEGER) AS pos FROM clean),
+lastx AS (SELECT p.* FROM px p JOIN fb ON fb.well = p.well AND p.pos = fb.n - 1),
+prow AS (SELECT r.well, r.fold, r.part, r.ds, r.step, r.train_end, r.y, p.pos, {', '.join(f'p.{c}' for c in _REGS)}
+         FROM rowsp r JOIN px p ON p.well = r.well AND p.ds = r.ds WHERE r.part = 'test'
+         UNION ALL
+         SELECT r.well, r.fold, r.part, r.ds, r.step, r.train_end, NULL, l.pos + r.step, {', '.join(f"l.{c}" + (' + 5000.0 * (r.step - 1) / 29' if c == 'price' else '') for c in _REGS)}
+         FROM rowsp r JOIN lastx l ON l.well = r.well WHERE r.part = 'future')"""
+
+
+def gauss(name: str, mat: str, keys: str, k: int, width: int) -> str:
+    """``name(keys, k, m)``: Gauss-Jordan steps 0..k on the augmented ``mat(keys, m)`` of k rows."""
+    return f"""
+{name}({keys}, k, m) AS (
+  SELECT {keys}, 0, m FROM {mat}
+  UNION ALL
+  SELECT {keys}, k + 1, [CASE WHEN i = k + 1 THEN [a / m[k + 1][k + 1] FOR a IN m[i]]
+                              ELSE [m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] FOR j IN range(1, {width + 1})] END FOR i IN range(1, {k + 1})]
+  FROM {name} WHERE k < {k})"""
+
+
+def _waves(pos: str) -> str:
+    return ", ".join(f"{f}(CAST({2.0 * math.pi * k / 12!r} AS DOUBLE) * {pos})" for k in (1, 2) for f in ("sin", "cos"))
+
+
+_K = 5 + len(_REGS)
+_KNOT = "exp(-0.5 * pow(({pos} - train_end * (j + 0.5) / 6.0) / greatest(train_end / 6.0, 1.0), 2))"
+ORACLE["m4_ktr_values"] = with_(CLEAN, POS, FOLDS, FITS, REGROWS, f"""
+trn AS (SELECT f.well, f.fold, CAST(t.j AS INTEGER) AS j, [CAST(1.0 AS DOUBLE), {_waves('p.pos')}, {', '.join(f'p.{c}' for c in _REGS)}, p.y] AS z,
+               {_KNOT.format(pos='p.pos')} AS w FROM fits f JOIN px p ON p.well = f.well AND p.pos < f.train_end, range(6) t(j)),
+g AS (SELECT well, fold, j, CAST(p.k AS INTEGER) AS p, CAST(q.k AS INTEGER) AS q, sum(w * z[p.k] * z[q.k]) AS g
+      FROM trn, range(1, {_K + 2}) p(k), range(1, {_K + 2}) q(k) GROUP BY well, fold, j, p.k, q.k),
+mrow AS (SELECT well, fold, j, p, list(CASE WHEN p = q AND p > 1 THEN g * 1.1 ELSE g END ORDER BY q) AS r FROM g WHERE p <= {_K} GROUP BY well, fold, j, p),
+mat AS (SELECT well, fold, j, list(r ORDER BY p) AS m FROM mrow GROUP BY well, fold, j)""",
+    gauss("gj", "mat", "well, fold, j", _K, _K + 1), f"""
+beta AS (SELECT well, fold, j, [m[i][{_K + 1}] FOR i IN range(1, {_K + 1})] AS b FROM gj WHERE k = {_K}),
+err AS (SELECT well, fold, sqrt(sum(CASE WHEN p <= {_K} AND q <= {_K} THEN b[p] * b[q] * g WHEN p <= {_K} THEN -2 * b[p] * g WHEN q = {_K + 1} THEN g ELSE 0 END)
+                    / sum(CASE WHEN p = 1 AND q = 1 THEN g ELSE 0 END)) AS sd FROM g JOIN beta USING (well, fold, j) GROUP BY well, fold),
+feat AS (SELECT *, [CAST(1.0 AS DOUBLE), {_waves('pos')}, {', '.join(_REGS)}] AS z, least(pos, train_end - 1) AS held FROM prow),
+mixed AS (SELECT f.well, f.fold, f.part, f.ds, f.step, f.y, sum({_KNOT.format(pos='f.held')} * list_sum([b[i] * f.z[i] FOR i IN range(1, {_K + 1})]))
+                 / sum({_KNOT.format(pos='f.held')}) AS yhat
+          FROM feat f JOIN beta USING (well, fold) GROUP BY f.well, f.fold, f.part, f.ds, f.step, f.y)""") + """
+SELECT well, 'KTR' AS model, fold, part, ds, step, round(y, 2) AS y, round(yhat, 2) AS yhat, round(yhat - 1.6449 * sd, 2) AS yhat_lower, round(yhat + 1.6449 * sd, 2) AS yhat_upper
+FROM mixed JOIN err USING (well, fold)"""

@@ -490,6 +490,12 @@ for _name, _model in (("m2_dlt", "DLT"), ("m3_lgt", "LGT"), ("m4_ktr", "KTR"),
     REGISTRY[_name] = (lambda m: lambda spark, sf_dir: _fc(spark, sf_dir, m))(_model)
 
 
+@register("m4_ktr_values")
+def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KTR with its own band; rounded to 2 digits, as SQL solves the systems by another elimination."""
+    return _fc(spark, sf_dir, "KTR", {"n_bootstrap_draws": 0}, digits=2)
+
+
 @register("m6_lag_regression")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounded to 2 digits: SQL solves the same systems by another elimination, so the last digits differ."""
