@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from boreflow.plans.queries import DLT_WEIGHTS, LGT_WEIGHTS
 from boreflow.plans.tune import SPACES, draw
 
 PARAMS = ["qty", "price", "disc", "tax"]
@@ -577,3 +578,48 @@ mixed AS (SELECT f.well, f.fold, f.part, f.ds, f.step, f.y, sum({_KNOT.format(po
           FROM feat f JOIN beta USING (well, fold) GROUP BY f.well, f.fold, f.part, f.ds, f.step, f.y)""") + """
 SELECT well, 'KTR' AS model, fold, part, ds, step, round(y, 2) AS y, round(yhat, 2) AS yhat, round(yhat - 1.6449 * sd, 2) AS yhat_lower, round(yhat + 1.6449 * sd, 2) AS yhat_upper
 FROM mixed JOIN err USING (well, fold)"""
+
+# ---------------------------------------------------------------- DLT and LGT with given weights
+def trend_smoother(kind: str, w: dict[str, float]) -> str:
+    """Ridge on trend and regressors, then the recursion on its residuals: ``fcs(well, fold, h, out, sd)`` and ``beta``."""
+    base = ["CAST(1.0 AS DOUBLE)", "p.pos / greatest(f.train_end, 1)"] if kind == "dlt" else []
+    k = len(base) + len(_REGS)
+    a, b, g = (dbl(w[x]) for x in ("alpha", "beta", "gamma"))
+    if kind == "dlt":
+        ahead = f"l + {dbl(w['phi'])} * b"
+        trend = f"{dbl(w['phi'])} * b + {b} * e"
+    else:
+        ahead = f"l + {dbl(w['xi1'])} * b + {dbl(w['xi2'])} * sign(l) * pow(abs(l), {dbl(w['lam'])})"
+        trend = f"{b} * (nl - l) + (1 - {b}) * b"
+    level = f"base + {a} * e" if kind == "dlt" else f"{a} * (x - s[1]) + (1 - {a}) * base"
+    drift = f"{dbl(w['phi'])} * b" if kind == "dlt" else "b"
+    return ",".join([f"""
+trn AS (SELECT f.well, f.fold, f.train_end, f.h, p.pos, [{', '.join(base + [f'p.{c}' for c in _REGS])}, p.y] AS z FROM fits f JOIN px p ON p.well = f.well AND p.pos < f.train_end),
+g AS (SELECT well, fold, CAST(p.k AS INTEGER) AS p, CAST(q.k AS INTEGER) AS q, sum(z[p.k] * z[q.k]) AS g FROM trn, range(1, {k + 1}) p(k), range(1, {k + 2}) q(k) GROUP BY well, fold, p.k, q.k),
+mrow AS (SELECT well, fold, p, list(CASE WHEN p = q AND p > {len(base)} THEN g * 1.1 ELSE g END ORDER BY q) AS r FROM g GROUP BY well, fold, p),
+mat AS (SELECT well, fold, list(r ORDER BY p) AS m FROM mrow GROUP BY well, fold)""", gauss("gj", "mat", "well, fold", k, k + 1), f"""
+beta AS (SELECT well, fold, [m[i][{k + 1}] FOR i IN range(1, {k + 1})] AS b FROM gj WHERE k = {k}),
+res AS (SELECT t.well, t.fold, t.train_end, t.h, list(z[{k + 1}] - list_sum([be.b[i] * z[i] FOR i IN range(1, {k + 1})]) ORDER BY t.pos) AS v
+        FROM trn t JOIN beta be USING (well, fold) GROUP BY t.well, t.fold, t.train_end, t.h),
+run(well, fold, t, l, b, s, sse) AS (
+  SELECT well, fold, 1, v[1], CAST(0 AS DOUBLE), [CAST(0 AS DOUBLE) FOR i IN range(12)], CAST(0 AS DOUBLE) FROM res
+  UNION ALL
+  SELECT well, fold, t + 1, nl, {trend}, list_append(s[2:12], s[1] + {g} * (1 - {a}) * e), sse + e * e
+  FROM (SELECT *, {level} AS nl FROM (SELECT *, x - base - s[1] AS e FROM (
+        SELECT r.*, {ahead} AS base, v[t + 1] AS x FROM run r JOIN res USING (well, fold) WHERE t < train_end)))),
+fin AS (SELECT r.*, res.h, res.train_end FROM run r JOIN res USING (well, fold) WHERE r.t = res.train_end),
+roll(well, fold, h, l, b, s, sd, out) AS (
+  SELECT well, fold, h, l, b, s, sqrt(sse / (train_end - 1)), CAST([] AS DOUBLE[]) FROM fin
+  UNION ALL
+  SELECT well, fold, h, {ahead}, {drift}, s, sd, list_append(out, {ahead} + s[CAST(len(out) % 12 + 1 AS INTEGER)]) FROM roll WHERE len(out) < h),
+fcs AS (SELECT * FROM roll WHERE len(out) = h)"""])
+
+
+for _name, _kind, _w in (("m2_dlt_values", "dlt", DLT_WEIGHTS), ("m3_lgt_values", "lgt", LGT_WEIGHTS)):
+    _x = (["CAST(1.0 AS DOUBLE)", "x.pos / greatest(x.train_end, 1)"] if _kind == "dlt" else []) + [f"x.{c}" for c in _REGS]
+    _reg = " + ".join(f"be.b[{i + 1}] * {c}" for i, c in enumerate(_x))
+    ORACLE[_name] = with_(CLEAN, POS, FOLDS, FITS, REGROWS, trend_smoother(_kind, _w), f"""
+val AS (SELECT x.well, x.fold, x.part, x.ds, x.step, x.y, {_reg} + f.out[x.step] AS yhat, f.sd
+        FROM prow x JOIN beta be USING (well, fold) JOIN fcs f USING (well, fold))""") + f"""
+SELECT well, '{_kind.upper()}' AS model, fold, part, ds, step, round(y, 2) AS y, round(yhat, 2) AS yhat, round(yhat - 1.6449 * sd, 2) AS yhat_lower,
+       round(yhat + 1.6449 * sd, 2) AS yhat_upper FROM val"""

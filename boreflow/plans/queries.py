@@ -490,6 +490,22 @@ for _name, _model in (("m2_dlt", "DLT"), ("m3_lgt", "LGT"), ("m4_ktr", "KTR"),
     REGISTRY[_name] = (lambda m: lambda spark, sf_dir: _fc(spark, sf_dir, m))(_model)
 
 
+DLT_WEIGHTS = {"alpha": 0.3, "beta": 0.1, "gamma": 0.1, "phi": 0.9}
+LGT_WEIGHTS = {"alpha": 0.3, "beta": 0.1, "gamma": 0.1, "xi1": 0.5, "xi2": 0.01, "lam": 0.5}
+
+
+@register("m2_dlt_values")
+def m2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DLT with given weights and its own band; rounded to 2 digits, as SQL solves the systems by another elimination."""
+    return _fc(spark, sf_dir, "DLT", {**DLT_WEIGHTS, "n_bootstrap_draws": 0}, digits=2)
+
+
+@register("m3_lgt_values")
+def m3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LGT with given weights, likewise."""
+    return _fc(spark, sf_dir, "LGT", {**LGT_WEIGHTS, "n_bootstrap_draws": 0}, digits=2)
+
+
 @register("m4_ktr_values")
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KTR with its own band; rounded to 2 digits, as SQL solves the systems by another elimination."""
