@@ -486,8 +486,9 @@ SELECT 'last_value' AS model, CAST(fold AS INTEGER) AS fold, c AS steps, count(*
 FROM banded WHERE part = 'test' AND h IS NOT NULL GROUP BY fold, c"""
 
 # ---------------------------------------------------------------- lag regression: Gram sums, Gauss-Jordan, rollout
-def lag_rollout(n_in: int, n_out: int, lam: float, block: int) -> str:
-    """Ridge on scaled windows per (well, fold) and its forecast in blocks: ``fc(well, fold, out, sd)``."""
+def lag_rollout(n_in: int, n_out: int, lam: float, block: int, pooled: bool = False) -> str:
+    """Ridge on scaled windows per (well, fold), or per fold over all wells, and its forecast in blocks: ``fc(well, fold, out, sd)``."""
+    mine = "" if pooled else "g0.well = f.well AND "
     k, width = n_in + 1, n_in + 1 + n_out
     return f"""
 vals AS (SELECT well, list(qty ORDER BY pos) AS v FROM pz GROUP BY well),
@@ -498,7 +499,7 @@ ft AS (SELECT well, i, list_concat([CAST(1.0 AS DOUBLE)], list_concat([a / CASE
 blk AS (SELECT ft.well, ft.z, min(f.fold) AS b FROM ft JOIN fits f ON f.well = ft.well AND f.train_end >= ft.i + {n_in + n_out} GROUP BY ft.well, ft.i, ft.z),
 g0 AS (SELECT well, b, CAST(p.k AS INTEGER) AS p, CAST(q.k AS INTEGER) AS q, sum(z[p.k] * z[q.k]) AS g
        FROM blk, range(1, {k + 2}) p(k), range(1, {width + 1}) q(k) WHERE p.k <= {k} OR q.k = {k + 1} GROUP BY well, b, p.k, q.k),
-g AS (SELECT f.well, f.fold, p, q, sum(g) AS g FROM fits f JOIN g0 ON g0.well = f.well AND g0.b <= f.fold GROUP BY f.well, f.fold, p, q),
+g AS (SELECT f.well, f.fold, p, q, sum(g) AS g FROM fits f JOIN g0 ON {mine}g0.b <= f.fold GROUP BY f.well, f.fold, p, q),
 mrow AS (SELECT well, fold, p, list(CASE WHEN p = q AND p > 1 THEN g * {1.0 + lam} ELSE g END ORDER BY q) AS r FROM g WHERE p <= {k} GROUP BY well, fold, p),
 mat AS (SELECT well, fold, list(r ORDER BY p) AS m FROM mrow GROUP BY well, fold),
 gj(well, fold, k, m) AS (
@@ -530,6 +531,10 @@ SELECT well, '{_model}' AS model, fold, part, ds, step, round(y, 2) AS y, round(
        round(out[step] - 1.96 * sd, 2) AS yhat_lower, round(out[step] + 1.96 * sd, 2) AS yhat_upper
 FROM rowsp JOIN fc USING (well, fold)"""
 
+ORACLE["m8_pooled_lag"] = with_(CLEAN, POS, FOLDS, FITS, lag_rollout(24, 7, 0.1, 7, pooled=True)) + """
+SELECT well, 'N-BEATS' AS model, fold, part, ds, step, round(y, 2) AS y, round(out[step], 2) AS yhat, CAST(NULL AS DOUBLE) AS yhat_lower, CAST(NULL AS DOUBLE) AS yhat_upper
+FROM rowsp JOIN fc USING (well, fold)"""
+
 # ---------------------------------------------------------------- regressions with regressors and the price ramp
 _REGS = [p for p in PARAMS if p != "qty"]
 # rows of every fit with their regressors: training rows, test rows and the 30 future rows, where the price

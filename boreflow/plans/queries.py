@@ -440,6 +440,7 @@ def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- forecasters (rows-only + pytest)
 from boreflow.plans import forecast as FC  # noqa: E402
 from boreflow.plans import tune as TU  # noqa: E402
+from boreflow.plans.models import lags as LG  # noqa: E402
 from boreflow.plans.models import smoothing as SM  # noqa: E402
 from boreflow.session import cut_lineage  # noqa: E402
 from boreflow.sources import history as HI  # noqa: E402
@@ -518,6 +519,13 @@ def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fc(spark, sf_dir, "LSTM", digits=2)
 
 
+@register("m8_pooled_lag")
+def m8_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled lag ridge that tunes the window shapes of TFT and N-BEATS."""
+    fc = LG.lag_forecast(cleaned(spark, sf_dir), T.TARGET, 30, 24, 7, "pooled", 0.1)
+    return _r(fc.select(*FC_COLS), 2)
+
+
 @register("m7_rollout")
 def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fc(spark, sf_dir, "LSTM", {"mode": "recursive"}, digits=2)
