@@ -25,7 +25,7 @@ def test_raw_rows_are_pre_aggregated_before_the_shuffle(spark):
 def test_no_all_pairs_joins_in_registered_queries(spark):
     bad = {}
     for name, fn in entry.queries().items():
-        if name in ("s6_s7_history", "s1_read_sheets", "m10_run_dlt"):
+        if name in ("s6_s7_history", "s1_read_sheets", "m10_run_dlt", "u1_coverage_by_model") or name.startswith("e5_adaptive"):
             continue  # these write files / checkpoints while planning; covered by their own tests
         plan = _plan(fn(spark, SF))
         hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in plan]
