@@ -14,12 +14,16 @@ after it a well has at most one row per calendar day.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Parameters of the lineitem-derived panels; ``qty`` is the default target.
 PARAMS = ["qty", "price", "disc", "tax"]
 TARGET = "qty"
+GRID_ROWS = 250_000  # grid rows of one task of the scale panel, at most about this many
+FEW_ROWS = 25_000  # grid rows that are worth a task while cores are idle
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +39,20 @@ def _daily(li: DataFrame, well: F.Column) -> DataFrame:
     )
 
 
-def daily_grid(panel: DataFrame, key: str = "well", date: str = "ds", step: str | None = None) -> DataFrame:
+def grid_parts(li: DataFrame, well: F.Column) -> int:
+    """Partitions for the daily grid of ``well``, in proportion to the rows the grid will have.
+
+    Adaptive execution sizes partitions by the bytes of the observed days, which the grid multiplies,
+    and never makes more than ``spark.sql.shuffle.partitions``: the rows of a task would grow with the table.
+    """
+    day = F.to_date("l_shipdate")
+    span = li.groupBy(well.alias("well")).agg((F.datediff(F.max(day), F.min(day)) + 1).alias("d"))
+    rows = span.agg(F.sum("d").alias("d")).first().d or 0
+    idle = min(3 * li.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / FEW_ROWS))
+    return max(1, idle, math.ceil(rows / GRID_ROWS))
+
+
+def daily_grid(panel: DataFrame, key: str = "well", date: str = "ds", step: str | None = None, parts: int | None = None) -> DataFrame:
     """One row per day (or per ``step``, e.g. ``"1 HOUR"``) from each well's first to last
     date; missing days get null cells.
 
@@ -43,9 +60,11 @@ def daily_grid(panel: DataFrame, key: str = "well", date: str = "ds", step: str
     date (``lead`` over a window by well, then ``explode(sequence(...))``): no cross join of wells
     with dates, no join back. The window's shuffle carries the aggregated panel itself, so
     adaptive execution sizes the partitions by its real volume (a shuffle of a tiny per-well
-    span table would pack the whole grid into a handful of tasks). The result is
-    hash-partitioned by well.
+    span table would pack the whole grid into a handful of tasks) unless ``parts`` tells their number.
+    The result is hash-partitioned by well.
     """
+    if parts is not None:
+        panel = panel.repartition(parts, key)
     vals = [c for c in panel.columns if c not in (key, date)]
     nxt = F.lead(date).over(Window.partitionBy(key).orderBy(date))
     staged = panel.withColumn("_next", nxt)
@@ -69,7 +88,8 @@ def main_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scale_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw scale panel keyed by supplier: ``well = cast(l_suppkey as string)``."""
     li = _lineitem(spark, sf_dir)
-    return daily_grid(_daily(li, F.col("l_suppkey").cast("string")))
+    well = F.col("l_suppkey").cast("string")
+    return daily_grid(_daily(li, well), parts=grid_parts(li, well))
 
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
