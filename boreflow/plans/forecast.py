@@ -74,7 +74,7 @@ def _named(out: DataFrame, model: str, p: dict) -> DataFrame:
 
 def _points(panel: DataFrame, target: str, model: str, p: dict, regressors: Sequence[str], horizon: int,
               scenario: tuple[str, float] | None, n_splits: int, holdout: tuple[float, float] | None,
-              include_last: bool) -> DataFrame:
+              include_last: bool, cut: bool = False) -> DataFrame:
     regs = list(regressors) if model in USES_REGRESSORS else []
     common = dict(horizon=horizon, n_splits=n_splits, holdout=holdout, include_last=include_last)
     if model in ("ETS", "DLT", "LGT"):
@@ -84,7 +84,13 @@ def _points(panel: DataFrame, target: str, model: str, p: dict, regressors: Sequ
         st1 = None
         if kind != "ets":
             st1 = smoothing.stage1_candidates(kind, regs, [p.get("global_trend_option", "linear")], [p["regression_penalty"]])
-        return smoothing.smoothing_forecast(panel, target, kind, regs, st1, scenario=scenario, **weights, **common)
+        out = smoothing.smoothing_forecast(panel, target, kind, regs, st1, scenario=scenario, cut=cut, **weights, **common)
+        return cut_lineage(out) if cut and kind == "ets" else out
+    out = _other_points(panel, target, model, p, regs, scenario, common)
+    return cut_lineage(out) if cut else out
+
+
+def _other_points(panel: DataFrame, target: str, model: str, p: dict, regs: Sequence[str], scenario: tuple[str, float] | None, common: dict) -> DataFrame:
     if model == "KTR":
         return ktr.ktr(panel, target, regs, n_knots=int(p["n_knots"]), cands=ktr.candidates(regs, [float(p["lam"])]), scenario=scenario, **common)
     if model == "Prophet":
@@ -118,12 +124,11 @@ def mask_regressors(cleaned: DataFrame, screened: DataFrame, model: str, regs: S
     if not kind or not regs:
         return cleaned
     # one flag per (well, regressor): ``max`` picks it deterministically
-    flags = screened.groupBy(KEY).pivot("regressor", list(regs)).agg(F.max(F.col(kind).cast("int")))
-    panel = cleaned.join(flags.select(KEY, *[F.col(r).alias(f"_k_{r}") for r in regs]), KEY, "left").select(
+    # and the screening plan (windows, ranks, a pandas UDF) stays out of the forecast's lineage
+    flags = cut_lineage(screened.groupBy(KEY).pivot("regressor", list(regs)).agg(F.max(F.col(kind).cast("int"))))
+    return cleaned.join(flags.select(KEY, *[F.col(r).alias(f"_k_{r}") for r in regs]), KEY, "left").select(
         *[F.when(F.coalesce(F.col(f"_k_{c}"), F.lit(0)) == 1, F.col(c)).otherwise(F.lit(0.0)).alias(c)
           if c in regs else F.col(c) for c in cleaned.columns])
-    # the screening plan (windows, ranks, a pandas UDF) stays out of the forecast's lineage
-    return cut_lineage(panel)
 
 
 def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], horizon: int = 30,
@@ -136,11 +141,10 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
     well keeps one feature layout and the plan stays one job for all wells.
     """
     regs = [c for c in params_ if c != target]
-    # The cleaned panel feeds screening and every fold of the forecast: cut its lineage with a
-    # reliable checkpoint into ``spark.checkpoint.dir`` so a lost executor re-reads it instead of
-    # recomputing scan -> aggregate -> windows.
-    cleaned = cut_lineage(C.clean(panel_raw, list(params_), method=fill_method, target=target))
-    screened = S.screen(cleaned, target, regs) if regs else None
+    # The cleaned panel is many times the readings it is filled from: screening and forecast each clean
+    # it again by well, and only the small screening result is cut by a reliable checkpoint.
+    cleaned = C.clean(panel_raw, list(params_), method=fill_method, target=target)
+    screened = cut_lineage(S.screen(cleaned, target, regs)) if regs else None
     panel = cleaned
     if screened is not None:
         panel = mask_regressors(cleaned, screened, model, regs)
@@ -148,7 +152,7 @@ def run(panel_raw: DataFrame, target: str, model: str, params_: Sequence[str], h
         raise ValueError(f"unknown model {model!r}; one of {MODELS}")
     p = {**DEFAULTS[model], **(params or {})}
     # The model is fitted once: metrics read its points, and the band is added to the same points.
-    points = cut_lineage(_points(panel, target, model, p, regs, horizon, scenario, n_splits, None, False))
+    points = _points(panel, target, model, p, regs, horizon, scenario, n_splits, None, False, cut=True)
     fc = _named(_with_draws(points, panel, target, p, horizon, n_splits, None), model, p)
     metrics = E.metrics(points.filter(F.col("part") == "test").withColumn("model", F.lit(model)), by=(KEY, "model", "fold"))
     return fc, metrics, screened

@@ -22,12 +22,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreflow.session import apply_recommended_conf, reuse
+from boreflow.session import apply_recommended_conf, cut_lineage, reuse
 
 from boreflow.functions import linalg as L
 from boreflow.functions.fitting import BOX, fit_folds_udf
 from boreflow.functions.smoothing import NEUTRAL, PARAMS, smooth_folds_udf, smooth_grid_udf
 from boreflow.operators.backtest import backtest_rows, split_bounds
+from boreflow.operators.scenario import ramp_value
 from boreflow.plans.series import series_arrays
 from boreflow.operators.clean import KEY
 from boreflow.plans.models import common as M
@@ -106,12 +107,13 @@ def _gparams(grid: Column, gid: Column) -> Column:
     return F.get(F.filter(grid, lambda g: g["gid"] == gid), F.lit(0))["gparams"]
 
 
-def _gridded(series: DataFrame, kind: str, grid: Sequence[dict[str, float]] | None, grids: DataFrame | None, key: str) -> DataFrame:
+def _gridded(series: DataFrame, kind: str, grid: Sequence[dict[str, float]] | None, grids: DataFrame | None, key: str,
+             keep: Sequence[str] = ()) -> DataFrame:
     """Every grid point's run of every residual series; a point with a ``cid`` only with that candidate."""
     own = series.join(grids, key) if grids is not None else series.withColumn("grid", _grid_array(grid))
     own = own.withColumn("grid", F.filter("grid", lambda g: (g["only_cid"] < 0) | (g["only_cid"] == F.col("cid")))).filter(F.size("grid") > 0)
-    res = own.select(key, "fold", "cid", "grid", F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), F.col("grid"))).alias("_s"))
-    return res.select(key, "fold", "cid", "_s.*", _gparams(F.col("grid"), F.col("_s.gid")).alias("gparams"))
+    res = own.select(key, "fold", "cid", "grid", *keep, F.explode(smooth_grid_udf(F.lit(kind), F.col("r"), F.col("h"), F.col("grid"))).alias("_s"))
+    return res.select(key, "fold", "cid", *keep, "_s.*", _gparams(F.col("grid"), F.col("_s.gid")).alias("gparams"))
 
 
 def _fitted(fits: DataFrame, kind: str, keys: Sequence) -> DataFrame:
@@ -121,6 +123,42 @@ def _fitted(fits: DataFrame, kind: str, keys: Sequence) -> DataFrame:
     return fits.select(*keys, "_s.sse", "_s.n_fit", "_s.fc", told.alias("gparams"))
 
 
+def _ahead(res: DataFrame, target: str, regs: Sequence[str], regression, last: int, horizon: int, scenario: tuple[str, float] | None,
+           include_last: bool, key: str, cut: bool) -> DataFrame:
+    """Test rows of the folds and future rows of the final fit, out of each fit's own arrays.
+
+    ``res`` has one row per fit with the well's arrays and its fold ``_b``; the rows are those of ``backtest_rows``
+    past the training part, with ``yhat``. With ``cut`` they are stored as one row of arrays per fit.
+    """
+    te, test_start, test_end = F.col("_b.train_end"), F.col("_b.test_start"), F.col("_b.test_end")
+    param, delta = scenario if scenario else (None, 0.0)
+    start = 0 if include_last else 1
+    final = F.col("fold") == last
+    steps = F.sequence(F.lit(1), F.lit(max(horizon, 1)))
+    places = F.when(test_end > test_start, F.sequence(test_start, F.greatest(test_end - 1, test_start)))
+
+    def tested(i):
+        return regression(i, [F.col(r)[i] for r in regs]) + F.element_at("fc", i - te + 1)
+
+    def future(s):
+        ended = {r: F.element_at(r, -1) for r in regs}
+        values = [ramp_value(ended[r], delta, s, horizon) if r == param else ended[r] for r in regs]
+        return regression(F.col("n") - 2 + s + F.lit(start), values) + F.element_at("fc", s)
+
+    size = test_end - test_start
+    fits = res.select(
+        key, "fold", "cid", "params", "gparams", "sse", "n_fit", te.alias("train_end"),
+        F.when(final, F.col("n") - 1 + start).otherwise(test_start).alias("_pos"), F.when(final, F.lit(1)).otherwise(test_start - te + 1).alias("_step"),
+        F.when(final, F.transform(steps, lambda s: F.date_add(F.element_at("ds", -1), s - 1 + start))).otherwise(F.slice("ds", test_start + 1, size)).alias("_ds"),
+        F.when(~final, F.slice(target, test_start + 1, size)).otherwise(F.array().cast("array<double>")).alias("_y"),  # none is known ahead
+        F.when(final, F.transform(steps, future)).otherwise(F.transform(places, tested)).alias("_yhat"))
+    fits = cut_lineage(fits) if cut else fits
+    out = fits.select(key, "fold", "cid", "params", "gparams", "sse", "n_fit", "train_end", "_pos", "_step", F.posexplode(F.arrays_zip(
+        F.col("_ds").alias("ds"), F.col("_y").alias("y"), F.col("_yhat").alias("yhat"))).alias("_i", "_r"))
+    return out.select(key, "fold", "cid", "params", "gparams", "sse", "n_fit", "train_end", F.when(final, "future").otherwise("test").alias("part"),
+                      "_r.ds", "_r.y", (F.col("_pos") + F.col("_i")).cast("int").alias("pos"), (F.col("_step") + F.col("_i")).cast("int").alias("step"), "_r.yhat")
+
+
 def training_error(panel: DataFrame, target: str, kind: str = "ets", grid: Sequence[dict[str, float]] | None = None,
                    fixed: dict[str, float] | None = None, n_splits: int = 5, key: str = KEY) -> DataFrame:
     """In-sample one-step RMSE per (well, fold) and grid point, or of the fitted weights (``fixed``).
@@ -143,20 +181,19 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
                        stage1: list[M.Candidate] | None = None, grid: list[dict[str, float]] | None = None,
                        horizon: int = 30, n_splits: int = 5, holdout: tuple[float, float] | None = None,
                        scenario: tuple[str, float] | None = None, include_last: bool = False, z: float = M.Z90,
-                       key: str = KEY, fixed: dict[str, float] | None = None, grids: DataFrame | None = None) -> DataFrame:
+                       key: str = KEY, fixed: dict[str, float] | None = None, grids: DataFrame | None = None, cut: bool = False) -> DataFrame:
     """Backtest + future rows: ``well, fold, part, ds, step, y, params, yhat, yhat_lower, yhat_upper, model``.
 
     ``grid`` gives smoothing weights to run side by side, ``grids`` (``well, grid``, elements from
     ``grid_point``) the same for each well on its own; wells without a row there get none. With ``fixed`` instead, each (well, fold,
     stage-1 candidate) gets the weights of the least one-step squared error of its training part; those
     in ``fixed`` are held. ``params`` then tells the weights, and under ``converged`` whether the
-    search settled.
+    search settled. ``cut`` stores the fits of DLT and LGT with a reliable checkpoint, so that several readers of the rows share them.
     """
     apply_recommended_conf(panel.sparkSession)
     regs = list(regressors) if kind != "ets" else []
     # A parameter a well does not have enters as the constant 0.
     known = panel.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in regs}) if regs else panel
-    panel = reuse(known)
     if sum(x is not None for x in (grid, grids, fixed)) > 1:
         raise ValueError("one of grid, grids and fixed")
     grid = grid or default_grid(kind)
@@ -164,6 +201,7 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
     if kind == "ets":
         # No regression stage: every fold trains on a prefix of the same series, so each series
         # runs once per grid point and reports its state at every fold's training end.
+        panel = reuse(known)
         rows1 = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout, key).withColumns(
             {"cid": F.lit(0), "params": F.create_map().cast("map<string,string>"), "reg": F.lit(0.0)})
         ser = series_arrays(panel, [target], key)
@@ -184,43 +222,48 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
             res = ser.select(key, F.explode(smooth_folds_udf(F.lit(kind), F.col(target), cuts, garr)).alias("_s"))
             res = res.select(key, "_s.fold", F.lit(0).alias("cid"), "_s.gid", "_s.sse", "_s.n_fit", "_s.fc").withColumn(
                 "gparams", garr[F.col("gid")]["gparams"])
+        pred = rows1.filter(F.col("part") != "train").join(res, [key, "fold", "cid"]).withColumn("yhat", F.col("reg") + F.element_at("fc", F.col("step")))
     else:
-        rows = backtest_rows(panel, target, regs, n_splits, horizon, scenario, include_last, holdout, key)
+        # No copy of the panel is stored: the Gram sums and the series arrays each read it, and a panel
+        # that comes by well stays so. Only sums, coefficients and fits are dealt out by fold.
+        rows = backtest_rows(known, target, regs, n_splits, horizon, scenario, include_last, holdout, key)
         feats, _ = trend_features(regs)
         stage1 = stage1 or stage1_candidates(kind, regs)
-        sol = M.fit(rows, feats, [F.col("y")], stage1).select(key, "fold", "cid", "params", "beta")
-        rows1 = rows.filter(F.col("part") != "train").join(sol, [key, "fold"]).withColumn(
-            "reg", L.dot(F.col("beta"), feats)).drop("beta")
-        # Residual series per (well, fold, candidate) from per-well arrays: one row per well
-        # joined with the small coefficient table, residuals evaluated element by element with
-        # the same feature formulas (JVM array functions; no copy of the rows per fold).
-        arrs = series_arrays(panel, [target, *regs], key)
+        sol = M.fit(rows, feats, [F.col("y")], stage1).groupBy(key).agg(
+            F.collect_list(F.struct("fold", "cid", "params", "beta")).alias("_sol"))
+        # One row per well meets its coefficients of all folds; residuals, fits and the test and
+        # future rows are made from its arrays with the same feature formulas (JVM array functions).
+        arrs = series_arrays(known, [target, *regs], key)
         bounds, k = split_bounds(F.col("n"), n_splits, holdout)
         if horizon <= 0:
             bounds = F.filter(bounds, lambda b: b["fold"] < k)
-        sol2 = sol.select(F.col(key).alias("_k"), F.col("fold").alias("_fold"), "cid", "beta")
-        per = arrs.select(key, target, *regs, F.explode(bounds).alias("_b")).join(
-            sol2, (F.col(key) == F.col("_k")) & (F.col("_b.fold") == F.col("_fold"))).drop("_k", "_fold")
-        te = F.col("_b.train_end")
+        per = arrs.withColumn("_bounds", bounds).join(sol, key).select(key, "n", "ds", target, *regs, "_bounds", F.explode("_sol").alias("_c"))
+        per = per.withColumn("_b", F.get(F.filter("_bounds", lambda b: b["fold"] == F.col("_c.fold")), F.lit(0))).filter(F.col("_b").isNotNull())
+        te, beta = F.col("_b.train_end"), F.col("_c.beta")
+
+        def regression(i, reg_values):
+            fi, _ = trend_features(regs, i, te, reg_values)
+            return L.dot(beta, fi)
 
         def resid(i):
-            fi, _ = trend_features(regs, i, te, [F.col(r)[i] for r in regs])
-            return F.col(target)[i] - L.dot(F.col("beta"), fi)
+            return F.col(target)[i] - regression(i, [F.col(r)[i] for r in regs])
 
         hcol = F.when(F.col("_b.fold") == k, F.lit(max(horizon, 0))).otherwise(F.col("_b.test_end") - te)
-        series = per.select(key, F.col("_b.fold").alias("fold"), "cid",
-                            F.transform(F.sequence(F.lit(0), te - 1), resid).alias("r"), hcol.alias("h"))
+        series = per.select(key, F.col("_b.fold").alias("fold"), F.col("_c.cid").alias("cid"), F.col("_c.params").alias("params"),
+                            F.transform(F.sequence(F.lit(0), te - 1), resid).alias("r"), hcol.alias("h"), "n", "ds", target, *regs, "_b", "_c")
+        carried = ["n", "ds", target, *regs, "_b", "_c"]
         if fit is not None:
             whole = F.array(F.struct(F.col("fold").cast("int").alias("fold"), F.size("r").alias("train_end"), F.col("h").cast("int").alias("h")))
-            res = _fitted(series.select(key, "cid", F.explode(fit(F.col("r"), whole)).alias("_s")), kind, [key, "_s.fold", "cid"])
+            res = _fitted(series.select(key, "cid", "params", *carried, F.explode(fit(F.col("r"), whole)).alias("_s")), kind,
+                          [key, "_s.fold", "cid", "params", *carried])
         else:
-            res = _gridded(series, kind, grid, grids, key)
-    pred = rows1.filter(F.col("part") != "train").join(res, [key, "fold", "cid"])
+            res = _gridded(series, kind, grid, grids, key, ["params", *carried])
+        pred = _ahead(res, target, regs, regression, k, horizon, scenario, include_last, key, cut)
     sd = F.sqrt(F.try_divide(F.col("sse"), F.col("n_fit").cast("double")))
-    yhat = F.col("reg") + F.element_at("fc", F.col("step"))
+    yhat = F.col("yhat")
     return pred.select(
         key, "fold", "part", "ds", "pos", "train_end", "step", "y",
-        F.map_concat("params", "gparams").alias("params"), yhat.alias("yhat"),
+        F.map_concat("params", "gparams").alias("params"), yhat,
         (yhat - F.lit(z) * sd).alias("yhat_lower"), (yhat + F.lit(z) * sd).alias("yhat_upper"),
         F.lit(kind.upper()).alias("model"),
     )

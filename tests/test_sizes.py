@@ -1,11 +1,24 @@
 """What a run stores and how much one task gets, on small panels."""
 
+import datetime as dt
 import math
 
+import numpy as np
+
 from boreflow.operators import screen as S
+from boreflow.plans import forecast as FC
+from boreflow.plans.models import smoothing
 from boreflow.sources import testpanel as T
 from tests.conftest import SF
 
+D0 = dt.date(2024, 1, 1)
+
+
+def _panel(spark, days=60):
+    rng = np.random.default_rng(3)
+    rows = [(w, D0 + dt.timedelta(i), float(50 + i + rng.normal()), float(5 + i % 7 + rng.normal())) for w in ("a", "b") for i in range(days)]
+    return spark.createDataFrame(rows, "well string, ds date, y double, x double")
+
 
 def test_scale_panel_has_partitions_in_proportion_to_its_rows(spark, monkeypatch):
     monkeypatch.setattr(T, "GRID_ROWS", 2_000)
@@ -18,3 +31,21 @@ def test_screen_deals_the_panel_out_once_and_stores_nothing(spark):
     plan = S.screen(T.scale_panel(spark, SF), T.TARGET, ["price", "disc"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") <= 2  # at most the daily sums and the grid by well
     assert "ExistingRDD" not in plan  # no checkpoint
+
+
+def test_a_dlt_run_stores_rows_per_fit_not_per_day(spark, monkeypatch):
+    stored = []
+
+    def recorded(cut):
+        def run(df):
+            out = cut(df)
+            stored.append(out.count())
+            return out
+        return run
+
+    for module, name in ((FC, "cut_lineage"), (smoothing, "cut_lineage"), (smoothing, "reuse")):
+        if hasattr(module, name):
+            monkeypatch.setattr(module, name, recorded(getattr(module, name)))
+    _, met, _ = FC.run(_panel(spark), "y", "DLT", ["y", "x"], 7, ("x", 3.0), params={"n_bootstrap_draws": 0})
+    assert met.count() == 10
+    assert stored and max(stored) <= 2 * 6  # two wells, five folds and the final fit
