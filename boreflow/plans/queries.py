@@ -541,9 +541,7 @@ def m10_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("m10_run_scenario")
 def m10_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the scenario changes: future rows of the run with the price ramp, less those without it."""
-    from boreflow.session import cut_lineage
-
-    cl = cut_lineage(suppliers(spark, sf_dir))
+    cl = suppliers(spark, sf_dir)
     panel = FC.mask_regressors(cl, F_.screen(cl, T.TARGET, REGS), "LGT", REGS)
     with_, without = (FC.forecast(panel, T.TARGET, "LGT", REGS, 30, s, {"n_bootstrap_draws": 0}).filter("part = 'future'").select(
         "well", "ds", "step", F.col("yhat").alias(n)) for s, n in ((SCENARIO, "yhat_ramp"), (None, "yhat_flat")))
