@@ -1,7 +1,7 @@
 """Cleaning: blanks and zeros to null, gap filling, drops, time index, casts.
 
-Every window here is ``partitionBy(well).orderBy(ds)``; they share one sort, and after the
-first one the panel stays hash-partitioned by ``well`` so later windows and per-well
+Every window here is ``partitionBy(well).orderBy(ds)`` and the interpolation takes a well's rows as one
+array; after the first of them the panel stays hash-partitioned by ``well`` so later windows and per-well
 aggregates add no shuffle. A well's partition holds one row per day, so its size is bounded
 by the calendar span, not by how many raw rows the well had.
 """
@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boreflow.functions.gaps import fill
+
 KEY = "well"
 ORDER = "ds"
 
@@ -40,34 +42,14 @@ def interpolate(df: DataFrame, cols: Iterable[str] | None = None, key: str = KEY
     Leading gaps take the first value, trailing gaps the last one; an all-null column stays null.
     """
     cols = _cols(df, cols, key, order)
-    # Both anchors are running frames (unbounded preceding -> current row), which Spark updates
-    # incrementally; the "next" anchor runs over the reversed order. (A frame ending at unbounded
-    # following would be re-aggregated for every row: quadratic per well.) The reversed pass
-    # runs first, so the rows leave this operator sorted by (well, ds) ascending and any later
-    # window on that order needs no new sort. Reversed positions convert back with
-    # ``n = pos + rpos - 1``.
-    rev = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = series_window(key, order)
-    fwd = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rpos, pos = F.col("_rpos"), F.col("_pos")
-    staged = df.withColumn("_rpos", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())))
-    staged = staged.withColumns({
-        **{f"_nr_{c}": F.last(F.when(F.col(c).isNotNull(), rpos), ignorenulls=True).over(rev) for c in cols},
-        **{f"_nv_{c}": F.last(c, ignorenulls=True).over(rev) for c in cols},
-    })
-    staged = staged.withColumn("_pos", F.row_number().over(w))
-    staged = staged.withColumns({
-        **{f"_pp_{c}": F.last(F.when(F.col(c).isNotNull(), pos), ignorenulls=True).over(fwd) for c in cols},
-        **{f"_pv_{c}": F.last(c, ignorenulls=True).over(fwd) for c in cols},
-    })
-    filled = {}
-    for c in cols:
-        pp, pv, nr, nv = (F.col(f"_{x}_{c}") for x in ("pp", "pv", "nr", "nv"))
-        np_ = pos + rpos - nr  # ascending position of the next non-null value
-        between = pv + (nv - pv) * (pos - pp) / (np_ - pp)
-        filled[c] = F.coalesce(F.col(c), F.when(pp.isNull(), nv).when(nr.isNull(), pv).otherwise(between))
-    drop = ["_pos", "_rpos"] + [f"_{x}_{c}" for c in cols for x in ("pp", "pv", "nr", "nv")]
-    return staged.withColumns(filled).drop(*drop)
+    # One aggregate per well fills the series as a whole and gives its columns back as arrays: the
+    # anchors as window frames take two sorts and a handful of window passes over every row.
+    rest = [c for c in df.columns if c not in (key, order)]
+    fields = [F.col(order), *[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in rest]]
+    row = df.select(*fields).schema
+    rows = df.groupBy(key).agg(fill(row, cols, *fields).alias("_p"))
+    rows = rows.select(key, F.explode(F.arrays_zip(*[F.col("_p")[n].alias(n) for n in row.names])).alias("_r"))
+    return rows.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def fill_median(df: DataFrame, cols: Iterable[str] | None = None, key: str = KEY) -> DataFrame:
@@ -150,14 +132,18 @@ def clean(df: DataFrame, cols: Iterable[str] | None = None, method: str = "inter
         out = fill_median(out, cols)
     elif method != "none":
         raise ValueError(f"unknown fill method {method!r}")
-    # A parameter a well does not have at all (no sheet for it) is not required of that well.
-    whole = Window.partitionBy(KEY)
-    absent = {f"_absent_{c}": F.count(c).over(whole) == 0 for c in cols if c != target}
-    out = out.withColumns(absent)
-    complete = F.lit(True)
-    for c in cols:
-        complete = complete & ((F.col(c).isNotNull() | F.col(f"_absent_{c}")) if c != target else F.col(c).isNotNull())
-    out = out.filter(complete).drop(*absent)
+    # A parameter a well does not have at all (no sheet for it) is not required of that well. After a fill
+    # every other one has a value in all of the well's rows, so that only the target is looked at.
+    if method == "none":
+        whole = Window.partitionBy(KEY)
+        absent = {f"_absent_{c}": F.count(c).over(whole) == 0 for c in cols if c != target}
+        out = out.withColumns(absent)
+        complete = F.lit(True)
+        for c in cols:
+            complete = complete & ((F.col(c).isNotNull() | F.col(f"_absent_{c}")) if c != target else F.col(c).isNotNull())
+        out = out.filter(complete).drop(*absent)
+    elif target in cols:
+        out = drop_nulls(out, [target])
     if target is not None:
         out = nonzero_target(out, target)
     # C6 (forward fill) comes last in the reference's chain; after C4 no listed column holds a

@@ -41,8 +41,22 @@ def cleaned(spark: SparkSession, sf_dir: str, method: str = "interpolate") -> Da
     return C.clean(raw(spark, sf_dir), P, method=method, target=T.TARGET)
 
 
+def _rounded(c: str, digits: int) -> F.Column:
+    """``F.round`` of a double, half up on its shortest decimal, without a decimal number per row.
+
+    A value scaled by ``10^digits`` whose distance from a half is above the error of the scaling has one
+    nearest integer; the others, and values too large for that, take Spark's own way.
+    """
+    x, scale = F.col(c), F.lit(10.0**digits)
+    scaled = x * scale
+    near = F.rint(scaled)
+    clear = (F.abs(scaled) < 2.0**50) & (F.abs(scaled - near) < F.lit(0.499) - F.abs(scaled) * F.lit(2.0**-51))
+    return F.when(clear, near / scale + F.lit(0.0)).otherwise(F.round(x, digits)).alias(c)
+
+
 def _r(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema.fields if f.dataType.typeName() in ("double", "float")})
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return df.withColumns({c: _rounded(c, digits) if k == "double" else F.round(c, digits) for c, k in kinds.items() if k in ("double", "float")})
 
 
 # ---------------------------------------------------------------- minimum slice

@@ -49,3 +49,11 @@ def test_a_dlt_run_stores_rows_per_fit_not_per_day(spark, monkeypatch):
     _, met, _ = FC.run(_panel(spark), "y", "DLT", ["y", "x"], 7, ("x", 3.0), params={"n_bootstrap_draws": 0})
     assert met.count() == 10
     assert stored and max(stored) <= 2 * 6  # two wells, five folds and the final fit
+
+
+def test_the_screen_sorts_the_panel_by_well_and_no_more(spark):
+    from boreflow.plans import queries as Q
+
+    plan = S.screen(Q.suppliers(spark, SF), T.TARGET, ["price", "disc"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 3  # the grid, the fill and the statistics
+    assert plan.count("Window [") <= 1  # the grid
