@@ -45,8 +45,8 @@ def grid_parts(li: DataFrame, well: F.Column) -> int:
     Adaptive execution sizes partitions by the bytes of the observed days, which the grid multiplies,
     and never makes more than ``spark.sql.shuffle.partitions``: the rows of a task would grow with the table.
     """
-    day = F.to_date("l_shipdate")
-    span = li.groupBy(well.alias("well")).agg((F.datediff(F.max(day), F.min(day)) + 1).alias("d"))
+    first, last = F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))
+    span = li.groupBy(well.alias("well")).agg((F.datediff(last, first) + 1).alias("d"))
     rows = span.agg(F.sum("d").alias("d")).first().d or 0
     idle = min(3 * li.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / FEW_ROWS))
     return max(1, idle, math.ceil(rows / GRID_ROWS))
@@ -88,8 +88,9 @@ def main_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scale_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw scale panel keyed by supplier: ``well = cast(l_suppkey as string)``."""
     li = _lineitem(spark, sf_dir)
-    well = F.col("l_suppkey").cast("string")
-    return daily_grid(_daily(li, well), parts=grid_parts(li, well))
+    well = F.col("l_suppkey")  # grouped as the number it is, named after that
+    daily = _daily(li, well).withColumn("well", F.col("well").cast("string"))
+    return daily_grid(daily, parts=grid_parts(li, well))
 
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
