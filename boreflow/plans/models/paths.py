@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boreflow.operators.backtest import backtest_rows
+from boreflow.operators.backtest import backtest_rows, split_bounds
 from boreflow.operators.clean import KEY
 from boreflow.plans.series import series_arrays
 from boreflow.session import reuse
@@ -59,15 +59,20 @@ def path_quantiles(changes: np.ndarray, h: int, n_paths: int, seed: int, fold: i
 
 
 def _band(panel: DataFrame, target: str, n_paths: int, seed: int, qs: tuple[float, ...], horizon: int, n_splits: int,
-          holdout: tuple[float, float] | None, include_last: bool, key: str) -> tuple[DataFrame, DataFrame]:
-    """Prediction rows, and per (well, fold) the last training value with one quantile array per q."""
-    panel = reuse(panel)
-    rows = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout, key)
-    pred = rows.filter(F.col("part") != "train")
-    steps = pred.groupBy(key, "fold", "train_end").agg(F.max("step").alias("h"))
-    arrs = series_arrays(panel, [target], key).select(key, F.col(target).alias("_arr"))
-    train = F.slice("_arr", F.lit(1), F.greatest(F.col("train_end"), F.lit(0)))
-    base = steps.join(arrs, key).select(key, "fold", "h", train.alias("train"))
+          holdout: tuple[float, float] | None, key: str) -> DataFrame:
+    """Per (well, fold) with forecast rows: the last training value with one quantile array per q.
+
+    The folds are cut from the one array of each well; nothing is computed before the band is read.
+    """
+    ser = series_arrays(panel, [target], key)
+    bounds, final = split_bounds(F.col("n"), n_splits, holdout)
+    if horizon <= 0:
+        bounds = F.filter(bounds, lambda b: b["fold"] < final)
+    cut = ser.select(key, F.col(target).alias("_arr"), F.explode(bounds).alias("_b"))
+    cut = cut.filter((F.col("_b.fold") == final) | (F.col("_b.test_end") > F.col("_b.test_start")))
+    ahead = F.when(F.col("_b.fold") == final, F.lit(max(horizon, 0))).otherwise(F.col("_b.test_end") - F.col("_b.train_end"))
+    base = cut.select(key, F.col("_b.fold").alias("fold"), ahead.cast("int").alias("h"),
+                      F.slice("_arr", F.lit(1), F.greatest(F.col("_b.train_end"), F.lit(0))).alias("train"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +87,7 @@ def _band(panel: DataFrame, target: str, n_paths: int, seed: int, qs: tuple[floa
     # The paths are the work here, not the bytes: spread the rows instead of packing them by size.
     n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     schema = f"{key} string, fold int, last double, " + ", ".join(f"q{k} array<double>" for k in range(len(qs)))
-    return pred, base.repartition(n, key, "fold").mapInArrow(run, schema)
+    return base.repartition(n, key, "fold").mapInArrow(run, schema)
 
 
 def _at(name: str) -> Column:
@@ -93,7 +98,9 @@ def sample_paths(panel: DataFrame, target: str, horizon: int = 30, n_paths: int
                  n_splits: int = 5, holdout: tuple[float, float] | None = None, include_last: bool = False,
                  key: str = KEY) -> DataFrame:
     """M9: quantile forecast from ``n_paths`` bootstrap random walks (one value: it is repeated)."""
-    pred, band = _band(panel, target, n_paths, seed, (0.1, 0.5, 0.9), horizon, n_splits, holdout, include_last, key)
+    panel = reuse(panel)  # the rows and the band both read it
+    pred = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout, key).filter(F.col("part") != "train")
+    band = _band(panel, target, n_paths, seed, (0.1, 0.5, 0.9), horizon, n_splits, holdout, key)
     out = pred.join(band, [key, "fold"])
     params = F.create_map(F.lit("n_paths"), F.lit(str(n_paths)), F.lit("seed"), F.lit(str(seed)))
     at = [(F.col("last") + _at(f"q{k}")) for k in range(3)]
@@ -105,6 +112,6 @@ def bootstrap_band(fc: DataFrame, panel: DataFrame, target: str, n_draws: int =
                    qs: tuple[float, float] = (0.05, 0.95), horizon: int = 30, n_splits: int = 5,
                    holdout: tuple[float, float] | None = None, key: str = KEY) -> DataFrame:
     """Replace the band of ``fc`` by 5 % / 95 % bootstrap quantiles around its ``yhat``."""
-    _, band = _band(panel, target, n_draws, seed, qs, horizon, n_splits, holdout, False, key)
+    band = _band(panel, target, n_draws, seed, qs, horizon, n_splits, holdout, key)
     out = fc.drop("yhat_lower", "yhat_upper").join(band.drop("last"), [key, "fold"], "left")
     return out.withColumns({"yhat_lower": F.col("yhat") + _at("q0"), "yhat_upper": F.col("yhat") + _at("q1")}).drop("q0", "q1")

@@ -3,7 +3,7 @@
 Two stages, both deterministic (least squares and exponential smoothing, not the posterior of
 the Bayesian models these slots stand for; numbers are not meant to equal theirs):
 
-1. Regression stage (Spark Gram sums + small solve): DLT fits a global trend
+1. Regression stage (Gram sums and small solves, by well): DLT fits a global trend
    (``flat | linear | loglinear | logistic``) plus the regressors with the chosen penalty
    (``fixed_ridge | auto_ridge | lasso``); LGT fits the regressors alone; ETS has none.
 2. Smoothing stage on the residual series of each (well, fold, stage-1 candidate): the
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from boreflow.session import apply_recommended_conf, cut_lineage, reuse
 
 from boreflow.functions import linalg as L
+from boreflow.functions import regress as R
 from boreflow.functions.fitting import BOX, fit_folds_udf
 from boreflow.functions.smoothing import NEUTRAL, PARAMS, smooth_folds_udf, smooth_grid_udf
 from boreflow.operators.backtest import backtest_rows, split_bounds
 from boreflow.operators.scenario import ramp_value
 from boreflow.plans.series import series_arrays
-from boreflow.operators.clean import KEY
+from boreflow.operators.clean import KEY, ORDER
 from boreflow.plans.models import common as M
 
 TRENDS = ("flat", "linear", "loglinear", "logistic")
@@ -123,40 +124,60 @@ def _fitted(fits: DataFrame, kind: str, keys: Sequence) -> DataFrame:
     return fits.select(*keys, "_s.sse", "_s.n_fit", "_s.fc", told.alias("gparams"))
 
 
-def _ahead(res: DataFrame, target: str, regs: Sequence[str], regression, last: int, horizon: int, scenario: tuple[str, float] | None,
-           include_last: bool, key: str, cut: bool) -> DataFrame:
-    """Test rows of the folds and future rows of the final fit, out of each fit's own arrays.
+CARRIED = ("n", "end", "ended", "params", "train_end", "h", "pos", "step", "beta", "ds", "y", "reg")
 
-    ``res`` has one row per fit with the well's arrays and its fold ``_b``; the rows are those of ``backtest_rows``
-    past the training part, with ``yhat``. With ``cut`` they are stored as one row of arrays per fit.
+
+def regression_series(panel: DataFrame, target: str, regs: Sequence[str], stage1: Sequence[M.Candidate], horizon: int, n_splits: int,
+                      holdout: tuple[float, float] | None, include_last: bool, key: str) -> DataFrame:
+    """One row per fit of the regression stage: ``well, fold, cid, r`` and ``CARRIED``."""
+    fields = [F.col(ORDER), F.col(target).cast("double"), *[F.col(r).cast("double") for r in regs]]
+    per = panel.groupBy(key).agg(R.stage1(panel.schema[ORDER].dataType, stage1, horizon, n_splits, holdout, 0 if include_last else 1, *fields).alias("_f"))
+    fits = per.select(key, *[F.col(f"_f.{c}").alias(c) for c in ("n", "end", "ended")],
+                      F.explode(F.arrays_zip(*[F.col(f"_f.{c}").alias(c) for c in R.PER_FIT])).alias("_c"))
+    params = F.array(*[M.param_map(c.params) for c in stage1])
+    return fits.select(key, "n", "end", "ended", *[F.col(f"_c.{c}").alias(c) for c in R.PER_FIT], params[F.col("_c.cid")].alias("params"))
+
+
+def smoothing_fits(panel: DataFrame, target: str, kind: str, regressors: Sequence[str], stage1: list[M.Candidate] | None = None,
+                   grid: Sequence[dict[str, float]] | None = None, horizon: int = 30, n_splits: int = 5, holdout: tuple[float, float] | None = None,
+                   include_last: bool = False, key: str = KEY, fixed: dict[str, float] | None = None, grids: DataFrame | None = None) -> DataFrame:
+    """The fits of DLT or LGT, one row of arrays each, before any scenario; ``smoothing_forecast`` lays them out.
+
+    ``fold`` comes from the regression stage: a filter on it is made before the smoothing weights are searched.
     """
-    te, test_start, test_end = F.col("_b.train_end"), F.col("_b.test_start"), F.col("_b.test_end")
+    regs = list(regressors)
+    apply_recommended_conf(panel.sparkSession)
+    # A parameter a well does not have enters as the constant 0.
+    known = panel.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in regs}) if regs else panel
+    series = regression_series(known, target, regs, stage1 or stage1_candidates(kind, regs), horizon, n_splits, holdout, include_last, key)
+    if fixed is not None:
+        whole = F.array(F.struct(F.col("fold"), F.size("r").alias("train_end"), F.col("h")))
+        runs = series.select(key, "fold", "cid", *CARRIED, F.explode(fit_folds_udf(kind, fixed)(F.col("r"), whole)).alias("_s"))
+        res = _fitted(runs, kind, [key, "fold", "cid", *CARRIED])
+    else:
+        res = _gridded(series, kind, grid or default_grid(kind), grids, key, CARRIED)
+    return res.select(key, "fold", "cid", *CARRIED, "gparams", "sse", "n_fit", F.slice("fc", F.col("step"), F.col("h") - F.col("step") + 1).alias("fc"))
+
+
+def _ahead(fits: DataFrame, regs: Sequence[str], last: int, horizon: int, scenario: tuple[str, float] | None, include_last: bool, key: str) -> DataFrame:
+    """Test rows of the folds and future rows of the final fit: those of ``backtest_rows`` past the training part, with ``yhat``."""
     param, delta = scenario if scenario else (None, 0.0)
     start = 0 if include_last else 1
     final = F.col("fold") == last
     steps = F.sequence(F.lit(1), F.lit(max(horizon, 1)))
-    places = F.when(test_end > test_start, F.sequence(test_start, F.greatest(test_end - 1, test_start)))
-
-    def tested(i):
-        return regression(i, [F.col(r)[i] for r in regs]) + F.element_at("fc", i - te + 1)
 
     def future(s):
-        ended = {r: F.element_at(r, -1) for r in regs}
+        ended = {r: F.col("ended")[j] for j, r in enumerate(regs)}
         values = [ramp_value(ended[r], delta, s, horizon) if r == param else ended[r] for r in regs]
-        return regression(F.col("n") - 2 + s + F.lit(start), values) + F.element_at("fc", s)
-
-    size = test_end - test_start
-    fits = res.select(
-        key, "fold", "cid", "params", "gparams", "sse", "n_fit", te.alias("train_end"),
-        F.when(final, F.col("n") - 1 + start).otherwise(test_start).alias("_pos"), F.when(final, F.lit(1)).otherwise(test_start - te + 1).alias("_step"),
-        F.when(final, F.transform(steps, lambda s: F.date_add(F.element_at("ds", -1), s - 1 + start))).otherwise(F.slice("ds", test_start + 1, size)).alias("_ds"),
-        F.when(~final, F.slice(target, test_start + 1, size)).otherwise(F.array().cast("array<double>")).alias("_y"),  # none is known ahead
-        F.when(final, F.transform(steps, future)).otherwise(F.transform(places, tested)).alias("_yhat"))
-    fits = cut_lineage(fits) if cut else fits
-    out = fits.select(key, "fold", "cid", "params", "gparams", "sse", "n_fit", "train_end", "_pos", "_step", F.posexplode(F.arrays_zip(
-        F.col("_ds").alias("ds"), F.col("_y").alias("y"), F.col("_yhat").alias("yhat"))).alias("_i", "_r"))
+        return L.dot(F.col("beta"), trend_features(regs, F.col("n") - 2 + s + F.lit(start), F.col("train_end"), values)[0])
+
+    days = F.transform(steps, lambda s: F.date_add(F.col("end"), s - 1 + start))
+    out = fits.select(key, "fold", "cid", "params", "gparams", "sse", "n_fit", "train_end", "pos", "step", F.posexplode(F.arrays_zip(
+        F.when(final, days).otherwise(F.col("ds")).alias("ds"), F.col("y").alias("y"),  # none is known ahead
+        F.when(final, F.transform(steps, future)).otherwise(F.col("reg")).alias("reg"), F.col("fc").alias("fc"))).alias("_i", "_r"))
     return out.select(key, "fold", "cid", "params", "gparams", "sse", "n_fit", "train_end", F.when(final, "future").otherwise("test").alias("part"),
-                      "_r.ds", "_r.y", (F.col("_pos") + F.col("_i")).cast("int").alias("pos"), (F.col("_step") + F.col("_i")).cast("int").alias("step"), "_r.yhat")
+                      "_r.ds", "_r.y", (F.col("pos") + F.col("_i")).cast("int").alias("pos"), (F.col("step") + F.col("_i")).cast("int").alias("step"),
+                      (F.col("_r.reg") + F.col("_r.fc")).alias("yhat"))
 
 
 def training_error(panel: DataFrame, target: str, kind: str = "ets", grid: Sequence[dict[str, float]] | None = None,
@@ -181,27 +202,27 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
                        stage1: list[M.Candidate] | None = None, grid: list[dict[str, float]] | None = None,
                        horizon: int = 30, n_splits: int = 5, holdout: tuple[float, float] | None = None,
                        scenario: tuple[str, float] | None = None, include_last: bool = False, z: float = M.Z90,
-                       key: str = KEY, fixed: dict[str, float] | None = None, grids: DataFrame | None = None, cut: bool = False) -> DataFrame:
+                       key: str = KEY, fixed: dict[str, float] | None = None, grids: DataFrame | None = None, cut: bool = False,
+                       fits: DataFrame | None = None) -> DataFrame:
     """Backtest + future rows: ``well, fold, part, ds, step, y, params, yhat, yhat_lower, yhat_upper, model``.
 
     ``grid`` gives smoothing weights to run side by side, ``grids`` (``well, grid``, elements from
     ``grid_point``) the same for each well on its own; wells without a row there get none. With ``fixed`` instead, each (well, fold,
     stage-1 candidate) gets the weights of the least one-step squared error of its training part; those
     in ``fixed`` are held. ``params`` then tells the weights, and under ``converged`` whether the
-    search settled. ``cut`` stores the fits of DLT and LGT with a reliable checkpoint, so that several readers of the rows share them.
+    search settled. ``cut`` stores the fits of DLT and LGT with a reliable checkpoint, so that several readers of the rows share them;
+    ``fits`` gives those of ``smoothing_fits`` with the same arguments, which no scenario changes.
     """
     apply_recommended_conf(panel.sparkSession)
     regs = list(regressors) if kind != "ets" else []
-    # A parameter a well does not have enters as the constant 0.
-    known = panel.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in regs}) if regs else panel
     if sum(x is not None for x in (grid, grids, fixed)) > 1:
         raise ValueError("one of grid, grids and fixed")
-    grid = grid or default_grid(kind)
-    fit = None if fixed is None else fit_folds_udf(kind, fixed)
     if kind == "ets":
+        grid = grid or default_grid(kind)
+        fit = None if fixed is None else fit_folds_udf(kind, fixed)
         # No regression stage: every fold trains on a prefix of the same series, so each series
         # runs once per grid point and reports its state at every fold's training end.
-        panel = reuse(known)
+        panel = reuse(panel)
         rows1 = backtest_rows(panel, target, [], n_splits, horizon, None, include_last, holdout, key).withColumns(
             {"cid": F.lit(0), "params": F.create_map().cast("map<string,string>"), "reg": F.lit(0.0)})
         ser = series_arrays(panel, [target], key)
@@ -224,41 +245,11 @@ def smoothing_forecast(panel: DataFrame, target: str, kind: str = "ets", regress
                 "gparams", garr[F.col("gid")]["gparams"])
         pred = rows1.filter(F.col("part") != "train").join(res, [key, "fold", "cid"]).withColumn("yhat", F.col("reg") + F.element_at("fc", F.col("step")))
     else:
-        # No copy of the panel is stored: the Gram sums and the series arrays each read it, and a panel
-        # that comes by well stays so. Only sums, coefficients and fits are dealt out by fold.
-        rows = backtest_rows(known, target, regs, n_splits, horizon, scenario, include_last, holdout, key)
-        feats, _ = trend_features(regs)
-        stage1 = stage1 or stage1_candidates(kind, regs)
-        sol = M.fit(rows, feats, [F.col("y")], stage1).groupBy(key).agg(
-            F.collect_list(F.struct("fold", "cid", "params", "beta")).alias("_sol"))
-        # One row per well meets its coefficients of all folds; residuals, fits and the test and
-        # future rows are made from its arrays with the same feature formulas (JVM array functions).
-        arrs = series_arrays(known, [target, *regs], key)
-        bounds, k = split_bounds(F.col("n"), n_splits, holdout)
-        if horizon <= 0:
-            bounds = F.filter(bounds, lambda b: b["fold"] < k)
-        per = arrs.withColumn("_bounds", bounds).join(sol, key).select(key, "n", "ds", target, *regs, "_bounds", F.explode("_sol").alias("_c"))
-        per = per.withColumn("_b", F.get(F.filter("_bounds", lambda b: b["fold"] == F.col("_c.fold")), F.lit(0))).filter(F.col("_b").isNotNull())
-        te, beta = F.col("_b.train_end"), F.col("_c.beta")
-
-        def regression(i, reg_values):
-            fi, _ = trend_features(regs, i, te, reg_values)
-            return L.dot(beta, fi)
-
-        def resid(i):
-            return F.col(target)[i] - regression(i, [F.col(r)[i] for r in regs])
-
-        hcol = F.when(F.col("_b.fold") == k, F.lit(max(horizon, 0))).otherwise(F.col("_b.test_end") - te)
-        series = per.select(key, F.col("_b.fold").alias("fold"), F.col("_c.cid").alias("cid"), F.col("_c.params").alias("params"),
-                            F.transform(F.sequence(F.lit(0), te - 1), resid).alias("r"), hcol.alias("h"), "n", "ds", target, *regs, "_b", "_c")
-        carried = ["n", "ds", target, *regs, "_b", "_c"]
-        if fit is not None:
-            whole = F.array(F.struct(F.col("fold").cast("int").alias("fold"), F.size("r").alias("train_end"), F.col("h").cast("int").alias("h")))
-            res = _fitted(series.select(key, "cid", "params", *carried, F.explode(fit(F.col("r"), whole)).alias("_s")), kind,
-                          [key, "_s.fold", "cid", "params", *carried])
-        else:
-            res = _gridded(series, kind, grid, grids, key, ["params", *carried])
-        pred = _ahead(res, target, regs, regression, k, horizon, scenario, include_last, key, cut)
+        # No copy of the panel is stored and no row is copied per fold: one aggregate per well makes the regression
+        # stage of all folds, and with ``cut`` only one row of arrays per fit is kept.
+        if fits is None:
+            fits = smoothing_fits(panel, target, kind, regs, stage1, grid if grids is None else None, horizon, n_splits, holdout, include_last, key, fixed, grids)
+        pred = _ahead(cut_lineage(fits) if cut else fits, regs, 1 if holdout else n_splits, horizon, scenario, include_last, key)
     sd = F.sqrt(F.try_divide(F.col("sse"), F.col("n_fit").cast("double")))
     yhat = F.col("yhat")
     return pred.select(

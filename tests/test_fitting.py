@@ -123,3 +123,38 @@ def test_given_weights_are_held_and_others_fitted(spark, model):
     panel = spark.createDataFrame(rows, "well string, ds date, y double, x double")
     fc = FC.forecast(panel, "y", model, ["x"], horizon=3, params={"alpha": 0.25, "n_bootstrap_draws": 0}).filter("part = 'future'").collect()
     assert len(fc) == 3 and all(float(r.params["alpha"]) == 0.25 and "beta" in r.params and math.isfinite(r.yhat) for r in fc)
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 61, 100])
+@pytest.mark.parametrize("holdout", [None, (0.7, 0.95)])
+def test_cuts_are_those_of_the_backtest(spark, n, holdout):
+    from boreflow.functions.regress import split_cuts
+    from boreflow.operators.backtest import split_bounds
+
+    rows = spark.createDataFrame([(n,)], "n int").select(split_bounds(F.col("n"), 5, holdout)[0].alias("b")).first().b
+    assert split_cuts(n, 5, holdout) == [(r.fold, r.train_end, r.test_start, r.test_end) for r in rows]
+
+
+def test_a_pass_is_cut_to_its_live_rows_and_blocks_change_nothing(monkeypatch):
+    ys = [series(k, n) for k, n in enumerate((200, 150, 90, 41, 17, 3))]
+    lens = np.array([len(y) for y in ys])
+    whole = {kind: FI.fit(kind, ys, np.arange(6), lens) for kind in ("ets", "dlt", "lgt")}
+    for kind, (w, best, _, _) in whole.items():
+        for k, y in enumerate(ys):
+            assert math.isclose(best[k], plain_sse(kind, y, {p: w[p][k] for p in S.PARAMS}), rel_tol=1e-9)
+    monkeypatch.setattr(FI, "BLOCK", 5)
+    for kind, (w, best, _, _) in whole.items():
+        again = FI.fit(kind, ys, np.arange(6), lens)
+        assert (again[1] == best).all() and all((again[0][p] == w[p]).all() for p in S.PARAMS)
+
+
+def test_end_states_are_those_of_the_plain_run():
+    ys = [series(k, n) for k, n in enumerate((60, 1, 41, 17, 60))]
+    src, lens = np.array([0, 0, 1, 2, 3, 4]), np.array([60, 24, 1, 41, 17, 60])
+    for kind in ("ets", "dlt", "lgt"):
+        w = {p: np.linspace(0.1, 0.9, 6) for p in S.PARAMS}
+        snaps = S.run(kind, ys, np.zeros(6, int), w, src=src, stops=[[(0, int(n), 9)] for n in lens])
+        level, trend, season, error = FI.end_states(kind, ys, src, lens, w)
+        for r, n in enumerate(lens):
+            fc = S._forecast(kind, level[r], trend[r], season[r], int(n), 9, *(w[p][r] for p in ("phi", "xi1", "xi2", "lam")), 12)
+            assert (fc == snaps[r][0][3]).all() and error[r] == snaps[r][0][1]

@@ -57,3 +57,23 @@ def test_the_screen_sorts_the_panel_by_well_and_no_more(spark):
     plan = S.screen(Q.suppliers(spark, SF), T.TARGET, ["price", "disc"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") <= 3  # the grid, the fill and the statistics
     assert plan.count("Window [") <= 1  # the grid
+
+
+def test_a_run_whose_forecast_is_not_read_stores_no_panel(spark, monkeypatch):
+    from boreflow.plans.models import paths
+
+    stored = []
+    for module in (FC, smoothing, paths):
+        for name in ("cut_lineage", "reuse"):
+            if hasattr(module, name):
+                cut = getattr(module, name)
+                monkeypatch.setattr(module, name, lambda df, cut=cut: stored.append(cut(df).count()) or cut(df))
+    _, met, _ = FC.run(_panel(spark), "y", "DLT", ["y", "x"], 7, ("x", 3.0))  # with the band of 500 draws
+    assert met.count() == 10
+    assert max(stored) <= 2 * 6
+
+
+def test_the_regression_stage_copies_no_row_per_fold(spark):
+    fits = smoothing.smoothing_fits(_panel(spark), "y", "dlt", ["x"], fixed={})
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "Window" not in plan and plan.count("ArrowAggregatePython") == 1
