@@ -53,20 +53,41 @@ DEFAULTS: dict[str, dict[str, str]] = {
 
 def forecast(panel: DataFrame, target: str, model: str, regressors: Sequence[str] = (), horizon: int = 30,
              scenario: tuple[str, float] | None = None, params: dict | None = None, n_splits: int = 5,
-             holdout: tuple[float, float] | None = None, include_last: bool = False) -> DataFrame:
+             holdout: tuple[float, float] | None = None, include_last: bool = False, fits: DataFrame | None = None) -> DataFrame:
     """Backtest + future forecast of one model with one parameter set (``params`` by name).
 
     Parameters not given take the model's DEFAULTS; the smoothing weights of ETS, DLT and LGT that are
     not given are fitted to each well and training part. The ``params`` of the result are all values
-    used.
+    used. ``fits`` gives what ``fitted`` made with the same arguments, so that forecasts that differ in the
+    scenario alone share it; the result has rows of the fits it holds.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; one of {MODELS}")
     p = {**DEFAULTS[model], **(params or {})}
-    out = _points(panel, target, model, p, regressors, horizon, scenario, n_splits, holdout, include_last)
+    out = _points(panel, target, model, p, regressors, horizon, scenario, n_splits, holdout, include_last, fits=fits)
     return _named(_with_draws(out, panel, target, p, horizon, n_splits, holdout), model, p)
 
 
+def fitted(panel: DataFrame, target: str, model: str, regressors: Sequence[str] = (), horizon: int = 30, params: dict | None = None,
+           n_splits: int = 5, holdout: tuple[float, float] | None = None, include_last: bool = False) -> DataFrame:
+    """The fits of DLT or LGT that ``forecast`` lays out as rows: one row per well and ``fold`` (the last is the final fit)."""
+    if model not in ("DLT", "LGT"):
+        raise ValueError(f"{model!r} has no fits apart from its rows; DLT and LGT have")
+    weights, st1 = _smoothing_args(model, {**DEFAULTS[model], **(params or {})}, list(regressors))
+    return smoothing.smoothing_fits(panel, target, model.lower(), list(regressors), st1, horizon=horizon, n_splits=n_splits, holdout=holdout,
+                                    include_last=include_last, **weights)
+
+
+def _smoothing_args(model: str, p: dict, regs: Sequence[str]) -> tuple[dict, list | None]:
+    """Given or fitted weights, and the regression candidates."""
+    kind = model.lower()
+    given = {k: float(p[k]) for k in smoothing.GRID_KEYS if k in p}
+    weights = {"grid": [given]} if set(BOX[kind]) <= set(given) else {"fixed": given}
+    if kind == "ets":
+        return weights, None
+    return weights, smoothing.stage1_candidates(kind, regs, [p.get("global_trend_option", "linear")], [p["regression_penalty"]])
+
+
 def _named(out: DataFrame, model: str, p: dict) -> DataFrame:
     used = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in p.items()}
     return E.best_params(out, used).withColumn("model", F.lit(model))
@@ -74,17 +95,15 @@ def _named(out: DataFrame, model: str, p: dict) -> DataFrame:
 
 def _points(panel: DataFrame, target: str, model: str, p: dict, regressors: Sequence[str], horizon: int,
               scenario: tuple[str, float] | None, n_splits: int, holdout: tuple[float, float] | None,
-              include_last: bool, cut: bool = False) -> DataFrame:
+              include_last: bool, cut: bool = False, fits: DataFrame | None = None) -> DataFrame:
     regs = list(regressors) if model in USES_REGRESSORS else []
     common = dict(horizon=horizon, n_splits=n_splits, holdout=holdout, include_last=include_last)
+    if fits is not None and model not in ("DLT", "LGT"):
+        raise ValueError(f"fits given for {model!r}")
     if model in ("ETS", "DLT", "LGT"):
         kind = model.lower()
-        given = {k: float(p[k]) for k in smoothing.GRID_KEYS if k in p}
-        weights = {"grid": [given]} if set(BOX[kind]) <= set(given) else {"fixed": given}
-        st1 = None
-        if kind != "ets":
-            st1 = smoothing.stage1_candidates(kind, regs, [p.get("global_trend_option", "linear")], [p["regression_penalty"]])
-        out = smoothing.smoothing_forecast(panel, target, kind, regs, st1, scenario=scenario, cut=cut, **weights, **common)
+        weights, st1 = _smoothing_args(model, p, regs)
+        out = smoothing.smoothing_forecast(panel, target, kind, regs, st1, scenario=scenario, cut=cut, fits=fits, **weights, **common)
         return cut_lineage(out) if cut and kind == "ets" else out
     out = _other_points(panel, target, model, p, regs, scenario, common)
     return cut_lineage(out) if cut else out

@@ -557,7 +557,10 @@ def m10_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the scenario changes: future rows of the run with the price ramp, less those without it."""
     cl = suppliers(spark, sf_dir)
     panel = FC.mask_regressors(cl, F_.screen(cl, T.TARGET, REGS), "LGT", REGS)
-    with_, without = (FC.forecast(panel, T.TARGET, "LGT", REGS, 30, s, {"n_bootstrap_draws": 0}).filter("part = 'future'").select(
+    # No fit depends on the scenario, and the future rows of both forecasts are those of the final fit.
+    own = {"n_bootstrap_draws": 0}
+    fits = cut_lineage(FC.fitted(panel, T.TARGET, "LGT", REGS, 30, own).filter(F.col("fold") == BT.N_SPLITS))
+    with_, without = (FC.forecast(panel, T.TARGET, "LGT", REGS, 30, s, own, fits=fits).filter("part = 'future'").select(
         "well", "ds", "step", F.col("yhat").alias(n)) for s, n in ((SCENARIO, "yhat_ramp"), (None, "yhat_flat")))
     return _r(with_.join(without, ["well", "ds", "step"]).withColumn("lift", F.col("yhat_ramp") - F.col("yhat_flat")))
 

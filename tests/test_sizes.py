@@ -77,3 +77,27 @@ def test_the_regression_stage_copies_no_row_per_fold(spark):
     fits = smoothing.smoothing_fits(_panel(spark), "y", "dlt", ["x"], fixed={})
     plan = fits._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "Window" not in plan and plan.count("ArrowAggregatePython") == 1
+
+
+def test_the_scenario_shares_one_final_fit_per_well(spark, monkeypatch):
+    from boreflow.plans import queries as Q
+
+    stored = []
+    cut = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: stored.append(cut(df).count()) or cut(df))
+    out = Q.m10_scenario(spark, SF)
+    wells = T.scale_panel(spark, SF).select("well").distinct().count()
+    assert stored == [wells]
+    assert out.count() == 30 * wells
+
+
+def test_shared_fits_give_the_forecasts_of_each_scenario(spark):
+    panel = _panel(spark)
+    own = {"n_bootstrap_draws": 0}
+    whole = FC.fitted(panel, "y", "LGT", ["x"], 7, own)
+    for scenario in (None, ("x", 3.0)):
+        alone = FC.forecast(panel, "y", "LGT", ["x"], 7, scenario, own)
+        shared = FC.forecast(panel, "y", "LGT", ["x"], 7, scenario, own, fits=whole)
+        assert sorted(map(str, alone.collect())) == sorted(map(str, shared.collect()))
+        final = FC.forecast(panel, "y", "LGT", ["x"], 7, scenario, own, fits=whole.filter("fold = 5"))
+        assert sorted(map(str, alone.filter("part = 'future'").collect())) == sorted(map(str, final.collect()))
